@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from .bpe import op4_bpe
+from .decontaminate import OP7_SQL, op7_decontaminate
 from .lines import OP2_SQL, op2_line_dedup
 from .quality import op8_quality_rules
 from .secrets import op5_secret_scan
 from .sharding import op9_sharding
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_bpe, op5_secret_scan, op8_quality_rules, op9_sharding)}
-ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_bpe, op5_secret_scan, op7_decontaminate, op8_quality_rules, op9_sharding)}
+ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_decontaminate": OP7_SQL}
