@@ -21,7 +21,7 @@ BLOCK_BIT = 1 << 62
 
 U64 = np.uint64
 _ODD = U64(0x9E3779B97F4A7C15)
-_BYTES = np.random.default_rng(20_011).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+BYTE_CODES = np.random.default_rng(20_011).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
@@ -176,7 +176,7 @@ def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, step: int =
         lengths = e - s
         at = ragged(s, lengths)
         place = at - np.repeat(s, lengths)
-        value = _BYTES[data[at]] * powers(int(lengths.max()))[place]
+        value = BYTE_CODES[data[at]] * powers(int(lengths.max()))[place]
         out[a : a + step] = mix(np.add.reduceat(value, starts_of(lengths)[:-1]) + lengths.astype(np.uint64))
     return out
 

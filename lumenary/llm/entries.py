@@ -6,9 +6,10 @@ from .bpe import op4_bpe
 from .decontaminate import OP7_SQL, op7_decontaminate
 from .licenses import op6_license_scan
 from .lines import OP2_SQL, op2_line_dedup
+from .toxicity import op3_toxicity
 from .quality import op8_quality_rules
 from .secrets import op5_secret_scan
 from .sharding import op9_sharding
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_bpe, op5_secret_scan, op6_license_scan, op7_decontaminate, op8_quality_rules, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_toxicity, op4_bpe, op5_secret_scan, op6_license_scan, op7_decontaminate, op8_quality_rules, op9_sharding)}
 ORACLES: dict[str, str] = {"op2_line_dedup": OP2_SQL, "op7_decontaminate": OP7_SQL}
