@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("browse",)
+MODULES = ("browse", "curation", "claims")
 
 
 def _load() -> None:
