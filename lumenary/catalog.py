@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("browse", "curation", "claims")
+MODULES = ("browse", "curation", "claims", "graph")
 
 
 def _load() -> None:
