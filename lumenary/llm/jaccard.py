@@ -37,8 +37,8 @@ PER, OF = 90, 100
 BLOCK_BYTES = 8 << 20
 #: Least size for which sets other than equal ones can be linked, and the growth of size windows.
 LEAST, GROWTH = 9, 1.5
-#: Documents and bytes of text that one region may hold before pivots divide it; pivots a region may have.
-REGION_DOCS, REGION_BYTES, MOST_PIVOTS = 4000, 24 << 20, 16
+#: Documents and shingles that one region may hold before pivots divide it, and pivots a region may have.
+REGION_DOCS, REGION_SHINGLES, MOST_PIVOTS = 16_000, 4 << 20, 256
 META, SAME, NEAR = 0, 1, 2
 
 
@@ -140,6 +140,8 @@ def _send_cells(n: int):
             out = [(key % n, key, to_blob({"kind": mine[:, 0].astype(np.int8), "u": mine[:, 1], "v": mine[:, 2]}))]
             asks = {SAME: (digest[speaker], ids[speaker]), NEAR: (cell[order[new]], ids[row][order[new]])}
             for kind, (keys, docs) in asks.items():
+                by_doc = np.argsort(docs, kind="stable")  # equal ids side by side take little room
+                keys, docs = keys[by_doc], docs[by_doc]
                 bucket = (keys >> U64(20)) % U64(n)
                 by = np.argsort(bucket, kind="stable")
                 at = np.searchsorted(bucket[by], np.arange(n + 1))
@@ -186,7 +188,8 @@ def region_links(docs: np.ndarray, sets: np.ndarray, first: np.ndarray, home: np
     """Links that connect what is connected in one region; at least one end of each is at home there.
 
     Documents at home are pivots in turn. A pivot is compared only if some document of another component lies within the
-    window that the distances to the pivots before it leave: |d(x, p) - d(y, p)| <= 1 - similarity.
+    window that the distances to the pivots before it leave: |d(x, p) - d(y, p)| <= 1 - similarity. Where all are at home,
+    the largest component that the first pivots form needs no more pivots: what lies outside of it is compared with it.
     """
     size = np.diff(first)
     overlap = _overlap(sets, first)
@@ -194,7 +197,10 @@ def region_links(docs: np.ndarray, sets: np.ndarray, first: np.ndarray, home: np
     window = (OF - PER) / OF + 1e-9
     seen: list[np.ndarray] = []
     out = []
+    core = -1  # a document of that component
     for i in np.flatnonzero(home).tolist():
+        if core >= 0 and group[i] == group[core]:
+            continue
         open_ = (group != group[i]) & (size * OF >= size[i] * PER) & (size[i] * OF >= size * PER)
         for far in seen:
             open_ &= np.abs(far - far[i]) <= window
@@ -202,12 +208,14 @@ def region_links(docs: np.ndarray, sets: np.ndarray, first: np.ndarray, home: np
             continue
         common = overlap(i)
         union = size + size[i] - common
-        if len(seen) < 8:
-            seen.append(1 - common / np.maximum(union, 1))
         for j in np.flatnonzero(open_ & (OF * common >= PER * union) & (common > 0)).tolist():
             if group[j] != group[i]:
                 out.append((int(docs[i]), int(docs[j])))
                 group[group == group[j]] = group[i]
+        if len(seen) < 8:
+            seen.append(1 - common / np.maximum(union, 1))
+            if len(seen) == 8 and home.all():
+                core = int(np.flatnonzero(group == np.bincount(group).argmax())[0])
     return out
 
 
@@ -220,28 +228,25 @@ def _join_region(rows: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
-def _to_pivots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document at home in the region of its nearest pivot, and a guest in those within twice the greatest distance."""
+def _to_pivots(members: pa.Table, chosen: pa.Table) -> pa.Table:
+    """Some documents of one region: each at home with its nearest pivot, and a guest wherever the distance is within twice the greatest one."""
     reach = 2 * (OF - PER) / OF + 1e-9
-    for batch in batches:
-        take, region, home = [], [], []
-        pivots: dict[int, list[np.ndarray]] = {}
-        sets, first = shingle_sets(batch.column("text").fill_null(""))
-        for i, region_of in enumerate(batch.column("region").to_pylist()):
-            if region_of not in pivots:
-                held, at = shingle_sets(pa.array(batch.column("pivots")[i].as_py(), pa.string()))
-                pivots[region_of] = [held[at[k] : at[k + 1]] for k in range(len(at) - 1)]
-            own = sets[first[i] : first[i + 1]]
-            common = np.array([len(np.intersect1d(own, p, assume_unique=True)) for p in pivots[region_of]] or [0])
-            sizes = np.array([len(p) for p in pivots[region_of]] or [1])
-            far = 1 - common / np.maximum(sizes + len(own) - common, 1)
-            near = int(far.argmin())
-            for k in np.flatnonzero(far <= far[near] + reach).tolist():
-                take.append(i)
-                region.append(k)
-                home.append(k == near)
-        at = pa.array(take, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("text").take(at), batch.column("region").take(at), pa.array(region, pa.int32()), pa.array(home, pa.bool_())], names=["doc_id", "text", "region", "part", "home"])
+    texts = members["text"].combine_chunks().fill_null("")
+    held, at = shingle_sets(pa.array(chosen["pivots"][0].as_py() if chosen.num_rows else [], pa.string()))
+    sets, first = shingle_sets(texts)
+    take, part, home = [], [], []
+    sizes = np.diff(at)
+    for i in range(len(texts)):
+        own = sets[first[i] : first[i + 1]]
+        common = np.array([len(np.intersect1d(own, held[at[k] : at[k + 1]], assume_unique=True)) for k in range(len(sizes))] or [0])
+        far = 1 - common / np.maximum((sizes if len(sizes) else 0) + len(own) - common, 1)
+        near = int(far.argmin())
+        for k in np.flatnonzero(far <= far[near] + reach).tolist():
+            take.append(i)
+            part.append(k)
+            home.append(k == near)
+    rows = members.take(pa.array(take, pa.int64()))
+    return pa.table({"doc_id": rows["doc_id"], "text": rows["text"], "region": rows["region"], "part": pa.array(part, pa.int32()), "home": pa.array(home, pa.bool_())})
 
 
 def _exact_links(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -250,22 +255,25 @@ def _exact_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     copies = found.where(F.col("kind") == SAME).select(F.col("u").alias("node")).distinct()
     nodes = coarse.select(F.col("u").alias("node"), F.col("v").alias("region")).unionByName(coarse.select(F.col("v").alias("node"), F.col("v").alias("region")).distinct())
     nodes = nodes.join(copies.hint("merge"), "node", "left_anti")
-    several = nodes.groupBy("region").agg(F.count("*").alias("n")).where("n > 1")
-    nodes = nodes.join(several.hint("merge"), "region", "left_semi")
-    key = F.coalesce(F.col("doc_id"), F.lit(NULL_ID))
-    held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = checkpointed(held.join(nodes.hint("merge"), key == F.col("node")).select("doc_id", "text", "region"))
-    weight = held.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
-    large = checkpointed(weight.select("region", F.least(F.lit(MOST_PIVOTS), F.ceil(F.greatest(F.col("n") / REGION_DOCS, F.col("bytes") / REGION_BYTES))).cast("int").alias("pivots_wanted"), "n").where("pivots_wanted > 1"))
-    whole = held.join(large.hint("merge"), "region", "left_anti").withColumns({"part": F.lit(0), "home": F.lit(True)})
-    if not large.isEmpty():
-        inside = held.join(large.hint("merge"), "region")
-        chosen = (inside.where(F.pmod(F.xxhash64("doc_id"), F.col("n")) < F.col("pivots_wanted"))
-                  .groupBy("region").agg(F.slice(F.array_sort(F.collect_set("text")), 1, 2 * MOST_PIVOTS).alias("pivots")))
-        placed = held.join(large.select("region").hint("merge"), "region", "left_semi").join(chosen.hint("merge"), "region", "left")
-        parted = placed.withColumn("pivots", F.coalesce("pivots", F.array().cast("array<string>"))).mapInArrow(_to_pivots, "doc_id long, text string, region long, part int, home boolean")
-        whole = whole.unionByName(parted.select(*whole.columns))
-    return whole.groupBy("region", "part").applyInArrow(_join_region, "u long, v long")
+    sizes = found.where(F.col("kind") == META).groupBy(F.col("u").alias("node")).agg(F.sum("v").alias("size"))
+    parts = F.least(F.lit(MOST_PIVOTS), F.ceil(F.greatest(F.col("n") / REGION_DOCS, F.col("shingles") / REGION_SHINGLES))).cast("int")
+    several = nodes.join(sizes.hint("merge"), "node").groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1").select("region", parts.alias("parts"), "n")
+    nodes = checkpointed(nodes.join(several.hint("merge"), "region"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    held = read.join(nodes.hint("merge"), F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("node")).select("doc_id", "text", "region", "parts", "n")
+    columns = ["doc_id", "text", "region", "part", "home"]
+    if nodes.where("parts > 1").isEmpty():
+        return held.withColumns({"part": F.lit(0), "home": F.lit(True)}).select(columns).groupBy("region", "part").applyInArrow(_join_region, "u long, v long")
+    held = checkpointed(held)
+    whole = held.where("parts = 1").withColumns({"part": F.lit(0), "home": F.lit(True)}).select(columns)
+    hash_ = F.xxhash64("doc_id")
+    inside = held.where("parts > 1")
+    pivots = (inside.where(F.pmod(hash_, F.col("n")) < F.col("parts")).groupBy("region", "parts").agg(F.slice(F.array_sort(F.collect_set("text")), 1, 2 * MOST_PIVOTS).alias("pivots"))
+              .select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("share"), "pivots"))
+    # Members are dealt out over as many shares as there are pivots, so no task holds a whole region.
+    shares = inside.select("doc_id", "text", "region", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int").alias("share"))
+    parted = shares.groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_to_pivots, "doc_id long, text string, region long, part int, home boolean")
+    return whole.unionByName(parted).groupBy("region", "part").applyInArrow(_join_region, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
