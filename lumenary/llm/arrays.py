@@ -58,6 +58,17 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
         yield flush()
 
 
+def pieces(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """Runs of rows of a batch with about `size` bytes in a string column, so that what is worked out beside them stays small."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = min(batch.num_rows, int(np.searchsorted(ends, before + size, side="left")) + 1)
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def to_blob(columns: dict[str, pa.Array | np.ndarray]) -> bytes:
     """Columns of equal length as one compressed Arrow stream."""
     batch = pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], names=list(columns))

@@ -20,17 +20,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import from_parts, ragged, starts_of, string_parts
+from .arrays import from_parts, pieces, ragged, starts_of, string_parts
 from .runtime import table
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
+PIECE_BYTES = 4 << 20
 _LINE = "doc_id long, row_hash long, place int, line_key binary"
 
 
 def _lines(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(doc_id, row_hash, place, 128-bit hash of the key) of each line whose key is long enough."""
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, PIECE_BYTES)):
             split = pc.split_pattern(batch.column("text").fill_null(""), "\n")
             keys = pc.ascii_lower(pc.ascii_trim_whitespace(split.flatten()))
             first = split.offsets.to_numpy().astype(np.int64)
@@ -46,7 +47,7 @@ def _lines(least: int):
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts without the lines at `dropped`."""
-    for batch in batches:
+    for batch in (piece for whole in batches for piece in pieces(whole, PIECE_BYTES)):
         split = pc.split_pattern(batch.column("text").fill_null(""), "\n")
         data, offsets = string_parts(split.flatten())
         first = split.offsets.to_numpy().astype(np.int64)

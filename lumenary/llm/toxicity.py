@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_CODES, U64, alnum_words, blocks, fold, mix, powers, string_parts
+from .arrays import BYTE_CODES, U64, alnum_words, blocks, fold, mix, pieces, powers, string_parts
 from .runtime import NULL_ID, checkpointed, table
 
 FIT_ROWS, LEXICON = 20_000, 4096
@@ -134,9 +134,9 @@ def _key_counts(only_toxic: bool, known: np.ndarray | None):
         for batch in batches:
             if only_toxic:
                 batch = batch.filter(pc.equal(batch.column("toxic"), 1))
-            for row in range(0, batch.num_rows, 250):
-                texts = batch.column("text").slice(row, 250).fill_null("")
-                toxic = batch.column("toxic").slice(row, 250).to_numpy(zero_copy_only=False) == 1
+            for piece in pieces(batch, BATCH_BYTES // 2):
+                texts = piece.column("text").fill_null("")
+                toxic = piece.column("toxic").to_numpy(zero_copy_only=False) == 1
                 data, offsets = string_parts(texts)
                 start, end, first = alnum_words(data, offsets)
                 text = np.repeat(np.arange(len(texts)), np.diff(first))
@@ -211,7 +211,7 @@ def _lambda(score: float, chance: float, other: float) -> float:
 
 def _segments(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, BATCH_BYTES)):
             rows = scan_batch(model, batch.column("text").fill_null(""))
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array([n for n, _ in rows], pa.int64()), pa.array([[s[2] for s in found] for _, found in rows], pa.list_(pa.float64()))], names=["toxic", "n", "scores"])
     return run
@@ -267,7 +267,7 @@ def _score(model: Model):
 
 def _clean(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole, BATCH_BYTES)):
             rows = scan_batch(model, batch.column("text").fill_null(""))
             yield batch.filter(pa.array([model.probability(model.evidence(n, found)) < threshold for n, found in rows], pa.bool_()))
     return run
