@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ("browse", "curation", "claims", "graph", "retrieval", "identity", "telemetry")
+MODULES = ("browse", "curation", "claims", "graph", "retrieval", "identity", "telemetry", "sources")
 
 
 def _load() -> None:
