@@ -88,7 +88,7 @@ def vector_search(items: DataFrame, queries: DataFrame, k: int = 20, block: int
     return top_k(scored, "qid", [F.desc("similarity"), F.col("vec_id")], k)
 
 
-def lsh_search(items: DataFrame, queries: DataFrame, k: int = 20, bits: int = 8, tables: int = 12) -> DataFrame:
+def lsh_search(items: DataFrame, queries: DataFrame, k: int = 20, bits: int = 6, tables: int = 64) -> DataFrame:
     """Approximate vector search: sign hashes of random hyperplanes are joined, candidates re-ranked by exact cosine."""
     def signed(df: DataFrame, key: str) -> DataFrame:
         plane = lambda t, b: F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (F.pmod(F.hash(i, F.lit(t * 64 + b)), F.lit(2001)) - 1000)), F.lit(0.0), lambda s, x: s + x) >= 0
