@@ -188,7 +188,7 @@ def audit_priority(df: DataFrame, boost: DataFrame | None = None, half_life: flo
     stale = F.when(F.col("days_since_audit").isNull(), 1.0).otherwise(1.0 - F.pow(F.lit(0.5), F.col("days_since_audit") / half_life))
     unsure = F.exp(-F.pow((F.coalesce("relevance_llm", F.lit(50)) - 50) / 20.0, F.lit(2.0)) / 2)
     total = w["priority"] * F.coalesce("priority", F.lit(50.0)) / 100 + w["citations"] * cites + w["thin"] * thin + w["stale"] * stale + w["uncertain"] * unsure + w["untagged"] * F.when(F.col("tagged"), 0.0).otherwise(1.0)
-    df = df.join(F.broadcast(boost), "branch", "left").withColumn("boost", F.coalesce("boost", F.lit(1.0))) if boost is not None else df.withColumn("boost", F.lit(1.0))
+    df = df.join(boost, "branch", "left").withColumn("boost", F.coalesce("boost", F.lit(1.0))) if boost is not None else df.withColumn("boost", F.lit(1.0))
     return df.withColumn("audit_priority", F.round(100 * F.col("boost") * total, 2))
 
 

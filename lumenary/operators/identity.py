@@ -243,7 +243,7 @@ def infer_affiliation(df: DataFrame, col: str) -> DataFrame:
 
 def org_directory(orgs: DataFrame, aliases: DataFrame, sector: str | None = None, region: str | None = None, limit: int = 20) -> DataFrame:
     """Organizations by type and region, countries through their alias table; 20 rows at most."""
-    out = orgs.join(F.broadcast(aliases), "country", "left")
+    out = orgs.join(aliases, "country", "left")
     if sector:
         out = out.where(F.col("org_type") == sector)
     if region:
@@ -274,7 +274,7 @@ def journal_access(papers: DataFrame, publishers: DataFrame) -> DataFrame:
     """The most frequent DOI prefix of each journal and what is known about its publisher."""
     prefixes = papers.withColumn("prefix", F.nullif(F.split_part(F.coalesce("doi", F.lit("")), F.lit("/"), F.lit(1)), F.lit(""))).groupBy("journal", "prefix").agg(F.count("*").alias("n"))
     modal = prefixes.groupBy("journal").agg(F.min_by("prefix", F.when(F.col("prefix").isNotNull(), F.struct(-F.col("n"), F.col("prefix")))).alias("prefix"), F.sum("n").alias("n"))
-    out = modal.join(F.broadcast(publishers), "prefix", "left")
+    out = modal.join(publishers, "prefix", "left")
     access = F.when(F.col("prefix").isNull(), "none").otherwise(F.coalesce("access", F.lit("unknown")))
     return out.select("journal", "prefix", "n", F.coalesce("publisher", F.lit("unknown")).alias("publisher"), access.alias("access"))
 

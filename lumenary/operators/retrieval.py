@@ -75,17 +75,25 @@ def admit_vectors(df: DataFrame, dim: int) -> DataFrame:
     return df.join(per_id, "vec_id").withColumn("reason", reason)
 
 
-def vector_search(items: DataFrame, queries: DataFrame, k: int = 20, block: int = 0) -> DataFrame:
-    """Exact cosine similarity of a bounded, stated set of queries against all items, the k best of each; ties by item.
+def vector_search(items: DataFrame, queries: DataFrame, k: int = 20, block: int = 10_000) -> DataFrame:
+    """Exact cosine similarity of a stated set of queries against all items, the k best of each; ties by item.
 
-    Queries are broadcast; k best per task come first, so the shuffle carries tasks * queries * k rows at most.
+    Queries are broadcast in blocks of about `block`, a checked bound; every block meets all items. The k best per task come
+    before the shuffle.
     """
     k = min(20, max(1, k))
     unit = lambda df: df.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
+    blocks = max(1, -(-queries.count() // block))
     q = unit(queries.select(F.col("vec_id").alias("qid"), "embedding")).select("qid", F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
-    near = unit(items.select("vec_id", "embedding")).join(F.broadcast(q), F.size("embedding") == F.size("q"))
-    scored = near.select("qid", "vec_id", F.round(dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm")), 6).alias("similarity"))
-    return top_k(scored, "qid", [F.desc("similarity"), F.col("vec_id")], k)
+    known = unit(items.select("vec_id", "embedding"))
+    out = None
+    for b in range(blocks):
+        part = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else q
+        near = known.join(F.broadcast(part), F.size("embedding") == F.size("q"))
+        scored = near.select("qid", "vec_id", F.round(dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm")), 6).alias("similarity"))
+        best = top_k(scored, "qid", [F.desc("similarity"), F.col("vec_id")], k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def lsh_search(items: DataFrame, queries: DataFrame, k: int = 20, bits: int = 6, tables: int = 64) -> DataFrame:

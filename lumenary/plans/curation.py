@@ -63,39 +63,45 @@ def f4(papers, terms):
     return C.classify_topics(papers, terms)
 
 
-FACETS = {"venue": F.array("journal"), "lang": F.array("search_query", "journal"), "author": F.split("authors", ";")}
+def facets():
+    return {"venue": F.array("journal"), "lang": F.array("search_query", "journal"), "author": F.split("authors", ";")}
+
+
 _V = """v AS (SELECT id, 'venue' AS category, trim(journal) AS name FROM papers UNION ALL SELECT id, 'lang', trim(search_query) FROM papers UNION ALL SELECT id, 'lang', trim(journal) FROM papers
  UNION ALL SELECT id, 'author', trim(unnest(string_split(authors, ';'))) FROM papers), s AS (SELECT *, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM v WHERE name <> '')"""
 
 
 @query("f5_tag_vocabulary", "papers", f", {_V} SELECT category, slug, min(name) AS name FROM s WHERE slug <> '' GROUP BY 1, 2")
 def f5(papers):
-    return C.promote_tags(papers, FACETS)[0]
+    return C.promote_tags(papers, facets())[0]
 
 
 @query("f5_paper_tags", "papers", f", {_V} SELECT DISTINCT id, category, slug FROM s WHERE slug <> ''")
 def f5b(papers):
-    return C.promote_tags(papers, FACETS)[1]
+    return C.promote_tags(papers, facets())[1]
 
 
 @query("f6_tag_stats", "papers", f", {_V}, j AS (SELECT DISTINCT id, category, slug FROM s WHERE slug <> '') SELECT category, count(DISTINCT slug) AS tags, count(*) AS links, count(DISTINCT id) AS papers FROM j GROUP BY 1")
 def f6(papers):
-    return C.tag_stats(C.promote_tags(papers, FACETS)[1])
+    return C.tag_stats(C.promote_tags(papers, facets())[1])
+
+
+def values():
+    return F.array(F.concat(F.lit("Nation "), (F.col("id") % 40).cast("string")), F.concat(F.lit("NATION_"), (F.col("id") % 7).cast("string")), F.col("journal"))
 
 
-VALUES = F.array(F.concat(F.lit("Nation "), (F.col("id") % 40).cast("string")), F.concat(F.lit("NATION_"), (F.col("id") % 7).cast("string")), F.col("journal"))
 _B = """b AS (SELECT * FROM papers WHERE id NOT IN (SELECT source_id FROM paper_topics)), s AS (SELECT DISTINCT id, unnest([concat('Nation ', id % 40), concat('NATION_', id % 7), journal]) AS value FROM b),
 n AS (SELECT id, trim(regexp_replace(lower(value), '[^a-z0-9]+', ' ', 'g')) AS key FROM s), k AS (SELECT trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')) AS key, min(id) AS topic_id FROM topics GROUP BY 1)"""
 
 
 @query("f7_backfill_links", "papers topics paper_topics", f", {_B} SELECT DISTINCT id AS source_id, topic_id FROM n JOIN k USING (key)")
 def f7(papers, topics, junction):
-    return C.backfill_topics(papers, topics, junction, VALUES)[0]
+    return C.backfill_topics(papers, topics, junction, values())[0]
 
 
 @query("f7_backfill_unmatched", "papers topics paper_topics", f", {_B} SELECT key, count(*) AS n FROM n WHERE key NOT IN (SELECT key FROM k) GROUP BY 1 ORDER BY n DESC, key LIMIT 12")
 def f7b(papers, topics, junction):
-    return C.backfill_topics(papers, topics, junction, VALUES)[1].orderBy(F.desc("n"), "key").limit(12)
+    return C.backfill_topics(papers, topics, junction, values())[1].orderBy(F.desc("n"), "key").limit(12)
 
 
 @query("f8_sync_taxonomy", "topics supplier", """

@@ -40,8 +40,8 @@ def d2(documents, names):
 
 @query("d3_mine_mentions_simple", "documents mined_names", f", {_MINE} SELECT DISTINCT id, name FROM hits WHERE NOT (id % 5 = 0 AND length(name) % 2 = 0)")
 def d3(documents, names):
-    curated = names.where("length(name) % 2 = 0").crossJoin(documents.where("doc_id % 5 = 0").select(F.col("doc_id").alias("id")))
-    return G.mine_mentions_simple(mine_docs(documents), names, curated.select("id", "name"))
+    curated = G.mention_candidates(mine_docs(documents), names).where("id % 5 = 0 AND length(name) % 2 = 0")
+    return G.mine_mentions_simple(mine_docs(documents), names, curated)
 
 
 @query("d4_bridge_edges", "paper_molecules lineitem", """, cur AS (SELECT * FROM paper_molecules WHERE source_id % 4 = 0), mined AS (SELECT DISTINCT l_orderkey AS source_id, l_partkey AS molecule_id FROM lineitem WHERE l_quantity > 20)
@@ -61,13 +61,16 @@ def d6(compounds, library):
     return G.match_reference(compounds, library)
 
 
-FACETS = {"venue": F.array("journal"), "lang": F.array("search_query"), "author": F.split("authors", ";"), "year": F.array(F.col("year").cast("string"))}
+def facets():
+    return {"venue": F.array("journal"), "lang": F.array("search_query"), "author": F.split("authors", ";"), "year": F.array(F.col("year").cast("string"))}
+
+
 
 
 @query("d7_facet_index", "papers", """, v AS (SELECT id, 'venue' AS facet, journal AS value FROM papers UNION SELECT id, 'lang', search_query FROM papers UNION SELECT id, 'author', trim(unnest(string_split(authors, ';'))) FROM papers UNION SELECT id, 'year', CAST(year AS VARCHAR) FROM papers)
 SELECT facet, value, count(*) AS n, min(id) AS first_id FROM v WHERE lower(trim(value)) NOT IN ('', 'unknown', 'n/a', 'none', 'null', '-') GROUP BY 1, 2 HAVING count(*) >= 2""")
 def d7(papers):
-    return G.facet_index(papers, FACETS).drop("ids_digest")
+    return G.facet_index(papers, facets()).drop("ids_digest")
 
 
 _MN = """mn AS (SELECT m.id, substr(name, 1, 80) AS label, coalesce(p.n, 0) AS papers, coalesce(o.n, 0) AS n_odours, coalesce(o.odours, '') AS odours FROM molecules m LEFT JOIN (SELECT molecule_id, count(*) AS n FROM paper_molecules GROUP BY 1) p ON p.molecule_id = m.id
