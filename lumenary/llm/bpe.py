@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import BLOCK_BIT, binary_batch, blocks, from_blob, from_parts, hash_spans, numbers, ragged, starts_of, string_parts, to_blob
-from .runtime import NULL_ID, partitions, table
+from .runtime import NULL_ID, partitions, small_batches, table
 
 BLOCK_BYTES = 12 << 20
 EMIT = "k long, block long, blob binary"
@@ -161,7 +161,7 @@ def _rows(path: str, own: pa.Table, answers: pa.Table, digests: bool) -> list[tu
 def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
     """doc_id, ids and decoded bytes of each row; with `digests` their count and SHA-256 instead, which spares the way back."""
     n = partitions(docs.sparkSession)
-    sent = docs.select("doc_id", "text").mapInArrow(_split(n, pattern), EMIT).repartition("k")
+    sent = small_batches(docs).select("doc_id", "text").mapInArrow(_split(n, pattern), EMIT).repartition("k")
     answers = sent.groupBy("k").applyInArrow(_encode(path, pattern), "k long, part long, blob binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else ENCODED
     return sent.groupBy("k").cogroup(answers.groupBy("k")).applyInArrow(_assemble(path, digests), schema)

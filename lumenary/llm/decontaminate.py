@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import alnum_words, blocks, fold, hash_spans, ragged, starts_of, string_parts
-from .runtime import NULL_ID, table
+from .runtime import NULL_ID, small_batches, table
 
 WINDOW, BLOCK = 13, 2
 #: Benchmark text that one pass over the documents searches for, about; a longer item is one part.
@@ -187,7 +187,7 @@ def benchmark_parts(benchmark: DataFrame, part_bytes: int = PART_BYTES) -> Itera
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """doc_id, row_hash, n_words, n_hit, n_items, items_sha256 and contaminated, one row per row of `docs`."""
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row_hash"))
+    read = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row_hash"))
     parts = list(benchmark_parts(benchmark, part_bytes))
     counted = "doc_id long, row_hash long, n_words long, n_hit long, n_items long, items_sha256 string"
     if len(parts) == 1:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .arrays import U64, binary_batch, blocks, fold, from_blob, hash_spans, hash_windows, mix, numbers, sliding, space_words, starts_of, string_parts, to_blob
 from .components import components
-from .runtime import NULL_ID, checkpointed, partitions, table
+from .runtime import NULL_ID, checkpointed, partitions, small_batches, table
 
 SHINGLE = 3
 #: Similarity as a fraction, so that comparisons stay exact.
@@ -279,7 +279,7 @@ def _exact_links(docs: DataFrame, found: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach), one row per row of `docs`."""
     n = partitions(docs.sparkSession)
-    sent = docs.select("doc_id", "text").mapInArrow(_send_cells(n), "k long, block long, blob binary")
+    sent = small_batches(docs).select("doc_id", "text").mapInArrow(_send_cells(n), "k long, block long, blob binary")
     found = checkpointed(sent.groupBy("k").applyInArrow(_meet, "kind int, u long, v long"))
     links = found.where(F.col("kind") == SAME).select("u", "v").unionByName(_exact_links(docs, found))
     label = components(links).select("u", F.col("v").alias("component_id"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import from_parts, pieces, ragged, starts_of, string_parts
-from .runtime import table
+from .runtime import small_batches, table
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 PIECE_BYTES = 4 << 20
@@ -80,7 +80,7 @@ def common_lines(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
     """The columns of `docs` (doc_id, text and others) with common lines taken out of `text`, n_lines and n_dropped."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("others") if others else F.lit(None).cast("int").alias("others"),
+    kept = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("others") if others else F.lit(None).cast("int").alias("others"),
                        F.xxhash64("text").alias("row_hash"))
     lines = kept.select("doc_id", "row_hash", "text").mapInArrow(_lines(least_chars), _LINE)
     common = common_lines(lines, least_docs)

@@ -35,6 +35,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """`df`, after Spark's default of 10,000 rows an Arrow batch is lowered: texts of several kilobytes fill memory on both sides."""
+    if df.sparkSession.conf.get(_BATCH) == "10000":
+        df.sparkSession.conf.set(_BATCH, str(rows))
+    return df
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only: `lower` is right for pure ASCII, anything else goes character by character."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

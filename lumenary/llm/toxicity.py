@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import BYTE_CODES, U64, alnum_words, blocks, fold, mix, pieces, powers, string_parts
-from .runtime import NULL_ID, checkpointed, table
+from .runtime import NULL_ID, checkpointed, small_batches, table
 
 FIT_ROWS, LEXICON = 20_000, 4096
 #: Lengths in characters of the beginnings of words that count as keys, and the longest key in bytes.
@@ -179,7 +179,7 @@ def log_odds(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    train = checkpointed(training_rows(docs, labels, rows))
+    train = checkpointed(training_rows(small_batches(docs), labels, rows))
     size = {r["toxic"] == 1: r["count"] for r in train.groupBy((F.col("toxic") == 1).alias("toxic")).count().collect()}
     n_toxic, n_clean = size.get(True, 0), size.get(False, 0)
     least = max(LEAST_DOCS, math.ceil(LEAST_SHARE * n_toxic))
