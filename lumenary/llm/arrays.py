@@ -7,6 +7,7 @@ what they send: a key that a third of all rows hold leaves each block once.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,12 @@ import xxhash
 
 from .runtime import NULL_ID
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018  glibc only
+except (OSError, AttributeError):
+    _libc = None
+
 #: Keys of blocks have this bit, those of buckets are small.
 BLOCK_BIT = 1 << 62
 
@@ -54,8 +61,18 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
             if weight >= size:
                 yield flush()
                 held_ids, held_texts, weight = [], [], 0
+        del batch, texts, ids
     if held_ids:
         yield flush()
+    held_ids, held_texts = [], []
+    release()
+
+
+def release() -> None:
+    """Hand freed memory back to the system: Python workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
 
 
 def pieces(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -67,6 +84,7 @@ def pieces(batch: pa.RecordBatch, size: int, column: str = "text") -> Iterator[p
         stop = min(batch.num_rows, int(np.searchsorted(ends, before + size, side="left")) + 1)
         yield batch.slice(start, stop - start)
         start = stop
+    release()
 
 
 def to_blob(columns: dict[str, pa.Array | np.ndarray]) -> bytes:

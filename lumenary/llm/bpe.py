@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import BLOCK_BIT, binary_batch, blocks, from_blob, from_parts, hash_spans, numbers, ragged, starts_of, string_parts, to_blob
+from .arrays import BLOCK_BIT, binary_batch, blocks, from_blob, from_parts, hash_spans, numbers, ragged, release, starts_of, string_parts, to_blob
 from .runtime import NULL_ID, partitions, small_batches, table
 
 BLOCK_BYTES = 12 << 20
@@ -97,6 +97,7 @@ def _split(n_buckets: int, pattern: str):
                 if len(words):
                     first, lengths = offsets[words], offsets[words + 1] - offsets[words]
                     rows.append((b, key, to_blob({"words": from_parts(data[ragged(first, lengths)], starts_of(lengths))})))
+            del texts, per_text, flat, place, order, data, offsets
             yield binary_batch(rows)
     return run
 
@@ -120,6 +121,8 @@ def _encode(path: str, pattern: str):
             flat = np.fromiter((t for ids in found for t in ids), np.int32, int(lengths.sum()))
             out.append((block, bucket, to_blob({"n": lengths.astype(np.int32)})))
             out.append((block, bucket + BLOCK_BIT, to_blob({"t": flat})))
+        del known, found
+        release()
         return pa.Table.from_batches([binary_batch(out, ("k", "part", "blob"))])
     return run
 
@@ -128,8 +131,14 @@ def _assemble(path: str, digests: bool):
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
         rows = _rows(path, own, answers, digests) if own.num_rows and own["k"][0].as_py() >= BLOCK_BIT else []
         names, types = (("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"), (pa.int64(), pa.int64(), pa.string(), pa.string())) if digests else (("doc_id", "ids", "decoded"), (pa.int64(), pa.list_(pa.int32()), pa.binary()))
-        cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=list(names))
+        schema = pa.schema(list(zip(names, types, strict=True)))
+        out = []
+        for at in range(0, len(rows), 500):  # small batches on their way to the JVM
+            cols = zip(*rows[at : at + 500], strict=True)
+            out.append(pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], schema=schema))
+            rows[at : at + 500] = [None] * len(rows[at : at + 500])
+        release()
+        return pa.Table.from_batches(out, schema=schema)
     return run
 
 
