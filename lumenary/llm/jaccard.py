@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import U64, binary_batch, blocks, fold, from_blob, hash_spans, hash_windows, mix, numbers, sliding, space_words, starts_of, string_parts, to_blob
+from .arrays import U64, binary_batch, blocks, fold, from_blob, hash_spans, hash_windows, mix, numbers, pieces, release, space_words, starts_of, string_parts, to_blob
 from .components import components
 from .runtime import NULL_ID, checkpointed, partitions, small_batches, table
 
 SHINGLE = 3
 #: Similarity as a fraction, so that comparisons stay exact.
 PER, OF = 90, 100
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
 #: Least size for which sets other than equal ones can be linked, and the growth of size windows.
 LEAST, GROWTH = 9, 1.5
 #: Documents and shingles that one region may hold before pivots divide it, and pivots a region may have.
@@ -43,7 +43,13 @@ META, SAME, NEAR = 0, 1, 2
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts, one text after the other, and where each begins."""
+    """Sorted distinct shingle hashes of all texts, one text after the other, and where each begins; a few megabytes at a time."""
+    parts = [_sets_of(piece.column("text"), k) for piece in pieces(pa.record_batch([texts], names=["text"]), SLICE_BYTES)]
+    sets = np.concatenate([p[0] for p in parts] or [np.zeros(0, np.uint64)])
+    return sets, starts_of(np.concatenate([np.diff(p[1]) for p in parts] or [np.zeros(0, np.int64)]))
+
+
+def _sets_of(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     data, offsets = string_parts(texts)
     data = fold(data)
     start, end, first = space_words(data, offsets)
@@ -165,15 +171,20 @@ def _meet(rows: pa.Table) -> pa.Table:
             docs = np.concatenate([numbers(p, "doc") for p in parts])
             found.append(_links(kind, docs, _stars(np.concatenate([numbers(p, "h") for p in parts]), docs)[0]))
     every = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+    del asked
+    release()
     return pa.table({"kind": pa.array(every[:, 0].astype(np.int32)), "u": pa.array(every[:, 1]), "v": pa.array(every[:, 2])})
 
 
 def _overlap(sets: np.ndarray, first: np.ndarray):
     """A function from a document to the sizes of its intersections with all, through an inverted list of the region."""
-    ids = np.unique(sets, return_inverse=True)[1]
-    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    by = np.argsort(ids, kind="stable")
-    holder, border = row[by], starts_of(np.bincount(ids) if len(ids) else np.zeros(0, np.int64))
+    by = np.argsort(sets).astype(np.int32)
+    new = np.concatenate([[True], sets[by][1:] != sets[by][:-1]]) if len(sets) else np.zeros(0, bool)
+    ids = np.empty(len(sets), np.int32)
+    ids[by] = np.cumsum(new, dtype=np.int32) - 1
+    holder = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))[by]
+    border = np.append(np.flatnonzero(new), len(sets))
+    del by, new
 
     def of(i: int) -> np.ndarray:
         own = ids[first[i] : first[i + 1]]
@@ -225,6 +236,9 @@ def _join_region(rows: pa.Table) -> pa.Table:
     texts = rows["text"].combine_chunks().fill_null("").take(pa.array(order))
     sets, first = shingle_sets(texts)
     found = region_links(ids[order], sets, first, rows["home"].combine_chunks().to_numpy(zero_copy_only=False)[order])
+    del sets, texts
+    if len(ids) > 200:
+        release()
     return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
 
 
