@@ -3,13 +3,15 @@
 The Jaccard distance is a metric, so distances to common pivots bound distances between documents. Two layers use that.
 
 1. Coarse cells. Sizes bound distance, so sets are cut into size windows, and those near the upper border of a window are
-   also entered in the next. Within a window two linked sets differ in at most D shingles; shingles hash into more than D
-   classes, so two linked sets agree wholly in some class. Sets that agree in a class meet at the smallest document of that
-   cell; the links of these stars bound regions outside of which no link exists. Equal sets are merged first.
+   also entered in the next. Within a window a set differs from any it is linked with in at most D shingles; shingles hash
+   into more than D classes, so two linked sets agree wholly in some class. A set enters the fullest classes it has, just
+   more than its D. Sets that agree in a class meet at the smallest document of that cell; the links of these stars bound
+   regions outside of which no link exists. Equal sets are merged first.
 2. Regions. Large regions choose pivots among their documents; each document belongs to the Voronoi region of its nearest
    pivot and is a guest wherever its distance is within 2 * 0.1 of that, which is where the triangle inequality lets
-   partners be. Inside a region documents become pivots one after the other; those already connected, or beyond the
-   triangle window of every earlier pivot, are not compared. Comparisons are exact set intersections.
+   partners be. Parts that are still too large are divided again. What pivots cannot divide is cut into blocks, and every
+   two blocks meet in a task of their own. Inside a region documents become pivots one after the other; those already
+   connected, or beyond the triangle window of every earlier pivot, are not compared. Comparisons are exact set intersections.
 
 A block of rows sends a cell or an equal set once however often it holds it, so thousands of copies are one row per block.
 
@@ -21,6 +23,7 @@ before all others and stays null; an empty table gives an empty result; other co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +92,8 @@ def cells(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         differ = (OF - PER) * 2 * high // (OF + PER)
         classes = differ + 1 + max(1, differ // 10)
         count = size[own]
+        # The most shingles in which each of these sets can differ from a linked one, which no larger set of the window exceeds.
+        most = (OF - PER) * (count + np.minimum(high, OF * count // PER)) // (OF + PER)
         at = np.repeat(first[own] - starts_of(count)[:-1], count) + np.arange(int(count.sum()))
         row = np.repeat(np.arange(len(own)), count)
         # Classes follow the order of the hashes, so each is one run.
@@ -97,13 +102,17 @@ def cells(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         total = np.add.reduceat(mix(sets[at] ^ U64(0xA0761D6478BD642F)), edge)
         held = np.diff(np.concatenate([edge, [len(at)]]))
         cell = mix(total + mix(kind[edge].astype(np.uint64) + U64(level << 40)))
-        # Classes of a shingle or two say little. A set with more than `differ` fuller ones is sure to share one of these;
-        # any other set enters all its classes, and one cell for all its empty ones.
-        strong = held > (1 if high < 60 else 2)
-        sure = np.bincount(row[edge][strong], minlength=len(own)) > differ
-        pick = strong | ~sure[row[edge]]
-        rows += [own[row[edge][pick]], own[~sure]]
-        hashes += [cell[pick], np.full(int((~sure).sum()), mix(np.array([level + 1], np.uint64))[0])]
+        # Classes of a shingle or two say little. More than `most` of a set's classes hold at least `least` shingles, and it
+        # enters all that do. Of two linked sets, the one with the smaller `least` enters whatever the other is sure to share.
+        # Only a set without so many classes that hold anything can agree with others in nothing but empty ones.
+        filled = row[edge]
+        begin = starts_of(np.bincount(filled, minlength=len(own)))
+        fullest = held[np.lexsort((-held, filled))]
+        bare = np.diff(begin) <= most
+        least = np.where(bare, 0, fullest[np.minimum(begin[:-1] + most, len(fullest) - 1)])
+        pick = held >= least[filled]
+        rows += [own[filled[pick]], own[bare]]
+        hashes += [cell[pick], np.full(int(bare.sum()), mix(np.array([level + 1], np.uint64))[0])]
     return (np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
@@ -243,13 +252,14 @@ def _join_region(rows: pa.Table) -> pa.Table:
 
 
 def _to_pivots(members: pa.Table, chosen: pa.Table) -> pa.Table:
-    """Some documents of one region: each at home with its nearest pivot, and a guest wherever the distance is within twice the greatest one."""
+    """Some documents of one region: each in the part of its nearest pivot, at home there if it was in the region, and a guest wherever the distance is within twice the greatest one."""
     reach = 2 * (OF - PER) / OF + 1e-9
     texts = members["text"].combine_chunks().fill_null("")
     held, at = shingle_sets(pa.array(chosen["pivots"][0].as_py() if chosen.num_rows else [], pa.string()))
     sets, first = shingle_sets(texts)
     take, part, home = [], [], []
     sizes = np.diff(at)
+    was_home = members["home"].to_pylist()
     for i in range(len(texts)):
         own = sets[first[i] : first[i + 1]]
         common = np.array([len(np.intersect1d(own, held[at[k] : at[k + 1]], assume_unique=True)) for k in range(len(sizes))] or [0])
@@ -258,9 +268,62 @@ def _to_pivots(members: pa.Table, chosen: pa.Table) -> pa.Table:
         for k in np.flatnonzero(far <= far[near] + reach).tolist():
             take.append(i)
             part.append(k)
-            home.append(k == near)
+            home.append(k == near and was_home[i])
     rows = members.take(pa.array(take, pa.int64()))
-    return pa.table({"doc_id": rows["doc_id"], "text": rows["text"], "region": rows["region"], "part": pa.array(part, pa.int32()), "home": pa.array(home, pa.bool_())})
+    return pa.table({"doc_id": rows["doc_id"], "text": rows["text"], "size": rows["size"], "region": rows["region"], "part": pa.array(part, pa.int32()), "home": pa.array(home, pa.bool_())})
+
+
+_COLUMNS = ["doc_id", "text", "size", "region", "part", "home"]
+
+
+def _measured(rows: DataFrame) -> DataFrame:
+    """region, its rows `n`, and the parts that a region of so many rows and shingles is to be divided into."""
+    parts = F.least(F.lit(MOST_PIVOTS), F.ceil(F.greatest(F.col("n") / REGION_DOCS, F.col("shingles") / REGION_SHINGLES))).cast("int")
+    return rows.groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).select("region", "n", parts.alias("parts"), F.col("shingles"))
+
+
+def _divide(inside: DataFrame, level: int) -> DataFrame:
+    """Regions with parts, by pivots of their own."""
+    hash_ = F.xxhash64("doc_id", F.lit(level)) if level else F.xxhash64("doc_id")
+    pivots = (inside.where(F.col("home") & (F.pmod(hash_, F.col("n")) < F.col("parts"))).groupBy("region", "parts").agg(F.slice(F.array_sort(F.collect_set("text")), 1, 2 * MOST_PIVOTS).alias("pivots"))
+              .select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("share"), "pivots"))
+    # Members are dealt out over as many shares as there are pivots, so no task holds a whole region.
+    shares = inside.select("doc_id", "text", "size", "region", "home", F.pmod(F.xxhash64("doc_id", F.lit(-1 - level)), F.col("parts")).cast("int").alias("share"))
+    return shares.groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_to_pivots, "doc_id long, text string, size long, region long, part int, home boolean")
+
+
+def _pair_blocks(inside: DataFrame) -> DataFrame:
+    """Regions that pivots do not divide: blocks of half the bound, every two of them in one part."""
+    blocks_ = F.greatest(F.lit(2), F.ceil(2 * F.greatest(F.col("n") / REGION_DOCS, F.col("shingles") / REGION_SHINGLES))).cast("int")
+    dealt = inside.withColumn("blocks", blocks_).withColumn("own", F.pmod(F.xxhash64("doc_id", "text"), F.col("blocks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))))
+    part = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
+    return met.withColumn("part", part.cast("int")).select(_COLUMNS)
+
+
+def bounded_regions(held: DataFrame) -> DataFrame:
+    """Rows (doc_id, text, size, region, home) of regions, dealt into parts that a task can hold; linked rows meet where one is at home.
+
+    Regions within the bounds are one part. Others are divided by pivots, and so are parts of theirs, until all are within the
+    bounds. A division that sends members to more than two parts and more than half of all, or leaves a part over three
+    quarters of its region, is given up for pairs of blocks: each round takes a quarter off at least, so the rounds end.
+    """
+    done, level = [], 0
+    while True:
+        size = checkpointed(_measured(held))
+        large = size.where("parts > 1")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, held.withColumn("part", F.lit(0)).select(_COLUMNS)])
+        rows = checkpointed(held.join(size.hint("merge"), "region"))
+        done.append(rows.where("parts = 1").withColumn("part", F.lit(0)).select(_COLUMNS))
+        inside = rows.where("parts > 1")
+        parted = checkpointed(_divide(inside, level))
+        each = parted.groupBy("region", "part").agg(F.count("*").alias("k"))
+        judged = each.groupBy("region").agg(F.sum("k").alias("total"), F.max("k").alias("most")).join(large.hint("merge"), "region")
+        split = checkpointed(judged.select("region", (2 * F.col("total") <= F.col("n") * F.greatest(F.lit(4), F.col("parts"))) & (4 * F.col("most") <= 3 * F.col("n"))).toDF("region", "split"))
+        done.append(_pair_blocks(inside.join(split.where("NOT split").select("region").hint("merge"), "region", "left_semi")))
+        held = parted.join(split.where("split").select("region").hint("merge"), "region", "left_semi").select("doc_id", "text", "size", F.xxhash64("region", "part").alias("region"), "home")
+        level += 1
 
 
 def _exact_links(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -270,24 +333,16 @@ def _exact_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     nodes = coarse.select(F.col("u").alias("node"), F.col("v").alias("region")).unionByName(coarse.select(F.col("v").alias("node"), F.col("v").alias("region")).distinct())
     nodes = nodes.join(copies.hint("merge"), "node", "left_anti")
     sizes = found.where(F.col("kind") == META).groupBy(F.col("u").alias("node")).agg(F.sum("v").alias("size"))
-    parts = F.least(F.lit(MOST_PIVOTS), F.ceil(F.greatest(F.col("n") / REGION_DOCS, F.col("shingles") / REGION_SHINGLES))).cast("int")
-    several = nodes.join(sizes.hint("merge"), "node").groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1").select("region", parts.alias("parts"), "n")
+    nodes = checkpointed(nodes.join(sizes.hint("merge"), "node"))
+    several = _measured(nodes).where("n > 1")
     nodes = checkpointed(nodes.join(several.hint("merge"), "region"))
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = read.join(nodes.hint("merge"), F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("node")).select("doc_id", "text", "region", "parts", "n")
-    columns = ["doc_id", "text", "region", "part", "home"]
+    held = read.join(nodes.hint("merge"), F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("node")).select("doc_id", "text", "size", "region", F.lit(True).alias("home"))
     if nodes.where("parts > 1").isEmpty():
-        return held.withColumns({"part": F.lit(0), "home": F.lit(True)}).select(columns).groupBy("region", "part").applyInArrow(_join_region, "u long, v long")
-    held = checkpointed(held)
-    whole = held.where("parts = 1").withColumns({"part": F.lit(0), "home": F.lit(True)}).select(columns)
-    hash_ = F.xxhash64("doc_id")
-    inside = held.where("parts > 1")
-    pivots = (inside.where(F.pmod(hash_, F.col("n")) < F.col("parts")).groupBy("region", "parts").agg(F.slice(F.array_sort(F.collect_set("text")), 1, 2 * MOST_PIVOTS).alias("pivots"))
-              .select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("share"), "pivots"))
-    # Members are dealt out over as many shares as there are pivots, so no task holds a whole region.
-    shares = inside.select("doc_id", "text", "region", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int").alias("share"))
-    parted = shares.groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_to_pivots, "doc_id long, text string, region long, part int, home boolean")
-    return whole.unionByName(parted).groupBy("region", "part").applyInArrow(_join_region, "u long, v long")
+        dealt = held.withColumn("part", F.lit(0)).select(_COLUMNS)
+    else:
+        dealt = bounded_regions(checkpointed(held))
+    return dealt.groupBy("region", "part").applyInArrow(_join_region, "u long, v long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

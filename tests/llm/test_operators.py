@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from .frames import SCHEMA, frame, odd_rows, planted
+from .frames import SCHEMA, frame, odd_rows, planted, words
 
 SPACE = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -335,6 +335,76 @@ def test_op10_near_copies(spark):
     assert {r.doc_id for r in keep_one(df).collect()} == {r[2] for r in want}
 
 
+def random_sets(sizes, seed=9):
+    rng = random.Random(seed)
+    return [sorted(rng.randrange(2**64) for _ in range(n)) for n in sizes]
+
+
+def cells_of(sets):
+    import numpy as np
+    from lumenary.llm.jaccard import cells
+
+    row, cell = cells(np.array([x for s in sets for x in s], np.uint64), np.cumsum([0, *map(len, sets)]))
+    held = defaultdict(set)
+    for r, c in zip(row.tolist(), cell.tolist(), strict=True):
+        held[c].add(r)
+    return held
+
+
+def test_op10_unrelated_sets_share_no_cell():
+    from lumenary.llm.jaccard import windows_of
+
+    for low, high in windows_of(3000):
+        if low < 58:
+            continue
+        held = cells_of(random_sets([*[-(-9 * low // 10)] * 60, *[low] * 60, *[high] * 60]))
+        met = {r for rows in held.values() if len(rows) > 1 for r in rows}
+        assert len(met) <= 4, (low, len(met))
+
+
+def test_op10_linked_sets_share_a_cell():
+    rng = random.Random(10)
+    sets = random_sets([n for n in [*range(9, 60), *range(60, 900, 23)] for _ in range(20)])
+    for s in list(sets):
+        # As far apart as links go: one side without some, and both with some of their own.
+        gone = len(s) - -(-9 * len(s) // 10)
+        swap = max(k for k in range(len(s)) if 100 * (len(s) - k) >= 90 * (len(s) + k))
+        sets += [sorted(rng.sample(s, len(s) - gone)), sorted(rng.sample(s, len(s) - swap) + [rng.randrange(2**64) for _ in range(swap)])]
+    n = len(sets) // 3
+    shared = {(a, b) for rows in cells_of(sets).values() if len(rows) > 1 for a in rows if a < n for b in rows if b >= n}
+    for i in range(n):
+        for j in (n + 2 * i, n + 2 * i + 1):
+            assert sets[i] == sets[j] or (i, j) in shared, (len(sets[i]), len(sets[j]))
+
+
+@pytest.mark.parametrize("kind", ["unrelated", "copies", "families"])
+def test_op10_regions_are_divided_until_they_fit(spark, kind, monkeypatch):
+    from lumenary.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "REGION_DOCS", 40)
+    rng = random.Random(11)
+    base = [words(rng, 200, 5000) for _ in range({"unrelated": 300, "copies": 1, "families": 12}[kind])]
+    rows = []
+    for i in range(300):
+        w = list(base[i % len(base)])
+        for _ in range(rng.randrange(1, 6)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    held = frame(spark, [(i, t, 198, 7, True) for i, t in rows], "doc_id long, text string, size long, region long, home boolean")
+    dealt = jaccard.bounded_regions(held).cache()
+    assert dealt.groupBy("region", "part").count().agg(F.max("count")).first()[0] <= 2 * 40
+    homes, parts = defaultdict(set), defaultdict(set)
+    for r in dealt.collect():
+        parts[r.doc_id].add((r.region, r.part))
+        if r.home:
+            homes[r.doc_id].add((r.region, r.part))
+    sets = {i: {tuple(w[a : a + 3]) for a in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in rows)}
+    for a in range(300):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                assert homes[a] & parts[b] and homes[b] & parts[a]
+
+
 def test_op3(spark):
     from lumenary.llm.toxicity import drop_toxic, fit, score_toxicity
 
