@@ -29,8 +29,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies."""
-    return keep_one(docs)
+    """The smallest doc_id of each group of near copies: sets of five-word shingles with a similarity of 0.8 or more."""
+    return keep_one(docs, shingle=5, per=80, of=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

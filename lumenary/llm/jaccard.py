@@ -1,4 +1,4 @@
-"""N-gram Jaccard join in the metric space of shingle sets: exact components of all pairs with similarity 0.9 or more.
+"""N-gram Jaccard join in the metric space of shingle sets: exact components of all pairs with a least similarity (0.9 in op10).
 
 The Jaccard distance is a metric, so distances to common pivots bound distances between documents. Two layers use that.
 
@@ -8,7 +8,7 @@ The Jaccard distance is a metric, so distances to common pivots bound distances
    more than its D. Sets that agree in a class meet at the smallest document of that cell; the links of these stars bound
    regions outside of which no link exists. Equal sets are merged first.
 2. Regions. Large regions choose pivots among their documents; each document belongs to the Voronoi region of its nearest
-   pivot and is a guest wherever its distance is within 2 * 0.1 of that, which is where the triangle inequality lets
+   pivot and is a guest wherever its distance is within twice the greatest distance of that, which is where the triangle inequality lets
    partners be. Parts that are still too large are divided again. What pivots cannot divide is cut into blocks, and every
    two blocks meet in a task of their own. Inside a region documents become pivots one after the other; those already
    connected, or beyond the triangle window of every earlier pivot, are not compared. Comparisons are exact set intersections.
@@ -34,12 +34,12 @@ from .arrays import U64, binary_batch, blocks, fold, from_blob, hash_spans, hash
 from .components import components
 from .runtime import NULL_ID, checkpointed, partitions, small_batches, table
 
+#: Words of a shingle and least similarity of op10; the similarity is a fraction, so that comparisons stay exact.
 SHINGLE = 3
-#: Similarity as a fraction, so that comparisons stay exact.
 PER, OF = 90, 100
 BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
-#: Least size for which sets other than equal ones can be linked, and the growth of size windows.
-LEAST, GROWTH = 9, 1.5
+#: Growth of size windows.
+GROWTH = 1.5
 #: Documents and shingles that one region may hold before pivots divide it, and pivots a region may have.
 REGION_DOCS, REGION_SHINGLES, MOST_PIVOTS = 16_000, 4 << 20, 256
 META, SAME, NEAR = 0, 1, 2
@@ -69,9 +69,9 @@ def _sets_of(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else words[:0]), starts_of(np.array([len(s) for s in sets], np.int64))
 
 
-def windows_of(largest: int) -> list[tuple[int, int]]:
-    """(smallest, largest) size of each window, up to the largest size there is."""
-    out, low = [], LEAST + 1
+def windows_of(largest: int, per: int = PER, of: int = OF) -> list[tuple[int, int]]:
+    """(smallest, largest) size of each window, from the least that a set linked with a smaller one has to the largest there is."""
+    out, low = [], -(-of // (of - per))
     while not out or out[-1][1] < largest:
         high = max(low, int(low * GROWTH))
         out.append((low, high))
@@ -79,21 +79,21 @@ def windows_of(largest: int) -> list[tuple[int, int]]:
     return out
 
 
-def cells(sets: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def cells(sets: np.ndarray, first: np.ndarray, per: int = PER, of: int = OF) -> tuple[np.ndarray, np.ndarray]:
     """(row, cell): a hash of window, class and the set's shingles in it, for enough classes to meet every linked set."""
     size = np.diff(first)
     rows, hashes = [], []
     if not len(size):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    for level, (low, high) in enumerate(windows_of(int(size.max()))):
-        own = np.flatnonzero((OF * size >= PER * low) & (size <= high))
+    for level, (low, high) in enumerate(windows_of(int(size.max()), per, of)):
+        own = np.flatnonzero((of * size >= per * low) & (size <= high))
         if not len(own):
             continue
-        differ = (OF - PER) * 2 * high // (OF + PER)
+        differ = (of - per) * 2 * high // (of + per)
         classes = differ + 1 + max(1, differ // 10)
         count = size[own]
         # The most shingles in which each of these sets can differ from a linked one, which no larger set of the window exceeds.
-        most = (OF - PER) * (count + np.minimum(high, OF * count // PER)) // (OF + PER)
+        most = (of - per) * (count + np.minimum(high, of * count // per)) // (of + per)
         at = np.repeat(first[own] - starts_of(count)[:-1], count) + np.arange(int(count.sum()))
         row = np.repeat(np.arange(len(own)), count)
         # Classes follow the order of the hashes, so each is one run.
@@ -131,10 +131,10 @@ def _links(kind: int, docs: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full((len(pairs), 1), kind), pairs], axis=1)
 
 
-def _send_cells(n: int):
+def _send_cells(n: int, shingle: int, per: int, of: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, ids, texts in blocks(batches, BLOCK_BYTES):
-            sets, first = shingle_sets(texts)
+            sets, first = shingle_sets(texts, shingle)
             size = np.diff(first)
             full = size > 0
             sums = [np.add.reduceat(mix(np.concatenate([sets, np.zeros(1, np.uint64)]) ^ U64(c)), first[:-1]) if len(size) else np.zeros(0, np.uint64) for c in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -144,7 +144,7 @@ def _send_cells(n: int):
             known = np.flatnonzero(full)
             same = _links(SAME, ids[known], centre)
             speaker = known[order[new]]
-            row, cell = cells(sets, first)
+            row, cell = cells(sets, first, per, of)
             speaks = np.zeros(len(ids), bool)
             speaks[speaker] = True
             row, cell = row[speaks[row]], cell[speaks[row]]
@@ -204,7 +204,7 @@ def _overlap(sets: np.ndarray, first: np.ndarray):
     return of
 
 
-def region_links(docs: np.ndarray, sets: np.ndarray, first: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
+def region_links(docs: np.ndarray, sets: np.ndarray, first: np.ndarray, home: np.ndarray, per: int = PER, of: int = OF) -> list[tuple[int, int]]:
     """Links that connect what is connected in one region; at least one end of each is at home there.
 
     Documents at home are pivots in turn. A pivot is compared only if some document of another component lies within the
@@ -214,21 +214,21 @@ def region_links(docs: np.ndarray, sets: np.ndarray, first: np.ndarray, home: np
     size = np.diff(first)
     overlap = _overlap(sets, first)
     group = np.arange(len(docs))
-    window = (OF - PER) / OF + 1e-9
+    window = (of - per) / of + 1e-9
     seen: list[np.ndarray] = []
     out = []
     core = -1  # a document of that component
     for i in np.flatnonzero(home).tolist():
         if core >= 0 and group[i] == group[core]:
             continue
-        open_ = (group != group[i]) & (size * OF >= size[i] * PER) & (size[i] * OF >= size * PER)
+        open_ = (group != group[i]) & (size * of >= size[i] * per) & (size[i] * of >= size * per)
         for far in seen:
             open_ &= np.abs(far - far[i]) <= window
         if not open_.any():
             continue
         common = overlap(i)
         union = size + size[i] - common
-        for j in np.flatnonzero(open_ & (OF * common >= PER * union) & (common > 0)).tolist():
+        for j in np.flatnonzero(open_ & (of * common >= per * union) & (common > 0)).tolist():
             if group[j] != group[i]:
                 out.append((int(docs[i]), int(docs[j])))
                 group[group == group[j]] = group[i]
@@ -239,38 +239,42 @@ def region_links(docs: np.ndarray, sets: np.ndarray, first: np.ndarray, home: np
     return out
 
 
-def _join_region(rows: pa.Table) -> pa.Table:
-    ids = rows["doc_id"].combine_chunks().fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-    order = np.argsort(ids, kind="stable")
-    texts = rows["text"].combine_chunks().fill_null("").take(pa.array(order))
-    sets, first = shingle_sets(texts)
-    found = region_links(ids[order], sets, first, rows["home"].combine_chunks().to_numpy(zero_copy_only=False)[order])
-    del sets, texts
-    if len(ids) > 200:
-        release()
-    return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+def _join_region(shingle: int, per: int, of: int):
+    def run(rows: pa.Table) -> pa.Table:
+        ids = rows["doc_id"].combine_chunks().fill_null(NULL_ID).to_numpy(zero_copy_only=False)
+        order = np.argsort(ids, kind="stable")
+        texts = rows["text"].combine_chunks().fill_null("").take(pa.array(order))
+        sets, first = shingle_sets(texts, shingle)
+        found = region_links(ids[order], sets, first, rows["home"].combine_chunks().to_numpy(zero_copy_only=False)[order], per, of)
+        del sets, texts
+        if len(ids) > 200:
+            release()
+        return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
+    return run
 
 
-def _to_pivots(members: pa.Table, chosen: pa.Table) -> pa.Table:
+def _to_pivots(shingle: int, per: int, of: int):
     """Some documents of one region: each in the part of its nearest pivot, at home there if it was in the region, and a guest wherever the distance is within twice the greatest one."""
-    reach = 2 * (OF - PER) / OF + 1e-9
-    texts = members["text"].combine_chunks().fill_null("")
-    held, at = shingle_sets(pa.array(chosen["pivots"][0].as_py() if chosen.num_rows else [], pa.string()))
-    sets, first = shingle_sets(texts)
-    take, part, home = [], [], []
-    sizes = np.diff(at)
-    was_home = members["home"].to_pylist()
-    for i in range(len(texts)):
-        own = sets[first[i] : first[i + 1]]
-        common = np.array([len(np.intersect1d(own, held[at[k] : at[k + 1]], assume_unique=True)) for k in range(len(sizes))] or [0])
-        far = 1 - common / np.maximum((sizes if len(sizes) else 0) + len(own) - common, 1)
-        near = int(far.argmin())
-        for k in np.flatnonzero(far <= far[near] + reach).tolist():
-            take.append(i)
-            part.append(k)
-            home.append(k == near and was_home[i])
-    rows = members.take(pa.array(take, pa.int64()))
-    return pa.table({"doc_id": rows["doc_id"], "text": rows["text"], "size": rows["size"], "region": rows["region"], "part": pa.array(part, pa.int32()), "home": pa.array(home, pa.bool_())})
+    def run(members: pa.Table, chosen: pa.Table) -> pa.Table:
+        reach = 2 * (of - per) / of + 1e-9
+        texts = members["text"].combine_chunks().fill_null("")
+        held, at = shingle_sets(pa.array(chosen["pivots"][0].as_py() if chosen.num_rows else [], pa.string()), shingle)
+        sets, first = shingle_sets(texts, shingle)
+        take, part, home = [], [], []
+        sizes = np.diff(at)
+        was_home = members["home"].to_pylist()
+        for i in range(len(texts)):
+            own = sets[first[i] : first[i + 1]]
+            common = np.array([len(np.intersect1d(own, held[at[k] : at[k + 1]], assume_unique=True)) for k in range(len(sizes))] or [0])
+            far = 1 - common / np.maximum((sizes if len(sizes) else 0) + len(own) - common, 1)
+            near = int(far.argmin())
+            for k in np.flatnonzero(far <= far[near] + reach).tolist():
+                take.append(i)
+                part.append(k)
+                home.append(k == near and was_home[i])
+        rows = members.take(pa.array(take, pa.int64()))
+        return pa.table({"doc_id": rows["doc_id"], "text": rows["text"], "size": rows["size"], "region": rows["region"], "part": pa.array(part, pa.int32()), "home": pa.array(home, pa.bool_())})
+    return run
 
 
 _COLUMNS = ["doc_id", "text", "size", "region", "part", "home"]
@@ -282,14 +286,14 @@ def _measured(rows: DataFrame) -> DataFrame:
     return rows.groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).select("region", "n", parts.alias("parts"), F.col("shingles"))
 
 
-def _divide(inside: DataFrame, level: int) -> DataFrame:
+def _divide(inside: DataFrame, level: int, rule: tuple[int, int, int]) -> DataFrame:
     """Regions with parts, by pivots of their own."""
     hash_ = F.xxhash64("doc_id", F.lit(level)) if level else F.xxhash64("doc_id")
     pivots = (inside.where(F.col("home") & (F.pmod(hash_, F.col("n")) < F.col("parts"))).groupBy("region", "parts").agg(F.slice(F.array_sort(F.collect_set("text")), 1, 2 * MOST_PIVOTS).alias("pivots"))
               .select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("share"), "pivots"))
     # Members are dealt out over as many shares as there are pivots, so no task holds a whole region.
     shares = inside.select("doc_id", "text", "size", "region", "home", F.pmod(F.xxhash64("doc_id", F.lit(-1 - level)), F.col("parts")).cast("int").alias("share"))
-    return shares.groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_to_pivots, "doc_id long, text string, size long, region long, part int, home boolean")
+    return shares.groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_to_pivots(*rule), "doc_id long, text string, size long, region long, part int, home boolean")
 
 
 def _pair_blocks(inside: DataFrame) -> DataFrame:
@@ -301,7 +305,7 @@ def _pair_blocks(inside: DataFrame) -> DataFrame:
     return met.withColumn("part", part.cast("int")).select(_COLUMNS)
 
 
-def bounded_regions(held: DataFrame) -> DataFrame:
+def bounded_regions(held: DataFrame, rule: tuple[int, int, int] = (SHINGLE, PER, OF)) -> DataFrame:
     """Rows (doc_id, text, size, region, home) of regions, dealt into parts that a task can hold; linked rows meet where one is at home.
 
     Regions within the bounds are one part. Others are divided by pivots, and so are parts of theirs, until all are within the
@@ -317,7 +321,7 @@ def bounded_regions(held: DataFrame) -> DataFrame:
         rows = checkpointed(held.join(size.hint("merge"), "region"))
         done.append(rows.where("parts = 1").withColumn("part", F.lit(0)).select(_COLUMNS))
         inside = rows.where("parts > 1")
-        parted = checkpointed(_divide(inside, level))
+        parted = checkpointed(_divide(inside, level, rule))
         each = parted.groupBy("region", "part").agg(F.count("*").alias("k"))
         judged = each.groupBy("region").agg(F.sum("k").alias("total"), F.max("k").alias("most")).join(large.hint("merge"), "region")
         split = checkpointed(judged.select("region", (2 * F.col("total") <= F.col("n") * F.greatest(F.lit(4), F.col("parts"))) & (4 * F.col("most") <= 3 * F.col("n"))).toDF("region", "split"))
@@ -326,7 +330,7 @@ def bounded_regions(held: DataFrame) -> DataFrame:
         level += 1
 
 
-def _exact_links(docs: DataFrame, found: DataFrame) -> DataFrame:
+def _exact_links(docs: DataFrame, found: DataFrame, rule: tuple[int, int, int]) -> DataFrame:
     """Links (u, v) between different sets, from the regions that the coarse links bound."""
     coarse = components(found.where(F.col("kind") != META).select("u", "v"))
     copies = found.where(F.col("kind") == SAME).select(F.col("u").alias("node")).distinct()
@@ -341,16 +345,19 @@ def _exact_links(docs: DataFrame, found: DataFrame) -> DataFrame:
     if nodes.where("parts > 1").isEmpty():
         dealt = held.withColumn("part", F.lit(0)).select(_COLUMNS)
     else:
-        dealt = bounded_regions(checkpointed(held))
-    return dealt.groupBy("region", "part").applyInArrow(_join_region, "u long, v long")
+        dealt = bounded_regions(checkpointed(held), rule)
+    return dealt.groupBy("region", "part").applyInArrow(_join_region(*rule), "u long, v long")
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach), one row per row of `docs`."""
+def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, per: int = PER, of: int = OF) -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach), one row per row of `docs`.
+
+    Sets of shingles of `shingle` words are linked from a similarity of per / of on, which lies between 0 and 1.
+    """
     n = partitions(docs.sparkSession)
-    sent = small_batches(docs).select("doc_id", "text").mapInArrow(_send_cells(n), "k long, block long, blob binary")
+    sent = small_batches(docs).select("doc_id", "text").mapInArrow(_send_cells(n, shingle, per, of), "k long, block long, blob binary")
     found = checkpointed(sent.groupBy("k").applyInArrow(_meet, "kind int, u long, v long"))
-    links = found.where(F.col("kind") == SAME).select("u", "v").unionByName(_exact_links(docs, found))
+    links = found.where(F.col("kind") == SAME).select("u", "v").unionByName(_exact_links(docs, found, (shingle, per, of)))
     label = components(links).select("u", F.col("v").alias("component_id"))
     sizes = found.where(F.col("kind") == META).select("u", F.col("v").alias("n_shingles"))
     out = sizes.join(label.hint("merge"), "u", "left").withColumn("component_id", F.coalesce("component_id", "u"))
@@ -358,9 +365,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out.select(real("u").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, per: int = PER, of: int = OF) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of its component, with all their columns."""
-    others = jaccard_components(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
+    others = jaccard_components(docs, shingle, per, of).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(others.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti")
 
 

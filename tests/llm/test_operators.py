@@ -335,6 +335,37 @@ def test_op10_near_copies(spark):
     assert {r.doc_id for r in keep_one(df).collect()} == {r[2] for r in want}
 
 
+def brute_five_words(rows):
+    sets = {i: {tuple(w[a : a + 5]) for a in range(max(len(w) - 4, 1))} for i, w in ((i, t.split()) for i, t in rows)}
+    group = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and group[a] != group[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((group[a], group[b]))
+                group = {i: x if g == y else g for i, g in group.items()}
+    return Counter((i, len(s), group[i]) for i, s in sets.items())
+
+
+@pytest.mark.parametrize("region_docs", [4000, 20])
+def test_op10_with_other_shingles_and_similarity(spark, region_docs, monkeypatch):
+    from lumenary.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "REGION_DOCS", region_docs)
+    rng = random.Random(12)
+    rows = []
+    for size in (4, 5, 6, 7, 9, 12, 20, 40, 90, 300):
+        for _ in range(4):
+            base = words(rng, size, 3000)
+            for _ in range(6):
+                w = base[: len(base) - rng.randrange(max(1, size // 8) + 1)]
+                for _ in range(rng.randrange(max(1, size // 30) + 1)):
+                    w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+                rows.append((len(rows), " ".join(w)))
+    want = brute_five_words(rows)
+    assert rows_of(jaccard.jaccard_components(frame(spark, rows), 5, 80, 100)) == want
+    assert len({r[2] for r in want}) < len({r[2] for r in brute_components(rows)})
+
+
 def random_sets(sizes, seed=9):
     rng = random.Random(seed)
     return [sorted(rng.randrange(2**64) for _ in range(n)) for n in sizes]

@@ -39,3 +39,14 @@ def test_odd_rows(spark, data):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, data).count() == 0
+
+
+def test_near_copies_of_five_words(spark, data):
+    import corpus_pipeline
+
+    # Two separate words of a hundred are others: similarity 86/106 of five-word shingles, 92/104 of three-word ones.
+    text = [f"w{i}" for i in range(100)]
+    near = [f"x{i}" if i in (30, 70) else w for i, w in enumerate(text)]
+    far = [f"x{i}" if i in (20, 50, 80) else w for i, w in enumerate(text)]
+    docs = frame(spark, [(1, " ".join(text)), (2, " ".join(near)), (3, " ".join(far))])
+    assert sorted(r.doc_id for r in corpus_pipeline.jaccard_join(spark, docs, data).collect()) == [1, 3]
