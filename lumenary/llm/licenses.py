@@ -3,7 +3,8 @@
 One automaton holds every substring of every template. A text is streamed through it: after each word the automaton knows
 the longest template substring that ends there (the matching statistics). Maximal matches of at least `LEAST_MATCH` words
 are chained per template, in order and with bounded gaps, into spans, scored by the share of the template they cover.
-Only stretches of words that the templates use are streamed at all; other words reset the automaton anyway.
+Only stretches of words that the templates use are streamed at all; other words reset the automaton anyway. The matches of
+all stretches of a text are chained together, so a foreign word within a notice is a gap like any other.
 
 The automaton's size is bounded by the templates, which are fixed; it travels with the task.
 
@@ -152,13 +153,14 @@ class Templates:
         at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
         return np.where(self.sorted[at] == words, self.number[at], 0)
 
-    def spans(self, words: list[int]) -> list[tuple[str, int, int, float]]:
-        """(label, first word, end, share of the template) of the chains found in one stretch of known words."""
+    def spans(self, stretches: list[tuple[int, list[int]]]) -> list[tuple[str, int, int, float]]:
+        """(label, first word, end, share of the template) of the chains found in a text, given its stretches of known words and where they begin."""
         pieces: dict[int, list[tuple[int, int, int]]] = {}
-        for start, size in self.automaton.matches(words, self.least):
-            for n, at in self.seeds.get(tuple(words[start : start + self.least]), ()):
-                if self.sequences[n][at : at + size] == words[start : start + size]:
-                    pieces.setdefault(n, []).append((start, at, size))
+        for begin, words in stretches:
+            for start, size in self.automaton.matches(words, self.least):
+                for n, at in self.seeds.get(tuple(words[start : start + self.least]), ()):
+                    if self.sequences[n][at : at + size] == words[start : start + size]:
+                        pieces.setdefault(n, []).append((begin + start, at, size))
         out = []
         for n, found in pieces.items():
             found.sort()
@@ -229,15 +231,13 @@ def scan_batch(texts: pa.Array) -> list[tuple]:
     edge = np.unique(np.concatenate([first, np.flatnonzero(ids == 0), np.flatnonzero(ids == 0) + 1]))
     begin, stop = edge[:-1], edge[1:]
     full = (known[stop] - known[begin] == stop - begin) & (stop - begin >= min(LEAST_MATCH, *map(len, templates.sequences)))
-    spans: list[list[tuple[str, int, int, float]]] = [[] for _ in range(n)]
+    stretches: list[list[tuple[int, list[int]]]] = [[] for _ in range(n)]
     for a, b in zip(begin[full].tolist(), stop[full].tolist(), strict=True):
         if b - a < LEAST_MATCH:
             continue
-        found = templates.spans(ids[a:b].tolist())
-        if found:
-            text = int(np.searchsorted(first, a, side="right")) - 1
-            at = a - int(first[text])
-            spans[text] += [(label, s + at, e + at, share) for label, s, e, share in found]
+        text = int(np.searchsorted(first, a, side="right")) - 1
+        stretches[text].append((a - int(first[text]), ids[a:b].tolist()))
+    spans = [templates.spans(own) for own in stretches]
     out = []
     for i in range(n):
         places = [p for p, _ in base[i]]

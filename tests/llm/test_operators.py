@@ -177,6 +177,23 @@ def test_op6_labels_and_spans(spark):
     assert got[100].base_labels == "cc-by,reserved" and got[101].labels == "" and got[102].labels == "mit"
 
 
+def test_op6_notices_with_foreign_words(spark):
+    from lumenary.llm.licenses import GAP, TEMPLATES, scan_licenses
+
+    short = "This work is licensed under a {} Creative Commons Attribution 4.0 International License"
+    long = {label: max(TEMPLATES[label], key=len).split() for label in ("apache-2.0", "bsd", "mit", "gpl")}
+    rows = [(0, short.format("qqq")), (1, short.format("qqq " * GAP)), (2, short.format("qqq " * (GAP + 1)))]
+    rows += [(10 + i, "before " + " ".join(f"{w} zz{j}" if j % 7 == 6 else w for j, w in enumerate(words_))) for i, words_ in enumerate(long.values())]
+    # Two texts side by side are two texts.
+    rows += [(20, "This work is licensed under a"), (21, "Creative Commons Attribution 4.0 International License")]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert [got[i].labels for i in (0, 1, 2, 20, 21)] == ["cc-by", "cc-by", "", "", ""]
+    assert got[0].score == 1 and [(s.start, s.end) for s in got[0].spans] == [(0, 14)]
+    for i, label in enumerate(long):
+        assert label in got[10 + i].labels.split(",") and got[10 + i].score >= 0.8, (label, got[10 + i].score)
+        assert max((s.share for s in got[10 + i].spans if s.label == label)) >= 0.8
+
+
 def test_op6_automaton():
     from lumenary.llm.licenses import SuffixAutomaton
 
