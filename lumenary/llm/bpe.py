@@ -2,7 +2,7 @@
 
 Texts are split into pre-tokens once. Each block of texts keeps its pre-tokens as positions in its own list of distinct
 words and sends that list, divided by hash, to buckets. A bucket encodes each distinct word once for all blocks and
-answers every block with the ids of its words; blocks put them back by position. Decoding looks ids up in the table of
+answers every block with the ids of its words (there are as many buckets as the counted bytes of text need); blocks put them back by position. Decoding looks ids up in the table of
 token bytes, which the vocabulary bounds. A word is sent once per block however often it occurs, so frequent words are no
 hot keys.
 
@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import BLOCK_BIT, binary_batch, blocks, from_blob, from_parts, hash_spans, numbers, ragged, release, starts_of, string_parts, to_blob
-from .runtime import NULL_ID, partitions, small_batches, table
+from .runtime import NULL_ID, buckets_for, small_batches, table
 
 BLOCK_BYTES = 12 << 20
+#: Bytes of text whose distinct words one bucket encodes.
+BUCKET_BYTES = 64 << 20
 EMIT = "k long, block long, blob binary"
 ENCODED = "doc_id long, ids array<int>, decoded binary"
 
@@ -169,7 +171,7 @@ def _rows(path: str, own: pa.Table, answers: pa.Table, digests: bool) -> list[tu
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
     """doc_id, ids and decoded bytes of each row; with `digests` their count and SHA-256 instead, which spares the way back."""
-    n = partitions(docs.sparkSession)
+    n = buckets_for(docs, BUCKET_BYTES)
     sent = small_batches(docs).select("doc_id", "text").mapInArrow(_split(n, pattern), EMIT).repartition("k")
     answers = sent.groupBy("k").applyInArrow(_encode(path, pattern), "k long, part long, blob binary")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else ENCODED

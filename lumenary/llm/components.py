@@ -16,12 +16,12 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Larger neighbours of each node move to the smallest one."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return _ordered(both.where(F.col("v") > F.col("u")).join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+    return _ordered(both.where(F.col("v") > F.col("u")).join(checkpointed(least).hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Smaller neighbours of each node, and the node itself, move to the smallest one."""
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = checkpointed(links.groupBy("u").agg(F.min("v").alias("m")))
     return _ordered(links.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
 
 
@@ -32,7 +32,8 @@ def _fingerprint(links: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """(u, v): each linked node but the smallest of its component, with that smallest node.
 
-    A node with very many links is spread by partial aggregation and by Spark's splitting of skewed join partitions. Every
+    A node with very many links is one row per task in the minimum (partial aggregation). The minima are written before they
+    are joined, so both sides of the join are plain sorted shuffles and Spark divides the partition of such a node. Every
     round is checkpointed; the number of rounds grows with the logarithm of the longest chain.
     """
     now = checkpointed(_ordered(links))

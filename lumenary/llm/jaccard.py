@@ -1,23 +1,27 @@
 """N-gram Jaccard join in the metric space of shingle sets: exact components of all pairs with a least similarity (0.9 in op10).
 
-The Jaccard distance is a metric, so distances to common pivots bound distances between documents. Two layers use that.
-
-1. Coarse cells. Sizes bound distance, so sets are cut into size windows, and those near the upper border of a window are
-   also entered in the next. Within a window a set differs from any it is linked with in at most D shingles; shingles hash
-   into more than D classes, so two linked sets agree wholly in some class. A set enters the fullest classes it has, just
-   more than its D. Sets that agree in a class meet at the smallest document of that cell; the links of these stars bound
-   regions outside of which no link exists. Equal sets are merged first.
-2. Regions. Large regions choose pivots among their documents; each document belongs to the Voronoi region of its nearest
-   pivot and is a guest wherever its distance is within twice the greatest distance of that, which is where the triangle inequality lets
-   partners be. Parts that are still too large are divided again. What pivots cannot divide is cut into blocks, and every
-   two blocks meet in a task of their own. Inside a region documents become pivots one after the other; those already
-   connected, or beyond the triangle window of every earlier pivot, are not compared. Comparisons are exact set intersections.
-
-A block of rows sends a cell or an equal set once however often it holds it, so thousands of copies are one row per block.
+The Jaccard distance is a metric, so distances to common pivots bound distances between documents.
+
+1. What can be linked at all. Texts that are not copies of each other lie 0.97 to 1 from every pivot, so the triangle
+   inequality alone would replicate nearly every document everywhere. Equal sets are merged first (128-bit digests). Then
+   the documents of every shingle are counted and each set's shingles are ordered by that count, rarest first. Of two linked
+   sets the larger holds a common shingle among its first n - ceil(s n) + 1 and the smaller among its first
+   n - ceil(2 s n / (1 + s)) + 1, s the least similarity. A shingle that one set alone holds proves nothing, so most sets
+   enter nowhere. Sets that meet in a shingle, one of them as the smaller, are in one region; no link leaves a region.
+2. Regions. A region over the byte bound takes pivots: each document belongs to the Voronoi region of its nearest pivot and
+   is a guest wherever its distance is within twice the greatest distance of that, which is where the triangle inequality
+   lets partners be. The parts are regions again, and so on until they fit. Documents linked with one pivot are connected
+   and need no comparison among themselves. Where no pivot divides a region (a family whose members are all about as far
+   apart as the threshold), those outside of the largest such ball meet each other and the ball in pairs of blocks.
+3. Inside a part documents become pivots one after the other; those already connected, or beyond the triangle window of
+   every earlier pivot, are not compared. Comparisons are exact set intersections.
+
+A block of rows sends a shingle or an equal set once however often it holds it, so thousands of copies are one row per block.
 
 Defined results: a null text or one without words has an empty set and no links; with fewer words than a shingle the whole
-sequence is the only shingle; rows with equal doc_id are one node, and each keeps a row; a null doc_id is a node that sorts
-before all others and stays null; an empty table gives an empty result; other columns are ignored.
+sequence is the only shingle; rows with equal doc_id are one node that has the links of all its texts, and each keeps a
+row; a null doc_id is a node that sorts before all others and stays null; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,22 +31,36 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import U64, binary_batch, blocks, fold, from_blob, hash_spans, hash_windows, mix, numbers, pieces, release, space_words, starts_of, string_parts, to_blob
+from .arrays import BLOCK_BIT, U64, blocks, by_range, fold, from_blob, hash_spans, hash_windows, mix, numbers, pieces, release, space_words, squeeze, starts_of, string_parts, to_blob, unsqueeze
 from .components import components
-from .runtime import NULL_ID, checkpointed, partitions, small_batches, table
+from .runtime import NULL_ID, buckets_for, checkpointed, small_batches, table
 
 #: Words of a shingle and least similarity of op10; the similarity is a fraction, so that comparisons stay exact.
 SHINGLE = 3
 PER, OF = 90, 100
 BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
-#: Growth of size windows.
-GROWTH = 1.5
-#: Documents and shingles that one region may hold before pivots divide it, and pivots a region may have.
-REGION_DOCS, REGION_SHINGLES, MOST_PIVOTS = 16_000, 4 << 20, 256
+#: Bytes of text whose shingles one bucket counts.
+BUCKET_BYTES = 16 << 20
+#: Shingles that one part of a region may hold (8 bytes each); a document counts as so many more.
+PART_SHINGLES, DOC_SHINGLES = 1 << 19, 128
+#: Pivots of one division.
+PIVOTS = 16
+#: Kinds of rows between stages, and of links.
+OWN, TOKENS, SETS, FOUND = 0, 1, 2, 3
 META, SAME, NEAR = 0, 1, 2
+_SENT = "k long, block long, kind int, blob binary"
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["k", "block", "kind", "blob"])
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_batches([_batch(rows)])
 
 
 def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -69,118 +87,184 @@ def _sets_of(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else words[:0]), starts_of(np.array([len(s) for s in sets], np.int64))
 
 
-def windows_of(largest: int, per: int = PER, of: int = OF) -> list[tuple[int, int]]:
-    """(smallest, largest) size of each window, from the least that a set linked with a smaller one has to the largest there is."""
-    out, low = [], -(-of // (of - per))
-    while not out or out[-1][1] < largest:
-        high = max(low, int(low * GROWTH))
-        out.append((low, high))
-        low = high + 1
+class Block:
+    """The sets of one block, and which rows speak for equal sets: the smallest doc_id of each."""
+
+    def __init__(self, ids: np.ndarray, texts: pa.Array, shingle: int) -> None:
+        self.ids = ids
+        self.sets, self.first = shingle_sets(texts, shingle)
+        self.size = np.diff(self.first)
+        padded = np.append(self.sets, U64(0))
+        sums = [np.add.reduceat(mix(padded ^ U64(c)), self.first[:-1]) if len(ids) else np.zeros(0, np.uint64) for c in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+        self.digest = mix(sums[0] + self.size.astype(np.uint64)), mix(sums[1] ^ self.size.astype(np.uint64))
+        known = np.flatnonzero(self.size > 0)
+        order = known[np.lexsort((ids[known], self.digest[1][known], self.digest[0][known]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (self.digest[0][order[1:]] != self.digest[0][order[:-1]]) | (self.digest[1][order[1:]] != self.digest[1][order[:-1]])
+        #: Speakers by digest, and of each row with words the number of its speaker.
+        self.speakers = order[new]
+        self.speaker_of = np.full(len(ids), -1, np.int64)
+        self.speaker_of[order] = np.cumsum(new) - 1
+
+    def members(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shingles of some rows, one row after the other, and the number of the row of each."""
+        count = self.size[rows]
+        at = np.repeat(self.first[rows] - starts_of(count)[:-1], count) + np.arange(int(count.sum()))
+        return self.sets[at], np.repeat(np.arange(len(rows)), count)
+
+
+def _send_sets(n: int, shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block itself, its distinct shingles with the number of its sets that hold each, and its distinct sets."""
+        for key, ids, texts in blocks(batches, BLOCK_BYTES):
+            own = Block(ids, texts, shingle)
+            rows = [(key, key, OWN, to_blob({"ids": ids, "texts": texts}))]
+            tokens, held = np.unique(own.members(own.speakers)[0], return_counts=True)
+            at = by_range(tokens, n)
+            rows += [(b, key, TOKENS, squeeze(tokens[at[b] : at[b + 1]], held[at[b] : at[b + 1]].astype(np.uint32))) for b in range(n) if at[b] < at[b + 1]]
+            sets = own.speakers
+            at = by_range(own.digest[0][sets], n)
+            rows += [(b, key, SETS, squeeze(own.digest[0][sets[at[b] : at[b + 1]]], own.digest[1][sets[at[b] : at[b + 1]]], ids[sets[at[b] : at[b + 1]]])) for b in range(n) if at[b] < at[b + 1]]
+            yield _batch(rows)
+            release()
+    return run
+
+
+def _by_kind(rows: pa.Table) -> dict[int, list[tuple[int, bytes]]]:
+    out: dict[int, list[tuple[int, bytes]]] = {OWN: [], TOKENS: [], SETS: [], FOUND: []}
+    for block, kind, blob in zip(rows["block"].to_pylist(), rows["kind"].to_pylist(), rows["blob"].to_pylist(), strict=True):
+        out[kind].append((block, blob))
     return out
 
 
-def cells(sets: np.ndarray, first: np.ndarray, per: int = PER, of: int = OF) -> tuple[np.ndarray, np.ndarray]:
-    """(row, cell): a hash of window, class and the set's shingles in it, for enough classes to meet every linked set."""
-    size = np.diff(first)
-    rows, hashes = [], []
-    if not len(size):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    for level, (low, high) in enumerate(windows_of(int(size.max()), per, of)):
-        own = np.flatnonzero((of * size >= per * low) & (size <= high))
-        if not len(own):
-            continue
-        differ = (of - per) * 2 * high // (of + per)
-        classes = differ + 1 + max(1, differ // 10)
-        count = size[own]
-        # The most shingles in which each of these sets can differ from a linked one, which no larger set of the window exceeds.
-        most = (of - per) * (count + np.minimum(high, of * count // per)) // (of + per)
-        at = np.repeat(first[own] - starts_of(count)[:-1], count) + np.arange(int(count.sum()))
-        row = np.repeat(np.arange(len(own)), count)
-        # Classes follow the order of the hashes, so each is one run.
-        kind = ((sets[at] >> U64(32)) * U64(classes) >> U64(32)).astype(np.int64)
-        edge = np.flatnonzero(np.concatenate([[True], (kind[1:] != kind[:-1]) | (row[1:] != row[:-1])]))
-        total = np.add.reduceat(mix(sets[at] ^ U64(0xA0761D6478BD642F)), edge)
-        held = np.diff(np.concatenate([edge, [len(at)]]))
-        cell = mix(total + mix(kind[edge].astype(np.uint64) + U64(level << 40)))
-        # Classes of a shingle or two say little. More than `most` of a set's classes hold at least `least` shingles, and it
-        # enters all that do. Of two linked sets, the one with the smaller `least` enters whatever the other is sure to share.
-        # Only a set without so many classes that hold anything can agree with others in nothing but empty ones.
-        filled = row[edge]
-        begin = starts_of(np.bincount(filled, minlength=len(own)))
-        fullest = held[np.lexsort((-held, filled))]
-        bare = np.diff(begin) <= most
-        least = np.where(bare, 0, fullest[np.minimum(begin[:-1] + most, len(fullest) - 1)])
-        pick = held >= least[filled]
-        rows += [own[filled[pick]], own[bare]]
-        hashes += [cell[pick], np.full(int(bare.sum()), mix(np.array([level + 1], np.uint64))[0])]
-    return (np.concatenate(rows), np.concatenate(hashes)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-
-
-def _stars(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(centre of each document's group, order by key and document, which of these begin a group)."""
-    order = np.lexsort((docs, keys))
-    new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]]) if len(keys) else np.zeros(0, bool)
-    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(keys) else order
-    centre = np.empty(len(keys), np.int64)
-    centre[order] = docs[head]
-    return centre, order, new
-
-
-def _links(kind: int, docs: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    pairs = np.unique(np.stack([docs, centre], axis=1)[docs != centre], axis=0)
-    return np.concatenate([np.full((len(pairs), 1), kind), pairs], axis=1)
-
-
-def _send_cells(n: int, shingle: int, per: int, of: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, ids, texts in blocks(batches, BLOCK_BYTES):
-            sets, first = shingle_sets(texts, shingle)
-            size = np.diff(first)
-            full = size > 0
-            sums = [np.add.reduceat(mix(np.concatenate([sets, np.zeros(1, np.uint64)]) ^ U64(c)), first[:-1]) if len(size) else np.zeros(0, np.uint64) for c in (0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
-            # Equal sets: the smallest document of each speaks for all of this block.
-            digest = mix(sums[0] + size.astype(np.uint64)) ^ (sums[1] >> U64(1))
-            centre, order, new = _stars(digest[full], ids[full])
-            known = np.flatnonzero(full)
-            same = _links(SAME, ids[known], centre)
-            speaker = known[order[new]]
-            row, cell = cells(sets, first, per, of)
-            speaks = np.zeros(len(ids), bool)
-            speaks[speaker] = True
-            row, cell = row[speaks[row]], cell[speaks[row]]
-            centre, order, new = _stars(cell, ids[row])
-            near = _links(NEAR, ids[row], centre)
-            meta = np.stack([np.full(len(ids), META), ids, size], axis=1)
-            mine = np.concatenate([meta, same, near])
-            out = [(key % n, key, to_blob({"kind": mine[:, 0].astype(np.int8), "u": mine[:, 1], "v": mine[:, 2]}))]
-            asks = {SAME: (digest[speaker], ids[speaker]), NEAR: (cell[order[new]], ids[row][order[new]])}
-            for kind, (keys, docs) in asks.items():
-                by_doc = np.argsort(docs, kind="stable")  # equal ids side by side take little room
-                keys, docs = keys[by_doc], docs[by_doc]
-                bucket = (keys >> U64(20)) % U64(n)
-                by = np.argsort(bucket, kind="stable")
-                at = np.searchsorted(bucket[by], np.arange(n + 1))
-                out += [(b, -kind, to_blob({"h": keys[by[at[b] : at[b + 1]]], "doc": docs[by[at[b] : at[b + 1]]]})) for b in range(n) if at[b] < at[b + 1]]
-            yield binary_batch(out)
+def _weigh(rows: pa.Table) -> pa.Table:
+    """One bucket: how many sets hold each shingle (quarters of its binary logarithm) and the smallest doc_id of each set, told to the blocks that asked."""
+    if not rows.num_rows or rows["k"][0].as_py() >= BLOCK_BIT:
+        return _table([])
+    bucket, asked = rows["k"][0].as_py(), _by_kind(rows)
+    out = []
+    parts = [unsqueeze(blob, np.uint64, np.uint32) for _, blob in asked[TOKENS]]
+    if parts:
+        at = starts_of(np.array([len(p[0]) for p in parts]))
+        tokens, held = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
+        del parts
+        order = np.argsort(tokens, kind="stable")
+        tokens = tokens[order]
+        edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        total = np.add.reduceat(held[order].astype(np.int64), edge)
+        weight = np.empty(len(tokens), np.uint8)
+        weight[order] = np.repeat(np.minimum(255, np.floor(4 * np.log2(total))).astype(np.uint8), np.diff(np.append(edge, len(tokens))))
+        out += [(block, bucket, TOKENS, squeeze(weight[at[i] : at[i + 1]])) for i, (block, _) in enumerate(asked[TOKENS])]
+        del tokens, held, order, weight
+    parts = [unsqueeze(blob, np.uint64, np.uint64, np.int64) for _, blob in asked[SETS]]
+    if parts:
+        at = starts_of(np.array([len(p[0]) for p in parts]))
+        high, low, docs = (np.concatenate([p[c] for p in parts]) for c in (0, 1, 2))
+        order = np.lexsort((docs, low, high))
+        new = np.concatenate([[True], (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])])
+        least = np.empty(len(docs), np.int64)
+        least[order] = docs[order[np.flatnonzero(new)[np.cumsum(new) - 1]]]
+        out += [(block, bucket, SETS, squeeze(least[at[i] : at[i + 1]])) for i, (block, _) in enumerate(asked[SETS])]
+    release()
+    return _table(out)
+
+
+def _answered(answers: list[tuple[int, bytes]], kind, n: int) -> np.ndarray:
+    """A block's answers in the order of its questions."""
+    parts = [unsqueeze(blob, kind)[0] for _, blob in sorted(answers)]
+    every = np.concatenate(parts) if parts else np.zeros(0, kind)
+    if len(every) != n:
+        raise RuntimeError("a block's questions were not all answered")
+    return every
+
+
+def entries(own: Block, rows: np.ndarray, tokens: np.ndarray, weight: np.ndarray, per: int, of: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, whether as the smaller set) of the shingles that rows can be linked through."""
+    size = own.size[rows]
+    larger, smaller = size + per * size // -of + 1, size + 2 * per * size // -(of + per) + 1
+    sets, row = own.members(rows)
+    heavy = weight[np.searchsorted(tokens, sets)]
+    shared = heavy > 0
+    alone = size - np.bincount(row[shared], minlength=len(rows))
+    shared &= (alone < larger)[row]
+    sets, row, heavy = sets[shared], row[shared], heavy[shared]
+    order = np.lexsort((sets, heavy, row))
+    sets, row = sets[order], row[order]
+    place = np.arange(len(row)) - starts_of(np.bincount(row, minlength=len(rows)))[row] + alone[row]
+    early = place < larger[row]
+    return rows[row[early]], sets[early], (place < smaller[row])[early]
+
+
+def _local_regions(row: np.ndarray, token: np.ndarray, joins: np.ndarray) -> np.ndarray:
+    """The smallest row that each row reaches through shingles that join."""
+    label = np.arange(int(row.max()) + 1 if len(row) else 0)
+    row, token = row[joins[token]], token[joins[token]]
+    while len(row):
+        of_token = np.full(int(token.max()) + 1, len(label))
+        np.minimum.at(of_token, token, label[row])
+        new = label.copy()
+        np.minimum.at(new, row, of_token[token])
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
+def _enter(n: int, shingle: int, per: int, of: int):
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        """One block: its sizes and equal sets, and the shingles through which its speakers can be linked."""
+        out = []
+        told = _by_kind(answers)
+        for key, blob in _by_kind(own)[OWN]:
+            packed = from_blob(blob)
+            block = Block(numbers(packed, "ids"), packed.column("texts"), shingle)
+            tokens = np.unique(block.members(block.speakers)[0])
+            weight = _answered(told[TOKENS], np.uint8, len(tokens))
+            least = _answered(told[SETS], np.int64, len(block.speakers))
+            ids = block.ids
+            full = np.flatnonzero(block.speaker_of >= 0)
+            same = np.stack([ids[full], least[block.speaker_of[full]]], axis=1)
+            same = np.unique(same[same[:, 0] != same[:, 1]], axis=0)
+            # Rows in the order of their ids, so that the smallest row of a region is its smallest id.
+            rows = block.speakers[least == ids[block.speakers]]
+            rows = rows[np.argsort(ids[rows], kind="stable")]
+            row, held, smaller = entries(block, rows, tokens, weight, per, of)
+            known, token = np.unique(held, return_inverse=True)
+            joins = np.bincount(token[smaller], minlength=len(known)) > 0
+            place = np.empty(len(ids), np.int64)
+            place[rows] = np.arange(len(rows))
+            number = place[row]
+            label = _local_regions(number, token, joins)
+            near = np.stack([ids[rows[: len(label)]], ids[rows[label]]], axis=1) if len(label) else np.zeros((0, 2), np.int64)
+            near = near[near[:, 0] != near[:, 1]]
+            found = [np.stack([np.full(len(ids), META), ids, block.size], axis=1)] + [np.concatenate([np.full((len(x), 1), kind), x], axis=1) for kind, x in ((SAME, same), (NEAR, near))]
+            found = np.concatenate(found)
+            out.append((key % n, key, FOUND, squeeze(found[:, 0].astype(np.int8), found[:, 1], found[:, 2])))
+            asks = np.unique(np.stack([token, label[number] if len(number) else number], axis=1), axis=0)
+            at = by_range(known[asks[:, 0]], n)
+            sent = known[asks[:, 0]], ids[rows[asks[:, 1]]], joins[asks[:, 0]].astype(np.uint8)
+            out += [(b, key, TOKENS, squeeze(*[c[at[b] : at[b + 1]] for c in sent])) for b in range(n) if at[b] < at[b + 1]]
+        release()
+        return _table(out)
     return run
 
 
 def _meet(rows: pa.Table) -> pa.Table:
-    """One bucket: documents of all blocks in equal cells meet at the smallest; what blocks linked themselves passes through."""
-    found = []
-    asked: dict[int, list[pa.RecordBatch]] = {SAME: [], NEAR: []}
-    for block, blob in zip(rows["block"].to_pylist(), rows["blob"], strict=True):
-        part = from_blob(blob.as_buffer())
-        if block >= 0:
-            found.append(np.stack([numbers(part, c).astype(np.int64) for c in ("kind", "u", "v")], axis=1))
-        else:
-            asked[-block].append(part)
-    for kind, parts in asked.items():
-        if parts:
-            docs = np.concatenate([numbers(p, "doc") for p in parts])
-            found.append(_links(kind, docs, _stars(np.concatenate([numbers(p, "h") for p in parts]), docs)[0]))
+    """One bucket: sets of all blocks that meet in a shingle, at least one as the smaller, are linked with the smallest of them."""
+    asked = _by_kind(rows)
+    found = [np.stack([c.astype(np.int64) for c in unsqueeze(blob, np.int8, np.int64, np.int64)], axis=1) for _, blob in asked[FOUND]]
+    parts = [unsqueeze(blob, np.uint64, np.int64, np.uint8) for _, blob in asked[TOKENS]]
+    if parts:
+        token, doc, joins = (np.concatenate([p[c] for p in parts]) for c in (0, 1, 2))
+        order = np.lexsort((doc, token))
+        token, doc = token[order], doc[order]
+        edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        length = np.diff(np.append(edge, len(token)))
+        joins = np.repeat(np.maximum.reduceat(joins[order], edge) > 0, length)
+        centre = np.repeat(doc[edge], length)
+        links = np.unique(np.stack([doc, centre], axis=1)[joins & (doc != centre)], axis=0)
+        found.append(np.concatenate([np.full((len(links), 1), NEAR), links], axis=1))
     every = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-    del asked
     release()
     return pa.table({"kind": pa.array(every[:, 0].astype(np.int32)), "u": pa.array(every[:, 1]), "v": pa.array(every[:, 2])})
 
@@ -204,21 +288,26 @@ def _overlap(sets: np.ndarray, first: np.ndarray):
     return of
 
 
-def region_links(docs: np.ndarray, sets: np.ndarray, first: np.ndarray, home: np.ndarray, per: int = PER, of: int = OF) -> list[tuple[int, int]]:
-    """Links that connect what is connected in one region; at least one end of each is at home there.
+def region_links(docs: np.ndarray, sets: np.ndarray, first: np.ndarray, home: np.ndarray, ball: np.ndarray, per: int = PER, of: int = OF) -> list[tuple[int, int]]:
+    """Links that connect what is connected in one part; what `ball` marks is known to be connected.
 
     Documents at home are pivots in turn. A pivot is compared only if some document of another component lies within the
-    window that the distances to the pivots before it leave: |d(x, p) - d(y, p)| <= 1 - similarity. Where all are at home,
-    the largest component that the first pivots form needs no more pivots: what lies outside of it is compared with it.
+    window that the distances to the pivots before it leave: |d(x, p) - d(y, p)| <= 1 - similarity. A component that holds
+    much of the part needs no pivots of its own if all documents outside of it, guests too, are compared with it.
     """
     size = np.diff(first)
     overlap = _overlap(sets, first)
     group = np.arange(len(docs))
+    core = -1  # a document of that component
+    if ball.any():
+        core = int(np.flatnonzero(ball)[0])
+        group[ball] = core
     window = (of - per) / of + 1e-9
     seen: list[np.ndarray] = []
     out = []
-    core = -1  # a document of that component
-    for i in np.flatnonzero(home).tolist():
+    for i in [*np.flatnonzero(home).tolist(), *np.flatnonzero(~home).tolist()]:
+        if not home[i] and core < 0:
+            break
         if core >= 0 and group[i] == group[core]:
             continue
         open_ = (group != group[i]) & (size * of >= size[i] * per) & (size[i] * of >= size * per)
@@ -234,8 +323,10 @@ def region_links(docs: np.ndarray, sets: np.ndarray, first: np.ndarray, home: np
                 group[group == group[j]] = group[i]
         if len(seen) < 8:
             seen.append(1 - common / np.maximum(union, 1))
-            if len(seen) == 8 and home.all():
-                core = int(np.flatnonzero(group == np.bincount(group).argmax())[0])
+            if len(seen) == 8 and core < 0:
+                count = np.bincount(group)
+                if 4 * count.max() >= len(docs):
+                    core = int(np.flatnonzero(group == count.argmax())[0])
     return out
 
 
@@ -243,110 +334,138 @@ def _join_region(shingle: int, per: int, of: int):
     def run(rows: pa.Table) -> pa.Table:
         ids = rows["doc_id"].combine_chunks().fill_null(NULL_ID).to_numpy(zero_copy_only=False)
         order = np.argsort(ids, kind="stable")
-        texts = rows["text"].combine_chunks().fill_null("").take(pa.array(order))
-        sets, first = shingle_sets(texts, shingle)
-        found = region_links(ids[order], sets, first, rows["home"].combine_chunks().to_numpy(zero_copy_only=False)[order], per, of)
-        del sets, texts
+        flag = {c: rows[c].combine_chunks().to_numpy(zero_copy_only=False)[order].astype(bool) for c in ("home", "ball")}
+        sets, first = shingle_sets(rows["text"].combine_chunks().fill_null("").take(pa.array(order)), shingle)
+        found = region_links(ids[order], sets, first, flag["home"], flag["ball"], per, of)
+        del sets
         if len(ids) > 200:
             release()
         return pa.table({"u": pa.array([u for u, _ in found], pa.int64()), "v": pa.array([v for _, v in found], pa.int64())})
     return run
 
 
+_MEMBER = "doc_id long, text string, size long, region long"
+_PARTED = _MEMBER + ", was_home boolean, part int, own boolean, near array<int>, linked array<long>"
+_TASK = ["doc_id", "text", "size", "region", "part", "home", "ball"]
+
+
 def _to_pivots(shingle: int, per: int, of: int):
-    """Some documents of one region: each in the part of its nearest pivot, at home there if it was in the region, and a guest wherever the distance is within twice the greatest one."""
+    """Some documents of one region: each in the part of its nearest pivot, and a guest wherever the distance is within twice the greatest one of that."""
     def run(members: pa.Table, chosen: pa.Table) -> pa.Table:
         reach = 2 * (of - per) / of + 1e-9
-        texts = members["text"].combine_chunks().fill_null("")
-        held, at = shingle_sets(pa.array(chosen["pivots"][0].as_py() if chosen.num_rows else [], pa.string()), shingle)
-        sets, first = shingle_sets(texts, shingle)
-        take, part, home = [], [], []
-        sizes = np.diff(at)
-        was_home = members["home"].to_pylist()
-        for i in range(len(texts)):
-            own = sets[first[i] : first[i + 1]]
-            common = np.array([len(np.intersect1d(own, held[at[k] : at[k + 1]], assume_unique=True)) for k in range(len(sizes))] or [0])
-            far = 1 - common / np.maximum((sizes if len(sizes) else 0) + len(own) - common, 1)
-            near = int(far.argmin())
-            for k in np.flatnonzero(far <= far[near] + reach).tolist():
-                take.append(i)
-                part.append(k)
-                home.append(k == near and was_home[i])
+        pivots = chosen["pivots"][0].as_py() if chosen.num_rows and members.num_rows else []
+        pivot_ids = [NULL_ID if p["doc_id"] is None else p["doc_id"] for p in pivots]
+        held, at = shingle_sets(pa.array([p["text"] for p in pivots], pa.string()), shingle)
+        sets, first = shingle_sets(members["text"].combine_chunks().fill_null(""), shingle)
+        size = np.diff(first)
+        border = starts_of(size)
+        common = np.zeros((len(pivots), len(size)), np.int64)
+        for k in range(len(pivots)):
+            own = held[at[k] : at[k + 1]]
+            hit = np.append(0, np.cumsum(own[np.minimum(np.searchsorted(own, sets), len(own) - 1)] == sets)) if len(own) else np.zeros(len(sets) + 1, np.int64)
+            common[k] = hit[border[1:]] - hit[border[:-1]]
+        union = np.maximum(np.diff(at)[:, None] + size - common, 1)
+        far = 1 - common / union
+        linked = of * common >= per * union
+        nearest = far.argmin(axis=0) if len(pivots) else np.zeros(len(size), np.int64)
+        part, take = np.nonzero(far <= far.min(axis=0) + reach) if len(pivots) else (np.zeros(0, np.int64),) * 2
+        own = part == nearest[take]
         rows = members.take(pa.array(take, pa.int64()))
-        return pa.table({"doc_id": rows["doc_id"], "text": rows["text"], "size": rows["size"], "region": rows["region"], "part": pa.array(part, pa.int32()), "home": pa.array(home, pa.bool_())})
+        near = [np.flatnonzero(linked[:, i]).tolist() if o else None for i, o in zip(take.tolist(), own.tolist(), strict=True)]
+        return pa.table({c: rows[c] for c in ("doc_id", "text", "size", "region")} | {
+            "was_home": rows["home"], "part": pa.array(part.astype(np.int32)), "own": pa.array(own), "near": pa.array(near, pa.list_(pa.int32())),
+            "linked": pa.array([None if n is None else [pivot_ids[k] for k in n] for n in near], pa.list_(pa.int64()))})
     return run
 
 
-_COLUMNS = ["doc_id", "text", "size", "region", "part", "home"]
+def _weight() -> Column:
+    return F.col("size") + DOC_SHINGLES
 
 
 def _measured(rows: DataFrame) -> DataFrame:
-    """region, its rows `n`, and the parts that a region of so many rows and shingles is to be divided into."""
-    parts = F.least(F.lit(MOST_PIVOTS), F.ceil(F.greatest(F.col("n") / REGION_DOCS, F.col("shingles") / REGION_SHINGLES))).cast("int")
-    return rows.groupBy("region").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).select("region", "n", parts.alias("parts"), F.col("shingles"))
+    """region, its rows `n` and its weight in shingles."""
+    return rows.groupBy("region").agg(F.count("*").alias("n"), F.sum(_weight()).alias("weight"))
 
 
 def _divide(inside: DataFrame, level: int, rule: tuple[int, int, int]) -> DataFrame:
-    """Regions with parts, by pivots of their own."""
-    hash_ = F.xxhash64("doc_id", F.lit(level)) if level else F.xxhash64("doc_id")
-    pivots = (inside.where(F.col("home") & (F.pmod(hash_, F.col("n")) < F.col("parts"))).groupBy("region", "parts").agg(F.slice(F.array_sort(F.collect_set("text")), 1, 2 * MOST_PIVOTS).alias("pivots"))
-              .select("region", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("share"), "pivots"))
-    # Members are dealt out over as many shares as there are pivots, so no task holds a whole region.
-    shares = inside.select("doc_id", "text", "size", "region", "home", F.pmod(F.xxhash64("doc_id", F.lit(-1 - level)), F.col("parts")).cast("int").alias("share"))
-    return shares.groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_to_pivots(*rule), "doc_id long, text string, size long, region long, part int, home boolean")
-
-
-def _pair_blocks(inside: DataFrame) -> DataFrame:
-    """Regions that pivots do not divide: blocks of half the bound, every two of them in one part."""
-    blocks_ = F.greatest(F.lit(2), F.ceil(2 * F.greatest(F.col("n") / REGION_DOCS, F.col("shingles") / REGION_SHINGLES))).cast("int")
-    dealt = inside.withColumn("blocks", blocks_).withColumn("own", F.pmod(F.xxhash64("doc_id", "text"), F.col("blocks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("own"))))
-    part = F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")
-    return met.withColumn("part", part.cast("int")).select(_COLUMNS)
-
-
-def bounded_regions(held: DataFrame, rule: tuple[int, int, int] = (SHINGLE, PER, OF)) -> DataFrame:
-    """Rows (doc_id, text, size, region, home) of regions, dealt into parts that a task can hold; linked rows meet where one is at home.
-
-    Regions within the bounds are one part. Others are divided by pivots, and so are parts of theirs, until all are within the
-    bounds. A division that sends members to more than two parts and more than half of all, or leaves a part over three
-    quarters of its region, is given up for pairs of blocks: each round takes a quarter off at least, so the rounds end.
+    """Regions with parts, by pivots of their own: the documents at home with the smallest hashes, a hash for each pivot."""
+    best = [F.min_by(F.struct("doc_id", "text"), F.xxhash64("doc_id", "text", F.lit(level * PIVOTS + j))) for j in range(PIVOTS)]
+    pivots = inside.where("home").groupBy("region", "shares").agg(F.array_distinct(F.array(*best)).alias("pivots"))
+    pivots = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "pivots").toDF("region", "share", "pivots")
+    # Members are dealt out over as many shares as there are bounds in the region, so no task holds a whole region.
+    shares = inside.select("doc_id", "text", "size", "region", "home", F.pmod(F.xxhash64("doc_id", "text", F.lit(-1 - level)), F.col("shares")).cast("int").alias("share"))
+    shares = shares.toDF(*shares.columns)
+    return shares.groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_to_pivots(*rule), _PARTED)
+
+
+def _pair_blocks(members: DataFrame) -> DataFrame:
+    """Regions that pivots do not divide, without the ball around the pivot that most are linked with: blocks of half the bound meet in pairs, two of the ball never."""
+    most = members.select("region", F.explode("near").alias("pivot")).groupBy("region", "pivot").count()
+    most = most.groupBy("region").agg(F.max_by("pivot", "count").alias("pivot"))
+    placed = members.join(most.hint("merge"), "region", "left").withColumn("ball", F.coalesce(F.array_contains("near", F.col("pivot")), F.lit(False)))
+    placed = checkpointed(placed.select("doc_id", "text", "size", "region", F.col("was_home").alias("home"), "ball"))
+    count = lambda ball: F.ceil(2 * F.coalesce(F.sum(F.when(F.col("ball") == ball, _weight())), F.lit(0)) / PART_SHINGLES).cast("int")
+    blocks_ = placed.groupBy("region").agg(count(False).alias("outside"), count(True).alias("inside"))
+    dealt = placed.join(blocks_.hint("merge"), "region").withColumn("h", F.xxhash64("doc_id", "text", F.lit(-7)))
+    dealt = dealt.withColumn("mine", F.when(F.col("ball"), F.col("outside") + F.pmod("h", F.greatest("inside", F.lit(1)))).otherwise(F.pmod("h", F.greatest("outside", F.lit(1)))).cast("int"))
+    every = F.col("outside") + F.col("inside")
+    others = F.filter(F.sequence(F.lit(0), every - 1), lambda b: (b != F.col("mine")) & (~F.col("ball") | (b < F.col("outside"))))
+    met = dealt.withColumn("other", F.explode(others))
+    return met.withColumn("part", (F.least("mine", "other") * every + F.greatest("mine", "other")).cast("int")).select(_TASK)
+
+
+def bounded_regions(held: DataFrame, rule: tuple[int, int, int] = (SHINGLE, PER, OF)) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (doc_id, text, size, region, home) of regions, dealt into parts that a task can hold, and the links found on the way.
+
+    A region within the bound is one part. Others are divided by pivots, and so are parts of theirs, until all are within
+    the bound. A division that doubles the rows, or leaves a part over half of its region, is given up for pairs of blocks;
+    others at least halve a region, so the rounds end.
     """
-    done, level = [], 0
+    done, links, level = [], [], 0
     while True:
         size = checkpointed(_measured(held))
-        large = size.where("parts > 1")
+        whole = size.where(F.col("weight") <= PART_SHINGLES)
+        task = lambda df: df.withColumn("part", F.lit(0)).withColumn("ball", F.lit(False)).select(_TASK)
+        done.append(task(held.join(whole.select("region").hint("merge"), "region", "left_semi")))
+        large = size.where(F.col("weight") > PART_SHINGLES).withColumn("shares", F.ceil(F.col("weight") / PART_SHINGLES).cast("int"))
         if large.isEmpty():
-            return reduce(DataFrame.unionByName, [*done, held.withColumn("part", F.lit(0)).select(_COLUMNS)])
-        rows = checkpointed(held.join(size.hint("merge"), "region"))
-        done.append(rows.where("parts = 1").withColumn("part", F.lit(0)).select(_COLUMNS))
-        inside = rows.where("parts > 1")
-        parted = checkpointed(_divide(inside, level, rule))
+            return reduce(DataFrame.unionByName, done), links
+        parted = checkpointed(_divide(held.join(large.hint("merge"), "region"), level, rule))
+        links.append(parted.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("u"), F.explode("linked").alias("v")).where("u != v"))
         each = parted.groupBy("region", "part").agg(F.count("*").alias("k"))
         judged = each.groupBy("region").agg(F.sum("k").alias("total"), F.max("k").alias("most")).join(large.hint("merge"), "region")
-        split = checkpointed(judged.select("region", (2 * F.col("total") <= F.col("n") * F.greatest(F.lit(4), F.col("parts"))) & (4 * F.col("most") <= 3 * F.col("n"))).toDF("region", "split"))
-        done.append(_pair_blocks(inside.join(split.where("NOT split").select("region").hint("merge"), "region", "left_semi")))
-        held = parted.join(split.where("split").select("region").hint("merge"), "region", "left_semi").select("doc_id", "text", "size", F.xxhash64("region", "part").alias("region"), "home")
+        split = checkpointed(judged.select("region", (F.col("total") <= 2 * F.col("n")) & (2 * F.col("most") <= F.col("n"))).toDF("region", "split"))
+        chosen = lambda yes: parted.join(split.where(F.col("split") == yes).select("region").hint("merge"), "region", "left_semi")  # noqa: E731, B023
+        if not split.where("NOT split").isEmpty():
+            done.append(_pair_blocks(chosen(False).where("own")))
+        held = checkpointed(chosen(True).select("doc_id", "text", "size", F.xxhash64("region", "part").alias("region"), (F.col("own") & F.col("was_home")).alias("home")))
         level += 1
 
 
+def regions(found: DataFrame) -> DataFrame:
+    """node and region of every set that can be linked at all; no link leaves a region."""
+    coarse = components(found.where(F.col("kind") == NEAR).select("u", "v"))
+    return coarse.select(F.col("u").alias("node"), F.col("v").alias("region")).unionByName(coarse.select(F.col("v").alias("node"), F.col("v").alias("region")).distinct())
+
+
 def _exact_links(docs: DataFrame, found: DataFrame, rule: tuple[int, int, int]) -> DataFrame:
-    """Links (u, v) between different sets, from the regions that the coarse links bound."""
-    coarse = components(found.where(F.col("kind") != META).select("u", "v"))
-    copies = found.where(F.col("kind") == SAME).select(F.col("u").alias("node")).distinct()
-    nodes = coarse.select(F.col("u").alias("node"), F.col("v").alias("region")).unionByName(coarse.select(F.col("v").alias("node"), F.col("v").alias("region")).distinct())
-    nodes = nodes.join(copies.hint("merge"), "node", "left_anti")
+    """Links (u, v) between different sets, from the regions outside of which there are none."""
     sizes = found.where(F.col("kind") == META).groupBy(F.col("u").alias("node")).agg(F.sum("v").alias("size"))
-    nodes = checkpointed(nodes.join(sizes.hint("merge"), "node"))
-    several = _measured(nodes).where("n > 1")
-    nodes = checkpointed(nodes.join(several.hint("merge"), "region"))
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    held = read.join(nodes.hint("merge"), F.coalesce(F.col("doc_id"), F.lit(NULL_ID)) == F.col("node")).select("doc_id", "text", "size", "region", F.lit(True).alias("home"))
-    if nodes.where("parts > 1").isEmpty():
-        dealt = held.withColumn("part", F.lit(0)).select(_COLUMNS)
-    else:
-        dealt = bounded_regions(checkpointed(held), rule)
-    return dealt.groupBy("region", "part").applyInArrow(_join_region(*rule), "u long, v long")
+    nodes = checkpointed(regions(found).join(sizes.hint("merge"), "node"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("node", F.coalesce("doc_id", F.lit(NULL_ID)))
+    held = read.join(nodes.hint("merge"), "node").dropDuplicates(["node", "text"]).select("doc_id", "text", "size", "region", F.lit(True).alias("home"))
+    dealt, links = bounded_regions(checkpointed(held), rule)
+    joined = dealt.groupBy("region", "part").applyInArrow(_join_region(*rule), "u long, v long")
+    return reduce(DataFrame.unionByName, [joined, *links])
+
+
+def coarse_links(docs: DataFrame, shingle: int, per: int, of: int) -> DataFrame:
+    """(kind, u, v): META rows with a document's set size, SAME links of equal sets, NEAR links of what may be linked."""
+    n = buckets_for(docs, BUCKET_BYTES)
+    sent = small_batches(docs).select("doc_id", "text").mapInArrow(_send_sets(n, shingle), _SENT).repartition("k")
+    answers = sent.groupBy("k").applyInArrow(_weigh, _SENT)
+    entered = sent.groupBy("k").cogroup(answers.groupBy("k")).applyInArrow(_enter(n, shingle, per, of), _SENT)
+    return checkpointed(entered.groupBy("k").applyInArrow(_meet, "kind int, u long, v long"))
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, per: int = PER, of: int = OF) -> DataFrame:
@@ -354,11 +473,9 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, per: int = PER,
 
     Sets of shingles of `shingle` words are linked from a similarity of per / of on, which lies between 0 and 1.
     """
-    n = partitions(docs.sparkSession)
-    sent = small_batches(docs).select("doc_id", "text").mapInArrow(_send_cells(n, shingle, per, of), "k long, block long, blob binary")
-    found = checkpointed(sent.groupBy("k").applyInArrow(_meet, "kind int, u long, v long"))
+    found = coarse_links(docs, shingle, per, of)
     links = found.where(F.col("kind") == SAME).select("u", "v").unionByName(_exact_links(docs, found, (shingle, per, of)))
-    label = components(links).select("u", F.col("v").alias("component_id"))
+    label = checkpointed(components(links).select("u", F.col("v").alias("component_id")))
     sizes = found.where(F.col("kind") == META).select("u", F.col("v").alias("n_shingles"))
     out = sizes.join(label.hint("merge"), "u", "left").withColumn("component_id", F.coalesce("component_id", "u"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
@@ -367,8 +484,8 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, per: int = PER,
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, per: int = PER, of: int = OF) -> DataFrame:
     """The rows of `docs` whose doc_id is the smallest of its component, with all their columns."""
-    others = jaccard_components(docs, shingle, per, of).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(others.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("gone")), "left_anti")
+    others = jaccard_components(docs, shingle, per, of).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__other_copy")).distinct()
+    return docs.join(others.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("__other_copy")), "left_anti")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,19 +20,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of spark.checkpoint.dir.
+    """Cut the lineage with a reliable checkpoint in the shared folder of spark.checkpoint.dir."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    A folder of our own is set only if the session names none (tests on one machine).
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session. Where it names none, a local master gets one of its own; a cluster must name one."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts, counted."""
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+
+
+def buckets_for(docs: DataFrame, each: int) -> int:
+    """A number of buckets that gives each about `each` bytes of the texts' keys."""
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-text_bytes(docs) // each))
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def quoted(name: str) -> str:
+    """A column name as a reference, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .arrays import BLOCK_BIT, U64, binary_batch, blocks, from_blob, hash_spans, hash_windows, mix, numbers, ragged, sliding, space_words, starts_of, string_parts, to_blob
-from .runtime import NULL_ID, partitions, small_batches, table
+from .runtime import NULL_ID, buckets_for, small_batches, table
 
 WINDOW, PREFIX = 20, 10
 BLOCK_BYTES = 8 << 20
@@ -216,7 +216,7 @@ def _remove(window: int, digests: bool):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, digests: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed and text without repeats, with the removed word spans; with `digests` the text's SHA-256 alone."""
-    n = partitions(docs.sparkSession)
+    n = buckets_for(docs, 32 << 20)
     sent = small_batches(docs).select("doc_id", "text").mapInArrow(_send_prefixes(n, window, prefix), "k long, block long, blob binary").repartition("k")
     repeated = sent.groupBy("k").applyInArrow(_repeated_prefixes, LINKED)
     windows = sent.groupBy("k").cogroup(repeated.groupBy("k")).applyInArrow(_send_windows(n, window, prefix), "k long, block long, blob binary")

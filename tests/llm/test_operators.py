@@ -325,15 +325,26 @@ def brute_components(rows):
     return Counter((i, len(s), find(i)) for i, s in sets)
 
 
-@pytest.mark.parametrize("region_docs", [4000, 5])
-def test_op10(docs, region_docs, monkeypatch):
+@pytest.mark.parametrize("bound", [1 << 19, 1500])
+def test_op10(docs, bound, monkeypatch):
     from lumenary.llm import jaccard
 
-    monkeypatch.setattr(jaccard, "REGION_DOCS", region_docs)
+    monkeypatch.setattr(jaccard, "PART_SHINGLES", bound)
     df, rows = docs
     assert rows_of(jaccard.jaccard_components(df)) == brute_components(rows)
 
 
+def test_op10_rows_with_equal_ids_are_one_node(spark):
+    from lumenary.llm.jaccard import jaccard_components
+
+    rng = random.Random(21)
+    a, b = words(rng, 90, 5000), words(rng, 90, 5000)
+    near = [*b[:40], "changed", *b[41:]]
+    rows = [(3, " ".join(a)), (5, " ".join(a)), (5, " ".join(b)), (9, " ".join(near)), (11, "else where it is"), (11, None)]
+    got = rows_of(jaccard_components(frame(spark, rows)))
+    assert got == brute_components(rows) and {c for i, _, c in got if i < 10} == {3}
+
+
 def test_op10_near_copies(spark):
     from lumenary.llm.jaccard import jaccard_components, keep_one
 
@@ -363,11 +374,11 @@ def brute_five_words(rows):
     return Counter((i, len(s), group[i]) for i, s in sets.items())
 
 
-@pytest.mark.parametrize("region_docs", [4000, 20])
-def test_op10_with_other_shingles_and_similarity(spark, region_docs, monkeypatch):
+@pytest.mark.parametrize("bound", [1 << 19, 3000])
+def test_op10_with_other_shingles_and_similarity(spark, bound, monkeypatch):
     from lumenary.llm import jaccard
 
-    monkeypatch.setattr(jaccard, "REGION_DOCS", region_docs)
+    monkeypatch.setattr(jaccard, "PART_SHINGLES", bound)
     rng = random.Random(12)
     rows = []
     for size in (4, 5, 6, 7, 9, 12, 20, 40, 90, 300):
@@ -383,53 +394,48 @@ def test_op10_with_other_shingles_and_similarity(spark, region_docs, monkeypatch
     assert len({r[2] for r in want}) < len({r[2] for r in brute_components(rows)})
 
 
-def random_sets(sizes, seed=9):
-    rng = random.Random(seed)
-    return [sorted(rng.randrange(2**64) for _ in range(n)) for n in sizes]
-
-
-def cells_of(sets):
-    import numpy as np
-    from lumenary.llm.jaccard import cells
-
-    row, cell = cells(np.array([x for s in sets for x in s], np.uint64), np.cumsum([0, *map(len, sets)]))
-    held = defaultdict(set)
-    for r, c in zip(row.tolist(), cell.tolist(), strict=True):
-        held[c].add(r)
-    return held
-
-
-def test_op10_unrelated_sets_share_no_cell():
-    from lumenary.llm.jaccard import windows_of
+def families(rng, bases, members, size, edits):
+    """Texts of near copies: `members` of each base, with up to `edits` words changed."""
+    out = []
+    for _ in range(bases):
+        base = words(rng, size, 5000)
+        for _ in range(members):
+            w = list(base)
+            for _ in range(rng.randrange(edits + 1)):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(w))
+    return [(i, t) for i, t in enumerate(out)]
 
-    for low, high in windows_of(3000):
-        if low < 58:
-            continue
-        held = cells_of(random_sets([*[-(-9 * low // 10)] * 60, *[low] * 60, *[high] * 60]))
-        met = {r for rows in held.values() if len(rows) > 1 for r in rows}
-        assert len(met) <= 4, (low, len(met))
 
+@pytest.mark.parametrize("rule", [(3, 90, 100), (5, 80, 100)])
+def test_op10_regions_hold_all_links_and_little_else(spark, rule):
+    from lumenary.llm.jaccard import NEAR, SAME, coarse_links, regions
 
-def test_op10_linked_sets_share_a_cell():
     rng = random.Random(10)
-    sets = random_sets([n for n in [*range(9, 60), *range(60, 900, 23)] for _ in range(20)])
-    for s in list(sets):
-        # As far apart as links go: one side without some, and both with some of their own.
-        gone = len(s) - -(-9 * len(s) // 10)
-        swap = max(k for k in range(len(s)) if 100 * (len(s) - k) >= 90 * (len(s) + k))
-        sets += [sorted(rng.sample(s, len(s) - gone)), sorted(rng.sample(s, len(s) - swap) + [rng.randrange(2**64) for _ in range(swap)])]
-    n = len(sets) // 3
-    shared = {(a, b) for rows in cells_of(sets).values() if len(rows) > 1 for a in rows if a < n for b in rows if b >= n}
-    for i in range(n):
-        for j in (n + 2 * i, n + 2 * i + 1):
-            assert sets[i] == sets[j] or (i, j) in shared, (len(sets[i]), len(sets[j]))
+    common = words(rng, 120, 5000)
+    rows = families(rng, 20, 6, 60, 3) + families(rng, 10, 4, 240, 9) + [(0, " ".join(common + words(rng, 80, 5000))) for _ in range(150)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    found = coarse_links(frame(spark, rows), *rule).cache()
+    region = {r.node: r.region for r in regions(found).collect()}
+    same = {r.u: r.v for r in found.where(found.kind == SAME).collect()}
+    assert found.where(found.kind == NEAR).count()
+    k, per, of = rule
+    sets = {i: {tuple(w[a : a + k]) for a in range(len(w) - k + 1)} for i, w in ((i, t.split()) for i, t in rows)}
+    for i in sets:
+        for j in range(i):
+            if of * len(sets[i] & sets[j]) >= per * len(sets[i] | sets[j]):
+                x, y = same.get(i, i), same.get(j, j)
+                assert x == y or region[x] == region[y]
+    # Texts that share most of their words, but not enough, stay apart.
+    assert not any(i in region for i in range(160, len(rows)))
 
 
 @pytest.mark.parametrize("kind", ["unrelated", "copies", "families"])
 def test_op10_regions_are_divided_until_they_fit(spark, kind, monkeypatch):
     from lumenary.llm import jaccard
 
-    monkeypatch.setattr(jaccard, "REGION_DOCS", 40)
+    bound = 40 * (198 + jaccard.DOC_SHINGLES)
+    monkeypatch.setattr(jaccard, "PART_SHINGLES", bound)
     rng = random.Random(11)
     base = [words(rng, 200, 5000) for _ in range({"unrelated": 300, "copies": 1, "families": 12}[kind])]
     rows = []
@@ -439,18 +445,23 @@ def test_op10_regions_are_divided_until_they_fit(spark, kind, monkeypatch):
             w[rng.randrange(len(w))] = f"x{rng.randrange(400)}"
         rows.append((i, " ".join(w)))
     held = frame(spark, [(i, t, 198, 7, True) for i, t in rows], "doc_id long, text string, size long, region long, home boolean")
-    dealt = jaccard.bounded_regions(held).cache()
-    assert dealt.groupBy("region", "part").count().agg(F.max("count")).first()[0] <= 2 * 40
-    homes, parts = defaultdict(set), defaultdict(set)
-    for r in dealt.collect():
-        parts[r.doc_id].add((r.region, r.part))
-        if r.home:
-            homes[r.doc_id].add((r.region, r.part))
+    dealt, links = jaccard.bounded_regions(held)
+    dealt = dealt.cache()
+    most = dealt.groupBy("region", "part").count().agg(F.max("count")).first()[0]
+    assert most is None or most <= 2 * 40
+    group = {i: i for i, _ in rows}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+    known = {(r.u, r.v) for df in [*links, dealt.groupBy("region", "part").applyInArrow(jaccard._join_region(3, 90, 100), "u long, v long")] for r in df.collect()}
+    for u, v in known:
+        group[find(u)] = find(v)
     sets = {i: {tuple(w[a : a + 3]) for a in range(len(w) - 2)} for i, w in ((i, t.split()) for i, t in rows)}
-    for a in range(300):
-        for b in range(a):
-            if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
-                assert homes[a] & parts[b] and homes[b] & parts[a]
+    linked = {(a, b) for a in range(300) for b in range(300) if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])}
+    assert known <= linked
+    assert all(find(a) == find(b) for a, b in linked)
 
 
 def test_op3(spark):
