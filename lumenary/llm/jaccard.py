@@ -394,7 +394,8 @@ def _divide(inside: DataFrame, level: int, rule: tuple[int, int, int]) -> DataFr
     pivots = pivots.select("region", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "pivots").toDF("region", "share", "pivots")
     # Members are dealt out over as many shares as there are bounds in the region, so no task holds a whole region.
     shares = inside.select("doc_id", "text", "size", "region", "home", F.pmod(F.xxhash64("doc_id", "text", F.lit(-1 - level)), F.col("shares")).cast("int").alias("share"))
-    shares = shares.toDF(*shares.columns)
+    # Rows come dealt by region; a task of its own for each share needs them dealt anew.
+    shares = shares.repartition("region", "share")
     return shares.groupBy("region", "share").cogroup(pivots.groupBy("region", "share")).applyInArrow(_to_pivots(*rule), _PARTED)
 
 
@@ -455,7 +456,8 @@ def _exact_links(docs: DataFrame, found: DataFrame, rule: tuple[int, int, int])
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("node", F.coalesce("doc_id", F.lit(NULL_ID)))
     held = read.join(nodes.hint("merge"), "node").dropDuplicates(["node", "text"]).select("doc_id", "text", "size", "region", F.lit(True).alias("home"))
     dealt, links = bounded_regions(checkpointed(held), rule)
-    joined = dealt.groupBy("region", "part").applyInArrow(_join_region(*rule), "u long, v long")
+    # Rows come dealt by region; a task of its own for each part needs them dealt anew.
+    joined = dealt.repartition("region", "part").groupBy("region", "part").applyInArrow(_join_region(*rule), "u long, v long")
     return reduce(DataFrame.unionByName, [joined, *links])
 
 
