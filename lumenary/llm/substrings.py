@@ -1,16 +1,17 @@
 """Substring dedup: every word in a window of `WINDOW` words that also starts earlier in the corpus is removed.
 
-Suffixes (one per word) are split by variable-length prefixes. Round one counts short prefixes of `PREFIX` words at
-content-defined anchors: of each window the prefix with the smallest hash. A prefix that occurs once is a leaf: no repeat
-lies below it, and the windows that it anchors are done. Round two extends the suffixes under repeated prefixes to the
-full window, groups them by prefix into memory-sized buckets and builds each group's subtree in sorted order: runs of
-equal suffixes are its internal nodes of at least `WINDOW` words, their leaves the occurrences; all but the earliest are
-repeats. Neighbouring repeated windows merge into the maximal repeats.
-
-Texts travel once, in compressed blocks. A block sends a prefix or a window once however often it holds it, so a passage
-in a third of all texts reaches a bucket once per block; answers name positions within the block.
-
-Prefixes and windows are compared by two independent 64-bit hashes.
+Suffixes (one per word) are split by prefixes of variable length. A suffix's prefix reaches to the end of the
+content-defined anchor in its first window: of the `PREFIX`-word runs in it the one with the smallest hash, so prefixes are
+`PREFIX` to `WINDOW` words long. Anchors are counted first. Suffixes whose anchor occurs in one place are leaves that
+nothing repeats. All others are grouped by anchor; where the counted suffixes of an anchor are over the byte bound, its
+group is divided by whole prefixes, and beyond that by the whole window. Each group's suffixes meet in one task with their
+words: sorted by words (a suffix array, ties by place) with the lengths of common prefixes between neighbours, which is the
+group's suffix tree. Its internal nodes of at least `WINDOW` words are the repeats; all leaves below one but the earliest
+start a repeated window, and neighbouring windows merge into the maximal repeats.
+
+Texts travel once, in compressed blocks. A block sends an anchor or a window once however often it holds it, so a passage
+in a third of all texts reaches a task once per block; answers name positions within the block. Hashes only choose groups
+and buckets (as many as the counted bytes of text need): whether windows are equal is decided by their words.
 
 Defined results: a null text has no words; a null doc_id sorts before all others and stays null; rows with equal doc_id
 are one place in the order, so neither of two windows with equal doc_id and start is the earlier; texts shorter than a
@@ -24,15 +25,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import BLOCK_BIT, U64, binary_batch, blocks, from_blob, hash_spans, hash_windows, mix, numbers, ragged, sliding, space_words, starts_of, string_parts, to_blob
+from .arrays import BLOCK_BIT, U64, binary_batch, blocks, from_blob, from_parts, hash_spans, hash_windows, mix, numbers, ragged, release, sliding, space_words, squeeze, starts_of, string_parts, to_blob, unsqueeze
 from .runtime import NULL_ID, buckets_for, small_batches, table
 
 WINDOW, PREFIX = 20, 10
 BLOCK_BYTES = 8 << 20
-#: Bytes of text for each of the blocks' slices that are hashed at once.
+#: Bytes of text whose anchors and suffixes one bucket holds.
+BUCKET_BYTES = 16 << 20
+#: Bytes of suffixes that one group may hold, and what the suffixes of one place of an anchor take.
+GROUP_BYTES, PLACE_BYTES = 4 << 20, 200
 ANSWER = ("k", "part", "blob")
 LINKED = "k long, part long, blob binary"
 
@@ -57,6 +62,11 @@ class Words:
         least = sliding(short, window - prefix + 1)[: len(self.begins)] if len(self.begins) else np.zeros(0, np.uint64)
         return short, np.where(self.begins, least, U64(0))
 
+    def codes(self) -> np.ndarray:
+        """A number for each word, equal for equal words."""
+        lengths = self.end - self.start
+        return from_parts(self.data[ragged(self.start, lengths)], starts_of(lengths)).dictionary_encode().indices.to_numpy()
+
     def anchors(self, window: int, prefix: int) -> np.ndarray:
         """Hashes of the prefixes that are smallest in some window, once per place."""
         short, least = self.prefixes(window, prefix)
@@ -81,7 +91,7 @@ def _send_prefixes(n: int, window: int, prefix: int):
             found, count = np.unique(Words(ids, texts, window).anchors(window, prefix), return_counts=True)
             rows = [(key, -1, to_blob({"ids": ids, "texts": texts}))]
             order, at = _bucketed(found, n)
-            rows += [(b, key, to_blob({"p": found[order[at[b] : at[b + 1]]], "twice": count[order[at[b] : at[b + 1]]] > 1})) for b in range(n) if at[b] < at[b + 1]]
+            rows += [(b, key, squeeze(found[order[at[b] : at[b + 1]]], count[order[at[b] : at[b + 1]]].astype(np.uint32))) for b in range(n) if at[b] < at[b + 1]]
             yield binary_batch(rows)
     return run
 
@@ -90,88 +100,169 @@ def _answers(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_batches([binary_batch(rows, ANSWER)])
 
 
-def _repeated_prefixes(rows: pa.Table) -> pa.Table:
-    """One bucket: prefixes that occur twice or more, told to each block that holds them."""
-    if not rows.num_rows or rows["k"][0].as_py() >= BLOCK_BIT:
-        return _answers([])
-    parts = [from_blob(b.as_buffer()) for b in rows["blob"]]
-    sizes = np.array([len(p) for p in parts], np.int64)
-    prefix = np.concatenate([numbers(p, "p") for p in parts])
-    twice = np.concatenate([numbers(p, "twice") for p in parts])
-    order = np.argsort(prefix, kind="stable")
-    sorted_ = prefix[order]
-    same = sorted_[1:] == sorted_[:-1]
-    edge = np.concatenate([[False], same, [False]])
-    hit = np.zeros(len(prefix), bool)
-    hit[order] = edge[1:] | edge[:-1]
-    hit |= twice
-    at = starts_of(sizes)
-    bucket = rows["k"][0].as_py()
-    return _answers([(block, bucket, to_blob({"p": prefix[at[i] : at[i + 1]][hit[at[i] : at[i + 1]]]})) for i, block in enumerate(rows["block"].to_pylist()) if hit[at[i] : at[i + 1]].any()])
+def _repeated_prefixes(window: int, prefix: int, group_bytes: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """One bucket: anchors in two places or more and how long the prefixes of their groups must be, told to each block that holds them.
+
+        Length 0 is the anchor alone, 1 the prefix that ends with it (which divides by the anchor's place in the window), 2 the whole window.
+        """
+        if not rows.num_rows or rows["k"][0].as_py() >= BLOCK_BIT:
+            return _answers([])
+        parts = [unsqueeze(b.as_py(), np.uint64, np.uint32) for b in rows["blob"]]
+        anchor, places = (np.concatenate([p[c] for p in parts]) for c in (0, 1))
+        order = np.argsort(anchor, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], anchor[order][1:] != anchor[order][:-1]]))
+        total = np.empty(len(anchor), np.int64)
+        total[order] = np.repeat(np.add.reduceat(places[order].astype(np.int64), edge), np.diff(np.append(edge, len(order))))
+        weight = total * PLACE_BYTES
+        length = (weight > group_bytes).astype(np.uint8) + (weight > group_bytes * (window - prefix + 1))
+        at = starts_of(np.array([len(p[0]) for p in parts], np.int64))
+        bucket, out = rows["k"][0].as_py(), []
+        for i, block in enumerate(rows["block"].to_pylist()):
+            mine = slice(at[i], at[i + 1])
+            hit = total[mine] > 1
+            if hit.any():
+                out.append((block, bucket, squeeze(anchor[mine][hit], length[mine][hit].astype(np.uint8))))
+        return _answers(out)
+    return run
 
 
 def _is_block(own: pa.Table) -> bool:
     return own.num_rows > 0 and own["k"][0].as_py() >= BLOCK_BIT
 
 
-def _send_windows(n: int, window: int, prefix: int):
+def equal_windows(codes: np.ndarray, at: np.ndarray, hashes: np.ndarray, window: int) -> np.ndarray:
+    """A number for each window of words that begins at `at`, equal for equal words; hashes only bring candidates together."""
+    order = np.argsort(hashes, kind="stable")
+    new = np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]]) if len(at) else np.zeros(0, bool)
+    head = at[order[np.flatnonzero(new)[np.cumsum(new) - 1]]] if len(at) else at
+    if not all((codes[at[order] + j] == codes[head + j]).all() for j in range(window)):
+        return np.unique(np.stack([codes[at + j] for j in range(window)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+    out = np.empty(len(at), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
+def group_keys(words: Words, at: np.ndarray, anchor: np.ndarray, length: np.ndarray, window: int, prefix: int) -> np.ndarray:
+    """The group of each suffix: its anchor, its whole prefix or its whole window, as `length` says."""
+    key = anchor.copy()
+    longer = np.flatnonzero(length)
+    if len(longer):
+        begin = at[longer]
+        short = hash_windows(words.hash, prefix)
+        place = np.full(len(longer), -1)
+        for o in range(window - prefix + 1):
+            place[(place < 0) & (short[begin + o] == anchor[longer])] = o
+        reach = np.where(length[longer] == 1, place + prefix, window)
+        h = np.zeros(len(longer), np.uint64)
+        for j in range(window):
+            h = np.where(j < reach, mix(h * U64(0x9E3779B97F4A7C15) + words.hash[begin + j]), h)
+        key[longer] = h
+    return key
+
+
+def _send_suffixes(n: int, window: int, prefix: int):
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
-        """One block: its windows under repeated prefixes, each once with its earliest place; local repeats as marks."""
+        """One block: the words of its suffixes under repeated anchors, each window once with its earliest place; local repeats as marks."""
         if not _is_block(own) or not answers.num_rows:
             return pa.Table.from_batches([binary_batch([])])
-        repeated = np.sort(np.concatenate([numbers(from_blob(b.as_buffer()), "p") for b in answers["blob"]]))
+        told = [unsqueeze(b.as_py(), np.uint64, np.uint8) for b in answers["blob"]]
+        repeated, length = (np.concatenate([t[c] for t in told]) for c in (0, 1))
+        order = np.argsort(repeated)
+        repeated, length = repeated[order], length[order]
+        block, packed = own["k"][0].as_py(), from_blob(own["blob"][0].as_buffer())
+        words = Words(numbers(packed, "ids"), packed.column("texts"), window)
+        least = words.prefixes(window, prefix)[1]
+        at = np.flatnonzero(words.begins)
+        spot = np.minimum(np.searchsorted(repeated, least[at]), len(repeated) - 1)
+        held = repeated[spot] == least[at]
+        at, length = at[held], length[spot[held]]
+        if not len(at):
+            return pa.Table.from_batches([binary_batch([])])
+        doc, place = words.ids[words.row[at]], at - words.first[words.row[at]]
+        group = equal_windows(words.codes(), at, hash_windows(words.hash, window)[at], window)
+        # Rows are in order, so the first of each group is its earliest.
+        head = np.unique(group, return_index=True)[1][group]
+        later = (doc != doc[head]) | (place != place[head])
         rows = []
-        # Blocks with equal ids and lengths share a key; they stay apart by their number.
-        for part, blob in enumerate(own["blob"]):
-            packed = from_blob(blob.as_buffer())
-            words = Words(numbers(packed, "ids"), packed.column("texts"), window)
-            least = words.prefixes(window, prefix)[1]
-            at = np.flatnonzero(words.begins)
-            spot = np.minimum(np.searchsorted(repeated, least[at]), len(repeated) - 1)
-            at = at[repeated[spot] == least[at]]
-            if not len(at):
-                continue
-            full = hash_windows(mix(words.hash ^ U64(0x5851F42D4C957F2D)), window)[at]
-            order = np.argsort(full, kind="stable")
-            new = np.concatenate([[True], full[order][1:] != full[order][:-1]])
-            head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]  # the earliest equal window, of each in `order`
-            doc, place = words.ids[words.row[at]], at - words.first[words.row[at]]
-            later = (doc[order] != doc[head]) | (place[order] != place[head])
-            if later.any():
-                rows.append((own["k"][0].as_py(), part, to_blob({"at": np.sort(at[order[later]])})))
-            sent = np.sort(order[new])
-            order, border = _bucketed(least[at[sent]], n)
-            for b in range(n):
-                pick = sent[order[border[b] : border[b + 1]]]
-                if len(pick):
-                    rows.append((b, own["k"][0].as_py(), to_blob({"part": np.full(len(pick), part, np.int32), "h": full[pick], "step": np.diff(at[pick], prepend=0).astype(np.int32), "doc": doc[pick], "base": words.first[words.row[at[pick]]].astype(np.int32)})))
+        if later.any():
+            rows.append((block, 0, squeeze(at[later])))
+        sent, length = at[~later], length[~later]
+        key = group_keys(words, sent, least[sent], length, window, prefix)
+        # Neighbouring suffixes of one group travel as one run of words.
+        new = np.ones(len(sent), bool)
+        new[1:] = (sent[1:] != sent[:-1] + 1) | (key[1:] != key[:-1]) | (length[1:] > 0)
+        begin = np.flatnonzero(new)
+        starts = np.diff(np.append(begin, len(sent)))
+        first, n_words = sent[begin], starts + window - 1
+        place, doc = (first - words.first[words.row[first]]).astype(np.int64), words.ids[words.row[first]]
+        order, border = _bucketed(key[begin], n)
+        for b in range(n):
+            pick = order[border[b] : border[b + 1]]
+            if len(pick):
+                own_words = ragged(first[pick], n_words[pick])
+                size = words.end[own_words] - words.start[own_words] + 1
+                out = np.full(int(size.sum()), 32, np.uint8)
+                ends = starts_of(size)
+                out[ragged(ends[:-1], size - 1)] = words.data[ragged(words.start[own_words], size - 1)]
+                text = from_parts(out, ends[starts_of(n_words[pick])])
+                rows.append((b, block, to_blob({"at": first[pick], "starts": starts[pick].astype(np.int32), "doc": doc[pick], "place": place[pick], "words": text})))
+        release()
         return pa.Table.from_batches([binary_batch(rows)])
     return run
 
 
-def _repeats(rows: pa.Table) -> pa.Table:
-    """One bucket's subtrees: leaves of each deep internal node but the earliest, told to their blocks."""
-    if _is_block(rows):  # local repeats pass through
-        return _answers([(rows["k"][0].as_py(), part, blob.as_py()) for part, blob in zip(rows["block"].to_pylist(), rows["blob"], strict=True)])
-    if not rows.num_rows:
-        return _answers([])
-    parts = [from_blob(b.as_buffer()) for b in rows["blob"]]
-    at = np.concatenate([np.cumsum(numbers(p, "step").astype(np.int64)) for p in parts])
-    place = at - np.concatenate([numbers(p, "base") for p in parts])
-    doc = np.concatenate([numbers(p, "doc") for p in parts])
-    full = np.concatenate([numbers(p, "h") for p in parts])
-    order = np.lexsort((place, doc, full))
-    new = np.concatenate([[True], full[order][1:] != full[order][:-1]])
-    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    later = np.zeros(len(full), bool)
-    later[order] = (doc[order] != doc[head]) | (place[order] != place[head])
-    border = starts_of(np.array([len(p) for p in parts], np.int64))
-    out = []
-    for i, block in enumerate(rows["block"].to_pylist()):
-        mine = later[border[i] : border[i + 1]]
-        if mine.any():
-            out.append((block, int(numbers(parts[i], "part")[0]), to_blob({"at": at[border[i] : border[i + 1]][mine]})))
-    return _answers(out)
+def suffix_array(codes: np.ndarray, at: np.ndarray, window: int, ties: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes that begin at `at`, by their first `window` words and then by `ties`, and the words that each shares with the one before."""
+    bits = max(1, int(codes.max()).bit_length()) if len(codes) else 1
+    each = 63 // bits
+    keys = []
+    for a in range(0, window, each):
+        packed = np.zeros(len(at), np.int64)
+        for j in range(a, min(window, a + each)):
+            packed = (packed << bits) | codes[at + j]
+        keys.append(packed)
+    order = np.lexsort((*reversed(ties), *reversed(keys)))
+    common = np.zeros(len(at), np.int64)
+    same = np.ones(max(0, len(at) - 1), bool)
+    for j in range(window):
+        word = codes[at[order] + j]
+        same &= word[1:] == word[:-1]
+        common[1:] += same
+    return order, common
+
+
+def _repeats(window: int):
+    def run(rows: pa.Table) -> pa.Table:
+        """One bucket's suffix trees: leaves of each internal node of at least a window but the earliest, told to their blocks."""
+        if _is_block(rows):  # local repeats pass through
+            return _answers([(rows["k"][0].as_py(), part, blob.as_py()) for part, blob in zip(rows["block"].to_pylist(), rows["blob"], strict=True)])
+        if not rows.num_rows:
+            return _answers([])
+        parts = [from_blob(b.as_buffer()) for b in rows["blob"]]
+        get = lambda name: np.concatenate([numbers(p, name) for p in parts])
+        first, starts, doc, place = get("at"), get("starts").astype(np.int64), get("doc"), get("place")
+        owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        data, offsets = zip(*[string_parts(p.column("words")) for p in parts], strict=True)
+        begin, end, _ = space_words(np.concatenate(data), np.zeros(1, np.int64))  # every run ends with a space
+        size = end - begin
+        codes = from_parts(np.concatenate(data)[ragged(begin, size)], starts_of(size)).dictionary_encode().indices.to_numpy().astype(np.int64)
+        del data, offsets, begin, end, size, parts
+        run_first = starts_of(starts + window - 1)[:-1]
+        step = np.arange(int(starts.sum())) - np.repeat(starts_of(starts)[:-1], starts)
+        spread = lambda x: np.repeat(x, starts) + step
+        doc, place = np.repeat(doc, starts), spread(place)
+        order, common = suffix_array(codes, spread(run_first), window, (doc, place))
+        new = common < window
+        head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+        later = np.zeros(len(order), bool)
+        later[order] = (doc[order] != doc[head]) | (place[order] != place[head])
+        at, owner = spread(first)[later], np.repeat(owner, starts)[later]
+        border = np.searchsorted(owner, np.arange(rows.num_rows + 1))
+        out = [(block, 1 + rows["k"][0].as_py(), squeeze(at[border[i] : border[i + 1]])) for i, block in enumerate(rows["block"].to_pylist()) if border[i] < border[i + 1]]
+        release()
+        return _answers(out)
+    return run
 
 
 def _remove(window: int, digests: bool):
@@ -181,14 +272,12 @@ def _remove(window: int, digests: bool):
     def run(own: pa.Table, answers: pa.Table) -> pa.Table:
         """One block: words outside of all repeated windows, joined by spaces."""
         rows: list[tuple] = []
-        marks: dict[int, list[np.ndarray]] = {}
-        for part, blob in zip(answers["part"].to_pylist(), answers["blob"], strict=True):
-            marks.setdefault(part, []).append(numbers(from_blob(blob.as_buffer()), "at"))
-        for part, blob in enumerate(own["blob"] if _is_block(own) else ()):
+        marks = [unsqueeze(blob.as_py(), np.int64)[0] for blob in answers["blob"]]
+        for blob in own["blob"] if _is_block(own) else ():
             packed = from_blob(blob.as_buffer())
             words = Words(numbers(packed, "ids"), packed.column("texts"), window, hashed=False)
             step = np.zeros(len(words.start) + 1, np.int64)
-            for at in marks.get(part, ()):
+            for at in marks:
                 np.add.at(step, at, 1)
                 np.add.at(step, at + window, -1)
             gone = np.cumsum(step[:-1]) > 0
@@ -214,13 +303,13 @@ def _remove(window: int, digests: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, digests: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, digests: bool = False, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and text without repeats, with the removed word spans; with `digests` the text's SHA-256 alone."""
-    n = buckets_for(docs, 32 << 20)
+    n = buckets_for(docs, BUCKET_BYTES)
     sent = small_batches(docs).select("doc_id", "text").mapInArrow(_send_prefixes(n, window, prefix), "k long, block long, blob binary").repartition("k")
-    repeated = sent.groupBy("k").applyInArrow(_repeated_prefixes, LINKED)
-    windows = sent.groupBy("k").cogroup(repeated.groupBy("k")).applyInArrow(_send_windows(n, window, prefix), "k long, block long, blob binary")
-    marks = windows.groupBy("k").applyInArrow(_repeats, LINKED)
+    repeated = sent.groupBy("k").applyInArrow(_repeated_prefixes(window, prefix, group_bytes), LINKED)
+    suffixes = sent.groupBy("k").cogroup(repeated.groupBy("k")).applyInArrow(_send_suffixes(n, window, prefix), "k long, block long, blob binary")
+    marks = suffixes.groupBy("k").applyInArrow(_repeats(window), LINKED)
     schema = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digests else "text string, removed array<struct<start:bigint,end:bigint>>")
     return sent.groupBy("k").cogroup(marks.groupBy("k")).applyInArrow(_remove(window, digests), schema)
 

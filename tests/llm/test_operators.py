@@ -37,7 +37,8 @@ def docs(request, spark):
     return frame(spark, rows, schema), [(r[0], r[1]) for r in rows]
 
 
-def test_op1(docs):
+@pytest.mark.parametrize("group_bytes", [4 << 20, 3000, 300])
+def test_op1(docs, group_bytes):
     from lumenary.llm.substrings import remove_repeats
 
     df, rows = docs
@@ -55,12 +56,31 @@ def test_op1(docs):
             if first[tuple(w[a : a + 20])] < (i, a):
                 gone |= set(range(a, a + 20))
         want[doc_id, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone))] += 1
-    assert rows_of(remove_repeats(df, digests=True)) == want
-    full = remove_repeats(df).withColumn("sha", F.sha2("text", 256))
+    assert rows_of(remove_repeats(df, digests=True, group_bytes=group_bytes)) == want
+    full = remove_repeats(df, group_bytes=group_bytes).withColumn("sha", F.sha2("text", 256))
     assert rows_of(full.select("doc_id", "n_words", "n_removed", "sha")) == want
     assert all(sum(e - s for s, e in r.removed) == r.n_removed for r in full.collect())
 
 
+def test_op1_suffix_array():
+    import numpy as np
+    from lumenary.llm.substrings import equal_windows, suffix_array
+
+    rng = random.Random(13)
+    for vocabulary in (1, 2, 5, 3_000_000):
+        codes = [rng.randrange(vocabulary) for _ in range(400)]
+        codes[200:260] = codes[20:80]
+        at = sorted(rng.sample(range(375), 200))
+        order, common = suffix_array(np.array(codes), np.array(at), 25, (np.array(at),))
+        suffixes = [codes[i : i + 25] for i in at]
+        assert order.tolist() == sorted(range(len(at)), key=lambda k: (suffixes[k], at[k]))
+        for x, y, n in zip(order, order[1:], common[1:], strict=False):
+            assert n == next((j for j in range(25) if suffixes[x][j] != suffixes[y][j]), 25)
+        # Hashes that are all equal bring everything together; words decide.
+        groups = equal_windows(np.array(codes), np.array(at), np.zeros(len(at), np.uint64), 25)
+        assert all((groups[i] == groups[j]) == (suffixes[i] == suffixes[j]) for i in range(200) for j in range(200))
+
+
 def test_op2(docs):
     from lumenary.llm.lines import dedup_lines
 
