@@ -1,12 +1,13 @@
 """Line dedup: normalised lines are exploded and hashed, documents counted per hash, common lines dropped, texts reassembled.
 
 Only hashes and positions are shuffled for the count (with partial aggregation, so a line that a third of all documents
-share is one row per task); hashes over the threshold meet the line rows in a merge join whose skewed partitions Spark
-splits; positions to drop are gathered per document and the text is rebuilt by position.
+share is one row per task); hashes over the threshold are written and meet the line rows in a merge join of two plain sorted
+shuffles, whose skewed partitions Spark splits; positions to drop are gathered per document and the text is rebuilt by position.
 
 Defined results: a null or empty text is one empty line; a null doc_id is a document of its own that sorts before all
 others; rows with equal doc_id are one document in the count, and each keeps a row; a key is kept in all rows of the
-largest doc_id; an empty table gives an empty result; other columns come through untouched.
+largest doc_id; an empty table gives an empty result; other columns come through untouched, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -19,9 +20,10 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .arrays import from_parts, pieces, ragged, starts_of, string_parts
-from .runtime import small_batches, table
+from .runtime import checkpointed, quoted, small_batches, table
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 PIECE_BYTES = 4 << 20
@@ -77,21 +79,33 @@ def common_lines(lines: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return per_doc.groupBy("line_key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keeper")).where(F.col("n_docs") >= least_docs).drop("n_docs")
 
 
-def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """The columns of `docs` (doc_id, text and others) with common lines taken out of `text`, n_lines and n_dropped."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    kept = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("others") if others else F.lit(None).cast("int").alias("others"),
-                       F.xxhash64("text").alias("row_hash"))
+def _deduplicated(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
+    """whole (all columns of a row as they came), text, n_lines and n_dropped; no name of the input is in the way of another."""
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("whole")
+    kept = small_batches(docs).select(row, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("row_hash"))
     lines = kept.select("doc_id", "row_hash", "text").mapInArrow(_lines(least_chars), _LINE)
-    common = common_lines(lines, least_docs)
+    common = checkpointed(common_lines(lines, least_docs))
     dropped = (lines.join(common.hint("merge"), "line_key").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
                .select("doc_id", "row_hash", "place").distinct()
                .groupBy("doc_id", "row_hash").agg(F.collect_list("place").alias("dropped")))
-    l, r = kept.alias("l"), dropped.alias("r")
-    joined = l.join(r.hint("merge"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.row_hash") == F.col("r.row_hash")), "left").select("l.doc_id", "others", "text", "dropped")
-    fields = joined.schema
-    out = joined.mapInArrow(_rebuild, f"doc_id long, others {fields['others'].dataType.simpleString()}, text string, n_lines long, n_dropped long")
-    return out.select(*[F.col(f"others.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns], "n_lines", "n_dropped")
+    l, r = kept.withColumn("whole", F.col("whole").dropFields("text")) if len(docs.columns) > 1 else kept, dropped
+    l, r = l.alias("l"), r.alias("r")
+    joined = l.join(r.hint("merge"), F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.row_hash") == F.col("r.row_hash")), "left").select("whole", "text", "dropped")
+    return joined.mapInArrow(_rebuild, StructType([joined.schema["whole"], joined.schema["text"], StructField("n_lines", LongType()), StructField("n_dropped", LongType())]))
+
+
+def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """The columns of `docs` with common lines taken out of `text`, and n_lines and n_dropped; columns of these two names give way."""
+    out = _deduplicated(docs, least_chars, least_docs)
+    columns = [F.col("text") if c == "text" else F.col(f"whole.{quoted(c)}").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*columns, "n_lines", "n_dropped")
+
+
+def drop_common_lines(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> DataFrame:
+    """The columns of `docs` with common lines taken out of `text`; a column n_chars follows the text."""
+    length = F.length("text")
+    column = {"text": F.col("text")} | ({"n_chars": length.cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return _deduplicated(docs, least_chars, least_docs).select(*[column.get(c, F.col(f"whole.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

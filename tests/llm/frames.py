@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k long, block string, others int, region string, start int, kept string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k long, block string, others int, region string, start int, kept string, `a.b` int, n_lines int, n_dropped string, dropped int, whole int, row_hash int, gone int, bad_id long, bad_hash long, node int, size int, hits int, items int, line_key int, keeper int, toxic int, score int, part int, contaminated int, n_words int, found int"
 
 
 def words(rng, n, vocabulary=400):
@@ -16,7 +16,7 @@ def odd_rows():
     copied = " ".join(words(rng, 60))
     texts = [(1, None), (2, ""), (3, " \n\t "), (4, long), (5, copied), (6, copied), (6, copied), (7, copied.upper()), (8, f"é ß {copied} ñ x"), (9, "a"), (10, "a b"), (11, "A B"), (12, "a b c"),
              (13, f"first\n{copied}\nlast"), (13, "another text of the same id"), (None, copied), (None, None), (14, "\n\n"), (15, "x" * 50_000), (16, "don't  stop\r\nnow\x0b\x0c 12345"), (17, "the\n" * 300), (18, "a b a b a b a b a b " * 30)]
-    return [(i, t, None if n % 3 == 0 else "en", f"src{n}", len(t or ""), n, "b", n, None, n, "kept") for n, (i, t) in enumerate(texts)]
+    return [(i, t, None if n % 3 == 0 else "en", f"src{n}", len(t or ""), n, "b", n, None, n, "kept", n, n, "x", *[n] * 18) for n, (i, t) in enumerate(texts)]
 
 
 def planted(n=120, seed=3):
