@@ -158,6 +158,16 @@ def ragged(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(first - (ends - lengths), lengths)
 
 
+def join_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.Array:
+    """Strings of count[i] words from first[i] on, for every i, each word followed by a space."""
+    words = ragged(first, count)
+    size = end[words] - start[words] + 1
+    ends = starts_of(size)
+    out = np.full(int(ends[-1]), 32, np.uint8)
+    out[ragged(ends[:-1], size - 1)] = data[ragged(start[words], size - 1)]
+    return from_parts(out, ends[starts_of(count)])
+
+
 def string_parts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string array, offsets from 0."""
     wide = pa.types.is_large_string(texts.type)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import BLOCK_BIT, U64, binary_batch, blocks, from_blob, from_parts, hash_spans, hash_windows, mix, numbers, ragged, release, sliding, space_words, squeeze, starts_of, string_parts, to_blob, unsqueeze
+from .arrays import BLOCK_BIT, U64, binary_batch, blocks, from_blob, from_parts, hash_spans, hash_windows, join_words, mix, numbers, ragged, release, sliding, space_words, squeeze, starts_of, string_parts, to_blob, unsqueeze
 from .runtime import NULL_ID, buckets_for, small_batches, table
 
 WINDOW, PREFIX = 20, 10
@@ -200,12 +200,7 @@ def _send_suffixes(n: int, window: int, prefix: int):
         for b in range(n):
             pick = order[border[b] : border[b + 1]]
             if len(pick):
-                own_words = ragged(first[pick], n_words[pick])
-                size = words.end[own_words] - words.start[own_words] + 1
-                out = np.full(int(size.sum()), 32, np.uint8)
-                ends = starts_of(size)
-                out[ragged(ends[:-1], size - 1)] = words.data[ragged(words.start[own_words], size - 1)]
-                text = from_parts(out, ends[starts_of(n_words[pick])])
+                text = join_words(words.data, words.start, words.end, first[pick], n_words[pick])
                 rows.append((b, block, to_blob({"at": first[pick], "starts": starts[pick].astype(np.int32), "doc": doc[pick], "place": place[pick], "words": text})))
         release()
         return pa.Table.from_batches([binary_batch(rows)])
