@@ -12,11 +12,13 @@ row each; an empty table gives an empty result and a map whose slots are dealt o
 from __future__ import annotations
 
 import heapq
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .runtime import checkpointed, table
+from .runtime import checkpointed, shared_folder, table
 
 N_SLOTS = 4096
 N_SHARDS = 16
@@ -50,7 +52,7 @@ def first_map(sizes: dict[int, int], n_slots: int = N_SLOTS, n_shards: int = N_S
     return sorted(rows)
 
 
-def rebalance(rows: list[tuple[int, int, int, int]], sizes: dict[int, int], n_shards: int, slack: float = 0.01) -> list[tuple[int, int, int, int]]:
+def rebalance(rows: list[tuple[int, int, int, int]], sizes: dict[int, int], n_shards: int, slack: float = 0.002) -> list[tuple[int, int, int, int]]:
     """The next version: as long as a shard is over the mean by more than `slack`, its best-fitting slot moves to the lightest one.
 
     Slots of shards that no longer exist move as well; all other slots stay where they are.
@@ -84,7 +86,13 @@ def store_map(spark: SparkSession, rows: list[tuple[int, int, int, int]], path:
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> list[tuple[int, int, int, int]]:
-    """The stored map of a version, or of the latest; `n_slots` rows."""
+    """The stored map of a version, or of the latest; a row for each slot, none where nothing is stored yet."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return []
+        raise
     stored = spark.read.parquet(path).select("version", "virtual_slot", "shard", "bytes")
     top = stored.agg(F.max("version")).first()[0] if version is None else version
     return sorted(tuple(r) for r in stored.where(F.col("version") == top).collect())
@@ -96,7 +104,7 @@ def assign(slotted: DataFrame, slot_map: DataFrame, n_rows: int) -> DataFrame:
     Places follow (virtual slot, group, doc_id): a running sum over the groups' counts gives each group's first place,
     and rows are numbered within their group, so no task ever sorts a whole shard.
     """
-    per_slot = max(1, round(n_rows / ROWS_PER_GROUP / N_SLOTS))
+    per_slot = max(1, round(n_rows / ROWS_PER_GROUP / N_SLOTS))  # of the usual number of slots
     placed = (slotted.withColumn("group", F.pmod("spread", F.lit(per_slot)))
               .join(F.broadcast(slot_map.select("version", "virtual_slot", "shard")), "virtual_slot"))
     counts = placed.groupBy("shard", "virtual_slot", "group").agg(F.count("*").alias("n"))
@@ -113,25 +121,22 @@ def assign(slotted: DataFrame, slot_map: DataFrame, n_rows: int) -> DataFrame:
 
 
 def shard_documents(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
-    """Slot, size and place every record; the map is stored under `map_path` if one is given.
+    """Slot, size and place every record by the map stored under `map_path` (a new folder of the checkpoint folder if none is given).
 
-    Stored maps are edited, not rebuilt: where `map_path` has a version already, the next one moves as few slots as it can.
+    Where nothing is stored, version 1 deals the slots out in turn. The next version is an edit of the latest one by the
+    slots' counted bytes, which moves as few slots as it can; it is stored, read back and applied. Records never change their
+    slot, so the stored number of slots holds, and `n_slots` counts for a first map only.
     """
     spark = docs.sparkSession
-    slotted = checkpointed(with_slots(docs, n_slots))
-    sums = slot_sizes(slotted).collect()  # n_slots rows at most
-    sizes = {r["virtual_slot"]: r["bytes"] for r in sums}
-    if map_path is None:
-        rows = first_map(sizes, n_slots, n_shards)
-    else:
-        try:
-            rows = rebalance(load_map(spark, map_path), sizes, n_shards)
-        except Exception as e:  # noqa: BLE001  nothing stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            rows = first_map(sizes, n_slots, n_shards)
-        store_map(spark, rows, map_path)
-    return assign(slotted, spark.createDataFrame(rows, MAP_SCHEMA), sum(r["n"] for r in sums))
+    path = map_path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4()}"
+    stored = load_map(spark, path)
+    if not stored:
+        stored = [(1, slot, slot % n_shards, 0) for slot in range(n_slots)]
+        store_map(spark, stored, path)
+    slotted = checkpointed(with_slots(docs, len(stored)))
+    sums = slot_sizes(slotted).collect()  # a row for each slot at most
+    store_map(spark, rebalance(stored, {r["virtual_slot"]: r["bytes"] for r in sums}, n_shards), path)
+    return assign(slotted, spark.createDataFrame(load_map(spark, path), MAP_SCHEMA), sum(r["n"] for r in sums))
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
