@@ -1,9 +1,9 @@
 """Secret scans by linking the parts of a credential.
 
 Strong patterns (assignments, access identifiers, long hex strings) always count. Weak ones (identifiers, opaque strings,
-endpoints) mean little alone: they are reported only if a part of another role lies within `REACH` code points of the
-same document. Parts are found with JVM regular expressions, become rows with their positions, and meet in an interval
-join on (row, stretch of REACH code points).
+endpoints) mean little alone. Within a scope of `REACH` code points of the same document an identifier needs a secret, a
+secret needs an identity, and an endpoint needs both. Parts are found with JVM regular expressions, become rows with their
+positions, and meet in an interval join on (row, stretch of REACH code points). `link_credentials` gives the linked groups.
 
 Defined results: a null text is empty; an empty text or table has no spans; equal rows each keep a row, a null doc_id
 included; very long texts only make more part rows; columns other than doc_id and text are ignored.
@@ -54,17 +54,36 @@ def find_parts(docs: DataFrame) -> DataFrame:
     return placed.select("doc_id", "row", "kind", "start", "end", kept.alias("kept"))
 
 
-def link_weak(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """Weak parts with a part of another role at most `reach` code points away: row, kind, start, end."""
+#: Roles that must lie near a weak part of each role.
+NEEDS = {"identity": ("secret",), "secret": ("identity",), "endpoint": ("identity", "secret")}
+
+
+def _near_pairs(parts: DataFrame, reach: int) -> DataFrame:
+    """Pairs of parts of other roles at most `reach` code points apart: row, kind, start, end, role, strong, and start_2, end_2, role_2, gap."""
     role = F.element_at(F.array(*[F.lit(k[2]) for k in KINDS]), F.col("kind") + 1)
     strong = F.element_at(F.array(*[F.lit(k[6]) for k in KINDS]), F.col("kind") + 1)
     placed = parts.where(F.col("kind").isNotNull() & F.col("kept")).select("row", "kind", "start", "end", role.alias("role"), strong.alias("strong"))
     stretch = lambda df, by: df.withColumn("stretch", F.explode(F.sequence(F.floor((F.col("start") - by) / reach), F.floor((F.col("end") + by) / reach))))
-    weak = stretch(placed.where(~F.col("strong")), 0).alias("w")
-    near = stretch(placed, reach).select("row", "stretch", *[F.col(c).alias(f"{c}_2") for c in ("start", "end", "role")]).alias("n")
+    near = stretch(placed, reach).select("row", "stretch", *[F.col(c).alias(f"{c}_2") for c in ("start", "end", "role")])
     gap = F.greatest("start", "start_2") - F.least("end", "end_2")
-    return (weak.join(near.hint("merge"), ["row", "stretch"]).where((F.col("role") != F.col("role_2")) & (gap <= reach))
-            .select("row", "kind", "start", "end").distinct())
+    return stretch(placed, 0).join(near.hint("merge"), ["row", "stretch"]).where(F.col("role") != F.col("role_2")).withColumn("gap", gap).where(F.col("gap") <= reach)
+
+
+def link_weak(parts: DataFrame, reach: int = REACH) -> DataFrame:
+    """Weak parts that parts of all roles they need lie near: row, kind, start, end."""
+    near = _near_pairs(parts, reach).where(~F.col("strong")).groupBy("row", "kind", "start", "end", "role").agg(F.collect_set("role_2").alias("roles"))
+    whole = [(F.col("role") == role) & F.forall(F.array(*[F.lit(n) for n in needs]), lambda n: F.array_contains("roles", n)) for role, needs in NEEDS.items()]
+    return near.where(any_of(whole)).select("row", "kind", "start", "end")
+
+
+def link_credentials(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """doc_id, secret, its nearest identity, and the nearest endpoint (null if none is near): spans of each linked credential."""
+    parts = find_parts(docs)
+    pairs = _near_pairs(parts, reach).where("role = 'secret'").select("row", "start", "end", "role_2", "gap", F.struct(F.col("start_2").alias("start"), F.col("end_2").alias("end")).alias("other")).distinct()
+    best = lambda role: F.min_by(F.when(F.col("role_2") == role, F.col("other")), F.when(F.col("role_2") == role, F.struct("gap", "other"))).alias(role)
+    groups = pairs.groupBy("row", "start", "end").agg(best("identity"), best("endpoint")).where("identity IS NOT NULL")
+    ids = parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"))
+    return groups.join(ids.hint("merge"), "row").select("doc_id", F.struct("start", "end").alias("secret"), "identity", "endpoint")
 
 
 def _joined(spans: Column) -> Column:
