@@ -71,7 +71,7 @@ def labelled(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataF
     """Statistics of a bounded, hash-chosen sample of the labelled rows, with `bad` (quality 0) and `grow` (two thirds)."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     share = min(1.0, rows / max(1, known.count()))
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    picked = known.where(F.shiftrightunsigned(F.xxhash64("doc_id"), 2) < F.lit(int(share * 2**62)))
     return checkpointed(stats.join(picked.hint("merge"), "doc_id").select(
         *FEATURES, (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) > 0).alias("grow")))
 

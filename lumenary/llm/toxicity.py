@@ -8,7 +8,7 @@ every passage that stands out. Extreme-value statistics turn a segment's score S
 chance segments E = K n exp(-lambda S); the evidence of a text is the sum of -log E over its significant segments, and a
 logistic curve fitted on the labelled rows makes it a probability.
 
-The fit is bounded: at most about `FIT_ROWS` labelled rows, picked by hash, and `LEXICON` words. Texts, languages, sources
+The fit is bounded: at most about `FIT_ROWS` labelled rows, picked by hash; the lexicon is as large as they make it. Texts, languages, sources
 and ids are not looked up in anything but the text. The scan covers whole texts, without a shuffle.
 
 Defined results: a null or empty text has no evidence and gets the base score; a null doc_id gets a score and counts as
@@ -27,17 +27,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .arrays import BYTE_CODES, U64, alnum_words, blocks, fold, mix, pieces, powers, string_parts
-from .runtime import NULL_ID, checkpointed, small_batches, table
+from .arrays import BYTE_CODES, U64, alnum_words, blocks, fold, hash_spans, mix, pieces, powers, string_parts
+from .runtime import NULL_ID, checkpointed, quoted, small_batches, table
 
-FIT_ROWS, LEXICON = 20_000, 4096
-#: Lengths in characters of the beginnings of words that count as keys, and the longest key in bytes.
-STEM, KEY_BYTES = (3, 8), 24
-#: Weight of the prior in documents, least z of a key, least share of toxic among its documents, and least number of toxic
-#: documents that hold it, also as a share of all toxic ones.
-PRIOR_DOCS, LEAST_Z, LEAST_PURITY, LEAST_DOCS, LEAST_SHARE = 10.0, 2.5, 0.85, 6, 0.01
-TOP_SCORE = 6.0
+FIT_ROWS = 20_000
+#: Lengths in characters of the beginnings of words that count as keys; whole words of any length are keys too.
+STEM = (3, 8)
+#: Weight of the prior in documents, least z and least log-odds of a key (neither depends on how many rows are toxic), and
+#: least number of toxic documents that hold it, also as a share of all toxic ones.
+PRIOR_DOCS, LEAST_Z, LEAST_DELTA, LEAST_DOCS, LEAST_SHARE = 10.0, 2.5, 3.6, 6, 0.01
 THRESHOLD = 0.3
 BATCH_BYTES = 2 << 20
 
@@ -86,25 +86,28 @@ def maximal_segments(places: list[int], scores: list[float], other: float) -> li
 
 
 def word_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(words, keys) by length in bytes: beginnings of STEM characters that end on a character, and whole words."""
-    word = np.arange(len(start))
-    total, chars = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int64)
+    """(words, keys): beginnings of STEM characters that end on a character, by length in bytes, and all whole words."""
     size = end - start
     padded = np.concatenate([data, np.zeros(1, np.uint8)])
-    for j in range(1, KEY_BYTES + 1):
-        alive = size[word] >= j
+    if len(start):
+        # Characters begin with any byte but a continuation.
+        chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        whole = np.flatnonzero(chars[end] - chars[start] >= 2)
+        yield whole, mix(hash_spans(data, start, end)[whole] ^ U64(1000))
+    word = np.arange(len(start))
+    total, chars = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int64)
+    for j in range(1, 4 * STEM[1] + 1):
+        alive = (size[word] >= j) & (chars <= STEM[1])
         if not alive.all():
             word, total, chars = word[alive], total[alive], chars[alive]
         if not len(word):
             return
         byte = padded[start[word] + j - 1]
-        total = total + BYTE_CODES[byte] * powers(KEY_BYTES + 1)[j]
+        total = total + BYTE_CODES[byte] * powers(4 * STEM[1] + 1)[j]
         chars = chars + ((byte & 0xC0) != 0x80)
-        whole = size[word] == j
-        stem = (chars >= STEM[0]) & (chars <= STEM[1]) & (whole | ((padded[np.minimum(start[word] + j, len(data))] & 0xC0) != 0x80))
+        ends = (size[word] == j) | ((padded[np.minimum(start[word] + j, len(data))] & 0xC0) != 0x80)
+        stem = (chars >= STEM[0]) & (chars <= STEM[1]) & ends
         yield word[stem], mix(total[stem] + U64(j))
-        whole &= chars >= 2
-        yield word[whole], mix(total[whole] + U64(j + 1000))
 
 
 def scan_batch(model: Model, texts: pa.Array) -> list[tuple[int, list[tuple[int, int, float]]]]:
@@ -165,7 +168,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> D
     """text and toxic of a bounded, hash-chosen sample of the rows from which labels may be learned."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     share = min(1.0, rows / max(1, known.count()))
-    picked = checkpointed(known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000)))
+    # A hash of 62 bits, so that the share is met however many labels there are.
+    picked = checkpointed(known.where(F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(3)), 2) < F.lit(int(share * 2**62))))
     # About FIT_ROWS rows of 16 bytes: a bound that does not move with the data.
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic")
 
@@ -191,11 +195,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
         keys = np.sort(often.select("key").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
         if len(keys):
             both = train.mapInArrow(_key_counts(False, keys), counts).groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-            pure = F.col("toxic") >= LEAST_PURITY * (F.col("toxic") + F.col("clean"))
-            known = log_odds(both, n_toxic, n_clean).where((F.col("z") >= LEAST_Z) & pure).orderBy(F.desc("z"), "key").limit(LEXICON).select("key", "delta").collect()
+            known = log_odds(both, n_toxic, n_clean).where((F.col("z") >= LEAST_Z) & (F.col("delta") >= LEAST_DELTA)).select("key", "delta").collect()
     keys = np.array([r["key"] for r in known], np.int64).view(np.uint64)
     order = np.argsort(keys)
-    scores = np.minimum(np.array([r["delta"] for r in known], float), TOP_SCORE)
+    scores = np.array([r["delta"] for r in known], float)
     return _calibrate(Model(keys[order], scores[order], -1e-3, 1.0, 1.0, 0.0, 1.0), train)
 
 
@@ -269,7 +272,8 @@ def _clean(model: Model, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (piece for whole in batches for piece in pieces(whole, BATCH_BYTES)):
             rows = scan_batch(model, batch.column("text").fill_null(""))
-            yield batch.filter(pa.array([model.probability(model.evidence(n, found)) < threshold for n, found in rows], pa.bool_()))
+            clean = pa.array([model.probability(model.evidence(n, found)) < threshold for n, found in rows], pa.bool_())
+            yield batch.select(["whole"]).filter(clean)
     return run
 
 
@@ -280,7 +284,9 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of `docs` that score below the threshold, with all their columns."""
-    return docs.mapInArrow(_clean(fit(docs, labels), threshold), docs.schema)
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("whole"), F.col("text").cast("string").alias("text"))
+    clean = whole.mapInArrow(_clean(fit(docs, labels), threshold), StructType([whole.schema["whole"]]))
+    return clean.select(*[F.col(f"whole.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
