@@ -164,6 +164,39 @@ def test_op5(spark, docs):
             assert r.n_assign == sum(s.startswith("assign") for s in spans)
 
 
+def brute_credentials(t, reach=200):
+    """All spans of a text: strong ones, and weak ones with what completes them near by."""
+    from lumenary.llm.secrets import KINDS
+
+    parts = []
+    for kind, order, role, rx, group, least, strong in KINDS:
+        parts += [(m.start(), order, m.end(), kind, role, strong) for m in re.finditer(rx, t or "") if len(m[group]) >= least]
+    near = lambda p, role: any(q[4] == role and max(p[0], q[0]) - min(p[2], q[2]) <= reach for q in parts)
+    needs = {"identity": ("secret",), "secret": ("identity",), "endpoint": ("identity", "secret")}
+    return ",".join(f"{p[3]}:{p[0]}:{p[2]}" for p in sorted(parts) if p[5] or all(near(p, role) for role in needs[p[4]]))
+
+
+def test_op5_spans_against_brute_force(spark):
+    from lumenary.llm.secrets import link_credentials, scan_secrets
+
+    rng = random.Random(17)
+    pieces = ["client_id: bob{n}", "AKIA" + "Q" * 16, "password = hunter{n}xx", "Zz{n}" + "a1B2" * 8, "https://db.example.com:5432/x", "postgres://h{n}.example.org", "f" * 30, "login=carl", "user_name: x", "plain words here", "é😀"]
+    rows = [(i, " ".join(rng.choice(pieces).replace("{n}", str(rng.randrange(9))) + " " + "pad " * rng.choice([0, 1, 30, 60]) for _ in range(rng.randrange(1, 9)))) for i in range(150)]
+    df = frame(spark, rows)
+    assert {r.doc_id: r.spans for r in scan_secrets(df).collect()} == {i: brute_credentials(t) for i, t in rows}
+    # Each secret's credential: its nearest identity within reach, and the nearest endpoint of the pair if there is one.
+    for r in link_credentials(df).collect():
+        assert r.identity is not None and r.secret is not None
+        assert max(r.identity.start, r.secret.start) - min(r.identity.end, r.secret.end) <= 200
+
+
+def test_op5_a_web_address_completes_nothing(spark):
+    from lumenary.llm.secrets import scan_secrets
+
+    got = scan_secrets(frame(spark, [(1, "see https://example.com/ Zz9" + "a1B2" * 8)])).first()
+    assert got.spans == ""
+
+
 def test_op5_weak_parts_need_a_complement(spark):
     from lumenary.llm.secrets import scan_secrets
 
@@ -251,8 +284,8 @@ def brute_contamination(rows, items):
     return out
 
 
-@pytest.mark.parametrize("part_bytes", [8 << 20, 300])
-def test_op7(spark, docs, part_bytes):
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_op7(spark, docs, partitions):
     from lumenary.llm.decontaminate import contamination, drop_contaminated
 
     df, rows = docs
@@ -260,7 +293,8 @@ def test_op7(spark, docs, part_bytes):
     items = [(1, " ".join(long[0].split()[3:40])), (2, " ".join(long[1].split()[5:19])), (2, long[0][:90])] if long else []
     items += [(10, None), (11, ""), (12, "a b"), (13, "stop now"), (14, " ".join(f"w{i}" for i in range(40)))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = contamination(df, bench, part_bytes=part_bytes)
+    bench = bench.repartition(partitions)
+    got = contamination(df, bench)
     want = brute_contamination(rows, [(str(i), t) for i, t in items])
     assert rows_of(got.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == want
     kept = drop_contaminated(df, bench)
@@ -321,9 +355,27 @@ def test_op9_map_is_edited(spark, tmp_path):
     assert two[0][0] == 2 and 0 < moved < 512 / 4 and max(load(two, grown)) <= sum(grown.values()) / 9 * 1.02
     path = str(tmp_path / "map")
     df = frame(spark, planted())
-    a = {r.doc_id: r.shard for r in shard_documents(df, map_path=path).collect()}
-    b = {r.doc_id: r.shard for r in shard_documents(df, map_path=path).collect()}
-    assert a == b and load_map(spark, path)[0][0] == 2 and len(load_map(spark, path, 1)) == 4096
+    first = shard_documents(df, n_slots=64, map_path=path).collect()
+    assert load_map(spark, path)[0][0] == 2 and len(load_map(spark, path, 1)) == 64
+    assert [r[2] for r in load_map(spark, path, 1)] == [s % 16 for s in range(64)]
+    # The stored number of slots holds, whatever is asked for, and all rows come out.
+    again = shard_documents(df, n_slots=4096, map_path=path).collect()
+    assert load_map(spark, path)[0][0] == 3 and len(load_map(spark, path)) == 64
+    assert len(first) == len(again) == 120 and {r.doc_id: r.virtual_slot for r in first} == {r.doc_id: r.virtual_slot for r in again}
+    version = {slot: shard for _, slot, shard, _ in load_map(spark, path)}
+    assert all(r.shard == version[r.virtual_slot] and r.map_version == 3 for r in again)
+
+
+def test_op9_sizes_are_near_equal(spark):
+    from lumenary.llm.sharding import op9_sharding
+
+    got = op9_sharding(spark, "/root/testdata/sf0.01").collect()
+    load = Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+    mean = sum(load.values()) / 16
+    assert len(load) == 16 and max(load.values()) <= mean * 1.01 + max(r["size"] for r in got) and min(load.values()) >= mean * 0.95 - max(r["size"] for r in got)
+    assert {r.map_version for r in got} == {2}
 
 
 def brute_components(rows):
@@ -508,7 +560,7 @@ def test_op3(spark):
     assert sum(a == b for a, b in held) >= 0.97 * len(held)
     assert all(r.score >= 0.3 and r.passages for r in out if r.doc_id == 1003)
     kept = drop_toxic(frame(spark, odd_rows(), SCHEMA), known)
-    assert kept.columns == [f.split()[0] for f in SCHEMA.split(", ")] and kept.count() == len(odd_rows())
+    assert kept.columns == frame(spark, [], SCHEMA).columns and kept.count() == len(odd_rows())
     assert score_toxicity(frame(spark, []), model).count() == 0
     none = fit(df, known.limit(0))
     assert score_toxicity(df, none).where("score >= 0.3").count() == 0
