@@ -10,7 +10,7 @@ import public_tokenizers
 from lumenary.llm.bpe import encode_documents
 from lumenary.llm.decontaminate import drop_contaminated
 from lumenary.llm.jaccard import keep_one
-from lumenary.llm.lines import dedup_lines
+from lumenary.llm.lines import drop_common_lines
 from lumenary.llm.runtime import checkpointed, table
 from lumenary.llm.toxicity import drop_toxic
 from pyspark.sql import DataFrame, SparkSession
@@ -18,28 +18,52 @@ from pyspark.sql import functions as F
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold."""
+    """Documents that score below the threshold, all columns as they came.
+
+    A null or empty text has no evidence and gets the base score, as does everything where no labels are known; texts of any
+    length are scanned whole; a score that ties with the threshold is toxic; equal rows get equal scores and keep a row
+    each; an empty table stays empty; other columns, whatever their names, come through.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that several share; n_chars follows the text."""
-    out = dedup_lines(docs).select(docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    """All documents, without the lines that several share; n_chars follows the text.
+
+    A null text comes out empty; an empty text, and one of any length, is split whole; among documents that share a line the
+    largest doc_id keeps it, in all rows that have this id; a null doc_id is a document that sorts before all others; equal
+    rows keep a row each; an empty table stays empty; other columns, whatever their names, come through.
+    """
+    return drop_common_lines(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near copies: sets of five-word shingles with a similarity of 0.8 or more."""
+    """The smallest doc_id of each group of near copies: sets of five-word shingles with a similarity of 0.8 or more.
+
+    Null and empty texts are linked with nothing and stay; texts of any length are compared whole, those under five words as
+    one sequence; a similarity of exactly 0.8 links; rows with equal doc_id are one document with the links of all its texts,
+    and stay or go together; a null doc_id sorts before all others; an empty table stays empty; other columns, whatever
+    their names, come through.
+    """
     return keep_one(docs, shingle=5, per=80, of=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no benchmark passage makes up a twentieth of."""
+    """Documents that no benchmark passage makes up a twentieth of.
+
+    Null and empty texts hit nothing and stay; texts of any length are searched whole; a twentieth exactly is contaminated;
+    equal rows go or stay together, rows that share a doc_id are judged each by its text; a null doc_id is judged like any
+    other; an empty table stays empty; other columns, whatever their names, come through.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and a digest of what they decode to."""
+    """doc_id, n_tokens, ids and a digest of what they decode to, a row for each document.
+
+    A null text is empty; an empty text has no tokens; texts of any length are encoded whole; a null doc_id stays null; equal
+    rows and rows with equal doc_id keep a row each; an empty table gives an empty result; other columns end here.
+    """
     out = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
