@@ -59,7 +59,7 @@ ADAPTERS = {
                CASE WHEN event_type = 'purchase' THEN CAST(floor(value*10) AS BIGINT) END AS duration_ms
         FROM events""",
     "turns": "SELECT conv_id AS conversation_id, turn AS turn_index, role, text AS content FROM conversations",
-    # A curated reference library: half of the parts again, named apart, some under a CAS number that molecules carry too.
+    # A curated reference library: the parts again, named apart, some under a CAS number that molecules carry too.
     "library": """
         SELECT p_partkey AS entry_no, concat(CAST(50 + p_partkey % 700 AS STRING), '-', CAST(10 + p_partkey % 90 AS STRING), '-', CAST(p_partkey % 10 AS STRING)) AS cas_number,
                concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE ', ' END, CAST(p_partkey % 400 AS STRING)) AS compound,
@@ -68,11 +68,11 @@ ADAPTERS = {
                CASE WHEN p_size % 4 = 0 THEN '0.5' WHEN p_size % 4 = 1 THEN '1-3, in water' WHEN p_size % 4 = 2 THEN '<2, in oil' END AS odor_threshold,
                CASE WHEN p_size % 2 = 0 THEN '[beef, pork][lamb]' WHEN p_size % 3 = 0 THEN '[beef]' END AS cooked_meats_reported,
                CASE WHEN p_size % 7 = 0 THEN NULL ELSE p_size % 10 END AS beef_relevance_score
-        FROM part WHERE p_partkey % 2 = 0""",
+        FROM part""",
     "compounds": """
         SELECT p_partkey AS id, concat(p_name, ' ', CAST(p_partkey % 400 AS STRING)) AS name,
                CASE WHEN p_partkey % 5 < 2 THEN concat(CAST(50 + p_partkey % 700 AS STRING), '-', CAST(10 + p_partkey % 90 AS STRING), '-', CAST(p_partkey % 10 AS STRING)) END AS cas,
-               p_type AS category FROM part WHERE p_partkey % 3 < 2""",
+               p_type AS category FROM part""",
 }
 
 

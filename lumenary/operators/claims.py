@@ -2,49 +2,79 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Strengths by evidence tier, method and directness code, and what an unknown code counts as.
-TIERS = {0: 1.0, 1: 0.8, 2: 0.6}
-METHODS = {0: 1.0, 1: 0.95, 2: 0.9, 3: 0.8, 4: 0.7, 5: 0.6, 6: 0.4}
-DIRECT = {0: 1.0, 1: 0.7, 2: 0.5}
-UNKNOWN = {"tier": 0.5, "method": 0.5, "direct": 0.4}
-#: Study types and methods as they are written.
-REVIEW_TYPES, EXPERIMENT_TYPES = r"(?i)review|meta", r"(?i)experiment|trial|sensory|gc-ms"
-METHOD_STRENGTHS = [(r"(?i)gc-?o|olfactomet|aeda", 1.0), (r"(?i)gc-?ms|lc-?ms|hplc", 0.9), (r"(?i)sensory|panel", 0.8), (r"(?i)model|predict|in silico", 0.4)]
-MEAT, ANALOGUE = r"(?i)beef|pork|lamb|chicken|meat", r"(?i)analogue|plant-based|mimic"
+#: Factors of a scored claim by evidence tier, method and directness, and what an unknown name counts as.
+TIERS = {"T1_experimental": 1.00, "T2_review": 0.75, "T3_inferred": 0.45, "T4_conjecture": 0.25}
+METHODS = {
+    "gco_aeda_quant": 1.00, "gcms_quantified": 0.90, "sensory_trained": 0.85, "gcms_identification": 0.70, "model_system": 0.65,
+    "consumer_panel": 0.60, "in_silico": 0.40, "library_compilation": 0.45, "unspecified": 0.50,
+}
+DIRECT = {"target_matrix": 1.00, "analogous_matrix": 0.75, "model_system": 0.60, "extrapolated": 0.45, "unknown": 0.55}
+UNKNOWN = {"tier": 0.45, "method": 0.50, "direct": 0.55}
+#: Names that tiers and methods go by; a method counts where a fragment occurs in its text.
+TIER_ALIASES = {
+    "experimental": "T1_experimental", "review": "T2_review", "compiled_library": "T3_inferred", "method": "T3_inferred",
+    "other": "T3_inferred", "modeling": "T4_conjecture", "none": "T3_inferred", "": "T3_inferred",
+}
+METHOD_ALIASES = [
+    ("gc-o", "gco_aeda_quant"), ("aeda", "gco_aeda_quant"), ("olfactom", "gco_aeda_quant"), ("trained sensory", "sensory_trained"),
+    ("descriptive analysis", "sensory_trained"), ("consumer", "consumer_panel"), ("spme", "gcms_identification"),
+    ("gc-ims", "gcms_identification"), ("gc-ms", "gcms_identification"), ("gcms", "gcms_identification"),
+    ("metabolomic", "gcms_quantified"), ("quantif", "gcms_quantified"), ("library", "library_compilation"), ("model", "in_silico"),
+    ("silico", "in_silico"),
+]
+#: Factors of a derived claim by study type, fragments of methods, and patterns of matrices.
+STUDY_TYPES = {"experimental": 1.0, "review": 0.8, "method": 0.6, "modeling": 0.6, "other": 0.6}
+METHOD_FRAGMENTS = [(("olfactometr", "oav", "sniff"), 1.0), (("panel", "descriptive analysis", "sensory"), 0.9), (("gc-ms", "gc/ms", "spme", "metabolomic", "lipidomic"), 0.8)]
+OTHER_METHOD = 0.4
+MEAT = r"(?i)beef|pork|chicken|steak|sausage|burger|meat|broth|stock|duck|lamb|pigeon|turkey|fish|bacon|ham"
+ANALOGUE = r"(?i)analogue|analog|plant protein|pea|soy|hybrid|cultivated|fermentation-derived|fat system|seasoning|process flavor"
+#: Words that deny in a curated claim, and words that only tell its direction.
+NEGATIVE = r"(?i)\b(decreas|reduc|inhibit|suppress|mask|lower|no (?:significant )?effect|does not|not associated)[a-z0-9_]*"
+POLARITY_WORDS = r"(?i)\b(increas[a-z0-9_]*|decreas[a-z0-9_]*|reduc[a-z0-9_]*|enhanc[a-z0-9_]*|inhibit[a-z0-9_]*|suppress[a-z0-9_]*|mask[a-z0-9_]*|not|no|does)\b"
+#: Weight of a further claim of one group, of opposition, differences that make conditions others, slack of intervals.
+BETA, LAMBDA, SATURATION = 0.35, 0.35, 10.0
+TEMPERATURE_APART, PH_APART, SLACK = 20.0, 1.0, 0.10
 EDGE = ["subject", "axis", "object"]
 
 
 def evidence_tier(study: Column) -> tuple[Column, Column]:
-    """Weight and label of a study type."""
-    weight = F.when(study.rlike(REVIEW_TYPES), 0.8).when(study.rlike(EXPERIMENT_TYPES), 1.0).otherwise(0.6)
-    return weight, F.when(weight == 1.0, "experimental").when(weight == 0.8, "review").otherwise("other")
+    """Factor and label of a study type; a type that is not known by its whole name is `unknown`."""
+    st = F.lower(F.coalesce(study, F.lit("")))
+    known = st.isin(list(STUDY_TYPES))
+    return lookup(STUDY_TYPES, st, 0.6), F.when(known, st).otherwise("unknown")
 
 
-def method_strength(methods: Column, default: float = 0.5) -> Column:
-    """The strongest known method of a list."""
-    def one(m: Column) -> Column:
-        out = F.lit(default)
-        for pattern, value in reversed(METHOD_STRENGTHS):
-            out = F.when(m.rlike(pattern), F.lit(value)).otherwise(out)
-        return out
-    return F.coalesce(F.array_max(F.transform(methods, one)), F.lit(default))
+def method_strength(methods: Column) -> tuple[Column, Column]:
+    """Factor of the strongest method of a list, and that method (the first of equals; null if none is better than any)."""
+    def one(m: Column, i: Column) -> Column:
+        value = F.lit(OTHER_METHOD)
+        for fragments, factor in reversed(METHOD_FRAGMENTS):
+            value = F.when(reduce(lambda a, b: a | b, [F.contains(F.lower(m), F.lit(f)) for f in fragments]), F.lit(factor)).otherwise(value)
+        return F.struct(value.alias("value"), (-i).alias("order"), F.lower(m).alias("label"))
+    best = F.array_max(F.filter(F.transform(methods, one), lambda x: x["value"] > OTHER_METHOD))
+    return F.coalesce(best["value"], F.lit(OTHER_METHOD)), best["label"]
 
 
-def directness(matrices: Column) -> Column:
-    text = F.coalesce(F.array_join(matrices, " "), F.lit(""))
-    return F.when(text.rlike(ANALOGUE), 0.7).when(text.rlike(MEAT), 1.0).otherwise(0.5)
+def directness(matrices: Column) -> tuple[Column, Column]:
+    """Factor of the matrices and what they say; meat counts fully unless an analogue is spelt out."""
+    text = F.when(F.size(matrices) > 0, F.array_join(matrices, " | "))
+    factor = F.when(text.rlike(MEAT) & ~F.contains(F.lower(text), F.lit("analogue")), 1.0).when(text.rlike(ANALOGUE), 0.7).otherwise(0.5)
+    return factor, text
 
 
-def lookup(values: dict[int, float], code: Column, default: float) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), code.cast("int")), F.lit(default))
+def lookup(values: dict, key: Column, default: float) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key), F.lit(default))
 
 
 def base_score(claims: DataFrame) -> DataFrame:
-    """base = tier * method * directness."""
-    return claims.withColumn("base", lookup(TIERS, F.col("tier_code"), UNKNOWN["tier"]) * lookup(METHODS, F.col("method_code"), UNKNOWN["method"]) * lookup(DIRECT, F.col("directness_code"), UNKNOWN["direct"]))
+    """base = tier * method * directness, by the names in evidence_tier, method and directness."""
+    tier, method = lookup(TIERS, F.col("evidence_tier"), UNKNOWN["tier"]), lookup(METHODS, F.col("method"), UNKNOWN["method"])
+    return claims.withColumn("base", tier * method * lookup(DIRECT, F.col("directness"), UNKNOWN["direct"]))
 
 
 def corroborate(claims: DataFrame, group: list[str]) -> DataFrame:
@@ -53,10 +83,14 @@ def corroborate(claims: DataFrame, group: list[str]) -> DataFrame:
     return claims.join(counts, group).withColumn("corroboration", 1 + F.log(F.col("n_sources").cast("double")))
 
 
+def norm_key(text: Column) -> Column:
+    """Lower case, everything but letters and digits a blank."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+
+
 def object_key(text: Column) -> Column:
-    """Free text without words of polarity, 160 characters at most."""
-    bare = F.regexp_replace(F.lower(text), r"\b(not|no|never|increases?|decreases?|more|less)\b", " ")
-    return F.substring(F.trim(F.regexp_replace(bare, r"\s+", " ")), 1, 160)
+    """A claim's normalised wording without words of polarity, 160 characters at most."""
+    return F.substring(F.regexp_replace(norm_key(text), POLARITY_WORDS, ""), 1, 160)
 
 
 def contradicted_groups(claims: DataFrame, group: list[str], penalty: float = 0.25) -> DataFrame:
@@ -65,10 +99,13 @@ def contradicted_groups(claims: DataFrame, group: list[str], penalty: float = 0.
 
 
 def normalised_weight(claims: DataFrame, group: list[str]) -> DataFrame:
-    """Raw weight (base * corroboration - penalty) over the largest of the run, within 0..1."""
-    raw = corroborate(base_score(claims), group).join(contradicted_groups(claims, group), group, "left").withColumn("raw", F.col("base") * F.col("corroboration") - F.coalesce("penalty", F.lit(0.0)))
+    """Raw weight (tier * method * directness of study_type, methods and matrices, * corroboration - penalty) over the largest of the run, within 0..1."""
+    base = evidence_tier(F.col("study_type"))[0] * method_strength(F.col("methods"))[0] * directness(F.col("matrices"))[0]
+    raw = corroborate(claims.withColumn("base", base), group).join(contradicted_groups(claims, group), group, "left")
+    raw = raw.withColumn("raw", F.col("base") * F.col("corroboration") - F.coalesce("penalty", F.lit(0.0)))
     top = raw.agg(F.max("raw").alias("top"))
-    return raw.crossJoin(F.broadcast(top)).withColumn("weight", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("raw") / F.col("top"))), 4))
+    share = F.coalesce(F.col("raw") / F.nullif(F.col("top"), F.lit(0.0)), F.col("raw"))
+    return raw.crossJoin(F.broadcast(top)).withColumn("weight", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), 4))
 
 
 def consensus_clusters(claims: DataFrame, group: list[str], top: int = 50) -> DataFrame:
@@ -82,50 +119,82 @@ def triplet_report(claims: DataFrame, kind: str) -> DataFrame:
     return out.withColumn("share", F.round(F.col("n") * 100.0 / F.sum("n").over(total), 2))
 
 
-def effective_n(claims: DataFrame, beta: float = 0.5) -> DataFrame:
-    """Per edge: each source group counts 1 and its further claims `beta` each; 1 at least."""
-    groups = claims.groupBy(*EDGE, "source_group").agg(F.count("*").alias("k"))
-    return groups.groupBy(*EDGE).agg(F.greatest(F.lit(1.0), F.sum(1 + beta * (F.col("k") - 1))).alias("n_eff"))
+CLUSTER = [*EDGE, "polarity", "bucket"]
+
+
+def _bucketed(claims: DataFrame) -> DataFrame:
+    return claims.withColumn("bucket", F.coalesce(F.nullif("matrix", F.lit("")), F.lit("any_matrix")))
+
 
+def effective_n(claims: DataFrame, beta: float = BETA) -> DataFrame:
+    """Per cluster (edge, polarity, matrix): each source group counts 1 and its further claims `beta` each; 1 at least."""
+    groups = _bucketed(claims).groupBy(*CLUSTER, F.coalesce("source_group", "source_id").alias("g")).agg(F.count("*").alias("k"))
+    return groups.groupBy(*CLUSTER).agg(F.greatest(F.lit(1.0), F.sum(1 + beta * (F.col("k") - 1))).alias("n_eff"))
 
-def corroboration(n_eff: Column, saturation: float = 10.0) -> Column:
+
+def corroboration(n_eff: Column, saturation: float = SATURATION) -> Column:
     return F.least(F.lit(1.0), (1 + F.log(n_eff)) / (1 + F.log(F.lit(saturation))))
 
 
-def conflict_pairs(claims: DataFrame, guard: int = 150, slack: float = 0.1) -> DataFrame:
-    """Unordered pairs of one edge that disagree, as contradiction or, where conditions differ, divergence.
+def comparable(a: Column, b: Column) -> Column:
+    """Whether two claims were made under like conditions; what is not stated is no difference."""
+    other = (a["matrix"] != b["matrix"]) & (a["matrix"] != "") & (b["matrix"] != "")
+    return ~(F.coalesce(other, F.lit(False)) | F.coalesce(F.abs(a["temp_c"] - b["temp_c"]) > TEMPERATURE_APART, F.lit(False)) | F.coalesce(F.abs(a["ph"] - b["ph"]) > PH_APART, F.lit(False)))
 
-    Edges of more than `guard` claims are left out, as the operator defines it; `oversized_edges` counts them.
-    """
+
+def intervals_apart(a: Column, b: Column) -> Column:
+    """Whether two measured intervals of one quantity and unit do not meet, each widened by the slack."""
+    low, high = (lambda x: x["low"] * (1 - SLACK)), (lambda x: x["high"] * (1 + SLACK))
+    same = a["quantity"].eqNullSafe(b["quantity"]) & a["unit"].eqNullSafe(b["unit"])
+    return F.coalesce(same & ((high(a) < low(b)) | (high(b) < low(a))), F.lit(False))
+
+
+_COMPARED = ["claim_id", "polarity", "matrix", "temp_c", "ph", "low", "high", "quantity", "unit"]
+
+
+def edge_groups(claims: DataFrame, columns: list[str], guard: int = 150) -> DataFrame:
+    """One row per edge with its claims as an array: at most `guard`, larger edges are left out, as the operator is defined."""
     small = claims.groupBy(*EDGE).agg(F.count("*").alias("n")).where(F.col("n") <= guard).drop("n")
-    kept = claims.join(small, EDGE, "left_semi").select(*EDGE, "claim_id", "polarity", "matrix", "temp_c", "ph", "low", "high")
-    a, b = kept.alias("a"), kept.select(*EDGE, *[F.col(c).alias(f"{c}_2") for c in ("claim_id", "polarity", "matrix", "temp_c", "ph", "low", "high")]).alias("b")
-    pairs = a.join(b, EDGE).where(F.col("claim_id") < F.col("claim_id_2"))
-    apart = (F.col("low") * (1 - slack) > F.col("high_2") * (1 + slack)) | (F.col("low_2") * (1 - slack) > F.col("high") * (1 + slack))
-    differs = (F.col("matrix").isNotNull() & F.col("matrix_2").isNotNull() & (F.col("matrix") != F.col("matrix_2"))) | (F.abs(F.col("temp_c") - F.col("temp_c_2")) > 20) | (F.abs(F.col("ph") - F.col("ph_2")) > 1)
-    kind = F.when(F.coalesce(differs, F.lit(False)), "divergence").otherwise("contradiction")
-    return pairs.where((F.col("polarity") != F.col("polarity_2")) | F.coalesce(apart, F.lit(False))).select(F.col("claim_id").alias("claim_a"), F.col("claim_id_2").alias("claim_b"), kind.alias("kind"))
+    kept = claims.select(*EDGE, F.struct(*columns).alias("c")).join(small, EDGE, "left_semi")
+    return kept.groupBy(*EDGE).agg(F.collect_list("c").alias("claims"))
+
+
+def conflict_pairs(claims: DataFrame, guard: int = 150) -> DataFrame:
+    """Unordered pairs of one edge that disagree in polarity or interval: contradictions, or divergences where conditions differ.
+
+    The claims of an edge are compared within its row. Edges of more than `guard` claims are left out, as the operator
+    defines it; `oversized_edges` counts them.
+    """
+    conflict = lambda a, b: F.when(a["polarity"] != b["polarity"], "polarity").when(intervals_apart(a, b), "interval")
+    pair = lambda a: lambda b: F.when(
+        a["claim_id"] < b["claim_id"],
+        F.struct(a["claim_id"].alias("claim_a"), b["claim_id"].alias("claim_b"), conflict(a, b).alias("conflict"), F.when(comparable(a, b), "contradiction").otherwise("divergence").alias("kind")))
+    found = F.flatten(F.transform("claims", lambda a: F.filter(F.transform("claims", pair(a)), lambda p: p["conflict"].isNotNull())))
+    return edge_groups(claims, _COMPARED, guard).select(F.explode(found).alias("p")).select("p.*")
 
 
 def oversized_edges(claims: DataFrame, guard: int = 150) -> DataFrame:
     return claims.groupBy(*EDGE).agg(F.count("*").alias("n")).where(F.col("n") > guard)
 
 
-def claim_weights(claims: DataFrame, lam: float = 0.5, beta: float = 0.5, saturation: float = 10.0) -> DataFrame:
-    """weight = base * corroboration - lam * opposition / (opposition + base), within 0..1."""
-    scored = base_score(claims).select("claim_id", *EDGE, "matrix", "polarity", "base")
-    against = conflict_pairs(claims).where(F.col("kind") == "contradiction")
-    both = against.select(F.col("claim_a").alias("claim_id"), F.col("claim_b").alias("other")).unionByName(against.select(F.col("claim_b").alias("claim_id"), F.col("claim_a").alias("other"))).distinct()
-    opposed = both.join(scored.select(F.col("claim_id").alias("other"), F.col("base").alias("other_base")), "other").groupBy("claim_id").agg(F.sum("other_base").alias("opposition"))
-    out = scored.join(effective_n(claims, beta), EDGE).join(opposed, "claim_id", "left").withColumn("opposition", F.coalesce("opposition", F.lit(0.0)))
+def claim_weights(claims: DataFrame, lam: float = LAMBDA, beta: float = BETA, saturation: float = SATURATION) -> DataFrame:
+    """weight = base * corroboration - lam * opposition / (opposition + base), within 0..1; opposition is the base of all that contradict a claim."""
+    scored = base_score(claims)
+    opposes = lambda a, b: (a["claim_id"] != b["claim_id"]) & ((a["polarity"] != b["polarity"]) | intervals_apart(a, b)) & comparable(a, b)
+    against = lambda a: F.aggregate("claims", F.lit(0.0), lambda acc, b: acc + F.when(opposes(a, b), b["base"]).otherwise(0.0))
+    opposed = F.transform("claims", lambda a: F.struct(a["claim_id"].alias("claim_id"), against(a).alias("opposition")))
+    opposition = edge_groups(scored, [*_COMPARED, "base"]).select(F.explode(opposed).alias("o")).select("o.*").where("opposition > 0")
+    out = _bucketed(scored).join(effective_n(claims, beta), CLUSTER).join(opposition, "claim_id", "left").withColumn("opposition", F.coalesce("opposition", F.lit(0.0)))
     penalty = F.when(F.col("opposition") > 0, lam * F.col("opposition") / (F.col("opposition") + F.col("base"))).otherwise(0.0)
-    return out.withColumn("weight", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("base") * corroboration(F.col("n_eff"), saturation) - penalty)))
+    weight = F.col("base") * corroboration(F.col("n_eff"), saturation) - penalty
+    return out.withColumn("weight", F.greatest(F.lit(0.0), F.least(F.lit(1.0), weight)))
 
 
 def edge_consensus(weights: DataFrame) -> DataFrame:
     """Noisy-OR of support less that of opposition by edge and matrix, floored at 0."""
-    side = lambda p: 1 - F.product(F.when(F.col("polarity") == p, 1 - F.col("weight")).otherwise(1.0))
-    return weights.groupBy(*EDGE, "matrix").agg(F.greatest(F.lit(0.0), side("+") - side("-")).alias("consensus"), F.count_if(F.col("polarity") == "+").alias("supporting"), F.count_if(F.col("polarity") == "-").alias("opposing"))
+    minus = F.col("polarity") == "-"
+    side = lambda own: 1 - F.product(F.when(own, 1 - F.col("weight")).otherwise(1.0))
+    return weights.groupBy(*EDGE, F.col("bucket").alias("matrix")).agg(F.greatest(F.lit(0.0), side(~minus) - side(minus)).alias("consensus"), F.count_if(~minus).alias("supporting"), F.count_if(minus).alias("opposing"))
 
 
 def nearest_rank(df: DataFrame, col: str, shares: dict[str, float]) -> DataFrame:
@@ -166,9 +235,26 @@ def pathway_claims(library: DataFrame, compounds: DataFrame) -> DataFrame:
 
 
 def paper_claims(papers: DataFrame) -> DataFrame:
-    """Class D: one claim per paper with a text; its polarity is negative where the first words negate."""
-    negative = F.coalesce(F.col("name").rlike(r"(?i)\b(not|no|without|failed)\b"), F.lit(False))
-    return papers.where(F.trim("abstract") != "").select(F.concat(F.lit("D-"), F.col("id")).alias("claim_id"), F.col("id").alias("source_id"), object_key(F.col("name")).alias("object_key"), F.when(negative, "-").otherwise("+").alias("polarity"))
+    """Class D: a paper asserts its main claim; corroborated by its normalised wording."""
+    return papers.where(F.col("main_claim") != "").select(
+        F.concat(F.lit("D-"), F.col("id")).alias("claim_id"), F.col("id").alias("source_id"), F.lit("asserts").alias("predicate"), F.concat(F.lit("main_claim:"), F.col("id")).alias("object"),
+        F.concat(F.lit("paperclaim|"), F.substring(norm_key(F.col("main_claim")), 1, 120)).alias("group_key"), object_key(F.col("main_claim")).alias("object_key"), F.lit("positive").alias("polarity"))
+
+
+def curated_claims(claims: DataFrame, molecules: DataFrame, sources: DataFrame) -> DataFrame:
+    """Class E: each curated claim with each of its molecules and sources, a placeholder where it has none.
+
+    claims: id, claim_text, stance, confidence; molecules: claim_id, molecule_id; sources: claim_id, source_id. A claim is
+    negative if its stance contradicts or its text denies.
+    """
+    negative = (F.col("stance") == "contradicts") | F.col("claim_text").rlike(NEGATIVE)
+    mols, srcs = (df.withColumnRenamed("claim_id", "id") for df in (molecules, sources))
+    every = claims.join(mols, "id", "left").join(srcs, "id", "left")
+    name = lambda c, none: F.coalesce(F.col(c).cast("string"), F.lit(none))
+    return every.select(
+        F.concat(F.lit("E-"), F.col("id"), F.lit("-"), name("molecule_id", "None"), F.lit("-"), name("source_id", "nosrc")).alias("claim_id"), F.when(F.col("molecule_id").isNull(), "claim_only").otherwise("molecule").alias("subject_type"),
+        "molecule_id", F.lit("curated_claim").alias("predicate"), F.concat(F.lit("claim:"), F.col("id")).alias("object"), "source_id", F.when(F.coalesce(negative, F.lit(False)), "negative").otherwise("positive").alias("polarity"), "stance",
+        F.col("confidence").cast("double").alias("confidence"), F.concat(F.lit("E|mol:"), name("molecule_id", "None"), F.lit("|"), F.substring(norm_key(F.col("claim_text")), 1, 120)).alias("group_key"))
 
 
 def flat_triplets(claims: DataFrame) -> DataFrame:
@@ -179,6 +265,15 @@ def flat_triplets(claims: DataFrame) -> DataFrame:
 
 def normalise_claims(claims: DataFrame) -> DataFrame:
     """Nested claims in the internal shape: strongest method, tier by alias, analogous where a matrix is given."""
-    tier = F.lower(F.col("evidence.tier"))
-    return claims.select("claim_id", F.col("subject.id").alias("subject"), F.col("object.id").alias("object"), "polarity", method_strength(F.col("measurement.method")).alias("method"), F.when(tier.isin("primary", "experimental"), "experimental").when(tier.isin("secondary", "review"), "review").otherwise("other").alias("tier"),
-                         F.when(F.size("conditions.matrix") > 0, "analogous").otherwise("unknown").alias("directness"), F.get(F.col("conditions.matrix"), 0).alias("matrix"), F.col("evidence.source_id").alias("source_id"))
+    hits = lambda m: F.filter(F.array(*[F.when(F.contains(F.lower(m), F.lit(part)), F.struct(F.lit(METHODS[key]).alias("value"), F.lit(key).alias("key"))) for part, key in METHOD_ALIASES]), lambda x: x.isNotNull())
+    method = F.array_max(F.flatten(F.transform("measurement.method", hits)))["key"]
+    tier = F.try_element_at(F.create_map(*[F.lit(x) for kv in TIER_ALIASES.items() for x in kv]), F.lower(F.coalesce("evidence.tier", "evidence.study_type", F.lit("none"))))
+    matrix, value = F.get(F.col("conditions.matrix"), 0), F.col("measurement.value").cast("double")
+    named = lambda c: F.coalesce(F.nullif(F.col(f"{c}.name"), F.lit("")), F.col(f"{c}.type"), F.lit("?"))
+    predicate = F.coalesce("predicate", F.lit("relates_to"))
+    unit = F.when(value.isNotNull(), F.col("measurement.unit"))
+    return claims.select(
+        "claim_id", named("subject").alias("subject"), predicate.alias("predicate"), named("object").alias("object"), predicate.alias("axis"), F.when(F.startswith("polarity", F.lit("neg")), "-").otherwise("+").alias("polarity"),
+        F.coalesce(tier, F.lit("T3_inferred")).alias("evidence_tier"), F.coalesce(method, F.lit("unspecified")).alias("method"), F.when(matrix != "", "analogous_matrix").otherwise("unknown").alias("directness"),
+        F.col("evidence.source_id").alias("source_id"), F.coalesce(F.col("evidence.source_id").cast("string"), "claim_id").alias("source_group"), matrix.alias("matrix"), F.col("conditions.temperature_c").alias("temp_c"), F.col("conditions.ph").alias("ph"),
+        F.when(value.isNotNull(), F.coalesce(F.nullif(unit, F.lit("")), F.lit("value"))).alias("quantity"), unit.alias("unit"), value.alias("low"), value.alias("high"))

@@ -2,15 +2,33 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Title patterns and venues that raise the priority, with their points.
-TOPIC_WORDS = r"(?i)(flavou?r|aroma|volatile|meat|lipid|protein|ation)"
-REVIEW_WORDS = r"(?i)(review|meta-analysis|overview|tionof)"
-TOP_VENUES, GOOD_VENUES = ["src1", "src4", "src9"], ["src2", "src3", "src5", "src7"]
-#: Points: topic words, first and second class venue, review, most for citations, recent and fairly recent, tagged.
-POINTS = {"topic": 25.0, "top": 20.0, "good": 8.0, "review": 15.0, "cites": 20.0, "recent": 10.0, "newer": 5.0, "tagged": 10.0}
+from ..session import checkpointed
+
+#: Patterns of topics and of titles of reviews, and venues of the field (a venue is one if its name holds one of these).
+TOPIC_WORDS = r"(?i)(meat|beef|pork|chicken|poultry|flavou?r|aroma|volatile|umami|maillard|strecker|lipid oxidation|sensory|odou?r|hydrolysate|yeast extract)"
+REVIEW_WORDS = r"(?i)\b(review|meta-analysis|systematic|state[- ]of[- ]the[- ]art|overview|advances in)\b"
+CORE_VENUES = [
+    "food chemistry", "journal of agricultural and food chemistry", "meat science", "food research international",
+    "comprehensive reviews in food science", "flavour and fragrance", "journal of the science of food and agriculture",
+    "trends in food science", "npj science of food", "lwt", "molecules", "foods",
+]
+#: Most points of each signal; a paper from 2021 on is recent, one from 2015 on half so.
+POINTS = {"topic": 25.0, "core": 20.0, "other": 8.0, "review": 15.0, "cites": 20.0, "recent": 10.0, "tagged": 10.0}
+RECENT, FAIRLY_RECENT = 2021, 2015
+
+
+def is_core(journal: Column) -> Column:
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(journal), F.lit(v)) for v in CORE_VENUES])
+
+
+def _per_year(year: int) -> Column:
+    """Three points for each citation per year of age, none without citations or year."""
+    return F.when((F.col("citation_count") > 0) & (F.col("year") > 0), F.col("citation_count") / F.greatest(F.lit(1), year - F.col("year")) * 3).otherwise(0.0)
 
 
 def priority_score(df: DataFrame, tagged: DataFrame | None = None, year: int = 2026) -> DataFrame:
@@ -20,11 +38,13 @@ def priority_score(df: DataFrame, tagged: DataFrame | None = None, year: int = 2
         df = df.join(tagged.select(F.col("source_id").alias("id")).distinct().withColumn("has_tag", F.lit(True)), "id", "left")
     else:
         df = df.withColumn("has_tag", F.lit(False))
-    age = F.lit(year) - F.col("year")
-    review = F.coalesce(F.col("name").rlike(REVIEW_WORDS), F.lit(False)) | F.coalesce("is_review", F.lit(False))
-    score = (F.when(F.col("name").rlike(TOPIC_WORDS), p["topic"]).otherwise(0.0) + F.when(F.col("journal").isin(TOP_VENUES), p["top"]).when(F.col("journal").isin(GOOD_VENUES), p["good"]).otherwise(0.0)
-             + F.when(review, p["review"]).otherwise(0.0) + F.coalesce(F.least(F.lit(p["cites"]), 3.0 * F.col("citation_count") / F.greatest(F.lit(1), age)), F.lit(0.0))
-             + F.when(age <= 2, p["recent"]).when(age <= 5, p["newer"]).otherwise(0.0) + F.when(F.col("has_tag"), p["tagged"]).otherwise(0.0))
+    text = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("abstract", F.lit("")))
+    review = F.coalesce(F.col("name").rlike(REVIEW_WORDS), F.lit(False))
+    venue = F.when(F.coalesce("journal", F.lit("")) == "", 0.0).when(is_core(F.col("journal")), p["core"]).otherwise(p["other"])
+    cites = F.least(F.lit(p["cites"]), _per_year(year))
+    recent = F.when(F.col("year") >= RECENT, p["recent"]).when(F.col("year") >= FAIRLY_RECENT, p["recent"] / 2).otherwise(0.0)
+    points = lambda yes, n: F.when(yes, n).otherwise(0.0)
+    score = points(text.rlike(TOPIC_WORDS), p["topic"]) + venue + points(review, p["review"]) + cites + recent + points(F.col("has_tag"), p["tagged"])
     base = F.round(F.least(F.lit(100.0), score), 1)
     blend = F.when(F.col("relevance_llm").isNotNull(), F.round(F.col("relevance_llm") * 0.6 + F.col("base") * 0.4, 1)).otherwise(F.col("base"))
     return df.withColumn("base", base).withColumn("priority", blend).withColumn("is_review_guess", review)
@@ -97,15 +117,20 @@ def sync_taxonomy(taxonomy: DataFrame, topics: DataFrame) -> DataFrame:
 
 
 def topic_tree(nodes: DataFrame) -> DataFrame:
-    """(id, ancestor, depth) of a parent-pointer table, itself included: the pairs double their depth each round, until none is new."""
-    pairs = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
-    step = nodes.where(F.col("parent").isNotNull()).select(F.col("id").alias("from"), F.col("parent").alias("to"))
-    level = pairs
+    """(id, ancestor, depth) of a parent-pointer table, itself included, by the shortest way.
+
+    Ways double their length each round and are written; a round that finds no new pair ends it, so a cycle of parents ends too.
+    """
+    own = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
+    pairs = checkpointed(own.unionByName(nodes.where(F.col("parent").isNotNull()).select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
+    n = pairs.count()
     while True:
-        level = level.join(step, level["ancestor"] == step["from"]).select("id", F.col("to").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
-        if level.isEmpty():
+        further = pairs.toDF("middle", "ancestor", "more")
+        longer = pairs.select("id", F.col("ancestor").alias("middle"), "depth").join(further.hint("merge"), "middle").select("id", "ancestor", (F.col("depth") + F.col("more")).alias("depth"))
+        pairs = checkpointed(pairs.unionByName(longer).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
+        n, before = pairs.count(), n
+        if n == before:
             return pairs
-        pairs = pairs.unionByName(level)
 
 
 def topic_coverage(topics: DataFrame, junction: DataFrame, papers: DataFrame, gate: int = 60) -> DataFrame:
@@ -133,20 +158,23 @@ def corpus_totals(papers: DataFrame, junction: DataFrame) -> DataFrame:
 
 
 def signal_and_action(df: DataFrame) -> DataFrame:
-    """From `hits` and relevance_llm: signal, reconciliation and action."""
+    """From `hits`, `tagged` and relevance_llm: signal, reconciliation and action."""
     signal = F.when(F.col("hits") == 0, "off-topic").when(F.col("hits") == 1, "weak").otherwise("on-topic")
-    r = F.col("relevance_llm")
-    band = F.when(r.isNull(), "unscored").when(r >= 60, "high").when(r >= 40, "mid").otherwise("low")
-    s, b = F.col("signal"), F.col("band")
-    action = F.when((b == "high") & (s == "off-topic"), "check first").when((b == "low") & (s == "on-topic"), "check first").when(b == "high", "keep").when((b == "low") & (s == "off-topic"), "off-topic").otherwise("review")
-    return df.withColumn("signal", signal).withColumn("band", band).withColumn("action", action)
+    r, hits = F.col("relevance_llm"), F.col("hits")
+    gap = (hits == 0) & ~F.col("tagged")
+    verdict = (F.when(r.isNull(), "unscored").when(r >= 60, F.when(gap, "coverage_gap").otherwise("agree")).when(r >= 40, "borderline").when(hits >= 2, "disagreement").otherwise("agree"))
+    action = F.when(r.isNull(), "review").when(r >= 60, "keep").when(r >= 40, "review").when(hits >= 2, "off_topic_check_first").otherwise("off_topic_high_confidence")
+    return df.withColumn("signal", signal).withColumn("reconciliation", verdict).withColumn("action", action)
 
 
 def relevance_reconcile(papers: DataFrame, taxonomy: DataFrame, junction: DataFrame, topics: DataFrame) -> DataFrame:
-    """Distinct keyword and attached topics of each paper, and what they say against its relevance."""
+    """Distinct topics named in title, abstract or keywords, or attached, of each paper, and what they say against its relevance."""
     attached = junction.join(topics.select(F.col("id").alias("topic_id"), "slug"), "topic_id").select(F.col("source_id").alias("id"), "slug")
-    hits = classify_topics(papers, taxonomy, None).select("id", "slug").unionByName(attached).groupBy("id").agg(F.countDistinct("slug").alias("hits"))
-    return signal_and_action(papers.select("id", "relevance_llm", "search_query").join(hits, "id", "left").withColumn("hits", F.coalesce("hits", F.lit(0))))
+    parts = [c for c in ("name", "abstract", "top_keywords") if c in papers.columns]
+    named = classify_topics(papers.select("id", F.concat_ws(" ", *parts).alias("words")), taxonomy, None, "words").select("id", "slug", F.lit(False).alias("own"))
+    hits = named.unionByName(attached.withColumn("own", F.lit(True))).groupBy("id").agg(F.countDistinct("slug").alias("hits"), F.bool_or("own").alias("tagged"))
+    known = papers.select("id", "relevance_llm", "search_query").join(hits, "id", "left")
+    return signal_and_action(known.withColumns({"hits": F.coalesce("hits", F.lit(0)), "tagged": F.coalesce("tagged", F.lit(False))}))
 
 
 def latest_audit(audits: DataFrame) -> DataFrame:
@@ -154,7 +182,7 @@ def latest_audit(audits: DataFrame) -> DataFrame:
 
 
 def relevance_summary(reconciled: DataFrame) -> DataFrame:
-    return reconciled.groupBy("signal", "band", "action").agg(F.count("*").alias("n"))
+    return reconciled.groupBy("signal", "reconciliation", "action").agg(F.count("*").alias("n"))
 
 
 def query_quality(reconciled: DataFrame, least: int = 5, top: int = 15) -> DataFrame:
@@ -176,38 +204,71 @@ def attach_tags(papers: DataFrame, junction: DataFrame, topics: DataFrame) -> Da
     return papers.join(own, "id", "left").withColumns({"tags": F.array_join(F.transform("tags", lambda t: t["slug"]), "|"), "branches": F.array_join("branches", "|")})
 
 
-#: Weights of the audit priority.
+#: Weights of the audit priority, the citations and half-life of its curves, the relevance that is least sure, and
+#: what stands for an unknown priority, an unknown relevance and an audit without a date.
 AUDIT_WEIGHTS = {"priority": 0.28, "citations": 0.08, "thin": 0.09, "stale": 0.25, "uncertain": 0.18, "untagged": 0.12}
+CITE_SCALE, HALF_LIFE, UNSURE_AT, UNSURE_WIDTH = 200.0, 30.0, 55.0, 22.0
+NO_PRIORITY, NO_RELEVANCE, NO_DATE = 0.5, 0.85, 0.6
+#: Weights of the heuristic rank, days until an audit is stale, relevance gap of an unknown relevance.
+RANK_WEIGHTS = {"stale": 1.0, "priority": 1.0, "gap": 0.8, "tags": 0.6, "cites": 0.4}
+STALE_DAYS, NO_GAP = 14.0, 0.4
+#: Pattern of topics in the heuristic verdict.
+VERDICT_WORDS = r"(?i)(meat|beef|pork|chicken|poultry|flavou?r|aroma|volatile|umami|maillard|strecker|lipid oxidation|sensory|odou?r|hydrolysate|yeast extract|process flavou?r|precursor|thiamine|furan|sulf)"
+#: How a branch's boost learns.
+LEARN = {"gain": 1.2, "rate": 0.5, "decay": 0.8, "least": 0.5, "most": 3.0}
+
 
+def _unit(c: Column) -> Column:
+    """Within 0..1; null stays null (least and greatest alone would skip it)."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
-def audit_priority(df: DataFrame, boost: DataFrame | None = None, half_life: float = 30.0) -> DataFrame:
-    """100 * branch multiplier * weighted sum; df has priority, citation_count, abstract, days_since_audit, relevance_llm, branch, tagged."""
+
+def audit_priority(df: DataFrame, boost: dict[str, float] | None = None, thin_branches: list[str] | None = None) -> DataFrame:
+    """100 * mean boost of the branches * weighted sum of importance, staleness and uncertainty.
+
+    df: priority, citation_count, days_since_audit, audit_count, relevance_llm, branches (array), tagged and has_queries.
+    """
     w = AUDIT_WEIGHTS
-    cites = F.least(F.lit(1.0), F.log1p(F.coalesce("citation_count", F.lit(0)).cast("double")) / F.log1p(F.lit(500.0)))
-    thin = F.when(F.length(F.coalesce("abstract", F.lit(""))) < 200, 1.0).otherwise(0.0)
-    stale = F.when(F.col("days_since_audit").isNull(), 1.0).otherwise(1.0 - F.pow(F.lit(0.5), F.col("days_since_audit") / half_life))
-    unsure = F.exp(-F.pow((F.coalesce("relevance_llm", F.lit(50)) - 50) / 20.0, F.lit(2.0)) / 2)
-    total = w["priority"] * F.coalesce("priority", F.lit(50.0)) / 100 + w["citations"] * cites + w["thin"] * thin + w["stale"] * stale + w["uncertain"] * unsure + w["untagged"] * F.when(F.col("tagged"), 0.0).otherwise(1.0)
-    df = df.join(boost, "branch", "left").withColumn("boost", F.coalesce("boost", F.lit(1.0))) if boost is not None else df.withColumn("boost", F.lit(1.0))
-    return df.withColumn("audit_priority", F.round(100 * F.col("boost") * total, 2))
+    cites = _unit(F.log1p(F.greatest(F.lit(0.0), F.coalesce(F.col("citation_count").cast("double"), F.lit(0.0)))) / F.log1p(F.lit(CITE_SCALE)))
+    thin = F.arrays_overlap(F.coalesce("branches", F.array().cast("array<string>")), F.array(*[F.lit(b) for b in thin_branches or []]).cast("array<string>"))
+    stale = F.when(F.col("days_since_audit").isNotNull(), _unit(1.0 - F.pow(F.lit(0.5), F.col("days_since_audit") / HALF_LIFE))).when(F.col("audit_count") > 0, NO_DATE).otherwise(1.0)
+    unsure = F.coalesce(F.exp(-F.pow(F.col("relevance_llm") - UNSURE_AT, F.lit(2.0)) / (2.0 * UNSURE_WIDTH * UNSURE_WIDTH)), F.lit(NO_RELEVANCE))
+    untagged = F.when(F.col("tagged") & F.col("has_queries"), 0.0).when(F.col("tagged") | F.col("has_queries"), 0.5).otherwise(1.0)
+    important = w["priority"] * F.coalesce(_unit(F.col("priority") / 100.0), F.lit(NO_PRIORITY)) + w["citations"] * cites + w["thin"] * F.when(thin, 1.0).otherwise(0.0)
+    total = important + w["stale"] * stale + (w["uncertain"] * unsure + w["untagged"] * untagged)
+    of_branch = F.create_map(*[F.lit(x) for kv in (boost or {"": 1.0}).items() for x in kv])
+    summed = F.aggregate("branches", F.lit(0.0), lambda acc, b: acc + F.coalesce(F.try_element_at(of_branch, b), F.lit(1.0)))
+    times = F.when(F.size("branches") > 0, summed / F.size("branches")).otherwise(1.0)
+    return df.withColumn("audit_priority", F.round(100.0 * total * times, 2))
 
 
 def heuristic_rank(df: DataFrame) -> DataFrame:
-    """A blend of staleness over 14 days, priority, distance to the relevance gate, missing tags and citations."""
-    stale = F.least(F.lit(1.0), F.coalesce("days_since_audit", F.lit(14)) / 14.0)
-    gap = 1.0 - F.least(F.lit(1.0), F.abs(F.coalesce("relevance_llm", F.lit(60)) - 60) / 60.0)
-    total = 0.35 * stale + 0.25 * F.coalesce("priority", F.lit(0.0)) / 100 + 0.2 * gap + 0.1 * F.when(F.col("tagged"), 0.0).otherwise(1.0) + 0.1 * F.least(F.lit(1.0), F.coalesce("citation_count", F.lit(0)) / 200.0)
-    return df.withColumn("rank_score", F.round(100 * total, 5))
+    """Weighted sum of staleness over 14 days, priority, missing relevance, missing tags and citations."""
+    w = RANK_WEIGHTS
+    stale = F.when(F.col("days_since_audit").isNull(), 1.0).otherwise(_unit(F.col("days_since_audit") / STALE_DAYS))
+    gap = F.coalesce(1.0 - F.col("relevance_llm") / 100.0, F.lit(NO_GAP))
+    cites = F.least(F.lit(1.0), F.coalesce("citation_count", F.lit(0)) / 200.0)
+    total = w["stale"] * stale + w["priority"] * (F.coalesce("priority", F.lit(0.0)) / 100.0) + w["gap"] * gap + w["tags"] * F.when(F.col("tagged"), 0.0).otherwise(1.0) + w["cites"] * cites
+    return df.withColumn("rank_score", F.round(total, 4))
 
 
-def heuristic_verdict(df: DataFrame, tags: str = "tags") -> DataFrame:
-    """Share of tag words (over 3 letters) that the text holds, quality points, and keep, review or quarantine."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce(F.col(tags), F.lit(""))), "[^a-z0-9]+"), lambda x: F.length(x) > 3))
-    held = F.filter("tag_words", lambda x: F.contains(F.lower(F.coalesce("abstract", F.lit(""))), x))
-    quality = 30 * F.col("doi").isNotNull().cast("int") + 30 * (F.length(F.coalesce("abstract", F.lit(""))) >= 400).cast("int") + 20 * F.coalesce(F.col("citation_count") >= 20, F.lit(False)).cast("int") + 20 * F.coalesce(F.col("year") >= 2015, F.lit(False)).cast("int")
-    out = df.withColumn("tag_words", words).withColumn("support", F.when(F.size("tag_words") > 0, F.round(F.size(held) / F.size("tag_words"), 3)).otherwise(F.lit(0.0))).withColumn("quality", quality)
-    r = F.coalesce("relevance_llm", F.lit(50))
-    return out.withColumn("verdict", F.when((r < 40) | (F.col("quality") < 35), "quarantine").when((r >= 65) & (F.col("quality") >= 55), "keep").otherwise("review")).drop("tag_words")
+def heuristic_verdict(df: DataFrame, year: int = 2026) -> DataFrame:
+    """tag_score, relevance_score and quality_score of a paper with the array `tags`, and keep, review or quarantine.
+
+    A tag is supported if one of its words of over 3 letters occurs in title or abstract. Halves round to even numbers.
+    """
+    text = F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("abstract", F.lit(""))))
+    words = lambda t: F.filter(F.split(F.lower(F.coalesce(t, F.lit(""))), "[^a-z0-9]+"), lambda x: F.length(x) > 3)
+    held = F.size(F.filter("tags", lambda t: F.exists(words(t), lambda x: F.contains(F.col("text"), x))))
+    tag_score = F.when(F.coalesce(F.size("tags"), F.lit(0)) <= 0, 20).otherwise(F.bround(40 + 60 * (held / F.size("tags"))))
+    relevance = F.coalesce(F.col("relevance_llm"), F.when(F.col("text").rlike(VERDICT_WORDS), 70).otherwise(30))
+    points = lambda yes, n: F.when(yes, n).otherwise(0.0)
+    venue = F.when(F.coalesce("journal", F.lit("")) == "", 0.0).when(is_core(F.col("journal")), 30.0).otherwise(12.0)
+    cites = F.least(F.lit(22.0), _per_year(year))
+    quality = venue + points(F.col("doi") != "", 12.0) + points(F.col("abstract") != "", 12.0) + points(F.col("is_review"), 12.0) + cites + points(F.col("year") >= 2018, 10.0)
+    out = df.withColumn("text", text).withColumns({"tag_score": tag_score.cast("int"), "relevance_score": relevance.cast("int"), "quality_score": F.bround(F.least(F.lit(100.0), quality)).cast("int")})
+    keep = (F.col("relevance_score") >= 60) & (F.col("tag_score") >= 50) & (F.col("quality_score") >= 40)
+    return out.withColumn("verdict", F.when(F.col("relevance_score") < 40, "quarantine").when(keep, "keep").otherwise("review")).drop("text")
 
 
 def repair_judgments(df: DataFrame) -> DataFrame:
@@ -219,13 +280,16 @@ def repair_judgments(df: DataFrame) -> DataFrame:
     return out.withColumns({"verdict": F.when(valid, F.col("verdict")).otherwise(guess), "issues": F.array_join(F.slice("issues", 1, 8), "|"), "notes": F.substring("notes", 1, 240)})
 
 
-def update_branch_boost(previous: DataFrame, results: DataFrame, rate: float = 0.3, decay: float = 0.1) -> DataFrame:
-    """A branch's boost moves towards 1 + 2 * quarantine share; unseen branches only decay to 1; 0.5 to 3."""
-    seen = results.groupBy("branch").agg(F.avg((F.col("verdict") == "quarantine").cast("double")).alias("share"))
-    out = previous.join(seen, "branch", "full_outer").withColumn("old", F.coalesce("boost", F.lit(1.0)))
-    decayed = F.col("old") + (1.0 - F.col("old")) * decay
-    moved = F.when(F.col("share").isNull(), decayed).otherwise(decayed + (1.0 + 2.0 * F.col("share") - decayed) * rate)
-    return out.select("branch", F.round(F.greatest(F.lit(0.5), F.least(F.lit(3.0), moved)), 3).alias("boost"))
+def update_branch_boost(previous: DataFrame, results: DataFrame) -> DataFrame:
+    """A branch's boost moves half way to 1 + gain * its share of quarantines; then every branch falls back towards 1.
+
+    previous: branch, boost; results: branches (array), verdict.
+    """
+    p = LEARN
+    seen = results.select(F.explode(F.array_distinct("branches")).alias("branch"), F.lower(F.trim("verdict")).alias("verdict")).groupBy("branch").agg(F.avg((F.col("verdict") == "quarantine").cast("double")).alias("share"))
+    out = previous.join(seen, "branch", "left")
+    moved = F.coalesce(F.col("boost") + p["rate"] * (1.0 + p["gain"] * F.col("share") - F.col("boost")), F.col("boost"))
+    return out.select("branch", F.round(F.greatest(F.lit(p["least"]), F.least(F.lit(p["most"]), 1.0 + p["decay"] * (moved - 1.0))), 3).alias("boost"))
 
 
 def audit_run_report(audits: DataFrame, papers: DataFrame, junction: DataFrame, topics: DataFrame) -> DataFrame:
@@ -235,15 +299,41 @@ def audit_run_report(audits: DataFrame, papers: DataFrame, junction: DataFrame,
     return audits.join(F.broadcast(latest), "run_id", "left_semi").join(papers.select(F.col("id").alias("source_id"), "name", "priority"), "source_id").join(names, "source_id", "left")
 
 
-def tailored_abstract(df: DataFrame) -> DataFrame:
-    """First sentence (400 characters at most, ended before a capital), venue and year clause, claim clause; empty parts drop out."""
-    flat = F.trim(F.regexp_replace("abstract", r"\s+", " "))
-    first = F.substring(F.regexp_extract(F.col("flat"), r"^(.*?[.!?])(?= [A-Z]|$)", 1), 1, 400)
-    lead = F.when(first != "", first).otherwise(F.substring("flat", 1, 400))
-    clause = F.when(F.col("journal").isNotNull() & F.col("year").isNotNull(), F.concat(F.lit("Published in "), "journal", F.lit(" in "), F.col("year").cast("string"), F.lit(".")))
-    cited = F.when(F.col("citation_count") > 0, F.concat(F.lit("Cited "), F.col("citation_count").cast("string"), F.lit(" times.")))
-    out = df.where(F.col("abstract").isNotNull()).withColumn("flat", flat)
-    return out.select("id", "relevance_llm", F.concat_ws(" ", F.nullif(lead, F.lit("")), clause, cited).alias("tailored"))
+def first_sentence(text: Column, most: int = 400) -> Column:
+    """The text up to the first end of a sentence before a capital; a longer one is cut at a word and marked."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    first = F.coalesce(F.nullif(F.regexp_extract(flat, r"^(.*?[.!?])(?=\s+[A-Z])", 1), F.lit("")), flat)
+    cut = F.regexp_replace(F.regexp_replace(F.substring(first, 1, most), r" [^ ]*$", ""), r"[,;:]+$", "")
+    return F.when(F.length(first) > most, F.concat(cut, F.lit(" …"))).otherwise(first)
+
+
+def end_period(text: Column) -> Column:
+    bare = F.trim(text)
+    return F.when(bare.rlike(r"[.!?…]$"), bare).otherwise(F.concat(bare, F.lit(".")))
+
+
+def join_list(items: Column, most: int = 3) -> Column:
+    """`a`, `a and b` or `a, b and c`; an empty string without any."""
+    kept = F.slice(F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), 1, most)
+    return F.when(F.size(kept) <= 1, F.array_join(kept, "")).otherwise(F.concat(F.array_join(F.slice(kept, 1, F.size(kept) - 1), ", "), F.lit(" and "), F.element_at(kept, -1)))
+
+
+def tailored_abstract(df: DataFrame, project: str, limit: int | None = None) -> DataFrame:
+    """First sentence, matrix and method, main claim, and what it means for `project`; papers with abstract and claim, most relevant first.
+
+    df: abstract, main_claim, and the arrays matrix, method, pathway and sensory.
+    """
+    rows = df.where((F.coalesce("abstract", F.lit("")) != "") & (F.coalesce("main_claim", F.lit("")) != "")).select("*", *[join_list(F.col(c)).alias(f"_{c}") for c in ("matrix", "method", "pathway", "sensory")])
+    mx, me, pw, sd = (F.col(f"_{c}") for c in ("matrix", "method", "pathway", "sensory"))
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    work = F.when((mx != "") & (me != ""), say("The work concerns ", mx, ", using ", me, ".")).when(mx != "", say("The work concerns ", mx, ".")).when(me != "", say("The work uses ", me, "."))
+    start = f"For {project}, this "
+    means = (F.when((pw != "") & (sd != ""), say(start + "is evidence on ", pw, " chemistry with reported ", sd, " sensory relevance for building meaty flavor."))
+             .when(pw != "", say(start + "is evidence on ", pw, " chemistry relevant to building meaty flavor.")).when(sd != "", say(start + "carries reported ", sd, " sensory relevance for building meaty flavor."))
+             .otherwise(start + "adds source-backed evidence for building meaty flavor."))
+    text = F.concat_ws(" ", end_period(first_sentence(F.col("abstract"))), work, end_period(say("Main claim: ", F.trim("main_claim"))), means)
+    out = rows.select("id", "relevance_llm", text.alias("tailored"))
+    return out.orderBy(F.col("relevance_llm").desc_nulls_last(), "id").limit(limit) if limit else out
 
 
 def profile_table(df: DataFrame, top: int = 12) -> DataFrame:

@@ -16,12 +16,23 @@ ADAPTERS["terms"] = """
 ADAPTERS["scored"] = """
     SELECT d.doc_id AS id, d.text AS abstract, CAST((d.doc_id*37) % 400 AS INT) AS citation_count, CASE WHEN l.quality IS NULL THEN NULL ELSE CAST(l.quality*55 + d.doc_id % 45 AS INT) END AS relevance_llm,
            CASE WHEN d.doc_id % 8 = 0 THEN NULL ELSE CAST((d.doc_id * 13) % 1000 AS DOUBLE) / 10 END AS priority, CASE WHEN d.doc_id % 3 > 0 THEN CAST(d.doc_id % 90 AS INT) END AS days_since_audit,
-           d.doc_id % 5 < 3 AS tagged, d.source AS branch FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
-PRIORITY = r"""
-, marked AS (SELECT p.*, p.id IN (SELECT source_id FROM paper_topics) AS has_tag, coalesce(regexp_matches(name, '(?i)(review|meta-analysis|overview|tionof)'), false) OR coalesce(is_review, false) AS is_review_guess FROM papers p),
-scored AS (SELECT *, round(least(100.0, CASE WHEN regexp_matches(name, '(?i)(flavou?r|aroma|volatile|meat|lipid|protein|ation)') THEN 25.0 ELSE 0.0 END
- + CASE WHEN journal IN ('src1','src4','src9') THEN 20.0 WHEN journal IN ('src2','src3','src5','src7') THEN 8.0 ELSE 0.0 END + CASE WHEN is_review_guess THEN 15.0 ELSE 0.0 END
- + coalesce(least(20.0, CAST(3.0 * citation_count AS DOUBLE) / greatest(1, 2026 - year)), 0.0) + CASE WHEN 2026 - year <= 2 THEN 10.0 WHEN 2026 - year <= 5 THEN 5.0 ELSE 0.0 END + CASE WHEN has_tag THEN 10.0 ELSE 0.0 END)::DOUBLE, 1) AS base FROM marked),
+           CAST(d.doc_id % 2 AS INT) AS audit_count, d.doc_id % 5 < 3 AS tagged, d.doc_id % 7 > 1 AS has_queries, d.source AS branch, d.lang AS second_branch FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+#: Papers under titles and venues that reach every rule, with tags, claims and facets.
+ADAPTERS["titled"] = """
+    SELECT d.doc_id AS id, concat(CASE d.doc_id % 7 WHEN 0 THEN 'A systematic review: ' WHEN 1 THEN 'Beef aroma. ' WHEN 2 THEN 'Advances in state-of-the-art Umami ' WHEN 3 THEN 'Reviewers and overviews ' ELSE '' END, substr(d.text,1,80)) AS name, d.text AS abstract,
+           CASE d.source WHEN 'src1' THEN 'Food Chemistry' WHEN 'src2' THEN 'LWT - Food Science and Technology' WHEN 'src3' THEN NULL WHEN 'src4' THEN '' WHEN 'src5' THEN 'Trends in Food Science' ELSE d.source END AS journal,
+           CASE WHEN d.doc_id % 13 > 0 THEN CAST(2000 + d.doc_id % 27 AS INT) END AS year, CAST((d.doc_id*37) % 400 AS INT) AS citation_count, CASE WHEN l.quality IS NULL THEN NULL ELSE CAST(l.quality*55 + d.doc_id % 45 AS INT) END AS relevance_llm,
+           CASE WHEN d.doc_id % 10 = 0 THEN NULL ELSE concat('10.', CAST(d.doc_id AS STRING)) END AS doi, CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE d.doc_id % 3 = 0 END AS is_review, d.lang AS search_query,
+           CASE d.doc_id % 4 WHEN 1 THEN 'Beef flavour' WHEN 2 THEN 'Beef flavour|xyzzy|of' WHEN 3 THEN 'abc|Reviewers only|aroma|a b c|Sulfur chemistry|lipids|reaction|Systematic work' END AS tag_names,
+           CASE WHEN d.doc_id % 9 > 0 THEN substr(d.text, 5, 60) ELSE '' END AS main_claim, CASE d.doc_id % 4 WHEN 0 THEN 'beef' WHEN 1 THEN 'beef|pork|duck|fish' WHEN 3 THEN 'soy| |pea' END AS matrix, CASE d.doc_id % 3 WHEN 1 THEN 'GC-MS' WHEN 2 THEN 'GC-O| panel ' END AS method,
+           CASE WHEN d.doc_id % 5 < 2 THEN 'Maillard' END AS pathway, CASE WHEN d.doc_id % 2 = 0 THEN 'roasted|meaty' END AS sensory FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+_CORE = " OR ".join(f"contains(lower(journal), '{v}')" for v in ("food chemistry", "journal of agricultural and food chemistry", "meat science", "food research international", "comprehensive reviews in food science", "flavour and fragrance",
+                                                                "journal of the science of food and agriculture", "trends in food science", "npj science of food", "lwt", "molecules", "foods"))
+PRIORITY = rf"""
+, marked AS (SELECT p.*, p.id IN (SELECT source_id FROM paper_topics) AS has_tag, regexp_matches(name, '(?i)\b(review|meta-analysis|systematic|state[- ]of[- ]the[- ]art|overview|advances in)\b') AS is_review_guess FROM titled p),
+scored AS (SELECT *, round(least(100.0, CASE WHEN regexp_matches(name || ' ' || abstract, '(?i)(meat|beef|pork|chicken|poultry|flavou?r|aroma|volatile|umami|maillard|strecker|lipid oxidation|sensory|odou?r|hydrolysate|yeast extract)') THEN 25.0 ELSE 0.0 END
+ + CASE WHEN coalesce(journal, '') = '' THEN 0.0 WHEN {_CORE} THEN 20.0 ELSE 8.0 END + CASE WHEN is_review_guess THEN 15.0 ELSE 0.0 END
+ + CASE WHEN citation_count > 0 AND year > 0 THEN least(20.0, citation_count::DOUBLE / greatest(1, 2026 - year) * 3) ELSE 0.0 END + CASE WHEN year >= 2021 THEN 10.0 WHEN year >= 2015 THEN 5.0 ELSE 0.0 END + CASE WHEN has_tag THEN 10.0 ELSE 0.0 END)::DOUBLE, 1) AS base FROM marked),
 final AS (SELECT *, CASE WHEN relevance_llm IS NOT NULL THEN round(relevance_llm * 0.6::DOUBLE + base * 0.4::DOUBLE, 1) ELSE base END AS priority FROM scored)
 """
 
@@ -30,17 +41,17 @@ def scored(papers, junction):
     return C.priority_score(papers, junction)
 
 
-@query("f1_priority_score", "papers paper_topics", PRIORITY + "SELECT id, base, priority, is_review_guess FROM final")
+@query("f1_priority_score", "titled paper_topics", PRIORITY + "SELECT id, base, priority, is_review_guess FROM final")
 def f1(papers, junction):
     return scored(papers, junction).select("id", "base", "priority", "is_review_guess")
 
 
-@query("f1_priority_top", "papers paper_topics", PRIORITY + "SELECT id, name, year, priority FROM final ORDER BY priority DESC NULLS LAST, id DESC LIMIT 20")
+@query("f1_priority_top", "titled paper_topics", PRIORITY + "SELECT id, name, year, priority FROM final ORDER BY priority DESC NULLS LAST, id DESC LIMIT 20")
 def f1_top(papers, junction):
     return scored(papers, junction).orderBy(F.col("priority").desc_nulls_last(), F.desc("id")).limit(20).select("id", "name", "year", "priority")
 
 
-@query("f2_score_buckets", "papers paper_topics", PRIORITY + "SELECT count(*) FILTER (WHERE priority >= 80) AS b80, count(*) FILTER (WHERE priority >= 60 AND priority < 80) AS b60, count(*) FILTER (WHERE priority >= 40 AND priority < 60) AS b40, count(*) FILTER (WHERE priority < 40) AS b0, count(*) FILTER (WHERE is_review_guess) AS reviews FROM final")
+@query("f2_score_buckets", "titled paper_topics", PRIORITY + "SELECT count(*) FILTER (WHERE priority >= 80) AS b80, count(*) FILTER (WHERE priority >= 60 AND priority < 80) AS b60, count(*) FILTER (WHERE priority >= 40 AND priority < 60) AS b40, count(*) FILTER (WHERE priority < 40) AS b0, count(*) FILTER (WHERE is_review_guess) AS reviews FROM final")
 def f2(papers, junction):
     return C.score_buckets(scored(papers, junction))
 
@@ -55,7 +66,7 @@ def f3b(papers, junction):
     return C.drop_orphans(junction, C.dedupe_by_title(papers))
 
 
-_T = "t AS (SELECT slug, min(name) AS term, min(rank) AS rank FROM terms WHERE length(name) >= 4 GROUP BY 1), h AS (SELECT id, slug, rank FROM papers JOIN t ON contains(lower(abstract), lower(term)))"
+_T = "t AS (SELECT slug, min(name) AS term, min(rank) AS rank FROM terms WHERE length(name) >= 4 GROUP BY 1), h AS (SELECT id, slug, rank FROM papers JOIN t ON contains(lower(abstract), lower(term))), hn AS (SELECT id, slug FROM papers JOIN t ON contains(lower(name || ' ' || abstract), lower(term)))"
 
 
 @query("f4_classify_topics", "papers terms", f", {_T} SELECT id, slug, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank, slug) AS k FROM h) WHERE k <= 3")
@@ -146,10 +157,11 @@ def f13(papers, junction):
     return C.corpus_totals(papers, junction)
 
 
-_REC = f"""{_T}, u AS (SELECT id, slug FROM h UNION SELECT source_id, slug FROM paper_topics j JOIN topics t ON t.id = j.topic_id), c AS (SELECT id, count(DISTINCT slug) AS hits FROM u GROUP BY 1),
-g AS (SELECT p.id, relevance_llm, search_query, coalesce(hits, 0) AS hits FROM papers p LEFT JOIN c USING (id)),
-s AS (SELECT *, CASE WHEN hits = 0 THEN 'off-topic' WHEN hits = 1 THEN 'weak' ELSE 'on-topic' END AS signal, CASE WHEN relevance_llm IS NULL THEN 'unscored' WHEN relevance_llm >= 60 THEN 'high' WHEN relevance_llm >= 40 THEN 'mid' ELSE 'low' END AS band FROM g),
-rec AS (SELECT *, CASE WHEN band = 'high' AND signal = 'off-topic' OR band = 'low' AND signal = 'on-topic' THEN 'check first' WHEN band = 'high' THEN 'keep' WHEN band = 'low' AND signal = 'off-topic' THEN 'off-topic' ELSE 'review' END AS action FROM s)"""
+_REC = f"""{_T}, u AS (SELECT id, slug, false AS own FROM hn UNION SELECT source_id, slug, true FROM paper_topics j JOIN topics t ON t.id = j.topic_id), c AS (SELECT id, count(DISTINCT slug) AS hits, bool_or(own) AS tagged FROM u GROUP BY 1),
+g AS (SELECT p.id, relevance_llm, search_query, coalesce(hits, 0) AS hits, coalesce(tagged, false) AS tagged FROM papers p LEFT JOIN c USING (id)),
+rec AS (SELECT *, CASE WHEN hits = 0 THEN 'off-topic' WHEN hits = 1 THEN 'weak' ELSE 'on-topic' END AS signal,
+ CASE WHEN relevance_llm IS NULL THEN 'unscored' WHEN relevance_llm >= 60 AND hits = 0 AND NOT tagged THEN 'coverage_gap' WHEN relevance_llm >= 60 THEN 'agree' WHEN relevance_llm >= 40 THEN 'borderline' WHEN hits >= 2 THEN 'disagreement' ELSE 'agree' END AS reconciliation,
+ CASE WHEN relevance_llm IS NULL THEN 'review' WHEN relevance_llm >= 60 THEN 'keep' WHEN relevance_llm >= 40 THEN 'review' WHEN hits >= 2 THEN 'off_topic_check_first' ELSE 'off_topic_high_confidence' END AS action FROM g)"""
 
 
 @query("f14_relevance_reconcile", "papers terms paper_topics topics", f", {_REC} SELECT * FROM rec")
@@ -162,7 +174,7 @@ def f15(audits):
     return C.latest_audit(audits)
 
 
-@query("f16_relevance_summary", "papers terms paper_topics topics", f", {_REC} SELECT signal, band, action, count(*) AS n FROM rec GROUP BY 1, 2, 3")
+@query("f16_relevance_summary", "papers terms paper_topics topics", f", {_REC} SELECT signal, reconciliation, action, count(*) AS n FROM rec GROUP BY 1, 2, 3")
 def f16(papers, terms, junction, topics):
     return C.relevance_summary(C.relevance_reconcile(papers, terms, junction, topics))
 
@@ -187,30 +199,32 @@ def f19(papers, junction, topics):
 
 
 @query("f20_audit_priority", "scored", """
-SELECT id, round(100 * 1.0::DOUBLE * (0.28::DOUBLE * coalesce(priority, 50.0::DOUBLE) / 100 + 0.08::DOUBLE * least(1.0::DOUBLE, ln(1 + citation_count::DOUBLE) / ln(501::DOUBLE)) + 0.09::DOUBLE * CASE WHEN length(coalesce(abstract, '')) < 200 THEN 1 ELSE 0 END
- + 0.25::DOUBLE * CASE WHEN days_since_audit IS NULL THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - pow(0.5::DOUBLE, days_since_audit / 30.0::DOUBLE) END + 0.18::DOUBLE * exp(-pow((coalesce(relevance_llm, 50) - 50) / 20.0::DOUBLE, 2) / 2) + 0.12::DOUBLE * CASE WHEN tagged THEN 0 ELSE 1 END), 2) AS audit_priority FROM scored""")
+, b AS (SELECT *, (CASE branch WHEN 'src1' THEN 1.5 WHEN 'src2' THEN 0.7 ELSE 1 END::DOUBLE + CASE second_branch WHEN 'en' THEN 1.25 ELSE 1 END::DOUBLE) / 2 AS times FROM scored)
+SELECT id, round(100 * times * (0.28::DOUBLE * coalesce(priority / 100, 0.5::DOUBLE) + 0.08::DOUBLE * least(1.0::DOUBLE, ln(1 + citation_count::DOUBLE) / ln(201::DOUBLE)) + 0.09::DOUBLE * CASE WHEN branch = 'src3' THEN 1 ELSE 0 END
+ + 0.25::DOUBLE * CASE WHEN days_since_audit IS NOT NULL THEN 1.0::DOUBLE - pow(0.5::DOUBLE, days_since_audit / 30.0::DOUBLE) WHEN audit_count > 0 THEN 0.6::DOUBLE ELSE 1 END
+ + 0.18::DOUBLE * coalesce(exp(-pow(relevance_llm - 55, 2) / (2 * 22.0::DOUBLE * 22)), 0.85::DOUBLE) + 0.12::DOUBLE * CASE WHEN tagged AND has_queries THEN 0 WHEN tagged OR has_queries THEN 0.5::DOUBLE ELSE 1 END), 2) AS audit_priority FROM b""")
 def f20(papers):
-    return C.audit_priority(papers).select("id", "audit_priority")
+    papers = papers.withColumn("branches", F.array("branch", "second_branch"))
+    return C.audit_priority(papers, {"src1": 1.5, "src2": 0.7, "en": 1.25}, ["src3"]).select("id", "audit_priority")
 
 
 @query("f21_heuristic_rank", "scored", """
-SELECT id, round(100 * (0.35::DOUBLE * least(1.0::DOUBLE, coalesce(days_since_audit, 14) / 14.0::DOUBLE) + 0.25::DOUBLE * coalesce(priority, 0.0::DOUBLE) / 100 + 0.2::DOUBLE * (1.0::DOUBLE - least(1.0::DOUBLE, abs(coalesce(relevance_llm, 60) - 60) / 60.0::DOUBLE))
- + 0.1::DOUBLE * CASE WHEN tagged THEN 0 ELSE 1 END + 0.1::DOUBLE * least(1.0::DOUBLE, citation_count / 200.0::DOUBLE)), 5) AS rank_score FROM scored""")
+SELECT id, round(CASE WHEN days_since_audit IS NULL THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, days_since_audit / 14.0::DOUBLE) END + coalesce(priority, 0.0::DOUBLE) / 100 + 0.8::DOUBLE * coalesce(1.0::DOUBLE - relevance_llm / 100.0::DOUBLE, 0.4::DOUBLE)
+ + 0.6::DOUBLE * CASE WHEN tagged THEN 0 ELSE 1 END + 0.4::DOUBLE * least(1.0::DOUBLE, citation_count / 200.0::DOUBLE), 4) AS rank_score FROM scored""")
 def f21(papers):
     return C.heuristic_rank(papers).select("id", "rank_score")
 
 
-_W = "list_distinct(list_filter(regexp_split_to_array(lower(substr(text, 1, 60)), '[^a-z0-9]+'), lambda x: length(x) > 3))"
-
-
-@query("f22_heuristic_verdict", "papers documents", f"""
-, w AS (SELECT p.*, {_W} AS ws FROM papers p JOIN documents d ON d.doc_id = p.id + 1),
-q AS (SELECT id, CASE WHEN len(ws) > 0 THEN round(len(list_filter(ws, lambda x: contains(lower(abstract), x)))::DOUBLE / len(ws), 3) ELSE 0 END AS support,
- 30 * (doi IS NOT NULL)::INT + 30 * (length(abstract) >= 400)::INT + 20 * (citation_count >= 20)::INT + 20 * (year >= 2015)::INT AS quality, coalesce(relevance_llm, 50) AS r FROM w)
-SELECT id, support, quality, CASE WHEN r < 40 OR quality < 35 THEN 'quarantine' WHEN r >= 65 AND quality >= 55 THEN 'keep' ELSE 'review' END AS verdict FROM q""")
-def f22(papers, documents):
-    tags = documents.select(F.col("doc_id").alias("tag_id"), F.substring("text", 1, 60).alias("tags"))
-    return C.heuristic_verdict(papers.join(tags, F.col("tag_id") == F.col("id") + 1)).select("id", "support", "quality", "verdict")
+@query("f22_heuristic_verdict", "titled", rf"""
+, w AS (SELECT *, lower(name || ' ' || abstract) AS t, string_split(tag_names, '|') AS tags FROM titled),
+h AS (SELECT *, len(list_filter(tags, lambda g: len(list_filter(regexp_split_to_array(lower(g), '[^a-z0-9]+'), lambda x: length(x) > 3 AND contains(t, x))) > 0)) AS held FROM w),
+q AS (SELECT id, CASE WHEN tags IS NULL THEN 20 ELSE CAST(round_even(40 + 60 * (held::DOUBLE / len(tags)), 0) AS INT) END AS tag_score,
+ coalesce(relevance_llm, CASE WHEN regexp_matches(t, '(?i)(meat|beef|pork|chicken|poultry|flavou?r|aroma|volatile|umami|maillard|strecker|lipid oxidation|sensory|odou?r|hydrolysate|yeast extract|process flavou?r|precursor|thiamine|furan|sulf)') THEN 70 ELSE 30 END) AS relevance_score,
+ CAST(round_even(least(100, CASE WHEN coalesce(journal, '') = '' THEN 0 WHEN {_CORE} THEN 30 ELSE 12 END + 12 * (doi IS NOT NULL)::INT + 12 * (abstract <> '')::INT + 12 * coalesce(is_review, false)::INT
+  + CASE WHEN citation_count > 0 AND year > 0 THEN least(22.0::DOUBLE, citation_count::DOUBLE / greatest(1, 2026 - year) * 3) ELSE 0 END + 10 * coalesce(year >= 2018, false)::INT), 0) AS INT) AS quality_score FROM h)
+SELECT *, CASE WHEN relevance_score < 40 THEN 'quarantine' WHEN relevance_score >= 60 AND tag_score >= 50 AND quality_score >= 40 THEN 'keep' ELSE 'review' END AS verdict FROM q""")
+def f22(papers):
+    return C.heuristic_verdict(papers.withColumn("tags", F.split("tag_names", r"\|"))).select("id", "tag_score", "relevance_score", "quality_score", "verdict")
 
 
 @query("f23_repair_judgments", "audits", """
@@ -227,13 +241,14 @@ def f23(audits):
 
 
 @query("f24_branch_boost", "audits scored", """
-, p AS (SELECT branch, 0.6::DOUBLE + (min(id) % 20) / 10.0::DOUBLE AS boost FROM scored WHERE branch <> 'src3' GROUP BY 1),
-s AS (SELECT branch, avg(CASE WHEN verdict = 'quarantine' THEN 1.0::DOUBLE ELSE 0 END) AS share FROM audits JOIN scored ON id = source_id WHERE branch <> 'src5' GROUP BY 1),
-o AS (SELECT coalesce(p.branch, s.branch) AS branch, share, coalesce(boost, 1) + (1 - coalesce(boost, 1)) * 0.1::DOUBLE AS d FROM p FULL JOIN s ON s.branch = p.branch)
-SELECT branch, round(greatest(0.5::DOUBLE, least(3.0::DOUBLE, CASE WHEN share IS NULL THEN d ELSE d + (1 + 2 * share - d) * 0.3::DOUBLE END)), 3) AS boost FROM o""")
+, b AS (SELECT DISTINCT branch FROM scored UNION SELECT DISTINCT second_branch FROM scored), p AS (SELECT branch, 0.4::DOUBLE + ascii(right(branch, 1)) % 7 * 0.6::DOUBLE AS boost FROM b),
+r AS (SELECT branch, verdict FROM audits JOIN scored ON id = source_id WHERE branch <> 'src5' UNION ALL SELECT second_branch, verdict FROM audits JOIN scored ON id = source_id WHERE branch <> 'src5'), s AS (SELECT branch, avg(CASE WHEN verdict = 'quarantine' THEN 1.0::DOUBLE ELSE 0 END) AS share FROM r GROUP BY 1),
+m AS (SELECT branch, coalesce(boost + 0.5::DOUBLE * (1 + 1.2::DOUBLE * share - boost), boost) AS moved FROM p LEFT JOIN s USING (branch))
+SELECT branch, round(greatest(0.5::DOUBLE, least(3.0::DOUBLE, 1 + 0.8::DOUBLE * (moved - 1))), 3) AS boost FROM m""")
 def f24(audits, papers):
-    previous = papers.where("branch <> 'src3'").groupBy("branch").agg((F.lit(0.6) + (F.min("id") % 20) / F.lit(10.0)).alias("boost"))
-    results = audits.join(papers.select(F.col("id").alias("source_id"), "branch"), "source_id").where("branch <> 'src5'")
+    branches = papers.select("branch").union(papers.select("second_branch")).distinct()
+    previous = branches.withColumn("boost", 0.4 + F.ascii(F.right("branch", F.lit(1))) % 7 * 0.6)
+    results = audits.join(papers.select(F.col("id").alias("source_id"), "branch", F.array("branch", "second_branch").alias("branches")), "source_id").where("branch <> 'src5'")
     return C.update_branch_boost(previous, results)
 
 
@@ -245,11 +260,22 @@ def f25(audits, papers, junction, topics):
     return out.select("audit_id", "source_id", "verdict", "name", "topics")
 
 
-@query("f26_tailored_abstract", "papers", r"""
-, f AS (SELECT *, trim(regexp_replace(abstract, '\s+', ' ', 'g')) AS flat FROM papers), s AS (SELECT *, substr(regexp_extract(flat, '^(.*?[.!?])( [A-Z]|$)', 1), 1, 400) AS first FROM f)
-SELECT id, relevance_llm, concat_ws(' ', nullif(CASE WHEN first <> '' THEN first ELSE substr(flat, 1, 400) END, ''), 'Published in ' || journal || ' in ' || year || '.', CASE WHEN citation_count > 0 THEN 'Cited ' || citation_count || ' times.' END) AS tailored FROM s""")
+def _list_sql(c):
+    kept = f"list_filter(list_transform(string_split(coalesce({c}, ''), '|'), lambda x: trim(x)), lambda x: x <> '')[1:3]"
+    return f"CASE WHEN len({kept}) <= 1 THEN array_to_string({kept}, '') ELSE array_to_string({kept}[1:len({kept}) - 1], ', ') || ' and ' || {kept}[len({kept})] END AS {c}"
+
+
+@query("f26_tailored_abstract", "titled", rf"""
+, f AS (SELECT id, relevance_llm, main_claim, trim(regexp_replace(abstract, '\s+', ' ', 'g')) AS flat, {_list_sql('matrix')}, {_list_sql('method')}, {_list_sql('pathway')}, {_list_sql('sensory')} FROM titled WHERE abstract <> '' AND main_claim <> ''),
+s AS (SELECT *, coalesce(nullif(regexp_extract(flat, '^(.*?[.!?])\s+[A-Z]', 1), ''), flat) AS first FROM f),
+c AS (SELECT *, CASE WHEN length(first) > 400 THEN regexp_replace(regexp_replace(substr(first, 1, 400), ' [^ ]*$', ''), '[,;:]+$', '') || ' …' ELSE first END AS cut, 'Main claim: ' || trim(main_claim) AS claim FROM s)
+SELECT id, relevance_llm, concat_ws(' ', CASE WHEN regexp_matches(trim(cut), '[.!?…]$') THEN trim(cut) ELSE trim(cut) || '.' END,
+ CASE WHEN matrix <> '' AND method <> '' THEN 'The work concerns ' || matrix || ', using ' || method || '.' WHEN matrix <> '' THEN 'The work concerns ' || matrix || '.' WHEN method <> '' THEN 'The work uses ' || method || '.' END,
+ CASE WHEN regexp_matches(trim(claim), '[.!?…]$') THEN trim(claim) ELSE trim(claim) || '.' END,
+ 'For Lumenary, this ' || CASE WHEN pathway <> '' AND sensory <> '' THEN 'is evidence on ' || pathway || ' chemistry with reported ' || sensory || ' sensory relevance for building meaty flavor.'
+  WHEN pathway <> '' THEN 'is evidence on ' || pathway || ' chemistry relevant to building meaty flavor.' WHEN sensory <> '' THEN 'carries reported ' || sensory || ' sensory relevance for building meaty flavor.' ELSE 'adds source-backed evidence for building meaty flavor.' END) AS tailored FROM c""")
 def f26(papers):
-    return C.tailored_abstract(papers)
+    return C.tailored_abstract(papers.withColumns({c: F.split(c, r"\|") for c in ("matrix", "method", "pathway", "sensory")}), "Lumenary")
 
 
 @query("f27_profile", "papers", """

@@ -138,7 +138,9 @@ def test_results_do_not_depend_on_the_partitions(spark, data):
     from lumenary.operators.graph import jaccard_pairs
     from lumenary.adapters import adapter
 
-    claims, edges = adapter(spark, data, "claims"), adapter(spark, data, "molecule_odours")
+    from lumenary.plans.claims import named
+
+    claims, edges = named(adapter(spark, data, "claims")), adapter(spark, data, "molecule_odours")
     rows = lambda df: sorted(map(str, df.collect()))
     a = claim_weights(claims).select("claim_id", F.round("weight", 9))
     assert rows(a) == rows(claim_weights(claims.repartition(13, F.rand(3))).select("claim_id", F.round("weight", 9)))
@@ -146,17 +148,21 @@ def test_results_do_not_depend_on_the_partitions(spark, data):
 
 
 def test_sample_claims(spark):
-    """Eight claims: a polarity conflict, an interval conflict, a divergence by matrix, a single-source floor."""
+    """A polarity conflict, divergences by matrix and temperature, interval conflicts of one unit only, a single-source floor."""
     from lumenary.operators.claims import claim_weights, conflict_pairs, edge_consensus
 
-    cols = "claim_id string, subject long, axis string, object long, polarity string, tier_code int, method_code int, directness_code int, source_id long, source_group long, matrix string, temp_c double, ph double, low double, high double"
-    rows = [("c1", 1, "aroma", 1, "+", 0, 0, 0, 1, 1, "beef", 60.0, 5.5, None, None), ("c2", 1, "aroma", 1, "+", 0, 2, 0, 2, 2, "beef", 62.0, 5.5, None, None), ("c3", 1, "aroma", 1, "-", 1, 3, 1, 3, 3, "beef", 65.0, 5.6, None, None), ("c4", 1, "aroma", 1, "-", 1, 3, 1, 4, 4, "pork", 60.0, 5.5, None, None),
-            ("c5", 2, "level", 1, "+", 0, 0, 0, 5, 5, None, 60.0, 5.5, 1.0, 2.0), ("c6", 2, "level", 1, "+", 0, 0, 0, 6, 6, None, 61.0, 5.5, 5.0, 6.0), ("c7", 2, "level", 1, "+", 0, 0, 0, 7, 7, None, 120.0, 5.5, 5.0, 6.0), ("c8", 3, "aroma", 9, "+", 9, 9, 9, 8, 8, None, 20.0, 7.0, None, None)]
+    cols = ("claim_id string, subject long, axis string, object long, polarity string, evidence_tier string, method string, directness string, source_id long, source_group long, matrix string, temp_c double, ph double, "
+            "low double, high double, quantity string, unit string")
+    strong, none = ("T1_experimental", "gco_aeda_quant", "target_matrix"), (None,) * 4
+    rows = [("c1", 1, "aroma", 1, "+", *strong, 1, 1, "beef", 60.0, 5.5, *none), ("c2", 1, "aroma", 1, "+", "T1_experimental", "sensory_trained", "target_matrix", 2, 2, "beef", 62.0, 5.5, *none),
+            ("c3", 1, "aroma", 1, "-", "T2_review", "gcms_identification", "analogous_matrix", 3, 3, "beef", 65.0, 5.6, *none), ("c4", 1, "aroma", 1, "-", "T2_review", "gcms_identification", "analogous_matrix", 4, 4, "pork", 60.0, 5.5, *none),
+            ("c5", 2, "level", 1, "+", *strong, 5, 5, None, 60.0, 5.5, 1.0, 2.0, "OAV", None), ("c6", 2, "level", 1, "+", *strong, 6, 6, None, 61.0, 5.5, 5.0, 6.0, "OAV", None), ("c7", 2, "level", 1, "+", *strong, 7, 7, None, 120.0, 5.5, 5.0, 6.0, "OAV", None),
+            ("c8", 3, "aroma", 9, "+", "hearsay", "dream", None, 8, 8, None, 20.0, 7.0, *none), ("c9", 2, "level", 1, "+", *strong, 9, 9, None, 60.0, 5.5, 50.0, 60.0, "OAV", "ug/kg")]
     claims = spark.createDataFrame(rows, cols)
     pairs = {(r.claim_a, r.claim_b): r.kind for r in conflict_pairs(claims).collect()}
     assert pairs == {("c1", "c3"): "contradiction", ("c2", "c3"): "contradiction", ("c1", "c4"): "divergence", ("c2", "c4"): "divergence", ("c5", "c6"): "contradiction", ("c5", "c7"): "divergence"}
     weights = claim_weights(claims)
     w = {r.claim_id: r.weight for r in weights.collect()}
-    assert w["c8"] == pytest.approx(0.5 * 0.5 * 0.4 / (1 + 2.302585092994046))
+    assert w["c8"] == pytest.approx(0.45 * 0.5 * 0.55 / (1 + 2.302585092994046))
     assert w["c4"] > w["c3"] >= 0 and w["c7"] > w["c6"]
     assert edge_consensus(weights).where("subject = 3").first().consensus == pytest.approx(w["c8"])
