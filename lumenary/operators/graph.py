@@ -10,15 +10,28 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that are no names, and endings that make a word look chemical.
-STOP_NAMES = ["water", "other", "total", "sample", "unknown"]
-CHEMICAL = r"(?i)([0-9-]|(ine|ol|al|one|ate|ene|ane|acid|ide|ring|get)$)"
+#: Names too general to look for, words that are no molecules, and endings that make a word look chemical.
+STOP_NAMES = ["water", "oxygen", "nitrogen", "air", "salt", "sugar", "acid", "ester", "ketone", "alcohol", "aldehyde", "amine", "protein", "fat", "oil", "ash", "gas", "iron", "heme"]
+JUNK_NAMES = ["decline", "increase", "decrease", "control", "response", "sample", "mixture", "extract", "residue", "fraction", "volatile", "volatiles", "compound", "compounds", "flavour", "flavor", "aroma", "odour", "odor", "taste", "texture", "quality"]
+CHEMICAL = r"[0-9-]|(ol|al|one|ene|ane|yne|ate|ide|ine|thiol|furan|pyrazine|pyrrole|acid|ester|aldehyde|phenol|lactone|amine|anol|enal|dienal)$"
+LEAST_NAME = 5
 PLACEHOLDERS = ["", "unknown", "n/a", "none", "null", "-"]
 
 
+def is_minable(name: Column) -> Column:
+    """A name of 5 characters or more, neither general nor junk, with a digit, a hyphen or a chemical ending."""
+    low = F.lower(F.trim(name))
+    return F.coalesce((F.length(low) >= LEAST_NAME) & ~low.isin(STOP_NAMES + JUNK_NAMES) & low.rlike(CHEMICAL), F.lit(False))
+
+
 def minable_names(molecules: DataFrame) -> DataFrame:
-    """Names of 5 letters or more, none of the stop list, with a digit, a hyphen or a chemical ending."""
-    return molecules.where((F.length("name") >= 5) & ~F.lower("name").isin(STOP_NAMES) & F.col("name").rlike(CHEMICAL))
+    return molecules.where(is_minable(F.col("name")))
+
+
+def minable_report(molecules: DataFrame) -> DataFrame:
+    """How many names are looked for, how many are skipped, and how many of these are junk."""
+    ok, low = is_minable(F.col("name")), F.lower(F.trim("name"))
+    return molecules.agg(F.count_if(ok).alias("minable"), F.count_if(~ok).alias("skipped"), F.count_if(low.isin(JUNK_NAMES)).alias("junk"))
 
 
 def name_pattern(name: str) -> str:
@@ -123,6 +136,24 @@ def odour_nodes(odours: DataFrame, edges: DataFrame) -> DataFrame:
     return odours.join(degree(edges, "odour_id", "n_molecules"), "id", "left").select("id", F.col("name").alias("label"), "odour_category", F.coalesce("n_molecules", F.lit(0)).alias("n_molecules"))
 
 
+def _values(c: str, most: int) -> Column:
+    """The first values of an array, blanks left out."""
+    return F.array_join(F.slice(F.filter(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x) != ""), 1, most), "|")
+
+
+def paper_nodes(papers: DataFrame) -> DataFrame:
+    """Papers with cut labels and claims and at most four values of each facet, six of the sensory one; facets are arrays."""
+    first = F.nullif(F.split_part(_values("study_type", 1), F.lit("|"), F.lit(1)), F.lit(""))
+    facets = [_values(c, 6 if c == "sensory" else 4).alias(c) for c in ("pathway", "method", "matrix", "compound_class", "sensory")]
+    return papers.select(
+        F.concat(F.lit("s"), "id").alias("id"), F.col("id").alias("raw_id"), F.substring(F.coalesce("name", F.lit("")), 1, 140).alias("label"), F.lit("paper").alias("type"), "year", F.nullif("journal", F.lit("")).alias("journal"),
+        F.col("citation_count").alias("citations"), F.col("relevance_llm").alias("relevance"), F.col("priority").cast("double").alias("priority"), first.alias("study_type"), *facets, F.substring(F.coalesce("main_claim", F.lit("")), 1, 400).alias("main_claim"), "is_review")
+
+
+def topic_nodes(topics: DataFrame) -> DataFrame:
+    return topics.select(F.concat(F.lit("t"), "id").alias("id"), F.col("id").alias("raw_id"), F.col("name").alias("label"), F.lit("topic").alias("type"), F.col("root_branch").alias("branch"), F.col("level"))
+
+
 def chem_scaffold(molecules: DataFrame) -> DataFrame:
     """Class, group and pathway nodes, one per kind and normalised label."""
     flat = molecules.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("label")) for k, c in (("class", "category"), ("group", "chem_group"), ("pathway", "process"))])).alias("x")).select("x.*").where(F.col("label").isNotNull())

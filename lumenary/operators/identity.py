@@ -13,14 +13,35 @@ from pyspark.sql import functions as F
 
 #: Identifier schemes by pattern.
 SCHEMES = [("CAS", r"^\d{2,7}-\d{2}-\d$"), ("ChEBI", r"(?i)^chebi:\d+$"), ("HMDB", r"(?i)^hmdb\d{5,}$"), ("KEGG", r"(?i)^c\d{5}$")]
-#: Chemical classes by substring, then by ending, first match first.
-CLASSES = [("pyrazine", "pyrazines"), ("thiazole", "thiazoles"), ("furan", "furans"), ("pyrrole", "pyrroles"), ("thio", "sulfur compounds"), ("sulf", "sulfur compounds"), ("acid", "acids"), ("lactone", "lactones"), ("widget", "widgets")]
-ENDINGS = [("al", "aldehydes"), ("one", "ketones"), ("ol", "alcohols"), ("ate", "esters"), ("ene", "terpenes"), ("ine", "amines"), ("ring", "rings")]
-#: Sensory axes and their keywords.
-AXES = {"meaty": ["meaty", "beef", "broth"], "roasted": ["roasted", "nutty"], "fatty": ["fatty", "oily"], "green": ["green", "grass"], "sweet": ["sweet", "caramel"], "sulfurous": ["sulf", "onion"], "fruity": ["fruit"], "earthy": ["earth", "mushroom"]}
-#: Titles of people that are no part of a name.
-TITLES = r"(?i)\b(dr|prof|professor|mr|mrs|ms)\.? "
-ACCENTS = ("áàâäãåéèêëíìîïóòôöõúùûüñç", "aaaaaaeeeeiiiiooooouuuunc")
+#: The ladder of chemical classes. The first step whose parts occur in a name, or whose endings end it, tells its class.
+CLASS_LADDER = [
+    ("Terpenes", ["limonene", "pinene", "terpin", "myrcene", "carene", "terpineol", "linalool", "geraniol", "citronell", "caryophyllene", "farnesene", "ocimene", "camphene", "sabinene", "menthol", "menthone", "borneol", "cadinene",
+                  "humulene", "nerol", "citral", "terpene"], []),
+    ("Pyrazines", ["pyrazine"], []),
+    ("Sulfur compounds", ["thiophene", "thiazol", "thiadiazol", "dithiazine", "dithiol", "dithiole", "dithian", "trithiolane", "trithiane", "tetrathiane"], []),
+    ("Furans", ["furan", "furfur", "furanone"], []),
+    ("Nitrogen compounds", ["pyrrol", "pyridin", "pyrimidin", "oxazol", "isoxazol", "indol", "skatole", "piperidin", "morpholin", "quinoxalin", "imidazol", "amine"], []),
+    ("Sulfur compounds", ["thio", "mercapto", "sulfid", "sulfanyl", "disulf", "trisulf", "sulfur", "sulfhydryl"], []),
+    ("Fats", ["palmit", "stear", "oleic", "olei", "linole", "myrist", "lauric", "caproic", "caprylic", "capric", "glycer", "fatty", "arachid"], []),
+    ("Lactones", ["lactone"], ["olide"]),
+    ("Phenols", ["phenol", "guaiacol", "cresol", "eugenol", "vanillin", "vanillate", "catechol", "thymol", "carvacrol"], []),
+    ("Acids", ["acid"], []),
+    ("Esters", ["acetate", "propanoate", "butanoate", "hexanoate", "octanoate", "benzoate", "formate", "butyrate", "caproate", "valerate", "propionate"], ["oate"]),
+    ("Aldehydes", ["aldehyde"], ["al"]),
+    ("Ketones", ["ketone"], ["one"]),
+    ("Alcohols", ["alcohol"], ["ol", "diol"]),
+    ("Hydrocarbons", ["naphthalene", "benzene", "toluene", "xylene", "styrene", "indene", "anthracene", "biphenyl"], ["ane", "ene", "yne"]),
+]
+#: Sensory axes and the parts of odour words that count for each.
+AXES = {
+    "Roasted": ["roast", "toast", "popcorn", "coffee", "grilled", "burnt"], "Meaty": ["meat", "broth", "bouillon", "savor", "savour", "umami", "brothy"],
+    "Fatty": ["fat", "oily", "tallow", "lard", "waxy", "creamy"], "Green": ["green", "grass", "fresh", "herbal", "cucumber", "leaf"],
+    "Sulfurous": ["sulf", "sulph", "onion", "garlic", "potato", "egg", "cabbage"], "Nutty": ["nut", "almond", "hazelnut", "peanut"],
+    "Caramel": ["caramel", "sweet", "honey", "malt", "butter", "chocolate", "vanilla"], "Rancid": ["rancid", "sour", "chees", "sweaty", "putrid", "pungent", "paint"],
+}
+#: Accented letters and what they fold to; titles before and remarks after the name of an expert.
+ACCENTS = ("ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿĆćČčĘęŁłŃńŚśŠšŹźŻżŽžŐőŰűĞğİıŞş", "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOOooooooUUUUuuuuYyyCcCcEeLlNnSsSsZzZzZzOoUuGgIiSs")
+TITLES, REMARKS = r"(?i)^(prof\.?\s*)?(dr\.?\s*)?", r"\s*\(.*\)$"
 
 
 def norm_synonym(text: str | None) -> str | None:
@@ -147,15 +168,23 @@ def identity_report(df: DataFrame) -> DataFrame:
 
 
 def chemical_class(name: Column) -> Column:
-    low = F.lower(name)
-    out = F.lit("Unclassified")
-    for ending, label in reversed(ENDINGS):
-        out = F.when(low.endswith(ending), label).otherwise(out)
-    for part, label in reversed(CLASSES):
-        out = F.when(low.contains(part), label).otherwise(out)
+    low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    out = F.lit("Other")
+    for label, parts, endings in reversed(CLASS_LADDER):
+        hit = reduce(lambda a, b: a | b, [low.contains(p) for p in parts] + [low.endswith(e) for e in endings])
+        out = F.when(hit, label).otherwise(out)
     return out
 
 
+def categorize(molecules: DataFrame) -> DataFrame:
+    """The class by name of molecules without a category or with `Unclassified`."""
+    return molecules.where(F.col("category").isNull() | (F.col("category") == "Unclassified")).select("id", chemical_class(F.col("name")).alias("class"))
+
+
+def class_tally(categorized: DataFrame) -> DataFrame:
+    return categorized.groupBy("class").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "class")
+
+
 def flag_junk(df: DataFrame, artifacts: list[str]) -> DataFrame:
     return df.withColumn("is_junk", F.coalesce(F.lower(F.trim("name")).isin(artifacts), F.lit(False)))
 
@@ -173,12 +202,16 @@ def backfill_from_reference(molecules: DataFrame, library: DataFrame) -> DataFra
 
 
 def parse_threshold(df: DataFrame, col: str = "odor_threshold") -> DataFrame:
-    """Head and matrix at the first comma; kind of head; a number only for a bare one."""
-    head = F.trim(F.split_part(F.col(col), F.lit(","), F.lit(1)))
-    matrix = F.nullif(F.trim(F.regexp_replace(F.substring(F.col(col), F.length(F.split_part(F.col(col), F.lit(","), F.lit(1))) + 2, 1000), r"^in ", "")), F.lit(""))
-    kind = F.when(F.col(col).isNull(), "missing").when(F.col("head").rlike(r"^[<>]"), "limit").when(F.col("head").rlike(r"^[0-9.]+ *- *[0-9.]+$"), "range").when(F.col("head").rlike(r"^[0-9]+(\.[0-9]+)?$"), "number").otherwise("text")
-    out = df.withColumn("head", head).withColumn("threshold_kind", kind)
-    return out.withColumn("threshold", F.when(F.col("threshold_kind") == "number", F.col("head").try_cast("double"))).withColumn("threshold_matrix", F.regexp_replace(matrix, "^in ", ""))
+    """threshold, threshold_matrix and flags: head and matrix at the first comma, a number only for a bare one, units never guessed."""
+    text = F.trim(F.coalesce(F.col(col), F.lit("")))
+    head = F.trim(F.split_part(text, F.lit(","), F.lit(1)))
+    matrix = F.nullif(F.trim(F.substring(text, F.length(F.split_part(text, F.lit(","), F.lit(1))) + 2, F.length(text))), F.lit(""))
+    limit = head.rlike(r"(?i)greater than|less than|[<>≥≤]")
+    span = head.rlike(r"(?i)[~–—-]|\bto\b")
+    number = F.when(~limit & ~span & head.rlike(r"^[0-9]+(\.[0-9]+)?$"), head.try_cast("double"))
+    kind = F.when(limit, "limit_not_point_value").when(span, "range_not_point_value")
+    flags = F.when(text == "", F.array(F.lit("empty"))).otherwise(F.array_compact(F.array(F.when(matrix.isNotNull(), "matrix_qualified"), kind, F.lit("unit_not_stated_in_source"))))
+    return df.withColumns({"threshold": number, "threshold_matrix": matrix, "flags": F.array_join(flags, "|")})
 
 
 def properties_long(df: DataFrame, props: dict[str, str]) -> DataFrame:
@@ -204,22 +237,27 @@ def property_summary(rows: DataFrame) -> DataFrame:
 # People, journals and organizations.
 
 def author_key(c: Column) -> Column:
-    """Accents folded, titles and parentheses away, letters only."""
-    bare = F.regexp_replace(F.regexp_replace(c, r"\([^)]*\)", " "), TITLES, " ")
-    return F.regexp_replace(F.translate(F.lower(bare), *ACCENTS), "[^a-z]", "")
+    """Accents folded, lower case, letters only."""
+    return F.regexp_replace(F.lower(F.translate(c, *ACCENTS)), "[^a-z]", "")
+
+
+def expert_key(c: Column) -> Column:
+    """The key of an expert's name, without titles in front and remarks in parentheses behind."""
+    return author_key(F.regexp_replace(F.regexp_replace(c, TITLES, ""), REMARKS, ""))
 
 
 def match_authors(papers: DataFrame, people: DataFrame, gate: int = 60) -> DataFrame:
     """(person_key, paper_id): authors of papers past the gate that are known people."""
-    names = papers.where(F.col("relevance_llm") >= gate).select("id", F.explode(F.split("authors", "[;,]")).alias("author"))
+    names = papers.where(F.col("relevance_llm") >= gate).select("id", F.explode(F.split("authors", r"\s*[;,]\s*")).alias("author"))
     keys = names.select(F.col("id").alias("paper_id"), author_key(F.col("author")).alias("person_key")).where(F.length("person_key") >= 6)
-    return keys.join(people.select(author_key(F.col("name")).alias("person_key")), "person_key", "left_semi").distinct()
+    known = people.select(expert_key(F.col("name")).alias("person_key")).distinct()
+    return keys.join(known.hint("merge"), "person_key", "left_semi").distinct()
 
 
 def merge_people(people: DataFrame, links: DataFrame, least: int = 2, most: int = 50) -> DataFrame:
     """People of one key as one: smallest id, first known attributes in id order, papers; kept with `least` papers."""
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c)
-    one = people.withColumn("person_key", author_key(F.col("name"))).groupBy("person_key").agg(F.min("id").alias("id"), first("current_org"), first("country"), first("relevance_score"))
+    one = people.withColumn("person_key", expert_key(F.col("name"))).groupBy("person_key").agg(F.min("id").alias("id"), first("current_org"), first("country"), first("relevance_score"))
     papers = links.groupBy("person_key").agg(F.count("*").alias("papers"), F.min("paper_id").alias("first_paper"), F.max("paper_id").alias("last_paper"))
     return one.join(papers, "person_key").where(F.col("papers") >= least)
 
@@ -229,16 +267,79 @@ def people_papers(papers: DataFrame, junction: DataFrame, topics: DataFrame) ->
     return papers.join(tags, "id", "left").select("id", F.size(F.split("authors", ";")).cast("long").alias("authors"), F.coalesce("slugs", F.lit("")).alias("slugs"))
 
 
-#: Words that tell a sector, first match first, and places that tell a country.
-SECTORS = [("industry", r"(?i)\b(inc|ltd|gmbh|company|corp|machinery|automobile)\b"), ("academic", r"(?i)universit|college|school"), ("government", r"(?i)ministry|agency|household|national")]
-PLACES = [("NL", r"(?i)netherlands|wageningen|NATION_1\b"), ("DE", r"(?i)germany|munich|NATION_2\b"), ("US", r"(?i)\busa\b|california|NATION_3\b")]
-
-
-def infer_affiliation(df: DataFrame, col: str) -> DataFrame:
-    """Text without e-mail and address, sector (academic by default) and ISO country."""
-    clean = F.trim(F.split_part(F.regexp_replace(F.regexp_replace(col, r"\S+@\S+", ""), r",[^,;]*[0-9].*$", ""), F.lit(";"), F.lit(1)))
-    pick = lambda table, default: reduce(lambda acc, s: F.when(F.col(col).rlike(s[1]), s[0]).otherwise(acc), reversed(table), F.lit(default))
-    return df.withColumns({"clean": clean, "sector": pick(SECTORS, "academic"), "iso": pick(PLACES, None)})
+#: Names of countries, and places that tell a country where none is given, first match first.
+COUNTRIES = {
+    "china": "CN", "usa": "US", "united states": "US", "uk": "GB", "united kingdom": "GB", "germany": "DE", "france": "FR", "spain": "ES", "belgium": "BE", "canada": "CA", "switzerland": "CH", "netherlands": "NL", "italy": "IT",
+    "japan": "JP", "korea": "KR",
+}
+PLACES = [
+    ("CA", r"agri-food canada|\bcanada\b|toronto|guelph|alberta|manitoba|saskatchewan|mcgill|british columbia"),
+    ("CN", r"\bchina\b|chinese|people's republic|beijing|shanghai|jiangnan|jiangsu|hubei|hunan|henan|anhui|gansu|guangdong|guangxi|guangzhou|harbin|hefei|huazhong|jinan|ludong|nanjing|qinghai|shaanxi|sichuan|tianjin|zhengzhou|zhongkai|"
+           r"xihua|xi'an|bohai|minzu|lanzhou|changchun|ningbo|xinjiang|zhejiang|hangzhou|shandong|wuhan|shenzhen|chongqing|fujian|yunnan|northeast agricultural|north ?west agricult|southwest university|ministry of agriculture and rural affairs"),
+    ("KR", r"korea|seoul|jeonbuk|keimyung|sunchon|konkuk|chungnam|chonnam|pusan|busan|kyung"),
+    ("JP", r"japan|tokyo|kyoto|osaka"),
+    ("US", r"\busa\b|united states|alabama|new jersey|rutgers|tufts|miami university|parkland college|california|texas|florida|iowa|illinois|kansas|oklahoma|nebraska|purdue|cornell|massachusetts|ohio|michigan|wisconsin|minnesota|appalachian|"
+           r"north carolina"),
+    ("GB", r"united kingdom|\buk\b|england|scotland|london|university of reading|nottingham|leeds"),
+    ("DE", r"germany|munich|münchen|hohenheim|berlin|hamburg|bonn|dresden"),
+    ("NL", r"netherlands|nederland|amsterdam|wageningen|utrecht|delft"),
+    ("BE", r"belgium|gembloux|ghent|\bgent\b|leuven|liège|brussels"),
+    ("CH", r"switzerland|nestl|zurich|zürich|geneva|lausanne"),
+    ("FR", r"\bfrance\b|paris|inrae|dijon|nantes"),
+    ("ES", r"\bspain\b|españa|galicia|valencia|madrid|barcelona|instituto de agroqu"),
+    ("IT", r"\bitaly\b|milan|bologna|napoli|naples|parma|torino"),
+    ("SE", r"sweden|chalmers|uppsala|\blund\b|stockholm"),
+    ("DK", r"denmark|copenhagen|aarhus"),
+    ("FI", r"finland|helsinki|turku"),
+    ("EE", r"estonia|tallinn|tftak"),
+    ("AT", r"austria|austrian|vienna|wien|graz"),
+    ("PL", r"poland|warsaw|poznan|krakow"),
+    ("IE", r"ireland|dublin|teagasc"),
+    ("NZ", r"new zealand|auckland|massey|otago|agresearch"),
+    ("AU", r"australia|sydney|unsw|melbourne|queensland|csiro"),
+    ("SG", r"singapore|a\*star"),
+    ("TH", r"thailand|songkla|bangkok|chulalongkorn|kasetsart"),
+    ("IN", r"\bindia\b|mysore|delhi|cftri"),
+    ("BR", r"brazil|são paulo|sao paulo|campinas|utfpr"),
+    ("IL", r"israel|tel aviv|hebrew university|technion|volcani"),
+    ("RS", r"serbia|belgrade"),
+]
+#: Words that tell a sector, first match first; the default, and what no affiliation at all is.
+SECTORS = [
+    ("industry", r"\bco\.|\bltd\b|\binc\b|gmbh|\bb\.v\.|nestl|corp\b|company|\bgroup\b|\badm\b|distillery|tobacco|\bas\b|\bs\.a\b|zuivel o+nderzoek|\bnizo\b"),
+    ("academic", r"universit|college|school|hochschule|polytechnic|institute of technology"),
+    ("ngo", r"ministry|academy of|national institute|research institute|state key laboratory|agri-food canada|inrae|agresearch|a\*star|competence cent|instituut|institute of|instituto|centro tecnol|teagasc|csiro"),
+]
+OTHER_SECTOR, NO_SECTOR = "academic", "unknown"
+EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+(\.[A-Za-z0-9_-]+)+"
+
+
+def clean_affiliation(raw: Column) -> Column:
+    """Without e-mails and what follows `electronic address:` or a semicolon, up to the first later part with a digit; 120 characters."""
+    text = F.split_part(F.split(F.regexp_replace(raw, EMAIL, ""), "(?i)electronic address:").getItem(0), F.lit(";"), F.lit(1))
+    parts = F.split(text, ",")
+    numbered = F.filter(F.transform(parts, lambda p, i: F.when((i > 0) & p.rlike("[0-9]"), i)), lambda i: i.isNotNull())
+    kept = F.slice(parts, 1, F.coalesce(F.get(numbered, F.lit(0)), F.size(parts)))
+    joined = F.array_join(F.filter(F.transform(kept, lambda p: F.trim(p)), lambda p: p != ""), ", ")
+    return F.nullif(F.substring(F.regexp_replace(joined, r"^[ ,.]+|[ ,.]+$", ""), 1, 120), F.lit(""))
+
+
+def infer_country(value: Column, affiliation: Column) -> Column:
+    """The ISO code given, or of the name given, or of the first place that the affiliation names."""
+    v = F.trim(F.coalesce(value, F.lit("")))
+    named = F.try_element_at(F.create_map(*[F.lit(x) for kv in COUNTRIES.items() for x in kv]), F.lower(v))
+    place = reduce(lambda acc, s: F.when(F.lower(affiliation).rlike(s[1]), s[0]).otherwise(acc), reversed(PLACES), F.lit(None).cast("string"))
+    return F.when(v.rlike("^[A-Za-z]{2}$"), F.upper(v)).otherwise(F.coalesce(named, place))
+
+
+def infer_sector(affiliation: Column) -> Column:
+    out = reduce(lambda acc, s: F.when(F.lower(affiliation).rlike(s[1]), s[0]).otherwise(acc), reversed(SECTORS), F.lit(OTHER_SECTOR))
+    return F.when(F.coalesce(affiliation, F.lit("")) == "", NO_SECTOR).otherwise(out)
+
+
+def infer_affiliation(df: DataFrame, col: str, country: str) -> DataFrame:
+    """`clean`, `sector` and `iso` of an affiliation and a country as it is known."""
+    return df.withColumns({"clean": clean_affiliation(F.col(col)), "sector": infer_sector(F.col(col)), "iso": infer_country(F.col(country), F.col(col))})
 
 
 def org_directory(orgs: DataFrame, aliases: DataFrame, sector: str | None = None, region: str | None = None, limit: int = 20) -> DataFrame:
@@ -257,8 +358,14 @@ def import_new_orgs(candidates: DataFrame, existing: DataFrame) -> DataFrame:
     return candidates.withColumn("key", F.lower(F.trim("name"))).join(known, "key", "left_anti").groupBy("key").agg(F.min_by(F.struct("id", "name", "org_type"), "id").alias("o")).select("o.*")
 
 
+#: The tail that a publisher adds to its journals' names.
+TAIL, PARENTHESES = r"(?i)\s*:?\s*an open access journal from mdpi\s*$", r"\s*\([^)]*\)"
+
+
 def journal_key(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"^the ", ""), "[^a-z0-9]+", " "))
+    """One key for the spellings of a journal: no tail, no parentheses, lower case, `&` as and, letters and digits only."""
+    bare = F.replace(F.lower(F.regexp_replace(F.regexp_replace(F.trim(c), TAIL, ""), PARENTHESES, "")), F.lit("&"), F.lit(" and "))
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, "[^a-z0-9 ]+", " "), r"\s+", " "))
 
 
 def group_journals(papers: DataFrame) -> DataFrame:
@@ -266,7 +373,8 @@ def group_journals(papers: DataFrame) -> DataFrame:
     keyed = papers.where(F.trim("journal") != "").withColumn("key", journal_key(F.col("journal")))
     variants = keyed.groupBy("key", "journal").agg(F.count("*").alias("n"), F.count_if(F.col("doi").isNull()).alias("no_doi"), F.min("year").alias("first"), F.max("year").alias("last"), F.count_if("is_review").alias("reviews"))
     capitals = F.length(F.regexp_replace("journal", "[^A-Z]", ""))
-    shown = F.min_by("journal", F.struct(-F.col("n"), -capitals, F.length("journal"), F.col("journal")))
+    best = F.min_by("journal", F.struct(-F.col("n"), -capitals, F.length("journal"), F.col("journal")))
+    shown = F.regexp_replace(F.trim(F.regexp_replace(F.regexp_replace(best, PARENTHESES, ""), TAIL, "")), "[,;:]+$", "")
     return variants.groupBy("key").agg(shown.alias("journal"), F.sum("n").alias("n"), F.sum("no_doi").alias("no_doi"), F.min("first").alias("first"), F.max("last").alias("last"), F.sum("reviews").alias("reviews"), F.array_join(F.array_sort(F.collect_set("journal")), "|").alias("variants"))
 
 
@@ -279,10 +387,28 @@ def journal_access(papers: DataFrame, publishers: DataFrame) -> DataFrame:
     return out.select("journal", "prefix", "n", F.coalesce("publisher", F.lit("unknown")).alias("publisher"), access.alias("access"))
 
 
+#: Kinds of access in their order, and what they are called.
+ACCESS = {"SUB": "Paid subscription", "MIX": "Hybrid / varies", "UNK": "Unknown (no DOI)", "PRE": "Preprint (free)", "OA": "Open access (free)"}
+
+
+def _share(n: Column) -> Column:
+    return F.round(n * 100.0 / F.sum(n).over(Window.partitionBy()), 4)
+
+
 def platform_rollup(journals: DataFrame) -> DataFrame:
-    kinds = lambda k: F.sum(F.when(F.col("access") == k, F.col("n")).otherwise(0)).alias(k)
-    out = journals.groupBy("publisher").agg(F.count("*").alias("journals"), F.sum("n").alias("papers"), kinds("paid"), kinds("free"))
-    return out.withColumn("other", F.col("papers") - F.col("paid") - F.col("free"))
+    """Journals, papers, paid and free papers, label and share of each publisher; most paid papers first. `access` is a key of ACCESS."""
+    kinds = lambda ks: F.sum(F.when(F.col("access").isin(ks), F.col("n")).otherwise(0))
+    out = journals.groupBy("publisher").agg(F.count("*").alias("journals"), F.sum("n").alias("papers"), kinds(["SUB"]).alias("paid"), kinds(["OA", "PRE"]).alias("free"))
+    paid, free = F.col("paid") > 0, F.col("free") > 0
+    label = F.when(paid & ~free, "Paid subscription").when(free & ~paid, "Open access (free)").when(paid & free, "Mixed paid + free").otherwise("Hybrid / unknown")
+    return out.withColumns({"other": F.col("papers") - F.col("paid") - F.col("free"), "share": _share(F.col("papers")), "access_label": label}).orderBy(F.desc("paid"), F.desc("papers"), "publisher")
+
+
+def access_rollup(journals: DataFrame) -> DataFrame:
+    """Papers and share of each kind of access, in the kinds' order."""
+    out = journals.groupBy("access").agg(F.sum("n").alias("n")).withColumn("share", _share(F.col("n")))
+    name = F.try_element_at(F.create_map(*[F.lit(x) for kv in ACCESS.items() for x in kv]), "access")
+    return out.withColumn("access_label", name).orderBy(F.array_position(F.array(*map(F.lit, ACCESS)), F.col("access")))
 
 
 def paid_shortlist(journals: DataFrame) -> DataFrame:
@@ -322,7 +448,7 @@ def sensory_radar(library: DataFrame, processes: list[str]) -> DataFrame:
     """Keyword hits over all descriptors by axis, over the busiest axis."""
     text = F.lower(F.coalesce("odor_descriptor", F.lit("")))
     count = lambda k: (F.length(text) - F.length(F.replace(text, F.lit(k), F.lit("")))) / len(k)
-    wide = library.where(F.col("likely_process").isin(processes)).agg(*[F.sum(reduce(lambda a, b: a + b, map(count, keys))).alias(axis) for axis, keys in AXES.items()])
+    wide = library.where(F.col("likely_process").isin(processes) & F.col("compound").isNotNull()).agg(*[F.sum(reduce(lambda a, b: a + b, map(count, keys))).alias(axis) for axis, keys in AXES.items()])
     long = wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), F.coalesce(F.col(a), F.lit(0.0)).alias("hits")) for a in AXES])).alias("x")).select("x.*")
     return long.withColumn("value", F.round(F.col("hits") / F.greatest(F.lit(1.0), F.max("hits").over(Window.partitionBy())), 2))
 

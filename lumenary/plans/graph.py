@@ -28,11 +28,24 @@ _SIZE = "e AS (SELECT DISTINCT molecule_id AS m, odour_id AS o FROM molecule_odo
 _SIM = f"{_SIZE}, p AS (SELECT x.m AS a, y.m AS b, count(*) AS inter FROM e x JOIN e y ON x.o = y.o AND x.m < y.m GROUP BY 1, 2), sim AS (SELECT a, b, inter, round(inter / (s.n + t.n - inter), 3) AS jaccard FROM p JOIN sz s ON s.m = a JOIN sz t ON t.m = b WHERE inter >= 2 AND (inter / (s.n + t.n - inter) >= 0.34 OR inter >= 4))"
 
 
-@query("d1_minable_names", "molecules", r"SELECT * FROM molecules WHERE length(name) >= 5 AND lower(name) NOT IN ('water','other','total','sample','unknown') AND regexp_matches(name, '(?i)([0-9-]|(ine|ol|al|one|ate|ene|ane|acid|ide|ring|get)$)')")
+_MINABLE = r"""length(trim(name)) >= 5 AND lower(trim(name)) NOT IN ('water', 'oxygen', 'nitrogen', 'air', 'salt', 'sugar', 'acid', 'ester', 'ketone', 'alcohol', 'aldehyde', 'amine', 'protein', 'fat', 'oil', 'ash', 'gas', 'iron', 'heme', 'decline', 'increase', 'decrease', 'control',
+ 'response', 'sample', 'mixture', 'extract', 'residue', 'fraction', 'volatile', 'volatiles', 'compound', 'compounds', 'flavour', 'flavor', 'aroma', 'odour', 'odor', 'taste', 'texture', 'quality')
+ AND (regexp_matches(name, '[0-9-]') OR regexp_matches(lower(trim(name)), '(ol|al|one|ene|ane|yne|ate|ide|ine|thiol|furan|pyrazine|pyrrole|acid|ester|aldehyde|phenol|lactone|amine|anol|enal|dienal)$'))"""
+#: Parts under names that are chemical, general, junk or none of these.
+ADAPTERS["named_parts"] = """
+    SELECT p_partkey AS id, CASE p_partkey % 11 WHEN 0 THEN 'Water' WHEN 1 THEN ' Decline ' WHEN 2 THEN 'aroma' WHEN 3 THEN concat(p_name, ' hexanal') WHEN 4 THEN concat('2-', p_name) WHEN 5 THEN concat(p_name, ' Acid') WHEN 6 THEN 'urea' WHEN 7 THEN 'Amine' WHEN 8 THEN p_name ELSE concat(p_name, 'ine ') END AS name FROM part"""
+
+
+@query("d1_minable_names", "named_parts", f"SELECT * FROM named_parts WHERE {_MINABLE}")
 def d1(molecules):
     return G.minable_names(molecules)
 
 
+@query("d1_minable_report", "named_parts", f"SELECT count(*) FILTER (WHERE {_MINABLE}) AS minable, count(*) - count(*) FILTER (WHERE {_MINABLE}) AS skipped, count(*) FILTER (WHERE lower(trim(name)) IN ('decline', 'aroma')) AS junk FROM named_parts")
+def d1b(molecules):
+    return G.minable_report(molecules)
+
+
 @query("d2_mine_mentions", "documents mined_names")
 def d2(documents, names):
     return G.mine_mentions(mine_docs(documents), names.where(F.length("name") >= 5))
@@ -87,6 +100,23 @@ def d8b(odours, edges):
     return G.odour_nodes(odours, edges)
 
 
+ADAPTERS["faceted"] = """
+    SELECT doc_id AS id, text AS name, CAST(2000 + doc_id % 27 AS INT) AS year, CASE WHEN doc_id % 6 > 0 THEN source ELSE '' END AS journal, CAST((doc_id*37) % 400 AS INT) AS citation_count, CAST(doc_id % 101 AS INT) AS relevance_llm, CAST(doc_id % 77 AS INT) AS priority,
+           CASE doc_id % 3 WHEN 0 THEN 'review|x' WHEN 1 THEN ' |method' END AS study_type, CASE WHEN doc_id % 4 > 0 THEN 'a|b||c|d|e' END AS pathway, CASE WHEN doc_id % 5 > 0 THEN 'p|q' END AS method, 'm' AS matrix, '' AS compound_class, 's1|s2|s3|s4|s5|s6|s7' AS sensory,
+           text AS main_claim, doc_id % 2 = 0 AS is_review FROM documents"""
+
+
+@query("d8_paper_nodes", "faceted", """SELECT concat('s', id) AS id, id AS raw_id, substr(coalesce(name, ''), 1, 140) AS label, 'paper' AS type, year, nullif(journal, '') AS journal, citation_count AS citations, relevance_llm AS relevance, priority::DOUBLE AS priority,
+ CASE id % 3 WHEN 0 THEN 'review' WHEN 1 THEN 'method' END AS study_type, CASE WHEN id % 4 > 0 THEN 'a|b|c|d' ELSE '' END AS pathway, CASE WHEN id % 5 > 0 THEN 'p|q' ELSE '' END AS method, 'm' AS matrix, '' AS compound_class, 's1|s2|s3|s4|s5|s6' AS sensory, substr(coalesce(main_claim, ''), 1, 400) AS main_claim, is_review FROM faceted""")
+def d8c(papers):
+    return G.paper_nodes(papers.withColumns({c: F.split(c, r"\|") for c in ("study_type", "pathway", "method", "matrix", "compound_class", "sensory")}))
+
+
+@query("d8_topic_nodes", "topics", "SELECT concat('t', id) AS id, id AS raw_id, name AS label, 'topic' AS type, root_branch AS branch, parent_id % 3 AS level FROM topics")
+def d8d(topics):
+    return G.topic_nodes(topics.withColumn("level", F.col("parent_id") % 3))
+
+
 @query("d9_chem_scaffold", "molecules", r""", f AS (SELECT 'class' AS kind, category AS label FROM molecules UNION ALL SELECT 'group', chem_group FROM molecules UNION ALL SELECT 'pathway', process FROM molecules)
 SELECT kind, regexp_replace(lower(label), '[\s,''-]', '', 'g') AS key, min(label) AS label FROM f WHERE label IS NOT NULL GROUP BY 1, 2""")
 def d9(molecules):

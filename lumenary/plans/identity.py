@@ -93,10 +93,30 @@ def g11(compounds):
     return I.identity_report(compounds.select(I.norm_mvl(F.col("name")).alias("key"), "id", "name"))
 
 
-@query("g12_chemical_class", "molecules", """SELECT id, CASE WHEN contains(n,'pyrazine') THEN 'pyrazines' WHEN contains(n,'thiazole') THEN 'thiazoles' WHEN contains(n,'furan') THEN 'furans' WHEN contains(n,'pyrrole') THEN 'pyrroles' WHEN contains(n,'thio') OR contains(n,'sulf') THEN 'sulfur compounds' WHEN contains(n,'acid') THEN 'acids' WHEN contains(n,'lactone') THEN 'lactones' WHEN contains(n,'widget') THEN 'widgets'
- WHEN n LIKE '%al' THEN 'aldehydes' WHEN n LIKE '%one' THEN 'ketones' WHEN n LIKE '%ol' THEN 'alcohols' WHEN n LIKE '%ate' THEN 'esters' WHEN n LIKE '%ene' THEN 'terpenes' WHEN n LIKE '%ine' THEN 'amines' WHEN n LIKE '%ring' THEN 'rings' ELSE 'Unclassified' END AS class FROM (SELECT id, lower(name) AS n FROM molecules)""")
+_ENDS = ["limonene", "menthol", "dimethylpyrazine", "thiophene", "dithiolane", "furfural", "pyrrole", "methylamine", "methanethiol", "dimethyl disulfide", "palmitic acid", "linoleic acid", "decalactone", "pantolide", "guaiacol", "thymol", "butanoic acid",
+         "ethyl acetate", "methyl decanoate", "hexanal", "benzaldehyde", "butanone", "ethyl ketone", "ethanol", "butanediol", "amyl alcohol", "toluene", "octane", "hexyne", "water", "Decline", "aroma", "ester", "tube"]
+#: Parts under names that reach every class of the ladder; a third of them has a category of its own.
+ADAPTERS["chemicals"] = f"""
+    SELECT p_partkey AS id, concat(CASE WHEN p_partkey % 3 = 0 THEN upper(p_name) ELSE p_name END, ' ', CASE p_partkey % {len(_ENDS) + 1} {' '.join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(_ENDS))} ELSE '' END) AS name,
+           CASE p_partkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'Unclassified' ELSE p_type END AS category FROM part"""
+_CLASS = r"""cl AS (SELECT id, CASE WHEN regexp_matches(n, 'limonene|pinene|terpin|myrcene|carene|terpineol|linalool|geraniol|citronell|caryophyllene|farnesene|ocimene|camphene|sabinene|menthol|menthone|borneol|cadinene|humulene|nerol|citral|terpene') THEN 'Terpenes'
+ WHEN regexp_matches(n, 'pyrazine') THEN 'Pyrazines' WHEN regexp_matches(n, 'thiophene|thiazol|thiadiazol|dithiazine|dithiol|dithian|trithiolane|trithiane|tetrathiane') THEN 'Sulfur compounds' WHEN regexp_matches(n, 'furan|furfur') THEN 'Furans'
+ WHEN regexp_matches(n, 'pyrrol|pyridin|pyrimidin|oxazol|indol|skatole|piperidin|morpholin|quinoxalin|imidazol|amine') THEN 'Nitrogen compounds' WHEN regexp_matches(n, 'thio|mercapto|sulfid|sulfanyl|disulf|trisulf|sulfur|sulfhydryl') THEN 'Sulfur compounds'
+ WHEN regexp_matches(n, 'palmit|stear|oleic|olei|linole|myrist|lauric|caproic|caprylic|capric|glycer|fatty|arachid') THEN 'Fats' WHEN regexp_matches(n, 'lactone|olide$') THEN 'Lactones'
+ WHEN regexp_matches(n, 'phenol|guaiacol|cresol|eugenol|vanillin|vanillate|catechol|thymol|carvacrol') THEN 'Phenols' WHEN contains(n, 'acid') THEN 'Acids'
+ WHEN regexp_matches(n, 'acetate|propanoate|butanoate|hexanoate|octanoate|benzoate|formate|butyrate|caproate|valerate|propionate|oate$') THEN 'Esters' WHEN regexp_matches(n, 'al$|aldehyde') THEN 'Aldehydes' WHEN regexp_matches(n, 'one$|ketone') THEN 'Ketones'
+ WHEN regexp_matches(n, 'ol$|alcohol') THEN 'Alcohols' WHEN regexp_matches(n, 'naphthalene|benzene|toluene|xylene|styrene|indene|anthracene|biphenyl|(ane|ene|yne)$') THEN 'Hydrocarbons' ELSE 'Other' END AS class
+ FROM (SELECT id, lower(trim(name)) AS n FROM chemicals WHERE category IS NULL OR category = 'Unclassified'))"""
+
+
+@query("g12_chemical_class", "chemicals", f", {_CLASS} SELECT * FROM cl")
 def g12(molecules):
-    return molecules.select("id", I.chemical_class(F.col("name")).alias("class"))
+    return I.categorize(molecules)
+
+
+@query("g12_class_tally", "chemicals", f", {_CLASS} SELECT class, count(*) AS n FROM cl GROUP BY 1")
+def g12b(molecules):
+    return I.class_tally(I.categorize(molecules))
 
 
 @query("g13_flag_junk", "molecules", "SELECT id, name, coalesce(lower(trim(name)) IN ('red widget', 'small ring'), false) AS is_junk FROM molecules")
@@ -110,9 +130,17 @@ def g14(compounds, library):
     return I.backfill_from_reference(compounds, library)
 
 
-@query("g15_parse_threshold", "library", "SELECT entry_no, CASE odor_threshold WHEN '0.5' THEN '0.5' WHEN '1-3, in water' THEN '1-3' WHEN '<2, in oil' THEN '<2' END AS head, CASE odor_threshold WHEN '0.5' THEN 'number' WHEN '1-3, in water' THEN 'range' WHEN '<2, in oil' THEN 'limit' ELSE 'missing' END AS threshold_kind, CASE WHEN odor_threshold = '0.5' THEN 0.5::DOUBLE END AS threshold, CASE odor_threshold WHEN '1-3, in water' THEN 'water' WHEN '<2, in oil' THEN 'oil' END AS threshold_matrix FROM library")
-def g15(library):
-    return I.parse_threshold(library).select("entry_no", "head", "threshold_kind", "threshold", "threshold_matrix")
+ADAPTERS["thresholds"] = """
+    SELECT p_partkey AS id, CASE p_partkey % 12 WHEN 0 THEN '0.5' WHEN 1 THEN '1-3, in water' WHEN 2 THEN '<2, in oil' WHEN 3 THEN 'greater than 5' WHEN 4 THEN '1 – 2' WHEN 5 THEN ' 12 ,  in air, dry' WHEN 6 THEN '~3' WHEN 7 THEN 'trace'
+           WHEN 8 THEN '' WHEN 9 THEN '1 to 4,' WHEN 10 THEN '≤ 0.1-0.2' END AS odor_threshold FROM part"""
+
+
+@query("g15_parse_threshold", "thresholds", """SELECT id, CASE id % 12 WHEN 0 THEN 0.5 WHEN 5 THEN 12 END::DOUBLE AS threshold, CASE id % 12 WHEN 1 THEN 'in water' WHEN 2 THEN 'in oil' WHEN 5 THEN 'in air, dry' END AS threshold_matrix,
+ CASE id % 12 WHEN 0 THEN 'unit_not_stated_in_source' WHEN 1 THEN 'matrix_qualified|range_not_point_value|unit_not_stated_in_source' WHEN 2 THEN 'matrix_qualified|limit_not_point_value|unit_not_stated_in_source' WHEN 3 THEN 'limit_not_point_value|unit_not_stated_in_source'
+  WHEN 4 THEN 'range_not_point_value|unit_not_stated_in_source' WHEN 5 THEN 'matrix_qualified|unit_not_stated_in_source' WHEN 6 THEN 'range_not_point_value|unit_not_stated_in_source' WHEN 7 THEN 'unit_not_stated_in_source' WHEN 9 THEN 'range_not_point_value|unit_not_stated_in_source'
+  WHEN 10 THEN 'limit_not_point_value|unit_not_stated_in_source' ELSE 'empty' END AS flags FROM thresholds""")
+def g15(thresholds):
+    return I.parse_threshold(thresholds).drop("odor_threshold")
 
 
 PROPS = {"p_size": "mm", "p_retailprice": "EUR"}
@@ -135,10 +163,10 @@ def g16b(lineitem):
     return I.latest_property(lineitem.select(F.col("l_partkey").alias("id"), F.col("l_returnflag").alias("property"), F.when(F.col("l_suppkey") % 3 > 0, F.col("l_linestatus")).alias("reference"), F.col("l_quantity").alias("value"), F.col("l_shipdate").alias("at")))
 
 
-@query("g17_crosscheck", "part", "SELECT count(*) AS compared, count(*) FILTER (WHERE abs(p_retailprice - (p_retailprice + (p_partkey % 4) * 0.25::DOUBLE)) > 0.6::DOUBLE) AS mismatched FROM part WHERE p_partkey % 2 = 0")
+@query("g17_crosscheck", "part", "SELECT count(*) AS compared, count(*) FILTER (WHERE abs(p_retailprice - (p_retailprice + (p_partkey % 4) * 0.25::DOUBLE)) > 0.6::DOUBLE) AS mismatched FROM part")
 def g17(part):
     a = part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("value"))
-    b = part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") + (F.col("p_partkey") % 4) * 0.25).alias("value"))
+    b = part.select(F.col("p_partkey").alias("id"), (F.col("p_retailprice") + (F.col("p_partkey") % 4) * 0.25).alias("value"))
     return I.crosscheck(a, b, 0.6)
 
 
@@ -147,8 +175,9 @@ def g18(part):
     return I.property_summary(props(part))
 
 
-_AK = r"regexp_replace(translate(lower(regexp_replace(regexp_replace({}, '\([^)]*\)', ' ', 'g'), '(?i)\b(dr|prof|professor|mr|mrs|ms)\.? ', ' ', 'g')), 'áàâäãåéèêëíìîïóòôöõúùûüñç', 'aaaaaaeeeeiiiiooooouuuunc'), '[^a-z]', '', 'g')"
-_ML = f"ml AS (SELECT DISTINCT person_key, paper_id FROM (SELECT id AS paper_id, {_AK.format('author')} AS person_key FROM (SELECT id, unnest(regexp_split_to_array(authors, '[;,]')) AS author FROM papers WHERE relevance_llm >= 60)) WHERE length(person_key) >= 6 AND person_key IN (SELECT {_AK.format('name')} FROM people))"
+_FOLD = "regexp_replace(lower(translate({}, 'ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿĆćČčĘęŁłŃńŚśŠšŹźŻżŽžŐőŰűĞğİıŞş', 'AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOOooooooUUUUuuuuYyyCcCcEeLlNnSsSsZzZzZzOoUuGgIiSs')), '[^a-z]', '', 'g')"
+_EK = _FOLD.format(r"regexp_replace(regexp_replace(name, '^(prof\.?\s*)?(dr\.?\s*)?', '', 'i'), '\s*\(.*\)$', '')")
+_ML = rf"ml AS (SELECT DISTINCT person_key, paper_id FROM (SELECT id AS paper_id, {_FOLD.format('author')} AS person_key FROM (SELECT id, unnest(regexp_split_to_array(authors, '\s*[;,]\s*')) AS author FROM papers WHERE relevance_llm >= 60)) WHERE length(person_key) >= 6 AND person_key IN (SELECT {_EK} FROM people))"
 
 
 @query("h1_match_authors", "papers people", f", {_ML} SELECT * FROM ml")
@@ -156,7 +185,7 @@ def h1(papers, people):
     return I.match_authors(papers, people)
 
 
-@query("h2_merge_people", "papers people", f""", {_ML}, k AS (SELECT *, {_AK.format('name')} AS person_key FROM people), o AS (SELECT person_key, min(id) AS id, arg_min(current_org, id) FILTER (WHERE current_org IS NOT NULL) AS current_org, arg_min(country, id) AS country, arg_min(relevance_score, id) FILTER (WHERE relevance_score IS NOT NULL) AS relevance_score FROM k GROUP BY 1),
+@query("h2_merge_people", "papers people", f""", {_ML}, k AS (SELECT *, {_EK} AS person_key FROM people), o AS (SELECT person_key, min(id) AS id, arg_min(current_org, id) FILTER (WHERE current_org IS NOT NULL) AS current_org, arg_min(country, id) AS country, arg_min(relevance_score, id) FILTER (WHERE relevance_score IS NOT NULL) AS relevance_score FROM k GROUP BY 1),
 p AS (SELECT person_key, count(*) AS papers, min(paper_id) AS first_paper, max(paper_id) AS last_paper FROM ml GROUP BY 1) SELECT * FROM o JOIN p USING (person_key) WHERE papers >= 2""")
 def h2(papers, people):
     return I.merge_people(people, I.match_authors(papers, people))
@@ -167,10 +196,32 @@ def h3(papers, junction, topics):
     return I.people_papers(papers, junction, topics)
 
 
-@query("h4_infer_affiliation", "org_rows", r"""SELECT id, trim(split_part(regexp_replace(regexp_replace(affiliation, '\S+@\S+', '', 'g'), ',[^,;]*[0-9].*$', ''), ';', 1)) AS clean, CASE WHEN regexp_matches(affiliation, '(?i)\b(inc|ltd|gmbh|company|corp|machinery|automobile)\b') THEN 'industry' ELSE 'academic' END AS sector,
-CASE WHEN regexp_matches(affiliation, '(?i)NATION_1\b') THEN 'NL' WHEN regexp_matches(affiliation, '(?i)NATION_2\b') THEN 'DE' WHEN regexp_matches(affiliation, '(?i)NATION_3\b') THEN 'US' END AS iso FROM org_rows""")
-def h4(orgs):
-    return I.infer_affiliation(orgs, "affiliation").select("id", "clean", "sector", "iso")
+#: Affiliations that reach the rules of cleaning, country and sector: by remainder, what is given and what must come out.
+_AFFILIATIONS = [
+    ("'Jiangnan University, School of Food, 1800 Lihu Road, Wuxi; second lab'", "NULL", "'Jiangnan University, School of Food'", "'CN'", "'academic'"),
+    ("'Nestle Research. a.b@nestle.com Electronic address: c@d.ch'", "'Switzerland'", "'Nestle Research'", "'CH'", "'industry'"),
+    ("'Wageningen Food Institute of Health, P.O. Box 16, Wageningen'", "'nl'", "'Wageningen Food Institute of Health'", "'NL'", "'ngo'"),
+    ("'Lab 5, Tokyo'", "''", "'Lab 5, Tokyo'", "'JP'", "'academic'"),
+    ("NULL", "'USA'", "NULL", "'US'", "'unknown'"),
+    ("'x@y.org'", "'Atlantis'", "NULL", "NULL", "'academic'"),
+    ("'Acme Meats Ltd, Leeds, UK.'", "NULL", "'Acme Meats Ltd, Leeds, UK'", "'GB'", "'industry'"),
+    ("'Universität Hohenheim, , Stuttgart'", "NULL", "'Universität Hohenheim, Stuttgart'", "'DE'", "'academic'"),
+    ("'CSIRO, Queensland 4108'", "NULL", "'CSIRO'", "'AU'", "'ngo'"),
+    ("'Somewhere'", "'United Kingdom '", "'Somewhere'", "'GB'", "'academic'"),
+    ("concat(repeat('long ', 30), ', Gent')", "NULL", "substr(repeat('long ', 30), 1, 120)", "'BE'", "'academic'"),
+]
+
+
+def _by_remainder(at):
+    return f"CASE c_custkey % {len(_AFFILIATIONS)} " + " ".join(f"WHEN {i} THEN {row[at]}" for i, row in enumerate(_AFFILIATIONS)) + " END"
+
+
+ADAPTERS["affiliations"] = f"SELECT c_custkey AS id, {_by_remainder(0)} AS affiliation, {_by_remainder(1)} AS country FROM customer"
+
+
+@query("h4_infer_affiliation", "affiliations customer", f"SELECT c_custkey AS id, {_by_remainder(2)} AS clean, {_by_remainder(4)} AS sector, {_by_remainder(3)} AS iso FROM customer")
+def h4(affiliations, customer):
+    return I.infer_affiliation(affiliations, "affiliation", "country").select("id", "clean", "sector", "iso")
 
 
 @query("h5_org_directory", "org_rows nation", "SELECT o.id, o.name, o.org_type, o.country, a.iso, a.region FROM org_rows o LEFT JOIN (SELECT concat('N', n_nationkey) AS country, concat('I', n_nationkey) AS iso, concat('R', n_regionkey) AS region FROM nation) a ON a.country = o.country WHERE org_type = 'MACHINERY' AND region = 'R1' ORDER BY name, id LIMIT 20")
@@ -185,17 +236,21 @@ def h8(orgs, supplier):
     return I.import_new_orgs(candidates, supplier.select(F.upper("s_name").alias("name")))
 
 
-_JV = "jv AS (SELECT *, CASE id % 3 WHEN 0 THEN concat('The ', upper(journal)) WHEN 1 THEN journal ELSE concat(journal, '.') END AS j2 FROM papers)"
+_JV = """jv AS (SELECT *, CASE id % 5 WHEN 0 THEN upper(journal) WHEN 1 THEN journal WHEN 2 THEN concat(journal, ' (Basel, Switzerland)') WHEN 3 THEN concat(journal, ' : An Open Access Journal from MDPI') ELSE concat(journal, ' & Co:') END AS j2 FROM papers)"""
+_JK = r"trim(regexp_replace(regexp_replace(replace(lower(regexp_replace(regexp_replace(trim(j2), '(?i)\s*:?\s*an open access journal from mdpi\s*$', ''), '\s*\([^)]*\)', '', 'g')), '&', ' and '), '[^a-z0-9 ]+', ' ', 'g'), '\s+', ' ', 'g'))"
 
 
 def journals_of(papers):
-    k = F.col("id") % 3
-    return papers.withColumn("journal", F.when(k == 0, F.concat(F.lit("The "), F.upper("journal"))).when(k == 1, F.col("journal")).otherwise(F.concat("journal", F.lit("."))))
+    k, ends = F.col("id") % 5, {2: " (Basel, Switzerland)", 3: " : An Open Access Journal from MDPI", 4: " & Co:"}
+    name = F.when(k == 0, F.upper("journal")).when(k == 1, F.col("journal"))
+    for at, end in ends.items():
+        name = name.when(k == at, F.concat("journal", F.lit(end)))
+    return papers.withColumn("journal", name)
 
 
-@query("h9_group_journals", "papers", f""", {_JV}, v AS (SELECT trim(regexp_replace(regexp_replace(lower(j2), '^the ', ''), '[^a-z0-9]+', ' ', 'g')) AS key, j2 AS journal, count(*) AS n, count(*) FILTER (WHERE doi IS NULL) AS no_doi, min(year) AS first, max(year) AS last, count(*) FILTER (WHERE is_review) AS reviews FROM jv GROUP BY 1, 2),
+@query("h9_group_journals", "papers", rf""", {_JV}, v AS (SELECT {_JK} AS key, j2 AS journal, count(*) AS n, count(*) FILTER (WHERE doi IS NULL) AS no_doi, min(year) AS first, max(year) AS last, count(*) FILTER (WHERE is_review) AS reviews FROM jv GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, length(regexp_replace(journal, '[^A-Z]', '', 'g')) DESC, length(journal), journal) AS k FROM v)
-SELECT key, max(journal) FILTER (WHERE k = 1) AS journal, CAST(sum(n) AS BIGINT) AS n, CAST(sum(no_doi) AS BIGINT) AS no_doi, min(first) AS first, max(last) AS last, CAST(sum(reviews) AS BIGINT) AS reviews, string_agg(journal, '|' ORDER BY journal) AS variants FROM r GROUP BY 1""")
+SELECT key, regexp_replace(trim(regexp_replace(regexp_replace(max(journal) FILTER (WHERE k = 1), '\s*\([^)]*\)', '', 'g'), '(?i)\s*:?\s*an open access journal from mdpi\s*$', '')), '[,;:]+$', '') AS journal, CAST(sum(n) AS BIGINT) AS n, CAST(sum(no_doi) AS BIGINT) AS no_doi, min(first) AS first, max(last) AS last, CAST(sum(reviews) AS BIGINT) AS reviews, string_agg(journal, '|' ORDER BY journal) AS variants FROM r GROUP BY 1""")
 def h9(papers):
     return I.group_journals(journals_of(papers))
 
@@ -216,9 +271,25 @@ def h10(papers, nation):
     return access_of(papers, nation)
 
 
-@query("h11_platform_rollup", "papers nation", f", {_JA}, r AS (SELECT publisher, count(*) AS journals, CAST(sum(n) AS BIGINT) AS papers, CAST(sum(CASE WHEN access = 'paid' THEN n ELSE 0 END) AS BIGINT) AS paid, CAST(sum(CASE WHEN access = 'free' THEN n ELSE 0 END) AS BIGINT) AS free FROM ja GROUP BY 1) SELECT *, papers - paid - free AS other FROM r")
+_CODE = "CASE access WHEN 'paid' THEN 'SUB' WHEN 'free' THEN CASE WHEN length(journal) % 2 = 0 THEN 'PRE' ELSE 'OA' END WHEN 'mixed' THEN 'MIX' ELSE 'UNK' END"
+
+
+def coded(journals):
+    """Journals under the codes of access; some free ones as preprints."""
+    free = F.when(F.length("journal") % 2 == 0, "PRE").otherwise("OA")
+    return journals.withColumn("access", F.when(F.col("access") == "paid", "SUB").when(F.col("access") == "free", free).when(F.col("access") == "mixed", "MIX").otherwise("UNK"))
+
+
+@query("h11_platform_rollup", "papers nation", f""", {_JA}, jc AS (SELECT * REPLACE ({_CODE} AS access) FROM ja), r AS (SELECT publisher, count(*) AS journals, CAST(sum(n) AS BIGINT) AS papers, CAST(sum(CASE WHEN access = 'SUB' THEN n ELSE 0 END) AS BIGINT) AS paid, CAST(sum(CASE WHEN access IN ('OA', 'PRE') THEN n ELSE 0 END) AS BIGINT) AS free FROM jc GROUP BY 1)
+SELECT *, papers - paid - free AS other, round(papers * 100.0::DOUBLE / sum(papers) OVER (), 4) AS share, CASE WHEN paid > 0 AND free = 0 THEN 'Paid subscription' WHEN free > 0 AND paid = 0 THEN 'Open access (free)' WHEN paid > 0 AND free > 0 THEN 'Mixed paid + free' ELSE 'Hybrid / unknown' END AS access_label FROM r""")
 def h11(papers, nation):
-    return I.platform_rollup(access_of(papers, nation))
+    return I.platform_rollup(coded(access_of(papers, nation)))
+
+
+@query("h11_access_rollup", "papers nation", f""", {_JA}, jc AS (SELECT * REPLACE ({_CODE} AS access) FROM ja), r AS (SELECT access, CAST(sum(n) AS BIGINT) AS n FROM jc GROUP BY 1)
+SELECT *, round(n * 100.0::DOUBLE / sum(n) OVER (), 4) AS share, CASE access WHEN 'SUB' THEN 'Paid subscription' WHEN 'MIX' THEN 'Hybrid / varies' WHEN 'UNK' THEN 'Unknown (no DOI)' WHEN 'PRE' THEN 'Preprint (free)' ELSE 'Open access (free)' END AS access_label FROM r""")
+def h11b(papers, nation):
+    return I.access_rollup(coded(access_of(papers, nation)))
 
 
 @query("h12_paid_shortlist", "papers nation", f", {_JA} SELECT journal, n, round(n * 100.0::DOUBLE / (SELECT sum(n) FROM ja WHERE access = 'paid'), 2) AS paid_share, round(n * 100.0::DOUBLE / (SELECT sum(n) FROM ja), 2) AS corpus_share FROM ja WHERE access = 'paid'")
@@ -265,8 +336,8 @@ def i2(library, compounds):
     return I.detected_aligned(library, compounds, PROCESSES)
 
 
-@query("i3_sensory_radar", "library", f""", l AS (SELECT odor_descriptor AS d, count(*) AS n FROM library WHERE {_PR} GROUP BY 1), h AS (SELECT 'meaty' AS axis, sum(CASE WHEN d = 'meaty' THEN n ELSE 0 END) AS hits FROM l UNION ALL SELECT 'roasted', sum(CASE WHEN d = 'roasted, fatty' THEN n ELSE 0 END) FROM l UNION ALL SELECT 'fatty', sum(CASE WHEN d = 'roasted, fatty' THEN n ELSE 0 END) FROM l
-UNION ALL SELECT 'green', sum(CASE WHEN d = 'green, sweet' THEN n ELSE 0 END) FROM l UNION ALL SELECT 'sweet', sum(CASE WHEN d = 'green, sweet' THEN n ELSE 0 END) FROM l UNION ALL SELECT 'sulfurous', 0 UNION ALL SELECT 'fruity', 0 UNION ALL SELECT 'earthy', 0)
+@query("i3_sensory_radar", "library", f""", l AS (SELECT count(*) FILTER (WHERE odor_descriptor = 'roasted, fatty') AS a, count(*) FILTER (WHERE odor_descriptor = 'green, sweet') AS b, count(*) FILTER (WHERE odor_descriptor = 'meaty') AS c FROM library WHERE {_PR} AND compound IS NOT NULL),
+h AS (SELECT unnest(['Roasted', 'Meaty', 'Fatty', 'Green', 'Sulfurous', 'Nutty', 'Caramel', 'Rancid']) AS axis, unnest([a, c, a, b, 0, 0, b, 0]) AS hits FROM l)
 SELECT axis, hits::DOUBLE AS hits, round(hits::DOUBLE / greatest(1, max(hits) OVER ()), 2) AS value FROM h""")
 def i3(library):
     return I.sensory_radar(library, PROCESSES)

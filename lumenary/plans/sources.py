@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..adapters import ADAPTERS
 from ..registry import query
+from ..session import shared_folder
 from ..sources import files as S
 
 ADAPTERS["versions"] = "SELECT concat('w', CAST(o_custkey % 300 AS STRING)) AS workbook, CAST(o_orderkey % 97 AS INT) AS version, o_orderstatus AS payload FROM orders"
@@ -16,6 +19,54 @@ ADAPTERS["inbox"] = """
 ADAPTERS["directory"] = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS org_type, CAST(c_nationkey AS STRING) AS country, concat(c_name, ' makes ', c_mktsegment, '. Founded long ago.') AS description FROM customer"
 
 
+def folder(df, name):
+    """A new folder of the shared one, for files that a query writes from the given tables and reads again."""
+    return f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4()}"
+
+
+@query("a3_read_name_list", "part", "SELECT trim(n) AS name FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN concat('  ', p_name, ', \"quoted\" ') WHEN 1 THEN '  ' ELSE p_name END AS n FROM part) WHERE trim(n) <> ''")
+def a3(part):
+    """The parts' names, some in quotes, some blank, as CSV files beside a number."""
+    k, path = F.col("p_partkey") % 4, folder(part, "names")
+    name = F.when(k == 0, F.concat(F.lit("  "), "p_name", F.lit(', "quoted" '))).when(k == 1, "  ").otherwise(F.col("p_name"))
+    part.select("p_partkey", name.alias("name")).write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return S.read_name_list(part.sparkSession, path)
+
+
+@query("a4_load_taxonomy", "part", """, t AS (SELECT p_name AS keyword, p_type AS branch, CASE p_size % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MED' WHEN 2 THEN 'LOW' ELSE 'NONE' END AS priority, concat('s', p_partkey) AS topic_slug, p_brand AS topic_name, CAST(p_size % 3 AS INT) AS topic_level FROM part)
+SELECT *, CASE branch WHEN 'ECONOMY' THEN 1 WHEN 'PROMO' THEN 2 ELSE 99 END AS branch_rank, CASE priority WHEN 'HIGH' THEN 1 WHEN 'MED' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END AS priority_rank FROM t""")
+def a4(part):
+    """A taxonomy of the parts as JSON records."""
+    path = folder(part, "taxonomy")
+    priority = F.element_at(F.array(*map(F.lit, ("HIGH", "MED", "LOW", "NONE"))), (F.col("p_size") % 4 + 1).cast("int"))
+    records = part.select(F.col("p_name").alias("keyword"), F.col("p_type").alias("branch"), priority.alias("priority"), F.concat(F.lit("s"), "p_partkey").alias("topic_slug"), F.col("p_brand").alias("topic_name"), (F.col("p_size") % 3).cast("int").alias("topic_level"))
+    records.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).write.text(path)
+    return S.load_taxonomy(part.sparkSession, path, ["ECONOMY", "PROMO"], lines=True)
+
+
+def graph_xml(supplier, lineitem):
+    """Suppliers and the parts that they deliver, written as GraphML elements and read as nodes and edges."""
+    path = folder(supplier, "graph")
+    pairs = lineitem.groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n"))
+    data = lambda key, c: F.array(F.struct(F.lit(key).alias("_key"), F.col(c).cast("string").alias("_VALUE"))).alias("data")
+    parts = {
+        "key": supplier.sparkSession.createDataFrame([("d0", "node", "name"), ("d1", "edge", "lines")], "_id string, _for string, `_attr.name` string"), "node": supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("_id"), data("d0", "s_name")),
+        "edge": pairs.select(F.concat(F.lit("s"), "l_suppkey").alias("_source"), F.concat(F.lit("p"), "l_partkey").alias("_target"), data("d1", "n"))}
+    for tag, rows in parts.items():
+        rows.write.format("xml").option("rootTag", "graphml").option("rowTag", tag).mode("append").save(path)
+    return S.read_graph_xml(supplier.sparkSession, path)
+
+
+@query("a8_graph_nodes", "supplier lineitem", "SELECT concat('s', s_suppkey) AS id, s_name AS name FROM supplier")
+def a8(supplier, lineitem):
+    return graph_xml(supplier, lineitem)[0].select("id", F.col("attrs")["name"].alias("name"))
+
+
+@query("a8_graph_edges", "supplier lineitem", "SELECT concat('p', l_partkey) AS src, concat('s', l_suppkey) AS dst, CAST(count(*) AS VARCHAR) AS lines FROM lineitem GROUP BY l_partkey, l_suppkey")
+def a8b(supplier, lineitem):
+    return graph_xml(supplier, lineitem)[1].select("src", "dst", F.col("attrs")["lines"].alias("lines"))
+
+
 @query("a5_abstract_from_inverted_index", "documents", "SELECT doc_id AS id, text AS abstract FROM documents WHERE text <> ''")
 def a5(documents):
     return S.abstract_from_inverted_index(S.invert(documents.select(F.col("doc_id").alias("id"), "text"), "text"), "index")

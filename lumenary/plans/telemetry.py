@@ -16,7 +16,7 @@ ADAPTERS["feedback"] = """
 ADAPTERS["repeats"] = "SELECT CAST(floor(event_id / 3) AS BIGINT) AS event_id, user_id AS session_id, ts AS created_at, event_type AS name FROM events"
 ADAPTERS["withdrawals"] = "SELECT user_id AS session_id, min(ts) AS withdrawn_at FROM events WHERE event_type = 'error' AND value > 40 GROUP BY 1"
 ADAPTERS["revisions"] = """
-    SELECT concat('t', CAST(user_id % 400 AS STRING)) AS turn_id, event_id AS arrival, event_id % 5 AS revision,
+    SELECT concat('t', CAST(user_id % 400 AS STRING)) AS turn_id, CASE WHEN event_id % 6 = 0 THEN 'another' ELSE 'one' END AS session_id, event_id AS arrival, event_id % 5 AS revision,
            CASE WHEN event_id % 4 = 0 THEN 'completed' WHEN event_id % 11 = 0 THEN 'failed' ELSE 'submitted' END AS status, props AS content FROM events"""
 ADAPTERS["consents"] = "SELECT user_id AS session_id, ts AS created_at, concat('v', CAST(event_id % 3 AS STRING)) AS consent_version, CASE WHEN event_id % 7 = 0 THEN concat('r', CAST(user_id % 2 + event_id % 2 AS STRING)) END AS ref FROM events"
 ADAPTERS["attempts"] = "SELECT event_id AS attempt_id, ts AS tried_at, user_id % 20 AS project, CAST(event_id % 3 AS INT) + 1 AS n, CAST(event_id % 4 AS INT) AS span, event_id % 5 = 0 AS failed FROM events"
@@ -43,7 +43,9 @@ def j2b(repeats):
     return J.intake_counts(repeats)
 
 
-@query("j3_latest_turn", "revisions")
+@query("j3_latest_turn", "revisions", """, l AS (SELECT turn_id, list(struct_pack(o := session_id, r := revision, s := status, c := content) ORDER BY arrival) AS x FROM revisions GROUP BY 1),
+f AS (SELECT turn_id, list_reduce(x, lambda a, b: CASE WHEN a.s = 'submitted' AND b.r > a.r AND b.o = a.o THEN b ELSE a END) AS h, len(list_filter(x, lambda b: b.o <> x[1].o)) AS rejected FROM l)
+SELECT turn_id, concat('{"session_id":"', h.o, '"}') AS owner, h.r AS revision, h.s AS status, h.c AS content, rejected FROM f""")
 def j3(revisions):
     return J.latest_turn(revisions)
 
@@ -177,5 +179,5 @@ def _telemetry(stream):
 
 _stream_query("j2_dedupe_stream", lambda spark, s: J.dedupe_stream(_telemetry(s)), "append")
 _stream_query("j18_tumbling_stream", lambda spark, s: J.windowed_activity(_telemetry(s), delay="1 hour"), "update", lambda df: df.groupBy("name", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end")).agg(F.max("n").alias("n")), "j18_tumbling")
-_stream_query("j3_latest_turn_stream", lambda spark, s: J.latest_turn_stream(s.select(F.concat(F.lit("t"), (F.col("user_id") % 400).cast("string")).alias("turn_id"), F.col("event_id").alias("arrival"), (F.col("event_id") % 5).alias("revision"),
+_stream_query("j3_latest_turn_stream", lambda spark, s: J.latest_turn_stream(s.select(F.concat(F.lit("t"), (F.col("user_id") % 400).cast("string")).alias("turn_id"), F.when(F.col("event_id") % 6 == 0, "another").otherwise("one").alias("session_id"), F.col("event_id").alias("arrival"), (F.col("event_id") % 5).alias("revision"),
               F.when(F.col("event_id") % 4 == 0, "completed").when(F.col("event_id") % 11 == 0, "failed").otherwise("submitted").alias("status"), F.col("props").alias("content"))), "update")

@@ -19,7 +19,7 @@ UNKNOWN_BRANCH = 99
 
 def read_name_list(spark: SparkSession, path: str, column: str | None = None, header: bool = True) -> DataFrame:
     """One trimmed, non-blank name per row: the column asked for, else `name`, else the first. A byte order mark is no part of a name."""
-    df = spark.read.option("header", header).option("multiLine", True).csv(path)
+    df = spark.read.option("header", header).option("multiLine", True).option("escape", '"').csv(path)
     clean = {c.lstrip("﻿").strip(): c for c in df.columns}
     pick = clean.get(column) if column else clean.get("name", df.columns[0])
     if pick is None:
@@ -30,9 +30,12 @@ def read_name_list(spark: SparkSession, path: str, column: str | None = None, he
 TAXONOMY = T.StructType([T.StructField(n, T.StringType()) for n in ("keyword", "branch", "priority", "topic_slug", "topic_name")] + [T.StructField("topic_level", T.IntegerType())])
 
 
-def load_taxonomy(spark: SparkSession, path: str, branches: list[str], branch: str | None = None, priority: str | None = None) -> DataFrame:
-    """Keyword records with their canonical place: branch list, then priority, level and keyword; unknown branches last."""
-    df = spark.read.schema(TAXONOMY).option("multiLine", True).json(path)
+def load_taxonomy(spark: SparkSession, path: str, branches: list[str], branch: str | None = None, priority: str | None = None, lines: bool = False) -> DataFrame:
+    """Keyword records with their canonical place: branch list, then priority, level and keyword; unknown branches last.
+
+    Files hold one JSON array each, or with `lines` a record on each line.
+    """
+    df = spark.read.schema(TAXONOMY).option("multiLine", not lines).json(path)
     at = lambda values, c: F.array_position(F.array(*map(F.lit, values)), F.col(c))
     rank = F.when(at(branches, "branch") > 0, at(branches, "branch")).otherwise(UNKNOWN_BRANCH)
     out = df.withColumn("branch_rank", rank).withColumn("priority_rank", F.when(at(PRIORITIES, "priority") > 0, at(PRIORITIES, "priority")).otherwise(len(PRIORITIES) + 1))

@@ -42,39 +42,50 @@ def intake_counts(df: DataFrame, key: str = "event_id") -> DataFrame:
     return per.agg(F.count("*").alias("accepted"), (F.sum("n") - F.count("*")).alias("duplicates"))
 
 
-def fold_turns(rows: list[tuple[int, str, str]]) -> tuple[int, str, str] | None:
-    """(revision, status, text) after revisions in order of arrival: a higher one replaces while the held one is `submitted`."""
+def fold_turns(rows: list[tuple[str, int, str, str]]) -> tuple[str, int, str, str] | None:
+    """(owner, revision, status, text) after revisions in order of arrival: a higher one of the same owner replaces while the held one is `submitted`."""
     held = None
     for row in rows:
-        if held is None or (held[1] == "submitted" and row[0] > held[0]):
+        if held is None or (held[2] == "submitted" and row[1] > held[1] and row[0] == held[0]):
             held = row
     return held
 
 
+def owner_of(df: DataFrame) -> DataFrame:
+    """The identity of a turn in one column: session, conversation, index and question, as far as they are known."""
+    parts = [c for c in ("session_id", "conversation_id", "turn_index", "question") if c in df.columns]
+    return df.withColumn("owner", F.to_json(F.struct(*parts)) if parts else F.lit(""))
+
+
 def latest_turn(df: DataFrame) -> DataFrame:
-    """The state of each turn: (turn_id, revision, status, content) after all its revisions by arrival.
+    """The state of each turn after all its revisions by arrival: (turn_id, owner, revision, status, content, rejected).
 
-    The first arrival holds; while it is `submitted`, each later higher revision replaces it. A turn has few revisions.
+    The first arrival holds; while it is `submitted`, each later higher revision of the same identity (`owner`) replaces it.
+    Arrivals under the turn's id with another identity are rejected and counted. A turn has few revisions.
     """
-    arrived = F.array_sort(F.collect_list(F.struct("arrival", "revision", "status", "content")))
-    step = F.aggregate(F.slice("r", 2, F.size("r")), F.get("r", F.lit(0)), lambda a, x: F.when((a["status"] == "submitted") & (x["revision"] > a["revision"]), x).otherwise(a))
-    return df.groupBy("turn_id").agg(arrived.alias("r")).withColumn("held", step).select("turn_id", "held.revision", "held.status", "held.content")
+    arrived = F.array_sort(F.collect_list(F.struct("arrival", "owner", "revision", "status", "content")))
+    first = F.get("r", F.lit(0))
+    step = F.aggregate(F.slice("r", 2, F.size("r")), first, lambda a, x: F.when((a["status"] == "submitted") & (x["revision"] > a["revision"]) & (x["owner"] == a["owner"]), x).otherwise(a))
+    rejected = F.size(F.filter("r", lambda x: x["owner"] != first["owner"])).cast("long")
+    out = owner_of(df) if "owner" not in df.columns else df
+    return out.groupBy("turn_id").agg(arrived.alias("r")).withColumns({"held": step, "rejected": rejected}).select("turn_id", "held.owner", "held.revision", "held.status", "held.content", "rejected")
 
 
 def latest_turn_stream(stream: DataFrame) -> DataFrame:
-    """The stream of state changes by turn, state kept per key: (turn_id, revision, status, content)."""
+    """The stream of state changes by turn, state kept per key: (turn_id, owner, revision, status, content)."""
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
         changed = False
         for pdf in batches:
             for row in pdf.sort_values("arrival").itertuples():
-                if held is None or (held[1] == "submitted" and row.revision > held[0]):
-                    held, changed = (int(row.revision), row.status, row.content), True
+                if held is None or (held[2] == "submitted" and row.revision > held[1] and row.owner == held[0]):
+                    held, changed = (row.owner, int(row.revision), row.status, row.content), True
         if changed:
             state.update(held)
-            yield pd.DataFrame([(key[0], *held)], columns=["turn_id", "revision", "status", "content"])
-    schema = "revision long, status string, content string"
-    return stream.groupBy("turn_id").applyInPandasWithState(run, f"turn_id string, {schema}", schema, "update", "NoTimeout")
+            yield pd.DataFrame([(key[0], *held)], columns=["turn_id", "owner", "revision", "status", "content"])
+    schema = "owner string, revision long, status string, content string"
+    out = owner_of(stream) if "owner" not in stream.columns else stream
+    return out.groupBy("turn_id").applyInPandasWithState(run, f"turn_id string, {schema}", schema, "update", "NoTimeout")
 
 
 def answer_number(events: DataFrame) -> DataFrame:

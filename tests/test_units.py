@@ -106,8 +106,8 @@ def test_turns_against_the_fold(spark):
     from lumenary.streaming.telemetry import fold_turns, latest_turn
 
     rng = random.Random(2)
-    rows = [(f"t{rng.randrange(30)}", n, rng.randrange(6), rng.choice(["submitted", "submitted", "completed", "failed"]), f"c{n}") for n in range(300)]
-    got = {r.turn_id: (r.revision, r.status, r.content) for r in latest_turn(spark.createDataFrame(rows, "turn_id string, arrival long, revision long, status string, content string")).collect()}
+    rows = [(f"t{rng.randrange(30)}", n, rng.choice("aaab"), rng.randrange(6), rng.choice(["submitted", "submitted", "completed", "failed"]), f"c{n}") for n in range(300)]
+    got = {r.turn_id: (r.owner, r.revision, r.status, r.content) for r in latest_turn(spark.createDataFrame(rows, "turn_id string, arrival long, owner string, revision long, status string, content string")).collect()}
     assert got == {t: fold_turns([r[2:] for r in rows if r[0] == t]) for t in {r[0] for r in rows}}
 
 
