@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 #: Words that no query term may be.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "of", "on", "or", "the", "to", "with"]
-WORD = r"[\w-]+"
+#: Runs of letters and digits of any script, underscores and hyphens.
+WORD = r"[\p{L}\p{N}_-]+"
 
 
 def tokens(c: Column) -> Column:

@@ -73,12 +73,13 @@ def e4(edges, molecules, odours):
     return E.descriptor_claims(edges, molecules, odours)
 
 
-_BC = "cur AS (SELECT source_id, molecule_id FROM paper_molecules WHERE source_id % 4 = 0), mined AS (SELECT DISTINCT l_orderkey AS source_id, l_partkey AS molecule_id FROM lineitem WHERE l_quantity > 20)"
+_BC = "cur AS (SELECT DISTINCT l_orderkey AS source_id, l_partkey + l_linenumber % 2 AS molecule_id FROM lineitem), mined AS (SELECT source_id, molecule_id FROM paper_molecules)"
 
 
 @query("e5_reported_claims", "paper_molecules lineitem", f", {_BC} SELECT concat('B-', source_id, '-', molecule_id) AS claim_id, source_id, molecule_id, CASE WHEN min(r) = 0 THEN 'curated' ELSE 'mined' END AS provenance FROM (SELECT *, 0 AS r FROM cur UNION ALL SELECT *, 1 FROM mined) GROUP BY source_id, molecule_id")
 def e5(links, lineitem):
-    return E.reported_claims(links.where("source_id % 4 = 0"), lineitem.where("l_quantity > 20").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("molecule_id")))
+    curated = lineitem.select(F.col("l_orderkey").alias("source_id"), (F.col("l_partkey") + F.col("l_linenumber") % 2).alias("molecule_id")).distinct()
+    return E.reported_claims(curated, links)
 
 
 @query("e6_pathway_claims", "library compounds", ", j AS (SELECT id, likely_process AS p FROM compounds JOIN library ON cas = cas_number WHERE likely_process IS NOT NULL) SELECT DISTINCT id, pathway FROM (SELECT id, p AS pathway FROM j WHERE p <> 'Both' UNION ALL SELECT id, unnest(['Maillard', 'Lipid oxidation']) FROM j WHERE p = 'Both')")

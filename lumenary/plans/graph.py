@@ -57,10 +57,11 @@ def d3(documents, names):
     return G.mine_mentions_simple(mine_docs(documents), names, curated)
 
 
-@query("d4_bridge_edges", "paper_molecules lineitem", """, cur AS (SELECT * FROM paper_molecules WHERE source_id % 4 = 0), mined AS (SELECT DISTINCT l_orderkey AS source_id, l_partkey AS molecule_id FROM lineitem WHERE l_quantity > 20)
+@query("d4_bridge_edges", "paper_molecules lineitem", """, cur AS (SELECT DISTINCT l_orderkey AS source_id, l_partkey + l_linenumber % 2 AS molecule_id FROM lineitem), mined AS (SELECT * FROM paper_molecules)
 SELECT *, 'curated' AS provenance FROM cur UNION ALL SELECT m.*, 'mined' FROM mined m ANTI JOIN cur USING (source_id, molecule_id)""")
 def d4(links, lineitem):
-    return G.bridge_edges(links.where("source_id % 4 = 0"), lineitem.where("l_quantity > 20").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("molecule_id")))
+    curated = lineitem.select(F.col("l_orderkey").alias("source_id"), (F.col("l_partkey") + F.col("l_linenumber") % 2).alias("molecule_id")).distinct()
+    return G.bridge_edges(curated, links)
 
 
 @query("d5_jaccard_pairs", "molecule_odours", f", {_SIM} SELECT * FROM sim ORDER BY inter DESC, jaccard DESC, a, b LIMIT 6000")

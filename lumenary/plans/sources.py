@@ -93,10 +93,10 @@ def a9(pages):
     return S.extract_body(pages)
 
 
-@query("a11_reconcile_import", "embeddings paper_molecules molecules", """, e AS (SELECT DISTINCT id FROM molecules WHERE id % 11 > 0), i AS (SELECT DISTINCT vec_id AS id FROM embeddings), n AS (SELECT source_id AS id FROM paper_molecules UNION SELECT molecule_id FROM paper_molecules)
+@query("a11_reconcile_import", "embeddings paper_molecules molecules", """, e AS (SELECT DISTINCT id + 3 AS id FROM molecules), i AS (SELECT DISTINCT vec_id AS id FROM embeddings), n AS (SELECT source_id AS id FROM paper_molecules UNION SELECT molecule_id FROM paper_molecules)
 SELECT 'items_without_entity' AS "check", count(*) AS n FROM i WHERE id NOT IN (FROM e) UNION ALL SELECT 'entities_without_item', count(*) FROM e WHERE id NOT IN (FROM i) UNION ALL SELECT 'dangling_ends', count(*) FROM n WHERE id NOT IN (FROM e) UNION ALL SELECT 'entities', count(*) FROM e UNION ALL SELECT 'items', count(*) FROM i""")
 def a11(embeddings, links, molecules):
-    return S.reconcile_import(molecules.where("id % 11 > 0"), links.select(F.col("source_id").alias("src"), F.col("molecule_id").alias("dst")), embeddings.select(F.col("vec_id").alias("id")))
+    return S.reconcile_import(molecules.select((F.col("id") + 3).alias("id")), links.select(F.col("source_id").alias("src"), F.col("molecule_id").alias("dst")), embeddings.select(F.col("vec_id").alias("id")))
 
 
 @query("a12_csv_safe", "papers", r"""SELECT CAST(id AS VARCHAR) AS id, CASE WHEN regexp_matches(n, '^[=+\-@\t\r]') THEN '''' || n ELSE n END AS name, coalesce(CAST(year AS VARCHAR), '') AS year, CASE WHEN is_review THEN 'true' WHEN NOT is_review THEN 'false' ELSE '' END AS is_review, coalesce(doi, '') AS doi, 'a; ' || journal AS lists, CASE WHEN doi IS NULL THEN '' ELSE 'https://doi.org/' || doi END AS doi_url FROM (SELECT *, CASE WHEN id % 7 = 0 THEN '=' || name WHEN id % 7 = 1 THEN '-' || name ELSE name END AS n FROM papers)""")

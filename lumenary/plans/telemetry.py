@@ -114,11 +114,11 @@ def j14(telemetry, orders):
     return J.retention({"telemetry": (telemetry, "created_at"), "orders": (orders, "o_orderdate")}, F.expr("TIMESTAMP '1998-01-01 00:00:00'"))
 
 
-@query("j15_sanitise_aggregates", "events", r""", s AS (SELECT event_type AS metric, CASE WHEN event_id % 9 = 0 THEN 'a b' ELSE concat('d', user_id) END AS dimension, CASE event_id % 4 WHEN 0 THEN 'x' WHEN 1 THEN CAST(value AS VARCHAR) WHEN 2 THEN '-3' END AS total, CASE WHEN event_id % 6 = 0 THEN '1e20' ELSE CAST(event_id AS VARCHAR) END AS views FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0),
+@query("j15_sanitise_aggregates", "events", r""", s AS (SELECT event_type AS metric, CASE WHEN event_id % 9 = 0 THEN 'a b' ELSE concat('d', user_id) END AS dimension, CASE event_id % 4 WHEN 0 THEN 'x' WHEN 1 THEN CAST(value AS VARCHAR) WHEN 2 THEN '-3' END AS total, CASE WHEN event_id % 6 = 0 THEN '1e20' ELSE CAST(event_id AS VARCHAR) END AS views FROM events),
 n AS (SELECT metric, dimension, CASE WHEN try_cast(total AS DOUBLE) BETWEEN 0 AND 1e15 THEN try_cast(total AS DOUBLE) END AS total, CASE WHEN try_cast(views AS DOUBLE) BETWEEN 0 AND 1e15 THEN try_cast(views AS DOUBLE) END AS views FROM s WHERE metric IN ('view', 'click') AND regexp_full_match(dimension, '[A-Za-z0-9_.-]{1,40}')) SELECT * FROM n WHERE coalesce(total, views) IS NOT NULL""")
 def j15(events):
     e = F.col("event_id")
-    raw = events.where((e % 2 == 0) | (e % 3 == 0)).select(F.col("event_type").alias("metric"), F.when(e % 9 == 0, "a b").otherwise(F.concat(F.lit("d"), F.col("user_id"))).alias("dimension"), F.when(e % 4 == 0, "x").when(e % 4 == 1, F.col("value").cast("string")).when(e % 4 == 2, "-3").alias("total"), F.when(e % 6 == 0, "1e20").otherwise(e.cast("string")).alias("views"))
+    raw = events.select(F.col("event_type").alias("metric"), F.when(e % 9 == 0, "a b").otherwise(F.concat(F.lit("d"), F.col("user_id"))).alias("dimension"), F.when(e % 4 == 0, "x").when(e % 4 == 1, F.col("value").cast("string")).when(e % 4 == 2, "-3").alias("total"), F.when(e % 6 == 0, "1e20").otherwise(e.cast("string")).alias("views"))
     return J.sanitise_aggregates(raw, ["view", "click"])
 
 
@@ -130,7 +130,7 @@ def j16(attempts):
 
 @query("j17_copy_reconcile", "telemetry", "SELECT count(*) FILTER (WHERE event_id % 3 = 0) AS inserted, count(*) FILTER (WHERE event_id % 3 > 0 AND event_id % 10 <> 1) AS same, count(*) FILTER (WHERE event_id % 3 > 0 AND event_id % 10 = 1) AS conflicts FROM telemetry")
 def j17(telemetry):
-    held = telemetry.where("event_id % 3 > 0").withColumn("scene", F.when(F.col("event_id") % 10 == 1, "elsewhere").otherwise(F.col("scene")))
+    held = telemetry.withColumn("event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_id") + 10**12).otherwise(F.col("event_id"))).withColumn("scene", F.when(F.col("event_id") % 10 == 1, "elsewhere").otherwise(F.col("scene")))
     return J.copy_reconcile(telemetry, held, "event_id")
 
 
