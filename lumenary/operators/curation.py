@@ -307,14 +307,19 @@ def first_sentence(text: Column, most: int = 400) -> Column:
     return F.when(F.length(first) > most, F.concat(cut, F.lit(" …"))).otherwise(first)
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
+
+
 def end_period(text: Column) -> Column:
-    bare = F.trim(text)
-    return F.when(bare.rlike(r"[.!?…]$"), bare).otherwise(F.concat(bare, F.lit(".")))
+    bare = strip(text)
+    return F.when(bare.rlike(r"[.!?…]\z"), bare).otherwise(F.concat(bare, F.lit(".")))
 
 
 def join_list(items: Column, most: int = 3) -> Column:
     """`a`, `a and b` or `a, b and c`; an empty string without any."""
-    kept = F.slice(F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != ""), 1, most)
+    kept = F.slice(F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: strip(x)), lambda x: x != ""), 1, most)
     return F.when(F.size(kept) <= 1, F.array_join(kept, "")).otherwise(F.concat(F.array_join(F.slice(kept, 1, F.size(kept) - 1), ", "), F.lit(" and "), F.element_at(kept, -1)))
 
 
@@ -331,7 +336,7 @@ def tailored_abstract(df: DataFrame, project: str, limit: int | None = None) ->
     means = (F.when((pw != "") & (sd != ""), say(start + "is evidence on ", pw, " chemistry with reported ", sd, " sensory relevance for building meaty flavor."))
              .when(pw != "", say(start + "is evidence on ", pw, " chemistry relevant to building meaty flavor.")).when(sd != "", say(start + "carries reported ", sd, " sensory relevance for building meaty flavor."))
              .otherwise(start + "adds source-backed evidence for building meaty flavor."))
-    text = F.concat_ws(" ", end_period(first_sentence(F.col("abstract"))), work, end_period(say("Main claim: ", F.trim("main_claim"))), means)
+    text = F.concat_ws(" ", end_period(first_sentence(F.col("abstract"))), work, end_period(say("Main claim: ", strip(F.col("main_claim")))), means)
     out = rows.select("id", "relevance_llm", text.alias("tailored"))
     return out.orderBy(F.col("relevance_llm").desc_nulls_last(), "id").limit(limit) if limit else out
 

@@ -186,9 +186,9 @@ def f17(papers, terms, junction, topics):
 
 @query("f18_audit_pool", "scored audits", """
 , k AS (SELECT source_id, max(audited_at) AS last_audited, count(*) AS audit_count FROM audits GROUP BY 1)
-SELECT id, priority, last_audited, coalesce(audit_count, 0) AS audit_count FROM scored LEFT JOIN k ON source_id = id ORDER BY last_audited ASC NULLS FIRST, priority DESC NULLS LAST, id LIMIT 300""")
+SELECT id, priority, last_audited, coalesce(k.audit_count, 0) AS audit_count FROM scored LEFT JOIN k ON source_id = id ORDER BY last_audited ASC NULLS FIRST, priority DESC NULLS LAST, id LIMIT 300""")
 def f18(papers, audits):
-    return C.audit_pool(papers, audits, 300).select("id", "priority", "last_audited", "audit_count")
+    return C.audit_pool(papers.drop("audit_count"), audits, 300).select("id", "priority", "last_audited", "audit_count")
 
 
 @query("f19_attach_tags", "papers paper_topics topics", """
@@ -268,7 +268,7 @@ def _list_sql(c):
 @query("f26_tailored_abstract", "titled", rf"""
 , f AS (SELECT id, relevance_llm, main_claim, trim(regexp_replace(abstract, '\s+', ' ', 'g')) AS flat, {_list_sql('matrix')}, {_list_sql('method')}, {_list_sql('pathway')}, {_list_sql('sensory')} FROM titled WHERE abstract <> '' AND main_claim <> ''),
 s AS (SELECT *, coalesce(nullif(regexp_extract(flat, '^(.*?[.!?])\s+[A-Z]', 1), ''), flat) AS first FROM f),
-c AS (SELECT *, CASE WHEN length(first) > 400 THEN regexp_replace(regexp_replace(substr(first, 1, 400), ' [^ ]*$', ''), '[,;:]+$', '') || ' …' ELSE first END AS cut, 'Main claim: ' || trim(main_claim) AS claim FROM s)
+c AS (SELECT *, CASE WHEN length(first) > 400 THEN regexp_replace(regexp_replace(substr(first, 1, 400), ' [^ ]*$', ''), '[,;:]+$', '') || ' …' ELSE first END AS cut, 'Main claim: ' || regexp_replace(main_claim, '^\s+|\s+$', '', 'g') AS claim FROM s)
 SELECT id, relevance_llm, concat_ws(' ', CASE WHEN regexp_matches(trim(cut), '[.!?…]$') THEN trim(cut) ELSE trim(cut) || '.' END,
  CASE WHEN matrix <> '' AND method <> '' THEN 'The work concerns ' || matrix || ', using ' || method || '.' WHEN matrix <> '' THEN 'The work concerns ' || matrix || '.' WHEN method <> '' THEN 'The work uses ' || method || '.' END,
  CASE WHEN regexp_matches(trim(claim), '[.!?…]$') THEN trim(claim) ELSE trim(claim) || '.' END,
