@@ -45,7 +45,7 @@ BLOCK_BYTES, SLICE_BYTES = 8 << 20, 1 << 20
 #: Bytes of text whose shingles one bucket counts.
 BUCKET_BYTES = 16 << 20
 #: Shingles that one part of a region may hold (8 bytes each); a document counts as so many more.
-PART_SHINGLES, DOC_SHINGLES = 1 << 19, 128
+PART_SHINGLES, DOC_SHINGLES = 1 << 17, 128
 #: Pivots of one division.
 PIVOTS = 16
 #: Kinds of rows between stages, and of links.
