@@ -242,19 +242,39 @@ def _calibrate(model: Model, train: DataFrame) -> Model:
     k = (chance + 0.5) * math.exp(lam * least) / max(1, int(rows["n"][~toxic].sum()))
     model = Model(model.keys, model.scores, other, lam, k, 0.0, 1.0)
     x = np.array([model.evidence(n, [(0, 0, s) for s in found]) for n, found in zip(rows["n"], rows["scores"], strict=True)])
-    base = (toxic.sum() + 0.5) / (len(toxic) + 1)
-    a, b = math.log(base / (1 - base)), 0.0
-    if toxic.any() and not toxic.all():
-        for _ in range(50):  # Newton steps with a small ridge
-            p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-            w = np.maximum(p * (1 - p), 1e-9)
-            g = np.array([(toxic - p).sum(), ((toxic - p) * x).sum() - 0.1 * b])
-            h = np.array([[w.sum() + 1e-6, (w * x).sum()], [(w * x).sum(), (w * x * x).sum() + 0.1]])
-            step = np.clip(np.linalg.solve(h, g), -1, 1)
-            a, b = a + step[0], b + step[1]
-            if abs(step).max() < 1e-6:
-                break
-    return Model(model.keys, model.scores, other, lam, k, float(a), max(0.0, float(b)))
+    a, b = logistic(x, toxic)
+    return Model(model.keys, model.scores, other, lam, k, a, b)
+
+
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
+    """Intercept and slope (0 at least) of a logistic curve with a small ridge.
+
+    x is measured in its mean over the positive rows, and Newton steps are halved until they lower the loss, so the fit ends
+    well where the two sides hardly overlap, however large x is. With one side only the curve is its smoothed share.
+    """
+    share = (y.sum() + 0.5) / (len(y) + 1)
+    a, b = math.log(share / (1 - share)), 0.0
+    scale = float(x[y].mean()) if y.any() else 0.0
+    if y.all() or scale <= 0:
+        return a, b
+    z = x / scale
+
+    def loss(a: float, b: float) -> float:
+        t = a + b * z
+        return float((np.logaddexp(0, t) - y * t).sum() + ridge * b * b / 2)
+
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(a + b * z, -500, 500)))
+        w = np.maximum(p * (1 - p), 1e-12)
+        g = np.array([(y - p).sum(), ((y - p) * z).sum() - ridge * b])
+        step = np.linalg.solve(np.array([[w.sum() + 1e-6, (w * z).sum()], [(w * z).sum(), (w * z * z).sum() + ridge]]), g)
+        rate, now = 1.0, loss(a, b)
+        while rate > 1e-6 and loss(a + rate * step[0], b + rate * step[1]) > now:
+            rate /= 2
+        a, b = a + rate * step[0], b + rate * step[1]
+        if rate * abs(step).max() < 1e-6:
+            break
+    return float(a), max(0.0, float(b) / scale)
 
 
 def _score(model: Model):

@@ -576,6 +576,21 @@ def test_op3_labels_of_the_held_out_rows_do_not_matter(spark):
     assert docs.where(held_out(F.col("doc_id"))).count() == 200 - len(taken)
 
 
+@pytest.mark.parametrize("scale", [0.01, 1.0, 500.0])
+def test_op3_curve_of_sides_that_hardly_overlap(scale):
+    import numpy as np
+    from lumenary.llm.toxicity import logistic
+
+    rng = np.random.default_rng(1)
+    y = np.arange(3000) % 9 == 0
+    for low in (0.0, 0.7):
+        x = np.where(y, rng.uniform(low, 5, 3000), 0.2 * rng.uniform(0, 1, 3000)) * scale
+        a, b = logistic(x, y)
+        right = ((1 / (1 + np.exp(-(a + b * x))) >= 0.3) == y).mean()
+        assert b > 0 and right >= 0.95
+    assert logistic(np.zeros(10), np.zeros(10, bool))[1] == 0 and logistic(np.ones(10), np.ones(10, bool))[1] == 0
+
+
 def test_op3_segments_are_maximal():
     from lumenary.llm.toxicity import maximal_segments
 
