@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .substring import containing
+
 TEXT_KEYS = {"name", "journal", "authors"}
 
 
@@ -200,10 +202,10 @@ def resolve_names(molecules: DataFrame, edges: DataFrame, names: DataFrame) -> D
     counted = with_mentions(molecules, edges).withColumn("key", F.lower("name"))
     asked = names.select("name").distinct().withColumn("key", F.lower("name"))
     exact = asked.join(counted.groupBy("key").agg(F.min("id").alias("id")), "key", "left")
-    # Names are few against molecules: one row per distinct key is enough to hold against the leftovers.
     by_key = counted.groupBy("key").agg(F.min_by("id", F.struct(-F.col("mentions"), F.col("id"))).alias("near_id"), F.max("mentions").alias("near_mentions")).withColumnRenamed("key", "near")
     left = exact.where(F.col("id").isNull()).drop("id")
-    near = left.join(by_key, F.col("near").contains(F.col("key")) & (F.col("key") != "")).groupBy("name").agg(F.min_by("near_id", F.struct(-F.col("near_mentions"), F.col("near_id"))).alias("near_id"))
+    held = containing(by_key.select(F.col("near").alias("id"), F.col("near").alias("text")), left, longest=3).withColumnRenamed("id", "near")
+    near = left.join(held.hint("merge"), "key").join(by_key.hint("merge"), "near").groupBy("name").agg(F.min_by("near_id", F.struct(-F.col("near_mentions"), F.col("near_id"))).alias("near_id"))
     return exact.join(near, "name", "left").select("name", F.coalesce("id", "near_id").alias("id"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .substring import containing
 
 #: Patterns of topics and of titles of reviews, and venues of the field (a venue is one if its name holds one of these).
 TOPIC_WORDS = r"(?i)(meat|beef|pork|chicken|poultry|flavou?r|aroma|volatile|umami|maillard|strecker|lipid oxidation|sensory|odou?r|hydrolysate|yeast extract)"
@@ -66,13 +67,23 @@ def drop_orphans(junction: DataFrame, kept: DataFrame) -> DataFrame:
     return junction.join(kept.select(F.col("id").alias("source_id")), "source_id", "left_semi")
 
 
-def classify_topics(df: DataFrame, taxonomy: DataFrame, k: int | None = 3, text: str = "abstract") -> DataFrame:
+#: Terms that are broadcast: names of topics, so a few hundred kilobytes at most.
+MOST_TERMS = 2000
+
+
+def classify_topics(df: DataFrame, taxonomy: DataFrame, k: int | None = 3, text: str = "abstract", most: int = MOST_TERMS) -> DataFrame:
     """(id, slug, rank): topics whose name (4 letters or more) occurs in the text, one per slug, the k first in canonical order.
 
-    The taxonomy has a few hundred rows and is broadcast.
+    The terms are counted: up to `most` of them are broadcast and each text is held against them; more are found by an
+    equi-join on runs of four characters.
     """
     terms = taxonomy.where(F.length("name") >= 4).groupBy("slug").agg(F.min("name").alias("term"), F.min("rank").alias("rank"))
-    hits = df.select("id", F.lower(text).alias("t")).join(F.broadcast(terms), F.col("t").contains(F.lower("term"))).select("id", "slug", "rank")
+    terms = terms.select("slug", F.lower("term").alias("key"), "rank")
+    texts = df.select("id", F.lower(text).alias("text"))
+    if terms.limit(most + 1).count() <= most:
+        hits = texts.join(F.broadcast(terms), F.col("text").contains(F.col("key"))).select("id", "slug", "rank")
+    else:
+        hits = containing(texts, terms, shortest=4, longest=4).join(terms.hint("merge"), "key").select("id", "slug", "rank")
     if k is None:
         return hits
     return hits.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("rank", "slug"))).where(F.col("nth") <= k).drop("nth")

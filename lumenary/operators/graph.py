@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Names too general to look for, words that are no molecules, and endings that make a word look chemical.
 STOP_NAMES = ["water", "oxygen", "nitrogen", "air", "salt", "sugar", "acid", "ester", "ketone", "alcohol", "aldehyde", "amine", "protein", "fat", "oil", "ash", "gas", "iron", "heme"]
 JUNK_NAMES = ["decline", "increase", "decrease", "control", "response", "sample", "mixture", "extract", "residue", "fraction", "volatile", "volatiles", "compound", "compounds", "flavour", "flavor", "aroma", "odour", "odor", "taste", "texture", "quality"]
@@ -93,14 +95,24 @@ def bridge_edges(curated: DataFrame, mined: DataFrame) -> DataFrame:
     return own.withColumn("provenance", F.lit("curated")).unionByName(mined.select("source_id", "molecule_id").distinct().join(own, ["source_id", "molecule_id"], "left_anti").withColumn("provenance", F.lit("mined")))
 
 
-def jaccard_pairs(edges: DataFrame, item: str, attribute: str, min_inter: int = 2, min_j: float = 0.34, alt: int = 4, top: int | None = 6000) -> DataFrame:
-    """Pairs of items that share attributes: a self-join on the attribute, counted, against the full set sizes."""
+def jaccard_pairs(edges: DataFrame, item: str, attribute: str, min_inter: int = 2, min_j: float = 0.34, alt: int = 4, top: int | None = 6000, around: DataFrame | None = None) -> DataFrame:
+    """Pairs of items that share attributes: a self-join on the attribute, counted, against the full set sizes.
+
+    Both sides are written first, so the join is one of two plain sorted shuffles and Spark divides a hot attribute. With
+    `around` (a table that has the item column) only pairs with one of these items are built.
+    """
     sized = edges.select(F.col(item).alias("a"), F.col(attribute).alias("attr")).distinct()
     size = sized.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
-    known = sized.join(size, "a")
-    pairs = known.alias("x").join(known.select(F.col("a").alias("b"), "attr", F.col("n").alias("n_b")).alias("y"), "attr").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.count("*").alias("inter"), F.first("n").alias("n_a"), F.first("n_b").alias("n_b"))
+    known = checkpointed(sized.join(size, "a"))
+    one, kept = known, F.col("a") < F.col("b")
+    if around is not None:
+        one, kept = checkpointed(known.join(around.select(F.col(item).alias("a")).distinct().hint("merge"), "a", "left_semi")), F.col("a") != F.col("b")
+    other = known.select(F.col("a").alias("b"), "attr", F.col("n").alias("n_b"))
+    pairs = one.join(other.hint("merge"), "attr").where(kept).groupBy("a", "b").agg(F.count("*").alias("inter"), F.first("n").alias("n_a"), F.first("n_b").alias("n_b"))
     j = F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))
     out = pairs.where(F.col("inter") >= min_inter).withColumn("jaccard", j).where((F.col("jaccard") >= min_j) | (F.col("inter") >= alt)).withColumn("jaccard", F.round("jaccard", 3)).select("a", "b", "inter", "jaccard")
+    if around is not None:
+        out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "inter", "jaccard").distinct()
     return out.orderBy(F.desc("inter"), F.desc("jaccard"), "a", "b").limit(top) if top else out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..adapters import ADAPTERS
 from ..operators import graph as G
 from ..registry import query
+from ..session import checkpointed
 
 #: Names to look for in texts: pairs of neighbouring words at the start of benchmark passages, and single words of theirs.
 ADAPTERS["mined_names"] = """
@@ -20,8 +21,8 @@ def mine_docs(documents):
     return documents.select(F.col("doc_id").alias("id"), "text")
 
 
-def similar(edges, top=None):
-    return G.jaccard_pairs(edges, "molecule_id", "odour_id", top=top)
+def similar(edges, top=None, around=None):
+    return G.jaccard_pairs(edges, "molecule_id", "odour_id", top=top, around=around)
 
 
 _SIZE = "e AS (SELECT DISTINCT molecule_id AS m, odour_id AS o FROM molecule_odours), sz AS (SELECT m, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 2)"
@@ -164,8 +165,8 @@ def seeds_of(benchmark, documents, smells):
 
 
 def found_of(benchmark, documents, smells):
-    seeds = seeds_of(benchmark, documents, smells)
-    return seeds.select("qid", "molecule_id").unionByName(G.expand_similar(seeds, similar(smells)).select("qid", "molecule_id"))
+    seeds = checkpointed(seeds_of(benchmark, documents, smells))
+    return seeds.select("qid", "molecule_id").unionByName(G.expand_similar(seeds, similar(smells, around=seeds)).select("qid", "molecule_id"))
 
 
 @query("d12_entry_nodes", "benchmark documents", f", {_EN} SELECT * FROM en")
@@ -180,7 +181,8 @@ def d13(benchmark, documents, smells):
 
 @query("d14_expand_similar", "benchmark documents molecule_odours", f", {_EX} SELECT * FROM ext")
 def d14(benchmark, documents, smells):
-    return G.expand_similar(seeds_of(benchmark, documents, smells), similar(smells))
+    seeds = checkpointed(seeds_of(benchmark, documents, smells))
+    return G.expand_similar(seeds, similar(smells, around=seeds))
 
 
 @query("d15_rank_papers", "benchmark documents molecule_odours paper_molecules kg_papers", f", {_RK} SELECT * FROM rk WHERE nth <= 6")

@@ -166,3 +166,35 @@ def test_sample_claims(spark):
     assert w["c8"] == pytest.approx(0.45 * 0.5 * 0.55 / (1 + 2.302585092994046))
     assert w["c4"] > w["c3"] >= 0 and w["c7"] > w["c6"]
     assert edge_consensus(weights).where("subject = 3").first().consensus == pytest.approx(w["c8"])
+
+
+def test_containing_against_brute_force(spark):
+    from lumenary.operators.substring import containing
+
+    texts = [(1, "abcabcabd"), (2, "ab"), (3, ""), (4, None), (5, "xyz.b\u00e9ta*"), (6, "aaaaaaa" * 50), (6, "zb"), (7, "abcabcabd")]
+    keys = ["a", "ab", "abd", "abcd", "cabd", "aaaaaaaaa", "b\u00e9ta*", ".b", "", None, "zz", "cabcab", "cabcab"]
+    t, k = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame([(x,) for x in keys], "key string")
+    for shortest, longest in ((1, 3), (1, 4), (4, 4)):
+        want = sorted((i, key) for i, text in texts for key in set(keys) if text and key and len(key) >= shortest and key in text)
+        assert sorted((r.id, r.key) for r in containing(t, k, shortest, longest).collect()) == want
+    assert containing(t.limit(0), k).count() == containing(t, k.limit(0)).count() == 0
+
+
+def test_topics_by_either_join(spark, data):
+    from lumenary.adapters import adapter
+    from lumenary.operators.curation import classify_topics
+
+    papers, terms = adapter(spark, data, "papers"), adapter(spark, data, "terms")
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(classify_topics(papers, terms)) == rows(classify_topics(papers, terms, most=0)) != []
+
+
+def test_pairs_around_some_items(spark, data):
+    from lumenary.adapters import adapter
+    from lumenary.operators.graph import jaccard_pairs
+
+    edges = adapter(spark, data, "molecule_odours")
+    some = {r.molecule_id for r in edges.where("molecule_id % 7 = 0").collect()}
+    every = jaccard_pairs(edges, "molecule_id", "odour_id", top=None).collect()
+    near = jaccard_pairs(edges, "molecule_id", "odour_id", top=None, around=edges.where("molecule_id % 7 = 0")).collect()
+    assert sorted(map(str, near)) == sorted(str(r) for r in every if r.a in some or r.b in some) != []
