@@ -1,4 +1,4 @@
-"""Operators for large training corpora: duplicates, toxicity, tokens, secrets, licences, contamination, quality, shards."""
+"""Operators for large training corpora: duplicates, toxicity, tokens, secrets, licences, contamination, quality, shards, search, clusters."""
 
 from __future__ import annotations
 
