@@ -181,8 +181,9 @@ def _send_suffixes(n: int, window: int, prefix: int):
             return pa.Table.from_batches([binary_batch([])])
         doc, place = words.ids[words.row[at]], at - words.first[words.row[at]]
         group = equal_windows(words.codes(), at, hash_windows(words.hash, window)[at], window)
-        # Rows are in order, so the first of each group is its earliest.
-        head = np.unique(group, return_index=True)[1][group]
+        # The earliest window of each group; rows come in any order, those of one doc_id too.
+        early = np.lexsort((place, doc))
+        head = early[np.unique(group[early], return_index=True)[1]][group]
         later = (doc != doc[head]) | (place != place[head])
         rows = []
         if later.any():

@@ -14,8 +14,10 @@ def odd_rows():
     rng = random.Random(5)
     long = " ".join(words(rng, 30_000))
     copied = " ".join(words(rng, 60))
+    other = " ".join(words(rng, 30, 10**6))
     texts = [(1, None), (2, ""), (3, " \n\t "), (4, long), (5, copied), (6, copied), (6, copied), (7, copied.upper()), (8, f"é ß {copied} ñ x"), (9, "a"), (10, "a b"), (11, "A B"), (12, "a b c"),
-             (13, f"first\n{copied}\nlast"), (13, "another text of the same id"), (None, copied), (None, None), (14, "\n\n"), (15, "x" * 50_000), (16, "don't  stop\r\nnow\x0b\x0c 12345"), (17, "the\n" * 300), (18, "a b a b a b a b a b " * 30)]
+             (13, f"first\n{copied}\nlast"), (13, "another text of the same id"), (None, copied), (None, None), (14, "\n\n"), (15, "x" * 50_000), (16, "don't  stop\r\nnow\x0b\x0c 12345"), (17, "the\n" * 300), (18, "a b a b a b a b a b " * 30),
+             (19, f"q r s {other}"), (19, f"z {other}"), (19, f"y {other}")]
     return [(i, t, None if n % 3 == 0 else "en", f"src{n}", len(t or ""), n, "b", n, None, n, "kept", n, n, "x", *[n] * 18) for n, (i, t) in enumerate(texts)]
 
 
