@@ -3,7 +3,12 @@
 Every record hashes into one of a fixed number of virtual slots; the slots' bytes and rows are summed; a small versioned
 table says which shard owns which slot. Rebalancing edits that table only: records never change their slot, so a new
 version moves whole slots and nothing else. The slot table has `n_slots` rows whatever the data, so it alone may be
-collected, edited on the driver and broadcast.
+collected, edited on the driver and broadcast. A version is written beside its place and put there by a rename that fails if
+the version exists, so of two writers one wins and a version is never stored twice.
+
+Rows that repeat (equal doc_id, size and CRC) would share a slot however many they are. They are counted by task, numbered
+from 0 by running sums of these counts, and the number is part of the hash, so they spread over all slots; a row that does
+not repeat has number 0, and keeps its slot however the table is laid out in files.
 
 Defined results: a null text has size 1 and CRC 0; a null doc_id hashes like any other value; rows that repeat keep a
 row each; an empty table gives an empty result and a map whose slots are dealt out evenly; other columns are ignored.
@@ -14,6 +19,7 @@ from __future__ import annotations
 import heapq
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,13 +34,25 @@ ROWS_PER_GROUP = 20_000
 MAP_SCHEMA = "version int, virtual_slot int, shard int, bytes long"
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32 and the number of each row among those that are equal in all three, from 0.
+
+    A task's equal rows are one row with a count until they are numbered, and each task numbers no more of one kind than a
+    task has read.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    read = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.spark_partition_id().alias("part"))
+    kind = ["doc_id", "size", "text_crc32"]
+    counts = read.groupBy(*kind, "part").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*kind).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).repartition(*kind, "part")
+    return first.select(*kind, F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("nth"))
+
+
 def with_slots(docs: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot and `spread`, a second hash that divides a slot where it is large."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.xxhash64("doc_id", F.crc32(text))
-    return docs.select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.pmod(key, F.lit(n_slots)).cast("int").alias("virtual_slot"), F.hash(key, F.lit(7)).alias("spread"))
+    key = F.xxhash64("doc_id", "text_crc32", "nth")
+    return numbered(docs).select("doc_id", "size", "text_crc32", F.pmod(key, F.lit(n_slots)).cast("int").alias("virtual_slot"), F.hash(key, F.lit(7)).alias("spread"))
 
 
 def slot_sizes(slotted: DataFrame) -> DataFrame:
@@ -81,21 +99,36 @@ def rebalance(rows: list[tuple[int, int, int, int]], sizes: dict[int, int], n_sh
 
 
 def store_map(spark: SparkSession, rows: list[tuple[int, int, int, int]], path: str) -> None:
-    """Append one version; earlier versions stay readable."""
-    spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+    """Store one version in a folder of its own, or raise FileExistsError if the version is there; earlier versions stay readable."""
+    [version] = {r[0] for r in rows}
+    jvm = spark._jvm
+    hadoop = jvm.org.apache.hadoop.fs
+    beside, place = (hadoop.Path(f"{path}/{name}") for name in (f"_new-{uuid.uuid4()}", f"version={version}"))
+    spark.createDataFrame(rows, MAP_SCHEMA).drop("version").coalesce(1).write.parquet(beside.toString())
+    files = hadoop.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        # Without an option to overwrite, the rename fails where its target exists.
+        files.rename(beside, place, spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+    except Py4JJavaError as e:
+        files.delete(beside, True)
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            raise FileExistsError(f"version {version} of the slot map is stored already") from e
+        raise
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> list[tuple[int, int, int, int]]:
     """The stored map of a version, or of the latest; a row for each slot, none where nothing is stored yet."""
     try:
-        spark.read.parquet(path)
+        stored = spark.read.parquet(path)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             return []
         raise
-    stored = spark.read.parquet(path).select("version", "virtual_slot", "shard", "bytes")
     top = stored.agg(F.max("version")).first()[0] if version is None else version
-    return sorted(tuple(r) for r in stored.where(F.col("version") == top).collect())
+    rows = sorted(tuple(r) for r in stored.where(F.col("version") == top).select("version", "virtual_slot", "shard", "bytes").collect())
+    if [r[1] for r in rows] != list(range(len(rows))):
+        raise ValueError(f"version {top} of the slot map does not give each slot one owner")
+    return rows
 
 
 def assign(slotted: DataFrame, slot_map: DataFrame, n_rows: int) -> DataFrame:

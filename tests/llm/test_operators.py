@@ -57,6 +57,8 @@ def test_op1(docs, group_bytes):
                 gone |= set(range(a, a + 20))
         want[doc_id, len(w), len(gone), sha(" ".join(x for j, x in enumerate(w) if j not in gone))] += 1
     assert rows_of(remove_repeats(df, digests=True, group_bytes=group_bytes)) == want
+    for n in (1, 4):
+        assert rows_of(remove_repeats(df.repartition(n), digests=True, group_bytes=group_bytes)) == want
     full = remove_repeats(df, group_bytes=group_bytes).withColumn("sha", F.sha2("text", 256))
     assert rows_of(full.select("doc_id", "n_words", "n_removed", "sha")) == want
     assert all(sum(e - s for s, e in r.removed) == r.n_removed for r in full.collect())
@@ -366,6 +368,40 @@ def test_op9_map_is_edited(spark, tmp_path):
     assert all(r.shard == version[r.virtual_slot] and r.map_version == 3 for r in again)
 
 
+def test_op9_version_is_stored_once(spark, tmp_path):
+    from lumenary.llm.sharding import load_map, shard_documents, store_map
+
+    path = str(tmp_path / "map")
+    rows = [(1, s, s % 4, 0) for s in range(8)]
+    store_map(spark, rows, path)
+    with pytest.raises(FileExistsError):
+        store_map(spark, [(1, s, 3, 0) for s in range(8)], path)
+    assert load_map(spark, path) == rows
+    got = shard_documents(frame(spark, planted(40)), n_shards=4, map_path=path).collect()
+    assert sorted(r.doc_id for r in got) == list(range(40))
+    store_map(spark, [(9, s, 0, 0) for s in (0, 1, 1, 3)], path)
+    with pytest.raises(ValueError, match="one owner"):
+        load_map(spark, path)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_op9_equal_rows_spread(spark, parts):
+    """Half of all rows equal: sizes within a hundredth, places gapless, slots of other rows as without them."""
+    from lumenary.llm.sharding import shard_documents
+
+    rows = [(i, "x" * 9) for i in range(3000)] + [(None, "same text")] * 3000
+    got = shard_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    load = Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+    assert len(load) == 16 and max(load.values()) <= 1.01 * sum(load.values()) / 16
+    for shard in load:
+        assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+    alone = shard_documents(spark.createDataFrame(rows[:3000], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.virtual_slot for r in alone} == {r.doc_id: r.virtual_slot for r in got if r.doc_id is not None}
+
+
 def test_op9_sizes_are_near_equal(spark):
     from lumenary.llm.sharding import op9_sharding
 
