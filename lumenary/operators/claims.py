@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 #: Factors of a scored claim by evidence tier, method and directness, and what an unknown name counts as.
 TIERS = {"T1_experimental": 1.00, "T2_review": 0.75, "T3_inferred": 0.45, "T4_conjecture": 0.25}
 METHODS = {
@@ -152,38 +157,125 @@ def intervals_apart(a: Column, b: Column) -> Column:
 _COMPARED = ["claim_id", "polarity", "matrix", "temp_c", "ph", "low", "high", "quantity", "unit"]
 
 
-def edge_groups(claims: DataFrame, columns: list[str], guard: int = 150) -> DataFrame:
-    """One row per edge with its claims as an array: at most `guard`, larger edges are left out, as the operator is defined."""
-    small = claims.groupBy(*EDGE).agg(F.count("*").alias("n")).where(F.col("n") <= guard).drop("n")
-    kept = claims.select(*EDGE, F.struct(*columns).alias("c")).join(small, EDGE, "left_semi")
-    return kept.groupBy(*EDGE).agg(F.collect_list("c").alias("claims"))
+def guarded(claims: DataFrame, guard: int = 150) -> DataFrame:
+    """The claims of edges with `guard` claims at most; larger edges are left out, as the operator is defined."""
+    small = checkpointed(claims.groupBy(*EDGE).agg(F.count("*").alias("n")).where(F.col("n") <= guard).drop("n"))
+    return claims.join(small.hint("merge"), EDGE, "left_semi")
 
 
 def conflict_pairs(claims: DataFrame, guard: int = 150) -> DataFrame:
     """Unordered pairs of one edge that disagree in polarity or interval: contradictions, or divergences where conditions differ.
 
-    The claims of an edge are compared within its row. Edges of more than `guard` claims are left out, as the operator
-    defines it; `oversized_edges` counts them.
+    A join on the edge of the written claims with themselves, so its sides are plain sorted shuffles. Edges of more than
+    `guard` claims are left out, as the operator defines it; `oversized_edges` counts them. No score needs these pairs.
     """
-    conflict = lambda a, b: F.when(a["polarity"] != b["polarity"], "polarity").when(intervals_apart(a, b), "interval")
-    pair = lambda a: lambda b: F.when(
-        a["claim_id"] < b["claim_id"],
-        F.struct(a["claim_id"].alias("claim_a"), b["claim_id"].alias("claim_b"), conflict(a, b).alias("conflict"), F.when(comparable(a, b), "contradiction").otherwise("divergence").alias("kind")))
-    found = F.flatten(F.transform("claims", lambda a: F.filter(F.transform("claims", pair(a)), lambda p: p["conflict"].isNotNull())))
-    return edge_groups(claims, _COMPARED, guard).select(F.explode(found).alias("p")).select("p.*")
+    kept = checkpointed(guarded(claims, guard).select(*EDGE, *_COMPARED))
+    a, b = kept.alias("a"), kept.select(*[F.col(c).alias(f"{c}_b") for c in kept.columns]).alias("b")
+    met = a.join(b.hint("merge"), [F.col(c).eqNullSafe(F.col(f"{c}_b")) for c in EDGE] + [F.col("claim_id") < F.col("claim_id_b")])
+    one, other = {c: F.col(c) for c in _COMPARED}, {c: F.col(f"{c}_b") for c in _COMPARED}
+    found = met.withColumn("conflict", F.when(~one["polarity"].eqNullSafe(other["polarity"]), "polarity").when(intervals_apart(one, other), "interval")).where("conflict IS NOT NULL")
+    return found.select(F.col("claim_id").alias("claim_a"), F.col("claim_id_b").alias("claim_b"), "conflict", F.when(comparable(one, other), "contradiction").otherwise("divergence").alias("kind"))
 
 
 def oversized_edges(claims: DataFrame, guard: int = 150) -> DataFrame:
     return claims.groupBy(*EDGE).agg(F.count("*").alias("n")).where(F.col("n") > guard)
 
 
+def _sweep(ids: np.ndarray, base: np.ndarray, side: np.ndarray, condition: np.ndarray, meets: np.ndarray, measure: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The summed base of all claims of one edge that contradict each claim.
+
+    condition: the claims' distinct conditions, by number; meets: which of these are comparable; measure: quantity and unit by
+    number, -1 where there is no interval. Claims of other polarity count by condition. For those of the same polarity the
+    claims of each measure and condition are sorted by both ends of their intervals, with prefix sums of base: what ends below
+    a claim's interval and what begins above it are two looked-up sums.
+    """
+    n = len(meets)
+    out = np.zeros(len(base))
+    for s in np.unique(side):
+        own = side == s
+        out[own] += (meets @ np.bincount(condition[~own], base[~own], n))[condition[own]]
+    below, above = high * (1 + SLACK), low * (1 - SLACK)
+    order = np.lexsort((condition, measure, side))
+    key = np.stack([side, measure, condition], axis=1)[order]
+    edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(order) else order
+    for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
+        mine = order[a:b]
+        s, m, c = key[a]
+        if m < 0:
+            continue
+        asks = np.flatnonzero((side == s) & (measure == m) & meets[c][condition])
+        ends, begins = mine[np.argsort(below[mine])], mine[np.argsort(above[mine])]
+        ended, begun = np.append(0, np.cumsum(base[ends])), np.append(0, np.cumsum(base[begins]))
+        out[asks] += ended[np.searchsorted(below[ends], above[asks], "left")] + begun[-1] - begun[np.searchsorted(above[begins], below[asks], "right")]
+    # Rows that repeat an id are one claim and do not contradict each other.
+    known, of = np.unique(ids, return_inverse=True)
+    if len(known) < len(ids):
+        for i in np.flatnonzero(np.bincount(of)[of] > 1):
+            twin = np.flatnonzero((of == of[i]) & meets[condition[i]][condition])
+            apart = (measure[twin] == measure[i]) & (measure[i] >= 0) & ((below[twin] < above[i]) | (below[i] < above[twin]))
+            out[i] -= base[twin[(side[twin] != side[i]) | apart]].sum()
+    return np.where(out > 1e-12, out, 0.0)
+
+
+def _codes(*columns: pa.ChunkedArray) -> np.ndarray:
+    """A number for each distinct value of some columns; null is a value."""
+    out = np.zeros(len(columns[0]), np.int64)
+    for c in columns:
+        code = c.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        out = np.unique(out * (code.max(initial=0) + 1) + code, return_inverse=True)[1].reshape(-1)
+    return out
+
+
+def _opposed(rows: pa.Table) -> pa.RecordBatch:
+    """claim_id and opposition of some whole edges, rows in the order of edges."""
+    number = lambda c: rows[c].cast(pa.float64()).combine_chunks().fill_null(float("nan")).to_numpy(zero_copy_only=False)
+    low, high, temp, ph, base = (number(c) for c in ("low", "high", "temp_c", "ph", "base"))
+    edge, side, place, ids = _codes(*[rows[c] for c in EDGE]), _codes(rows["polarity"]), _codes(rows["matrix"]), _codes(rows["claim_id"])
+    blank = np.isin(rows["matrix"].combine_chunks().fill_null("").to_numpy(zero_copy_only=False), [""])
+    condition = _codes(rows["matrix"], rows["temp_c"], rows["ph"])
+    measure = np.where(np.isnan(low) | np.isnan(high), -1, _codes(rows["quantity"], rows["unit"]))
+    out = np.zeros(len(base))
+    border = np.flatnonzero(np.concatenate([[True], edge[1:] != edge[:-1], [True]])) if len(edge) else np.zeros(1, np.int64)
+    for a, b in zip(border[:-1], border[1:], strict=True):
+        if b - a < 2:
+            continue
+        first, own = np.unique(condition[a:b], return_index=True, return_inverse=True)[1:]
+        first = first + a
+        apart = lambda x, most, first=first: np.abs(x[first][:, None] - x[first][None, :]) > most  # noqa: E731  unknown is not apart
+        other = (place[first][:, None] != place[first][None, :]) & ~blank[first][:, None] & ~blank[first][None, :]
+        meets = ~(other | apart(temp, TEMPERATURE_APART) | apart(ph, PH_APART))
+        out[a:b] = _sweep(ids[a:b], base[a:b], side[a:b], own, meets, measure[a:b], low[a:b], high[a:b])
+    return pa.RecordBatch.from_arrays([rows["claim_id"].cast(pa.string()).combine_chunks(), pa.array(out)], names=["claim_id", "opposition"])
+
+
+def _by_edge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by edge; what is worked on is some whole edges."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        edge = _codes(*[held[c] for c in EDGE])
+        before = np.flatnonzero(edge != edge[-1]) if len(edge) else edge
+        if len(before):
+            yield _opposed(held.slice(0, int(before[-1]) + 1))
+            held = held.slice(int(before[-1]) + 1)
+    if held is not None:
+        yield _opposed(held)
+
+
+def oppositions(scored: DataFrame, guard: int = 150) -> DataFrame:
+    """(claim_id, opposition) of claims that others contradict: the base of these, without any pairs. scored: claims with base.
+
+    Edges are worked on one after the other, each a bounded group of at most `guard` claims.
+    """
+    dealt = guarded(scored, guard).select(*EDGE, *_COMPARED, "base").repartition(*EDGE).sortWithinPartitions(*EDGE)
+    return dealt.mapInArrow(_by_edge, "claim_id string, opposition double").where("opposition > 0").dropDuplicates(["claim_id"])
+
+
 def claim_weights(claims: DataFrame, lam: float = LAMBDA, beta: float = BETA, saturation: float = SATURATION) -> DataFrame:
     """weight = base * corroboration - lam * opposition / (opposition + base), within 0..1; opposition is the base of all that contradict a claim."""
     scored = base_score(claims)
-    opposes = lambda a, b: (a["claim_id"] != b["claim_id"]) & ((a["polarity"] != b["polarity"]) | intervals_apart(a, b)) & comparable(a, b)
-    against = lambda a: F.aggregate("claims", F.lit(0.0), lambda acc, b: acc + F.when(opposes(a, b), b["base"]).otherwise(0.0))
-    opposed = F.transform("claims", lambda a: F.struct(a["claim_id"].alias("claim_id"), against(a).alias("opposition")))
-    opposition = edge_groups(scored, [*_COMPARED, "base"]).select(F.explode(opposed).alias("o")).select("o.*").where("opposition > 0")
+    opposition = checkpointed(oppositions(scored)).hint("merge")
     out = _bucketed(scored).join(effective_n(claims, beta), CLUSTER).join(opposition, "claim_id", "left").withColumn("opposition", F.coalesce("opposition", F.lit(0.0)))
     penalty = F.when(F.col("opposition") > 0, lam * F.col("opposition") / (F.col("opposition") + F.col("base"))).otherwise(0.0)
     weight = F.col("base") * corroboration(F.col("n_eff"), saturation) - penalty

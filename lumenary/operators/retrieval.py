@@ -7,23 +7,51 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that no query term may be.
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "in", "is", "of", "on", "or", "the", "to", "with"]
+from ..session import checkpointed
+
+#: The words that full-text search in English leaves out (the Snowball project's list).
+INDEX_STOP = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves
+what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with
+about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each
+few more most other some such no nor not only own same so than too very s t can will just don should now""".split()
+#: Words that no OR term may be.
+STOP_WORDS = ["what", "which", "where", "when", "does", "with", "from", "that", "this", "have", "their", "about", "into", "would", "could", "should", "there", "these", "those"]
 #: Runs of letters and digits of any script, underscores and hyphens.
 WORD = r"[\p{L}\p{N}_-]+"
+#: Weight of a cover, and of a word where any term will do.
+COVER_WEIGHT = 0.1
+#: Rows of a table of terms up to which it is broadcast; larger ones are joined by sorted shuffles.
+MOST_TERMS = 1 << 18
 
 
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
-def build_term_index(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(id, term, tf) without stop words."""
-    return docs.select("id", F.explode(tokens(F.col(text))).alias("term")).where(~F.col("term").isin(STOP_WORDS)).groupBy("id", "term").agg(F.count("*").alias("tf"))
+def counted(df: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+    """A written table for the small side of a join: broadcast if its counted rows are within the bound, else sorted."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= most else kept.hint("merge")
+
+
+def question_terms(questions: DataFrame) -> DataFrame:
+    """(qid, term): all words of a question that are no stop words, each once."""
+    return questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).where(~F.col("term").isin(INDEX_STOP))
+
+
+def build_term_index(docs: DataFrame, text: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(id, term, tf, places): each term of a document with its word positions in order; stop words have positions but no rows.
+
+    With `terms` (a column term) only these are indexed: the words are held against them before anything is shuffled.
+    """
+    words = docs.select("id", F.posexplode(tokens(F.col(text))).alias("place", "term")).where(~F.col("term").isin(INDEX_STOP))
+    if terms is not None:
+        words = words.join(counted(terms.select("term").distinct()), "term", "left_semi")
+    return words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
 
 
 def or_terms(questions: DataFrame, least: int = 3, most: int = 24) -> DataFrame:
-    """(qid, term): the first terms of three letters or more that are no stop words."""
+    """(qid, term): of a question's words of three letters or more that are no stop words the first 24, each once."""
     kept = F.filter(tokens(F.col("text")), lambda t: (F.length(t) >= least) & ~t.isin(STOP_WORDS))
     return questions.select("qid", F.explode(F.array_distinct(F.slice(kept, 1, most))).alias("term"))
 
@@ -32,28 +60,68 @@ def top_k(df: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("nth") <= k)
 
 
-def ranked(index: DataFrame, terms: DataFrame, papers: DataFrame | None, min_relevance: int | None) -> DataFrame:
-    """(qid, id, matched, rank) of every document with a term, past the gate."""
-    hits = terms.join(index, "term").groupBy("qid", "id").agg(F.count("*").alias("matched"), F.sum("tf").alias("rank"))
+def cover_density(entries: Column, n_terms: Column) -> Column:
+    """Sum over all minimal covers of weight / (1 + words between that are no terms).
+
+    entries: (place, term number from 1) in order of places. A cover is a run from one entry to another that holds all
+    terms and no shorter such run. The scan keeps the latest entry of each term; whenever the earliest of these moves on,
+    the run from it to the entry just read is the next minimal cover.
+    """
+    start = F.struct(F.array_repeat(F.lit(-1), n_terms).alias("latest"), F.lit(-1).alias("from"), F.lit(0).alias("at"), F.lit(0.0).alias("score"))
+
+    def step(s: Column, e: Column) -> Column:
+        latest = F.transform(s["latest"], lambda x, i: F.when(i == e["term"] - 1, s["at"]).otherwise(x))
+        return F.struct(latest.alias("latest"), s["from"].alias("from"), s["at"].alias("at"), s["score"].alias("score"))
+
+    def close(s: Column) -> Column:
+        first = F.array_min(s["latest"])
+        span = F.get(entries, s["at"])["place"] - F.get(entries, first)["place"]
+        noise = span - (s["at"] - first)
+        found = first > s["from"]
+        return F.struct(s["latest"].alias("latest"), F.greatest(first, s["from"]).alias("from"), (s["at"] + 1).alias("at"), (s["score"] + F.when(found, COVER_WEIGHT / (1 + noise)).otherwise(0.0)).alias("score"))
+
+    return F.aggregate(entries, start, lambda s, e: close(step(s, e)), lambda s: s["score"])
+
+
+def gated(hits: DataFrame, papers: DataFrame | None, min_relevance: int | None) -> DataFrame:
     if papers is None or min_relevance is None:
         return hits
-    gate = papers.where(F.col("relevance_llm").isNull() | (F.col("relevance_llm") >= min_relevance)).select("id")
-    return hits.join(gate, "id", "left_semi")
+    return hits.join(papers.where(F.col("relevance_llm").isNull() | (F.col("relevance_llm") >= min_relevance)).select("id").hint("merge"), "id", "left_semi")
+
+
+def all_terms_hits(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, id, rank) of documents with all terms of a question, by cover density.
+
+    A question meets the documents of its rarest term only, and these are asked for its other terms by document and term,
+    so a common term brings no documents together with questions.
+    """
+    often = index.groupBy("term").agg(F.count("*").alias("df"))
+    numbered = terms.join(counted(often), "term", "left").select("qid", "term", F.coalesce("df", F.lit(0)).alias("df"))
+    asked = checkpointed(numbered.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy("df", "term"))).withColumn("wanted", F.count("*").over(Window.partitionBy("qid"))))
+    rarest = asked.where("nth = 1 AND df > 0").select("qid", "term", "wanted")
+    first = checkpointed(index.select("id", "term").join(counted(rarest), "term").select("qid", "id", "wanted"))
+    every = first.join(asked.select("qid", "term", "nth").hint("merge"), "qid")
+    held = checkpointed(every).join(index.select("id", "term", "places").hint("merge"), ["id", "term"])
+    both = held.groupBy("qid", "id", "wanted").agg(F.count("*").alias("matched"), F.array_sort(F.flatten(F.collect_list(F.transform("places", lambda p: F.struct(p.alias("place"), F.col("nth").alias("term")))))).alias("entries")).where("matched = wanted")
+    return both.select("qid", "id", F.round(cover_density(F.col("entries"), F.col("wanted").cast("int")), 6).alias("rank"))
+
+
+def any_term_hits(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, id, rank) of documents with a term of a question; every occurrence is a cover of its own."""
+    return index.select("id", "term", "tf").join(counted(terms), "term").groupBy("qid", "id").agg(F.round(COVER_WEIGHT * F.sum("tf"), 6).alias("rank"))
 
 
 def lexical_search(index: DataFrame, terms: DataFrame, papers: DataFrame | None = None, k: int = 6, min_relevance: int | None = 60) -> DataFrame:
     """Documents with all terms of a question, the k of highest rank."""
-    wanted = terms.groupBy("qid").agg(F.count("*").alias("wanted"))
-    found = ranked(index, terms, papers, min_relevance).join(wanted, "qid").where(F.col("matched") == F.col("wanted"))
-    return top_k(found, "qid", [F.desc("rank"), F.col("id")], k).select("qid", "id", "rank", "nth")
+    return top_k(gated(all_terms_hits(index, terms), papers, min_relevance), "qid", [F.desc("rank"), F.col("id")], k).select("qid", "id", "rank", "nth")
 
 
 def lexical_search_with_fallback(index: DataFrame, terms: DataFrame, papers: DataFrame | None = None, k: int = 6, min_relevance: int | None = 60) -> DataFrame:
-    """All-terms hits where a question has any, else any-term hits; both from one join, for all questions at once."""
-    wanted = terms.groupBy("qid").agg(F.count("*").alias("wanted"))
-    found = ranked(index, terms, papers, min_relevance).join(wanted, "qid").withColumn("tier", (F.col("matched") < F.col("wanted")).cast("int"))
-    best = found.groupBy("qid").agg(F.min("tier").alias("tier"))
-    return top_k(found.join(best, ["qid", "tier"]), "qid", [F.desc("rank"), F.col("id")], k).select("qid", "id", "rank", "nth", (F.col("tier") == 1).alias("used_fallback"))
+    """All-terms hits where a question has any, else any-term hits; for all questions at once."""
+    strict = checkpointed(lexical_search(index, terms, papers, k, min_relevance))
+    open_ = terms.join(strict.select("qid").distinct().hint("merge"), "qid", "left_anti")
+    loose = top_k(gated(any_term_hits(index, open_), papers, min_relevance), "qid", [F.desc("rank"), F.col("id")], k).select("qid", "id", "rank", "nth")
+    return strict.withColumn("used_fallback", F.lit(False)).unionByName(loose.withColumn("used_fallback", F.lit(True)))
 
 
 def keyword_count_search(docs: DataFrame, terms: list[str], k: int = 6) -> DataFrame:
@@ -140,18 +208,21 @@ def attach_evidence(items: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def pack_evidence(items: DataFrame, budget: int = 8000, cut: int = 1200) -> DataFrame:
-    """(qid, pos, source_id, content) of what fits a question's budget: items in order, cut, spent once per source, up to the first that is too large.
+    """(qid, pos, source_id, content): what fits a question's budget, items in order and cut, spent once per source.
 
-    One question's items form one small group.
+    items: qid, pos, source_ids, content. An item that is larger than what is left ends the packing; within an item, a source
+    is passed over once its content no longer fits, and the next item follows. One question's items form one small group.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         left, out = budget, []
-        for r in pdf.sort_values(["pos", "source_id"], kind="stable").itertuples():
+        for r in pdf.sort_values("pos", kind="stable").itertuples():
             content = (r.content or "")[:cut]
             if len(content) > left:
                 break
-            left -= len(content)
-            out.append((r.qid, r.pos, r.source_id, content))
+            for source in r.source_ids:
+                if len(content) <= left:
+                    out.append((r.qid, r.pos, source, content))
+                    left -= len(content)
         return pd.DataFrame(out, columns=["qid", "pos", "source_id", "content"])
     return items.groupBy("qid").applyInPandas(run, "qid long, pos int, source_id long, content string")
 

@@ -4,14 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..adapters import ADAPTERS
 from ..operators import retrieval as R
 from ..registry import query
-
-_STOP = "('a','an','and','are','as','at','be','by','for','from','how','in','is','of','on','or','the','to','with')"
-_IX = rf"ix AS (SELECT id, term, count(*) AS tf FROM (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+')) AS term FROM documents) WHERE term NOT IN {_STOP} GROUP BY 1, 2)"
-_TM = rf"tm AS (SELECT DISTINCT qid, unnest((list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+'), lambda t: length(t) >= 3 AND t NOT IN {_STOP}))[1:24]) AS term FROM (SELECT item_id AS qid, text FROM benchmark))"
-_GATE = "gt AS (SELECT id FROM papers WHERE relevance_llm IS NULL OR relevance_llm >= 60)"
-_HIT = f"{_IX}, {_TM}, {_GATE}, wt AS (SELECT qid, count(*) AS wanted FROM tm GROUP BY 1), hit AS (SELECT qid, id, count(*) AS matched, CAST(sum(tf) AS BIGINT) AS rank, any_value(wanted) AS wanted FROM tm JOIN ix USING (term) JOIN wt USING (qid) WHERE id IN (FROM gt) GROUP BY 1, 2)"
+from ..session import checkpointed
+
+_quoted = lambda words: "(" + ",".join(f"'{w}'" for w in words) + ")"
+#: Words of the documents with their positions, all words of the questions, and the terms of an OR query.
+_IX = rf"""wp AS (SELECT id, word AS term, place FROM (SELECT doc_id AS id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS place FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+') AS w FROM documents)) WHERE word NOT IN {_quoted(R.INDEX_STOP)}),
+ix AS (SELECT id, term, count(*) AS tf, string_agg(place, ',' ORDER BY place) AS places FROM wp GROUP BY 1, 2)"""
+_QT = rf"qt AS (SELECT DISTINCT qid, term FROM (SELECT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+')) AS term FROM benchmark) WHERE term NOT IN {_quoted(R.INDEX_STOP)})"
+_TM = rf"tm AS (SELECT DISTINCT qid, unnest((list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_-]+'), lambda t: length(t) >= 3 AND t NOT IN {_quoted(R.STOP_WORDS)}))[1:24]) AS term FROM (SELECT item_id AS qid, text FROM benchmark))"
+#: All-terms hits: for each entry the latest place of every term; where the earliest of these first appears, a cover ends.
+_AND = f"""{_IX}, {_QT}, gt AS (SELECT id FROM papers WHERE relevance_llm IS NULL OR relevance_llm >= 60), wt AS (SELECT qid, count(*) AS wanted FROM qt GROUP BY 1),
+fu AS (SELECT qid, id, any_value(wanted) AS wanted FROM qt JOIN ix USING (term) JOIN wt USING (qid) WHERE id IN (FROM gt) GROUP BY qid, id HAVING count(*) = any_value(wanted)),
+en AS (SELECT qid, id, wanted, term, place, row_number() OVER (PARTITION BY qid, id ORDER BY place) AS i FROM fu JOIN qt USING (qid) JOIN wp USING (id, term)),
+la AS (SELECT a.qid, a.id, a.wanted, a.i, a.place, b.term, max(b.i) AS i_b, max(b.place) AS place_b FROM en a JOIN en b ON a.qid = b.qid AND a.id = b.id AND b.i <= a.i GROUP BY 1, 2, 3, 4, 5, 6),
+ru AS (SELECT qid, id, i, place, min(i_b) AS f, min(place_b) AS f_place FROM la GROUP BY qid, id, wanted, i, place HAVING count(*) = wanted),
+co AS (SELECT qid, id, f, f_place, min(i) AS i, min(place) AS place FROM ru GROUP BY 1, 2, 3, 4),
+st AS (SELECT qid, id, round(sum(0.1::DOUBLE / (1 + (place - f_place) - (i - f))), 6) AS rank FROM co GROUP BY 1, 2),
+strict AS (SELECT qid, id, rank, row_number() OVER (PARTITION BY qid ORDER BY rank DESC, id) AS nth FROM st QUALIFY nth <= 6)"""
+_FB = f"""{_AND}, lo AS (SELECT qid, id, round(0.1::DOUBLE * sum(tf), 6) AS rank FROM qt JOIN ix USING (term) WHERE id IN (FROM gt) AND qid NOT IN (SELECT qid FROM strict) GROUP BY 1, 2),
+fb AS (SELECT *, false AS used_fallback FROM strict UNION ALL SELECT qid, id, rank, row_number() OVER (PARTITION BY qid ORDER BY rank DESC, id) AS nth, true FROM lo QUALIFY nth <= 6)"""
 
 
 def texts_of(documents):
@@ -22,21 +36,34 @@ def questions_of(benchmark):
     return benchmark.select(F.col("item_id").alias("qid"), "text")
 
 
+def index_of(documents, terms):
+    return checkpointed(R.build_term_index(texts_of(documents), terms=terms))
+
+
 def search(documents, benchmark, papers):
-    return R.lexical_search_with_fallback(R.build_term_index(texts_of(documents)), R.or_terms(questions_of(benchmark)), papers)
+    terms = R.question_terms(questions_of(benchmark))
+    return R.lexical_search_with_fallback(index_of(documents, terms), terms, papers)
 
 
 @query("r1_term_index", "documents", f", {_IX} SELECT * FROM ix")
 def r1(documents):
-    return R.build_term_index(texts_of(documents))
+    return R.build_term_index(texts_of(documents)).withColumn("places", F.array_join(F.transform("places", lambda p: p.cast("string")), ","))
 
 
-@query("r2_lexical_search", "documents benchmark papers", f", {_HIT} SELECT qid, id, rank, nth FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank DESC, id) AS nth FROM hit WHERE matched = wanted) WHERE nth <= 6")
+@query("r2_lexical_search", "documents benchmark papers", f", {_AND} SELECT * FROM strict")
 def r2(documents, benchmark, papers):
-    return R.lexical_search(R.build_term_index(texts_of(documents)), R.or_terms(questions_of(benchmark)), papers)
+    terms = R.question_terms(questions_of(benchmark))
+    return R.lexical_search(index_of(documents, terms), terms, papers)
+
+
+#: Questions of a few words, so that many documents hold all of them: the fourth to sixth word of each passage.
+ADAPTERS["short_questions"] = "SELECT item_id, concat_ws(' ', split_part(text, ' ', 4), split_part(text, ' ', 5), split_part(text, ' ', 6)) AS text FROM benchmark"
 
 
-_FB = f"{_HIT}, tr AS (SELECT *, CASE WHEN matched < wanted THEN 1 ELSE 0 END AS tier FROM hit), be AS (SELECT qid, min(tier) AS tier FROM tr GROUP BY 1), fb AS (SELECT qid, id, rank, nth, tier = 1 AS used_fallback FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank DESC, id) AS nth FROM tr JOIN be USING (qid, tier)) WHERE nth <= 6)"
+@query("r2_cover_density", "documents short_questions papers", f", {_AND.replace('FROM benchmark', 'FROM short_questions')} SELECT * FROM strict")
+def r2b(documents, questions, papers):
+    terms = R.question_terms(questions_of(questions))
+    return R.lexical_search(index_of(documents, terms), terms, papers)
 
 
 @query("r3_lexical_fallback", "documents benchmark papers", f", {_FB} SELECT * FROM fb")
@@ -124,10 +151,21 @@ def r10(e):
     return R.attach_evidence(merged(e), evidence(e))
 
 
-@query("r11_pack_evidence", "documents benchmark papers")
-def r11(documents, benchmark, papers):
+#: Evidence of each question: its hits in order, each with the hit itself and, for every other one, a second source.
+def packed(documents, benchmark, papers):
     hits = search(documents, benchmark, papers).select("qid", F.col("nth").alias("pos"), F.col("id").alias("source_id"))
-    return R.pack_evidence(hits.join(documents.select(F.col("doc_id").alias("source_id"), F.col("text").alias("content")), "source_id"), 3000)
+    sources = F.when(F.col("pos") % 2 == 0, F.array("source_id", F.col("source_id") + 1)).otherwise(F.array("source_id"))
+    texts = documents.select(F.col("doc_id").alias("source_id"), F.col("text").alias("content"))
+    return R.pack_evidence(hits.join(texts.hint("merge"), "source_id").select("qid", "pos", sources.alias("source_ids"), "content"), 3000)
+
+
+@query("r11_pack_evidence", "documents benchmark papers", f""", {_FB}, it AS (SELECT qid, nth AS pos, id, substr(text, 1, 1200) AS content, CASE WHEN nth % 2 = 0 THEN 2 ELSE 1 END AS n FROM fb JOIN documents ON doc_id = id),
+ct AS (SELECT *, lead(length(content)) OVER (PARTITION BY qid ORDER BY pos) AS ahead FROM it), pk AS (
+ SELECT qid, pos, id, content, n, least(n, CASE WHEN length(content) = 0 THEN n ELSE 3000 // length(content) END) AS took, 3000 - least(n, CASE WHEN length(content) = 0 THEN n ELSE 3000 // length(content) END) * length(content) AS left_ FROM ct WHERE pos = 1 AND length(content) <= 3000
+ UNION ALL SELECT c.qid, c.pos, c.id, c.content, c.n, least(c.n, CASE WHEN length(c.content) = 0 THEN c.n ELSE p.left_ // length(c.content) END), p.left_ - least(c.n, CASE WHEN length(c.content) = 0 THEN c.n ELSE p.left_ // length(c.content) END) * length(c.content) FROM pk p JOIN ct c ON c.qid = p.qid AND c.pos = p.pos + 1 WHERE length(c.content) <= p.left_)
+SELECT qid, CAST(pos AS INTEGER) AS pos, id + s AS source_id, content FROM pk, range(0, 2) t(s) WHERE s < took""")
+def r11(documents, benchmark, papers):
+    return packed(documents, benchmark, papers)
 
 
 @query("r12_source_block", "papers", r""", f AS (SELECT *, trim(regexp_replace(abstract, '\s+', ' ', 'g')) AS flat FROM papers)
@@ -142,7 +180,7 @@ def r13(claims, orders):
     return R.claims_per_source(rows, orders.select(F.col("o_orderkey").alias("source_id")))
 
 
-@query("r14_consensus_tally", "documents benchmark papers", f", {_FB}, st AS (SELECT qid, id, CASE (qid + id) % 5 WHEN 0 THEN 'agree' WHEN 1 THEN 'oppose' WHEN 2 THEN 'neutral' WHEN 3 THEN 'odd' END AS stance FROM fb) SELECT qid, count(*) FILTER (WHERE stance = 'agree') AS agree, count(*) FILTER (WHERE stance = 'oppose') AS oppose, count(*) FILTER (WHERE stance = 'neutral') AS neutral, count(*) FILTER (WHERE stance IS NULL OR stance = 'odd') AS unassessed, count(*) AS total FROM st GROUP BY 1")
+@query("r14_consensus_tally", "documents benchmark papers", f", {_FB}, sn AS (SELECT qid, id, CASE (qid + id) % 5 WHEN 0 THEN 'agree' WHEN 1 THEN 'oppose' WHEN 2 THEN 'neutral' WHEN 3 THEN 'odd' END AS stance FROM fb) SELECT qid, count(*) FILTER (WHERE stance = 'agree') AS agree, count(*) FILTER (WHERE stance = 'oppose') AS oppose, count(*) FILTER (WHERE stance = 'neutral') AS neutral, count(*) FILTER (WHERE stance IS NULL OR stance = 'odd') AS unassessed, count(*) AS total FROM sn GROUP BY 1")
 def r14(documents, benchmark, papers):
     found = search(documents, benchmark, papers)
     x = (F.col("qid") + F.col("id")) % 5
