@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed
+from .dictionary import parted, places, quoted, words_of
 
 #: Names too general to look for, words that are no molecules, and endings that make a word look chemical.
 STOP_NAMES = ["water", "oxygen", "nitrogen", "air", "salt", "sugar", "acid", "ester", "ketone", "alcohol", "aldehyde", "amine", "protein", "fat", "oil", "ash", "gas", "iron", "heme"]
@@ -36,57 +34,66 @@ def minable_report(molecules: DataFrame) -> DataFrame:
     return molecules.agg(F.count_if(ok).alias("minable"), F.count_if(~ok).alias("skipped"), F.count_if(low.isin(JUNK_NAMES)).alias("junk"))
 
 
-def name_pattern(name: str) -> str:
-    """Separators between the parts of a name are free, a plural s may follow, no letter or digit touches it."""
-    parts = [re.escape(p) for p in re.split(r"[\s\-,']+", name.lower()) if p]
-    return r"(?<![a-z0-9])" + r"[\s\-,']*".join(parts) + r"s?(?![a-z0-9])"
+#: Words of texts and names: runs of letters and digits, and every other character but blanks and hyphens by itself.
+NAME_WORD, NAME_GAP = r"(?:[a-z0-9]+|[^a-z0-9\s-])", r"[\s-]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def claim_spans(text: str, names: list[str]) -> list[tuple[str, int, int]]:
-    """Longest names first; a shorter one takes its first place that is still free."""
-    taken: list[tuple[int, int]] = []
-    out = []
-    for name in sorted(set(names), key=lambda n: (-len(n), n)):
-        for m in re.finditer(name_pattern(name), text):
-            if all(m.end() <= a or m.start() >= b for a, b in taken):
-                taken.append(m.span())
-                out.append((name, *m.span()))
-                break
-    return out
+def folded(c: Column) -> Column:
+    """Lower case without a change of length, so that places hold in the text as it came."""
+    return F.translate(c, UPPER, LOWER)
 
 
-def first_token(c: Column) -> Column:
-    return F.regexp_extract(F.lower(c), "[a-z0-9]+", 0)
+def name_parts(name: Column) -> Column:
+    return F.filter(F.split(folded(F.trim(name)), r"[\s\-,']+"), lambda p: p != "")
 
 
-def mention_candidates(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """Documents and the names whose first part begins a word of theirs: an equi-join on words, never documents by names."""
-    tokens = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("token"))
-    keyed = names.select(F.lower("name").alias("name"), first_token(F.col("name")).alias("token")).distinct()
-    # A name's separators are free, so its first part may be a word's beginning: parts are joined by their first four letters.
-    near = lambda c: F.substring(c, 1, 4)
-    hits = tokens.withColumn("near", near("token")).join(keyed.withColumn("near", near("token")).withColumnRenamed("token", "part"), "near").where(F.col("token").startswith(F.col("part")))
-    return hits.select("id", "name").distinct()
+def mention_places(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, name, start, end): all places of names in texts.
+
+    Between the parts of a name blanks and hyphens are free, a plural s may follow, no letter or digit touches it.
+    """
+    parts = names.select(folded(F.trim("name")).alias("name")).distinct().withColumn("parts", name_parts(F.col("name")))
+    entries = parts.select(F.col("name").alias("key"), F.flatten(F.transform("parts", lambda p: words_of(p, NAME_WORD))).alias("words"))
+    texts = docs.select("id", folded(F.col("text")).alias("text"))
+    open_ = places(texts, entries, NAME_WORD, NAME_GAP, plural="s").groupBy("id").agg(F.collect_list(F.struct("key", "at")).alias("found"))
+    held = texts.join(open_.hint("merge"), "id").withColumn("pieces", parted(F.col("text"), NAME_WORD, NAME_GAP)).select("text", "id", "pieces", F.explode("found").alias("f"))
+    start = F.char_length(F.array_join(F.expr("slice(pieces, 1, f.at)"), ""))
+    body = F.array_join(F.transform(name_parts(F.col("f.key")), quoted), r"[\s\-]*")
+    match = F.regexp_substr(F.substr("text", F.col("start") + 1), F.concat(F.lit("^"), body, F.lit("s?(?![a-z0-9])")))
+    free = (F.col("start") == 0) | ~F.regexp_like(F.substr("text", F.col("start"), F.lit(1)), F.lit("[a-z0-9]"))
+    return held.withColumn("start", start).withColumn("match", match).where(F.col("match").isNotNull() & free).select("id", F.col("f.key").alias("name"), "start", (F.col("start") + F.char_length("match")).alias("end"))
 
 
 def mine_mentions(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, name, start, end): one edge per document and name; overlaps go to the longer name."""
-    candidates = mention_candidates(docs, names).groupBy("id").agg(F.collect_set("name").alias("names"))
+    """(id, name, start, end): one edge per document and name; overlaps go to the longer name, ties to the name that sorts first.
+
+    Longest names first, each takes its first place that is still free. A document's places form one small group.
+    """
+    order = F.array_sort(F.collect_list(F.struct((-F.char_length("name")).alias("n"), "name", "start", "end")))
+    taken = F.array().cast("array<struct<n:int,name:string,start:int,end:int>>")
+    blocked = lambda held, x: F.exists(held, lambda h: (h["name"] == x["name"]) | ((x["start"] < h["end"]) & (h["start"] < x["end"])))
+    kept = F.aggregate("found", taken, lambda held, x: F.when(blocked(held, x), held).otherwise(F.array_append(held, x)))
+    found = mention_places(docs, names).groupBy("id").agg(order.alias("found"))
+    return found.select("id", F.explode(kept).alias("m")).select("id", "m.name", "m.start", "m.end")
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(i, *span) for i, text, found in zip(pdf["id"], pdf["text"], pdf["names"], strict=True) for span in claim_spans((text or "").lower(), list(found))]
-            yield pd.DataFrame(rows, columns=["id", "name", "start", "end"])
-    return docs.join(candidates.hint("merge"), "id").mapInPandas(run, "id long, name string, start int, end int")
+def searched_text(papers: DataFrame) -> DataFrame:
+    """(id, text): title, main claim, abstract and facets of a paper as one text; what is missing or empty is left out."""
+    fields = [F.nullif(F.col(c), F.lit("")) for c in ("name", "main_claim", "abstract")] + [F.array_join(F.coalesce(F.col(c), F.array().cast("array<string>")), " ") for c in ("compound_class", "sensory")]
+    return papers.select("id", F.concat_ws(" ", *[F.nullif(f, F.lit("")) for f in fields]).alias("text"))
 
 
 def mine_mentions_simple(docs: DataFrame, names: DataFrame, curated: DataFrame | None = None) -> DataFrame:
-    """(id, name): names of 6 letters or more, no mere digits, whole words of the text; curated pairs left out."""
-    wanted = names.where((F.length("name") >= 6) & ~F.col("name").rlike("^[0-9]+$"))
-    words = docs.join(mention_candidates(docs, wanted).hint("merge"), "id")
-    escaped = F.regexp_replace(F.col("name"), r"([\\\[\](){}.*+?^$|])", r"\\$1")
-    found = words.where(F.contains(F.lower("text"), F.col("name"))).where(F.regexp_like(F.lower("text"), F.concat(F.lit("(?<![a-z0-9])"), escaped, F.lit("(?![a-z0-9])")))).select("id", "name")
-    return found.join(curated, ["id", "name"], "left_anti") if curated is not None else found
+    """(id, name): names of 6 characters or more, no mere digits, that stand in the text as they are, touched by no letter or digit; curated pairs left out."""
+    word = r"(?:[a-z0-9]+|[^a-z0-9\s])"
+    low = names.select(F.lower(F.trim("name")).alias("key")).distinct()
+    wanted = low.where((F.char_length("key") >= 6) & ~F.col("key").rlike("^[0-9]+$"))
+    texts = docs.select("id", F.lower("text").alias("text"))
+    open_ = places(texts, wanted.withColumn("words", words_of(F.col("key"), word)), word, r"\s+").groupBy("id").agg(F.collect_set("key").alias("keys"))
+    held = texts.join(open_.hint("merge"), "id").select("id", "text", F.explode("keys").alias("name"))
+    found = held.where(F.contains("text", "name")).where(F.regexp_like("text", F.concat(F.lit("(?<![a-z0-9])"), quoted(F.col("name")), F.lit("(?![a-z0-9])")))).select("id", "name")
+    return found.join(curated.hint("merge"), ["id", "name"], "left_anti") if curated is not None else found
 
 
 def bridge_edges(curated: DataFrame, mined: DataFrame) -> DataFrame:
@@ -187,11 +194,13 @@ def kg_stats(edges: DataFrame) -> DataFrame:
 
 
 def entry_nodes(questions: DataFrame, labels: DataFrame) -> DataFrame:
-    """(qid, id): labels of 4 letters or more that a question holds as a word, maybe in the plural; by word, not by pairs."""
-    words = questions.select("qid", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
-    named = labels.where(F.length("label") >= 4).select("id", F.lower("label").alias("label"))
-    forms = named.select("id", F.explode(F.array("label", F.concat("label", F.lit("s")))).alias("word"))
-    return words.join(forms, "word").select("qid", "id").distinct()
+    """(qid, id): labels of 4 characters or more that a question holds as they are, maybe in the plural, touched by no letter."""
+    word = r"(?:[a-z]+|[^a-z\s])"
+    named = checkpointed(labels.select("id", F.lower("label").alias("key")).where(F.char_length("key") >= 4).distinct())
+    texts = questions.select(F.col("qid").alias("id"), F.lower("text").alias("text"))
+    found = places(texts, named.select("key", words_of(F.col("key"), word).alias("words")), word, r"\s+", plural="s").select("id", "key").distinct()
+    held = texts.join(found.hint("merge"), "id").where(F.contains("text", "key")).where(F.regexp_like("text", F.concat(F.lit("(?<![a-z])"), quoted(F.col("key")), F.lit("s?(?![a-z])"))))
+    return held.select(F.col("id").alias("qid"), "key").join(named.hint("merge"), "key").select("qid", "id").distinct()
 
 
 def seed_molecules(entry: DataFrame, edges: DataFrame, k: int = 15) -> DataFrame:

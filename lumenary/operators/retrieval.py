@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, counted
 
 #: The words that full-text search in English leaves out (the Snowball project's list).
 INDEX_STOP = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves
@@ -20,20 +20,12 @@ STOP_WORDS = ["what", "which", "where", "when", "does", "with", "from", "that",
 WORD = r"[\p{L}\p{N}_-]+"
 #: Weight of a cover, and of a word where any term will do.
 COVER_WEIGHT = 0.1
-#: Rows of a table of terms up to which it is broadcast; larger ones are joined by sorted shuffles.
-MOST_TERMS = 1 << 18
 
 
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
 
 
-def counted(df: DataFrame, most: int = MOST_TERMS) -> DataFrame:
-    """A written table for the small side of a join: broadcast if its counted rows are within the bound, else sorted."""
-    kept = checkpointed(df)
-    return F.broadcast(kept) if kept.count() <= most else kept.hint("merge")
-
-
 def question_terms(questions: DataFrame) -> DataFrame:
     """(qid, term): all words of a question that are no stop words, each once."""
     return questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).where(~F.col("term").isin(INDEX_STOP))

@@ -9,12 +9,22 @@ from ..operators import graph as G
 from ..registry import query
 from ..session import checkpointed
 
-#: Names to look for in texts: pairs of neighbouring words at the start of benchmark passages, and single words of theirs.
-ADAPTERS["mined_names"] = """
-    SELECT DISTINCT lower(concat(split_part(text, ' ', 2), ' ', split_part(text, ' ', 3))) AS name FROM benchmark
-    UNION SELECT DISTINCT lower(split_part(text, ' ', 5)) AS name FROM benchmark"""
-_MINE = r"""hits AS (SELECT d.doc_id AS id, name FROM documents d JOIN mined_names ON length(name) >= 6 AND NOT regexp_full_match(name, '[0-9]+')
- AND regexp_matches(lower(text), '(^|[^a-z0-9])' || regexp_replace(name, '([.*+?^$|()\[\]{}\\])', '\\\1', 'g') || '($|[^a-z0-9])'))"""
+#: Papers with all fields that names are looked for in.
+ADAPTERS["mined_papers"] = """
+    SELECT doc_id AS id, source AS name, CASE WHEN doc_id % 4 > 0 THEN lang ELSE '' END AS main_claim, text AS abstract, CASE WHEN doc_id % 3 = 0 THEN concat('hahahe|', lang) END AS compound_class, CASE WHEN doc_id % 5 = 0 THEN 'theron|estion' ELSE '' END AS sensory FROM documents"""
+_MINE = r"""words AS (SELECT word, lead(word) OVER (PARTITION BY item_id ORDER BY i) AS next FROM (SELECT item_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i FROM benchmark)),
+mined_names AS (SELECT DISTINCT trim(lower(word)) AS name FROM words UNION SELECT DISTINCT trim(lower(word || ' ' || next)) FROM words WHERE next IS NOT NULL),
+blobs AS (SELECT id, lower(concat_ws(' ', nullif(name, ''), nullif(main_claim, ''), nullif(abstract, ''), nullif(replace(compound_class, '|', ' '), ''), nullif(replace(sensory, '|', ' '), ''))) AS text FROM mined_papers),
+hits AS (SELECT id, name FROM blobs JOIN mined_names ON length(name) >= 6 AND NOT regexp_full_match(name, '[0-9]+') AND contains(text, name)
+ AND CASE WHEN contains(text, name) THEN regexp_matches(text, '(^|[^a-z0-9])' || regexp_replace(name, '([.*+?^$|()\[\]{}\\])', '\\\1', 'g') || '($|[^a-z0-9])') ELSE false END)"""
+
+
+def names_of(benchmark):
+    """All words of all passages, and all pairs of neighbours."""
+    words = F.split("text", " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
+    every = F.concat(words, F.when(F.size(words) > 1, pairs).otherwise(F.array().cast("array<string>")))
+    return benchmark.select(F.explode(every).alias("name")).select(F.lower("name").alias("name")).distinct()
 
 
 def mine_docs(documents):
@@ -47,15 +57,17 @@ def d1b(molecules):
     return G.minable_report(molecules)
 
 
-@query("d2_mine_mentions", "documents mined_names")
-def d2(documents, names):
-    return G.mine_mentions(mine_docs(documents), names.where(F.length("name") >= 5))
+@query("d2_mine_mentions", "documents benchmark")
+def d2(documents, benchmark):
+    return G.mine_mentions(mine_docs(documents), names_of(benchmark).where(F.length("name") >= 5))
 
 
-@query("d3_mine_mentions_simple", "documents mined_names", f", {_MINE} SELECT DISTINCT id, name FROM hits WHERE NOT (id % 5 = 0 AND length(name) % 2 = 0)")
-def d3(documents, names):
-    curated = G.mention_candidates(mine_docs(documents), names).where("id % 5 = 0 AND length(name) % 2 = 0")
-    return G.mine_mentions_simple(mine_docs(documents), names, curated)
+@query("d3_mine_mentions_simple", "mined_papers benchmark", f", {_MINE} SELECT DISTINCT id, name FROM hits WHERE NOT (id % 5 = 0 AND length(name) % 2 = 0)")
+def d3(papers, benchmark):
+    names = names_of(benchmark)
+    texts = G.searched_text(papers.withColumns({c: F.split(c, r"\|") for c in ("compound_class", "sensory")}))
+    curated = G.mine_mentions_simple(texts.where("id % 5 = 0"), names.where("length(trim(name)) % 2 = 0"))
+    return G.mine_mentions_simple(texts, names, curated)
 
 
 @query("d4_bridge_edges", "paper_molecules lineitem", """, cur AS (SELECT DISTINCT l_orderkey AS source_id, l_partkey + l_linenumber % 2 AS molecule_id FROM lineitem), mined AS (SELECT * FROM paper_molecules)
@@ -146,15 +158,18 @@ def d11(smells, about, mentions, molecules):
 
 
 def words_of(benchmark):
-    """Questions: benchmark passages; labels: words that begin documents."""
+    """Questions: benchmark passages."""
     return benchmark.select(F.col("item_id").alias("qid"), "text")
 
 
 def doc_labels(documents):
-    return documents.select((F.col("doc_id") % 100).alias("id"), F.regexp_extract(F.lower("text"), "[a-z]+", 0).alias("label")).distinct()
+    """Labels of the odours: names made of the first word, and of the first two words, of each document."""
+    id_, text = (F.col("doc_id") % 100).alias("id"), F.lower("text")
+    one = documents.select(id_, F.regexp_extract(text, "[a-z]+", 0).alias("label"))
+    return one.union(documents.select(id_, F.regexp_extract(text, "^[a-z]+ [a-z]+", 0))).distinct()
 
 
-_EN = r"""labs AS (SELECT DISTINCT doc_id % 100 AS id, regexp_extract(lower(text), '[a-z]+') AS label FROM documents), en AS (SELECT DISTINCT item_id AS qid, id FROM benchmark JOIN labs ON length(label) >= 4 AND regexp_matches(lower(text), '(^|[^a-z])' || label || 's?([^a-z]|$)'))"""
+_EN = r"""labs AS (SELECT DISTINCT doc_id % 100 AS id, regexp_extract(lower(text), '[a-z]+') AS label FROM documents UNION SELECT DISTINCT doc_id % 100, regexp_extract(lower(text), '^[a-z]+ [a-z]+') FROM documents), en AS (SELECT DISTINCT item_id AS qid, id FROM benchmark JOIN labs ON length(label) >= 4 AND regexp_matches(lower(text), '(^|[^a-z])' || label || 's?([^a-z]|$)'))"""
 _SD = f"{_EN}, seeds AS (SELECT qid, molecule_id, hits FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY hits DESC, molecule_id) AS k FROM (SELECT qid, molecule_id, count(DISTINCT id) AS hits FROM en JOIN molecule_odours ON odour_id = id GROUP BY 1, 2)) WHERE k <= 15)"
 _EX = f"{_SD}, {_SIM}, bi AS (SELECT a AS m, b AS o, jaccard FROM sim UNION ALL SELECT b, a, jaccard FROM sim), ex AS (SELECT qid, o AS molecule_id, round(sum(jaccard), 6) AS score FROM seeds JOIN bi ON m = molecule_id ANTI JOIN (SELECT qid, molecule_id AS o FROM seeds) s USING (qid, o) GROUP BY 1, 2), ext AS (SELECT qid, molecule_id, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, molecule_id) AS k FROM ex) WHERE k <= 12)"
 _RK = f"{_EX}, fd AS (SELECT qid, molecule_id FROM seeds UNION SELECT qid, molecule_id FROM ext), cv AS (SELECT qid, source_id, count(DISTINCT molecule_id) AS coverage FROM fd JOIN paper_molecules USING (molecule_id) GROUP BY 1, 2), rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, coverage DESC, source_id DESC) AS nth FROM (SELECT qid, source_id, coverage, relevance, round(coverage * (0.5::DOUBLE + relevance / 100), 4) AS score FROM cv JOIN kg_papers ON id = source_id))"

@@ -79,15 +79,35 @@ def a6(papers):
     return S.flatten_publications(papers.select(record.alias("j")), "j", "given")
 
 
-@query("a7_ingest_new", "papers", """, b AS (SELECT id AS pos, CASE WHEN id % 6 = 0 THEN NULL ELSE concat('d', id % 400) END AS doi, CASE WHEN id % 5 = 0 THEN NULL ELSE concat('e', id % 700) END AS external_id FROM papers), x AS (SELECT * FROM b WHERE pos % 9 = 0),
-n AS (SELECT * FROM b WHERE (doi IS NULL OR doi NOT IN (SELECT doi FROM x WHERE doi IS NOT NULL)) AND (external_id IS NULL OR external_id NOT IN (SELECT external_id FROM x WHERE external_id IS NOT NULL))),
-d AS (SELECT * FROM n WHERE doi IS NULL OR pos = (SELECT min(pos) FROM n m WHERE m.doi = n.doi)) SELECT * FROM d WHERE external_id IS NULL OR pos = (SELECT min(pos) FROM d m WHERE m.external_id = d.external_id)""")
-def a7(papers):
+#: The batch in order: each row stands unless one of its keys is known or was taken by a row that stands.
+_A7 = """, b AS (SELECT id AS pos, search_query, CASE WHEN id % 6 = 0 THEN NULL WHEN id % 6 = 1 THEN '' ELSE concat('d', id * 3 % 400) END AS doi, CASE WHEN id % 5 = 0 THEN NULL ELSE concat('e', id % 700) END AS external_id FROM papers), x AS (SELECT * FROM b WHERE pos % 9 = 0),
+n AS (SELECT *, row_number() OVER (ORDER BY pos) AS i, list_filter([CASE WHEN doi <> '' THEN 'doi:' || doi END, CASE WHEN external_id <> '' THEN 'ext:' || external_id END], lambda k: k IS NOT NULL) AS ks FROM b),
+k AS (SELECT list(k) AS known FROM (SELECT 'doi:' || doi AS k FROM x WHERE doi <> '' UNION SELECT 'ext:' || external_id FROM x WHERE external_id <> '')),
+g AS (SELECT 0::BIGINT AS i, known AS seen, NULL::BIGINT AS stands FROM k UNION ALL SELECT n.i, CASE WHEN list_has_any(seen, ks) THEN seen ELSE list_concat(seen, ks) END, CASE WHEN NOT list_has_any(seen, ks) THEN pos END FROM g JOIN n ON n.i = g.i + 1)"""
+
+
+def batch_of(papers):
     k = F.col("id")
-    batch = papers.select(k.alias("pos"), F.when(k % 6 > 0, F.concat(F.lit("d"), k % 400)).alias("doi"), F.when(k % 5 > 0, F.concat(F.lit("e"), k % 700)).alias("external_id"))
+    return papers.select(k.alias("pos"), "search_query", F.when(k % 6 == 1, "").when(k % 6 > 0, F.concat(F.lit("d"), k * 3 % 400)).alias("doi"), F.when(k % 5 > 0, F.concat(F.lit("e"), k % 700)).alias("external_id"))
+
+
+def ingested(papers):
+    batch = batch_of(papers)
     return S.ingest_new(batch, batch.where("pos % 9 = 0"), ["doi", "external_id"])
 
 
+@query("a7_topic_links", "papers topics", f"{_A7} SELECT pos, t.id AS topic_id FROM g JOIN b ON pos = stands JOIN topics t ON t.id % 4 = CASE search_query WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END")
+def a7b(papers, topics):
+    langs = papers.select("search_query").distinct().withColumn("slot", F.when(F.col("search_query") == "en", 0).when(F.col("search_query") == "de", 1).when(F.col("search_query") == "fr", 2).otherwise(3))
+    queries = langs.join(F.broadcast(topics.select(F.col("id").alias("topic_id"))), F.col("topic_id") % 4 == F.col("slot")).select("search_query", "topic_id")
+    return S.topic_links(ingested(papers), queries)
+
+
+@query("a7_ingest_new", "papers", f"{_A7} SELECT b.* FROM b JOIN g ON stands = pos")
+def a7(papers):
+    return ingested(papers)
+
+
 @query("a9_extract_body", "pages")
 def a9(pages):
     return S.extract_body(pages)

@@ -5,6 +5,10 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table of keys up to which it is broadcast; larger ones are joined by sorted shuffles.
+MOST_BROADCAST = 1 << 18
 
 
 def session(app: str = "lumenary", master: str | None = None, **conf: str) -> SparkSession:
@@ -35,3 +39,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def counted(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """A written table of short keys for the small side of a join: broadcast if its counted rows are within the bound, else sorted."""
+    kept = checkpointed(df)
+    return F.broadcast(kept) if kept.count() <= most else kept.hint("merge")

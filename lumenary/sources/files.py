@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import checkpointed
+
 #: Canonical order of priorities.
 PRIORITIES = ["HIGH", "MED", "LOW"]
 UNKNOWN_BRANCH = 99
@@ -78,15 +80,37 @@ def flatten_publications(df: DataFrame, col: str, provider: str) -> DataFrame:
 
 
 def ingest_new(batch: DataFrame, existing: DataFrame, keys: list[str], order: str = "pos") -> DataFrame:
-    """Rows whose keys are neither known nor on an earlier row of the batch; null keys never match."""
-    out = batch
-    for k in keys:
-        known = existing.select(F.col(k)).where(F.col(k).isNotNull()).distinct()
-        out = out.join(known, k, "left_anti")
+    """Rows of which no key is known or on an earlier row that stands; rows come in turn of `order`, which is unique. Null and empty keys never match.
+
+    A row that falls takes none of its keys with it. Decided in rounds over keys and order alone: a row that is the first of
+    the open ones in all its keys stands, those that share a key with it fall, the rest stays open. The first open row always
+    stands, so the rounds end; chains of rows that block each other in turn make them many, not the number of rows.
+    """
+    blank = lambda k: F.nullif(F.col(k).cast("string"), F.lit("")).alias(k)
+    open_ = batch.select(order, *[blank(k) for k in keys])
     for k in keys:
-        first = out.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"first_{k}"))
-        out = out.join(first, k, "left").where(F.col(k).isNull() | (F.col(order) == F.col(f"first_{k}"))).drop(f"first_{k}")
-    return out
+        open_ = open_.join(existing.select(blank(k)).where(F.col(k).isNotNull()).distinct().hint("merge"), k, "left_anti")
+    open_, stands = checkpointed(open_), []
+    while not open_.isEmpty():
+        marked = open_
+        for k in keys:
+            first = checkpointed(open_.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"first_{k}")))
+            marked = marked.join(first.hint("merge"), k, "left")
+        leads = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"first_{k}") == F.col(order), F.lit(True)) for k in keys])
+        marked = checkpointed(marked.select(order, *keys, leads.alias("leads")))
+        now, rest = marked.where("leads").drop("leads"), marked.where("NOT leads").drop("leads")
+        for k in keys:
+            rest = rest.join(now.select(k).where(F.col(k).isNotNull()).hint("merge"), k, "left_anti")
+        stands.append(now.select(order))
+        open_ = checkpointed(rest)
+    if not stands:
+        return batch.limit(0)
+    return batch.join(reduce(DataFrame.unionByName, stands).hint("merge"), order, "left_semi")
+
+
+def topic_links(rows: DataFrame, queries: DataFrame, key: str = "pos") -> DataFrame:
+    """(key, topic_id): the topics of the search query that brought each row; queries: search_query, topic_id."""
+    return rows.select(key, "search_query").join(queries.select("search_query", "topic_id").distinct().hint("merge"), "search_query").select(key, "topic_id").distinct()
 
 
 def read_graph_xml(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -65,12 +65,11 @@ def test_exports(spark, tmp_path):
 
 
 def test_mentions_longest_first(spark):
-    from lumenary.operators.graph import claim_spans, mine_mentions
+    from lumenary.operators.graph import mine_mentions
 
     names = ["2-methyl furan", "furan", "methyl", "hexanal"]
     text = "2 methylfurans and furan; hexanals, xhexanal methyl-x"
     want = {("2-methyl furan", 0, 14), ("furan", 19, 24), ("hexanal", 26, 34), ("methyl", 45, 51)}
-    assert set(claim_spans(text, names)) == want
     docs = spark.createDataFrame([(1, text.upper()), (2, None), (3, "nothing")], "id long, text string")
     got = mine_mentions(docs, spark.createDataFrame([(n,) for n in names], "name string")).collect()
     assert {(r.name, r.start, r.end) for r in got} == want and {r.id for r in got} == {1}
@@ -86,20 +85,26 @@ def test_norm_synonym(spark):
 
 
 def test_pack_evidence(spark):
+    """Each source of an item takes its content while it fits; an item over what is left ends the packing, one that no longer fits its next source does not."""
     from lumenary.operators.retrieval import pack_evidence
 
     rng = random.Random(1)
-    rows = [(q, p, rng.randrange(9), "x" * rng.randrange(0, 60)) for q in range(20) for p in range(12)]
-    got = sorted(tuple(r) for r in pack_evidence(spark.createDataFrame(rows, "qid long, pos int, source_id long, content string"), 150, 40).collect())
-    want = []
-    for q in range(20):
-        left = 150
-        for r in sorted((r for r in rows if r[0] == q), key=lambda r: (r[1], r[2])):
-            if len(r[3][:40]) > left:
-                break
-            left -= len(r[3][:40])
-            want.append((*r[:3], r[3][:40]))
-    assert got == sorted(want)
+    rows = [(q, p, [rng.randrange(9) for _ in range(rng.randrange(4))], "x" * rng.randrange(0, 60)) for q in range(20) for p in range(12)] + [(50, 0, [1, 2], "y" * 30), (50, 1, [3], "z" * 9), (50, 2, [4], "w" * 12), (50, 3, [5], "")]
+    for budget in (150, 40):
+        want = []
+        for q in {r[0] for r in rows}:
+            left = budget
+            for _, p, sources, text in sorted(r for r in rows if r[0] == q):
+                content = text[:40]
+                if len(content) > left:
+                    break
+                for s in sources:
+                    if len(content) <= left:
+                        want.append((q, p, s, content))
+                        left -= len(content)
+        got = pack_evidence(spark.createDataFrame(rows, "qid long, pos int, source_ids array<long>, content string").repartition(3), budget, 40)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert (50, 1, 3, "z" * 9) in want and (50, 0, 2, "y" * 30) not in want and (50, 2, 4, "w" * 12) not in want
 
 
 def test_turns_against_the_fold(spark):
