@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..adapters import ADAPTERS
-from ..registry import QUERIES, query
+from ..adapters import ADAPTERS, oracle
+from ..registry import ORACLES, QUERIES, query
 from ..sources.streams import run_stream
+from ..streaming import state as K
 from ..streaming import telemetry as J
 
 NOW = "TIMESTAMP '2024-01-20 00:00:00'"
@@ -14,23 +15,30 @@ ADAPTERS["feedback"] = """
     SELECT event_id AS id, user_id AS session_id, ts AS created_at, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN concat('text ', CAST(event_id AS STRING)) END AS text,
            CAST(event_id % 5 + 1 AS INT) AS rating, event_type AS category FROM events WHERE event_type IN ('click', 'error')"""
 ADAPTERS["repeats"] = "SELECT CAST(floor(event_id / 3) AS BIGINT) AS event_id, user_id AS session_id, ts AS created_at, event_type AS name FROM events"
-ADAPTERS["withdrawals"] = "SELECT user_id AS session_id, min(ts) AS withdrawn_at FROM events WHERE event_type = 'error' AND value > 40 GROUP BY 1"
+ADAPTERS["withdrawals"] = "SELECT user_id AS session_id, min(ts) AS withdrawn_at FROM events WHERE event_type = 'error' AND value > 40 AND user_id % 3 = 0 GROUP BY 1"
 ADAPTERS["revisions"] = """
     SELECT concat('t', CAST(user_id % 400 AS STRING)) AS turn_id, CASE WHEN event_id % 6 = 0 THEN 'another' ELSE 'one' END AS session_id, event_id AS arrival, event_id % 5 AS revision,
            CASE WHEN event_id % 4 = 0 THEN 'completed' WHEN event_id % 11 = 0 THEN 'failed' ELSE 'submitted' END AS status, props AS content FROM events"""
 ADAPTERS["consents"] = "SELECT user_id AS session_id, ts AS created_at, concat('v', CAST(event_id % 3 AS STRING)) AS consent_version, CASE WHEN event_id % 7 = 0 THEN concat('r', CAST(user_id % 2 + event_id % 2 AS STRING)) END AS ref FROM events"
 ADAPTERS["attempts"] = "SELECT event_id AS attempt_id, ts AS tried_at, user_id % 20 AS project, CAST(event_id % 3 AS INT) + 1 AS n, CAST(event_id % 4 AS INT) AS span, event_id % 5 = 0 AS failed FROM events"
-_BAD = "CASE WHEN event_id % 50 = 1 THEN 'odd' ELSE name END AS name, CASE WHEN event_id % 70 = 2 THEN NULL ELSE scene END AS scene, CASE WHEN event_id % 90 = 3 THEN 700000 ELSE duration_ms END AS duration_ms"
-
-
-def spoiled(t):
-    e = F.col("event_id")
-    return t.withColumns({"name": F.when(e % 50 == 1, "odd").otherwise(F.col("name")), "scene": F.when(e % 70 != 2, F.col("scene")), "duration_ms": F.when(e % 90 == 3, F.lit(700000).cast("long")).otherwise(F.col("duration_ms"))})
-
-
-@query("j1_validate_events", "telemetry", f""", s AS (SELECT event_id, session_id, created_at, {_BAD} FROM telemetry) SELECT event_id, CASE WHEN event_id IS NULL OR session_id IS NULL THEN 'missing id' WHEN name = 'odd' THEN 'name' WHEN scene IS NULL THEN 'scene' WHEN duration_ms NOT BETWEEN 0 AND 600000 THEN 'duration' WHEN duration_ms IS NOT NULL AND name <> 'oracle.completed' THEN 'unexpected duration' END AS reason FROM s""")
-def j1(telemetry):
-    return J.validate_events(spoiled(telemetry)).select("event_id", "reason")
+#: Intake as it arrives: ids made version-4-like from hashes, and each rule broken by some rows.
+_ID = "concat(substr({h}, 1, 8), '-', substr({h}, 9, 4), '-{v}', substr({h}, 14, 3), '-{n}', substr({h}, 18, 3), '-', substr({h}, 21, 12))"
+_own = lambda c, v=4, n="a": _ID.format(h=f"md5(CAST({c} AS STRING))", v=v, n=n)
+ADAPTERS["intake"] = f"""
+    SELECT event_id AS row_id, event_id % 41 <> 1 AS consent, CASE event_id % 7 WHEN 0 THEN '2026-10-29-chat-v1' WHEN 1 THEN '2026-10-29-demo-v1' WHEN 2 THEN CASE WHEN event_id % 3 = 0 THEN 'old' ELSE '2026-10-29-journey-v1' END ELSE '2026-10-29-journey-v1' END AS consent_version,
+           CASE WHEN user_id % 23 = 5 THEN {_own("user_id", 1)} WHEN user_id % 29 = 6 THEN upper({_own("user_id")}) ELSE {_own("user_id")} END AS session_id,
+           CASE WHEN event_id % 53 = 2 THEN NULL WHEN event_id % 59 = 3 THEN {_own("event_id", 4, "c")} WHEN event_id % 61 = 4 THEN 'x' ELSE {_own("event_id")} END AS event_id,
+           CASE WHEN event_id % 37 = 7 THEN 'odd' WHEN event_id % 43 = 8 THEN NULL WHEN event_type = 'click' THEN 'module.clicked' WHEN event_type = 'view' THEN 'scene.viewed' WHEN event_type = 'signup' THEN 'session.started' WHEN event_type = 'purchase' THEN 'oracle.completed' WHEN event_id % 2 = 0 THEN 'oracle.failed' ELSE 'feedback.submitted' END AS name,
+           CASE event_id % 14 WHEN 0 THEN 'oracle' WHEN 1 THEN 'research' WHEN 2 THEN 'science' WHEN 3 THEN 'ecosystem' WHEN 4 THEN 'simulate' WHEN 5 THEN 'analytics' WHEN 6 THEN 'database' WHEN 7 THEN 'map' WHEN 8 THEN 'papers' WHEN 9 THEN 'dev' WHEN 10 THEN 'inventory' WHEN 11 THEN 'other' WHEN 12 THEN 'inventory' ELSE 'nowhere' END AS scene,
+           CASE event_id % 31 WHEN 0 THEN 86400001 WHEN 1 THEN 86400000 WHEN 2 THEN 0 WHEN 3 THEN -1 END AS elapsed_ms, CASE event_id % 47 WHEN 0 THEN 3600001 WHEN 1 THEN 3600000 WHEN 2 THEN -1 WHEN 3 THEN 700000 END AS duration_ms,
+           CASE event_id % 67 WHEN 0 THEN 1001 WHEN 1 THEN 1000 END AS source_count, CASE event_id % 11 WHEN 0 THEN 'network' WHEN 1 THEN CASE WHEN event_id % 2 = 0 THEN 'odd' ELSE 'unknown' END END AS error_code FROM events"""
+
+
+@query("j1_validate_events", "intake", r"""SELECT row_id, CASE WHEN NOT consent OR consent_version = 'old' THEN 'consent' WHEN NOT regexp_matches(lower(session_id), '^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$') THEN 'session id' WHEN event_id IS NULL OR name IS NULL THEN 'missing'
+ WHEN (elapsed_ms IS NOT NULL OR name = 'module.clicked') AND consent_version = '2026-10-29-chat-v1' THEN 'journey consent' WHEN duration_ms < 0 OR duration_ms > 3600000 THEN 'duration' WHEN source_count > 1000 THEN 'source count' WHEN error_code = 'odd' THEN 'error code'
+ WHEN NOT regexp_matches(lower(event_id), '^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$') THEN 'event id' WHEN name = 'odd' THEN 'name' WHEN scene = 'nowhere' THEN 'scene' WHEN elapsed_ms < 0 OR elapsed_ms > 86400000 THEN 'elapsed time' END AS reason FROM intake""")
+def j1(intake):
+    return J.validate_events(intake).select("row_id", "reason")
 
 
 @query("j2_dedupe_events", "repeats", "SELECT event_id, session_id, created_at, name FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY created_at, session_id, name) AS k FROM repeats) WHERE k = 1")
@@ -158,18 +166,18 @@ def j18c(telemetry):
     return J.windowed_activity(telemetry, "session")
 
 
-def _stream_query(name: str, build, mode: str, finish=None, sql_of: str | None = None) -> None:
+def _stream_query(name: str, build, mode: str, finish=None, sql_of: str | None = None, sql: tuple[str, str] | None = None, settings=None) -> None:
     """A query that runs a stream over the events table to its end and returns what the sink holds."""
     def run(spark, sf_dir):
-        out = run_stream(spark, f"{sf_dir}/events.parquet", lambda s: build(spark, s), mode)
+        out = run_stream(spark, f"{sf_dir}/events.parquet", lambda s: build(spark, s), mode, settings=settings)
         return finish(out) if finish else out
 
     run.__name__ = name
     QUERIES[name] = run
     if sql_of:
-        from ..registry import ORACLES
-
         ORACLES[name] = ORACLES[sql_of]
+    if sql:
+        ORACLES[name] = oracle(tuple(sql[0].split()), sql[1])
 
 
 def _telemetry(stream):
@@ -181,3 +189,46 @@ _stream_query("j2_dedupe_stream", lambda spark, s: J.dedupe_stream(_telemetry(s)
 _stream_query("j18_tumbling_stream", lambda spark, s: J.windowed_activity(_telemetry(s), delay="1 hour"), "update", lambda df: df.groupBy("name", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end")).agg(F.max("n").alias("n")), "j18_tumbling")
 _stream_query("j3_latest_turn_stream", lambda spark, s: J.latest_turn_stream(s.select(F.concat(F.lit("t"), (F.col("user_id") % 400).cast("string")).alias("turn_id"), F.when(F.col("event_id") % 6 == 0, "another").otherwise("one").alias("session_id"), F.col("event_id").alias("arrival"), (F.col("event_id") % 5).alias("revision"),
               F.when(F.col("event_id") % 4 == 0, "completed").when(F.col("event_id") % 11 == 0, "failed").otherwise("submitted").alias("status"), F.col("props").alias("content"))), "update")
+
+
+def _withdrawn(s):
+    """The same rows as events and, where they say so, as withdrawals: a session withdraws at its failed orders of over 40."""
+    out = s.where("event_type = 'error' AND value > 40 AND user_id % 3 = 0")
+    return out.select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("withdrawn_at"))
+
+
+def _plain(df, *columns):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
+def _consents(s):
+    e = F.col("event_id")
+    return s.select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("created_at"), F.concat(F.lit("v"), e % 3).alias("consent_version"), F.when(e % 7 == 0, F.concat(F.lit("r"), F.col("user_id") % 2 + e % 2)).alias("ref"))
+
+
+_stream_query("j5_withdrawal_stream", lambda spark, s: K.withdrawal_stream(_telemetry(s), _withdrawn(s)), "update", K.present_events,
+              sql=("telemetry withdrawals", "SELECT session_id, event_id FROM telemetry WHERE session_id NOT IN (SELECT session_id FROM withdrawals)"), settings=K.STORE)
+_stream_query("j6_session_stream", lambda spark, s: K.session_stream(_consents(s)), "update", lambda df: _plain(K.latest(df, ["session_id"]), "first_seen", "last_seen", "consented"), "j6_session_state", settings=K.STORE)
+#: A day has expired once the watermark, an hour before the latest row, has passed ten days from its end.
+_stream_query("j14_retention_stream", lambda spark, s: K.retention_stream(s.select(F.col("event_type").alias("table"), F.col("ts").cast("timestamp").alias("created_at")), 10), "update", K.retention_totals,
+              sql=("events", """SELECT event_type AS "table", count(*) FILTER (WHERE date_trunc('day', ts) + INTERVAL 11 DAY <= m) AS expired, count(*) FILTER (WHERE date_trunc('day', ts) + INTERVAL 11 DAY > m) AS kept FROM events, (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 HOUR AS m FROM events) GROUP BY 1"""), settings=K.STORE)
+
+
+def _answers(s):
+    name = F.create_map(*[F.lit(x) for x in ("signup", "session.started", "view", "scene.viewed", "click", "module.clicked", "purchase", "oracle.completed")])
+    return s.select(F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("created_at"), F.coalesce(F.try_element_at(name, F.col("event_type")), F.lit("oracle.failed")).alias("name"),
+                    F.when(F.col("event_type") == "purchase", F.floor(F.col("value") * 10).cast("long")).alias("duration_ms"))
+
+
+_DASH = """, w AS (SELECT t.*, s AS start FROM (SELECT *, unnest([time_bucket(INTERVAL 6 HOUR, created_at) - INTERVAL 18 HOUR, time_bucket(INTERVAL 6 HOUR, created_at) - INTERVAL 12 HOUR, time_bucket(INTERVAL 6 HOUR, created_at) - INTERVAL 6 HOUR, time_bucket(INTERVAL 6 HOUR, created_at)]) AS s FROM telemetry) t)
+SELECT start, start + INTERVAL 24 HOUR AS "end", count(DISTINCT session_id) AS sessions, count(*) AS events, count(*) FILTER (WHERE name = 'oracle.completed') AS completed, count(*) FILTER (WHERE name = 'oracle.failed') AS failed FROM w GROUP BY 1"""
+
+
+@query("j7_sliding_dashboard", "telemetry", _DASH)
+def j7b(telemetry):
+    return _plain(K.dashboard(telemetry.withColumn("created_at", F.col("created_at").cast("timestamp")), "24 hours", "6 hours").drop("median_ms"), "start", "end")
+
+
+#: A stream gives the windows that have ended by its last watermark.
+_stream_query("j7_dashboard_stream", lambda spark, s: K.dashboard(_answers(s), "24 hours", "6 hours", "1 hour"), "append", lambda df: _plain(df.drop("median_ms"), "start", "end"),
+              sql=("telemetry", f"""{_DASH} HAVING start + INTERVAL 24 HOUR <= (SELECT max(created_at) FROM telemetry) - INTERVAL 1 HOUR"""))

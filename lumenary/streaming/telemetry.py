@@ -3,23 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Event names, scenes and bounds that intake allows.
-NAMES = ["session.started", "scene.viewed", "module.clicked", "oracle.completed", "oracle.failed"]
-SCENES = ["oracle", "research", "map", "papers"]
-MOST_DURATION_MS = 600_000
+from .state import exact_median
+
+#: What intake allows. Names and scenes of events, codes of errors, bounds of numbers, versions of consent and those with a journey.
+NAMES = ["session.started", "scene.viewed", "module.clicked", "oracle.submitted", "oracle.completed", "oracle.failed", "feedback.submitted"]
+SCENES = ["oracle", "research", "science", "ecosystem", "simulate", "analytics", "database", "map", "papers", "dev", "inventory", "other"]
+ERROR_CODES = ["network", "model_unavailable", "session_expired", "unknown"]
+MOST_DURATION_MS, MOST_SOURCES, MOST_ELAPSED_MS = 3_600_000, 1000, 86_400_000
+JOURNEY_VERSIONS = ["2026-10-29-journey-v1", "2026-10-29-demo-v1"]
+CONSENT_VERSIONS = [*JOURNEY_VERSIONS, "2026-10-29-chat-v1"]
+UUID4 = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
 WINDOWS_MIN = [15, 60, 1440, 10080, 129600]
 TERMINAL = ["completed", "failed", "cancelled"]
 
 
-def reject_reason(durations: str = "duration_ms") -> Column:
-    """Why intake refuses an event; null if it does not. The same expression serves batches and streams."""
-    return (F.when(F.col("event_id").isNull() | F.col("session_id").isNull(), "missing id").when(~F.coalesce(F.col("name").isin(NAMES), F.lit(False)), "name").when(~F.coalesce(F.col("scene").isin(SCENES), F.lit(False)), "scene")
-            .when(F.col(durations).isNotNull() & ~F.col(durations).between(0, MOST_DURATION_MS), "duration").when(F.col(durations).isNotNull() & (F.col("name") != "oracle.completed"), "unexpected duration"))
+def reject_reason() -> Column:
+    """Why intake refuses an event; null if it does not. The same expression serves batches and streams.
+
+    Columns: consent, consent_version, session_id, event_id, name, scene, elapsed_ms, duration_ms, source_count, error_code. The
+    session is judged before the event, and of an event its journey, numbers, code, id, name, scene and elapsed time in turn.
+    """
+    known = lambda c, values: F.coalesce(F.col(c).isin(values), F.lit(False))
+    uuid4 = lambda c: F.coalesce(F.col(c).rlike(UUID4), F.lit(False))
+    beyond = lambda c, most: F.col(c).isNotNull() & ~F.col(c).between(0, most)
+    journey = F.col("elapsed_ms").isNotNull() | F.coalesce(F.col("name") == "module.clicked", F.lit(False))
+    rules = [
+        (~F.coalesce("consent", F.lit(False)) | ~known("consent_version", CONSENT_VERSIONS), "consent"), (~uuid4("session_id"), "session id"),
+        (F.col("event_id").isNull() | F.col("name").isNull() | F.col("scene").isNull(), "missing"), (journey & ~known("consent_version", JOURNEY_VERSIONS), "journey consent"),
+        (beyond("duration_ms", MOST_DURATION_MS), "duration"), (beyond("source_count", MOST_SOURCES), "source count"), (F.col("error_code").isNotNull() & ~known("error_code", ERROR_CODES), "error code"),
+        (~uuid4("event_id"), "event id"), (~known("name", NAMES), "name"), (~known("scene", SCENES), "scene"), (beyond("elapsed_ms", MOST_ELAPSED_MS), "elapsed time")]
+    return reduce(lambda out, rule: F.when(rule[0], rule[1]).otherwise(out), reversed(rules), F.lit(None).cast("string"))
 
 
 def validate_events(df: DataFrame) -> DataFrame:
@@ -117,8 +136,9 @@ def dashboard_totals(events: DataFrame, feedback: DataFrame, now: Column, minute
         raise ValueError(f"window of {minutes} minutes")
     ev, fb = events.where(in_window(now, minutes)), feedback.where(in_window(now, minutes))
     sessions = ev.select("session_id").union(fb.select("session_id")).agg(F.countDistinct("session_id").alias("sessions"))
-    one = ev.agg(F.count("*").alias("events"), F.count_if(F.col("name") == "oracle.completed").alias("completed"), F.count_if(F.col("name") == "oracle.failed").alias("failed"), F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY duration_ms) FILTER (WHERE name = 'oracle.completed')").alias("median_ms"))
-    return one.crossJoin(F.broadcast(sessions)).crossJoin(F.broadcast(fb.agg(F.count("*").alias("feedback"))))
+    one = ev.agg(F.count("*").alias("events"), F.count_if(F.col("name") == "oracle.completed").alias("completed"), F.count_if(F.col("name") == "oracle.failed").alias("failed"))
+    median = exact_median(ev.where(F.col("name") == "oracle.completed"), "duration_ms").select(F.col("median").alias("median_ms"))
+    return one.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(sessions)).crossJoin(F.broadcast(fb.agg(F.count("*").alias("feedback"))))
 
 
 def scene_counts(events: DataFrame, name: str = "scene.viewed") -> DataFrame:
