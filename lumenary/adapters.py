@@ -62,7 +62,7 @@ ADAPTERS = {
     # A curated reference library: the parts again, named apart, some under a CAS number that molecules carry too.
     "library": """
         SELECT p_partkey AS entry_no, concat(CAST(50 + p_partkey % 700 AS STRING), '-', CAST(10 + p_partkey % 90 AS STRING), '-', CAST(p_partkey % 10 AS STRING)) AS cas_number,
-               concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE ', ' END, CAST(p_partkey % 400 AS STRING)) AS compound,
+               CASE WHEN p_partkey % 97 = 0 THEN NULL WHEN p_partkey % 89 = 0 THEN '  ' ELSE concat(p_name, CASE WHEN p_partkey % 3 = 0 THEN ' ' ELSE ', ' END, CAST(p_partkey % 400 AS STRING)) END AS compound,
                CASE WHEN p_size % 4 = 0 THEN 'Maillard' WHEN p_size % 4 = 1 THEN 'Lipid oxidation' WHEN p_size % 4 = 2 THEN 'Both' END AS likely_process,
                p_type AS chemical_group, p_brand AS subgroup, CASE WHEN p_size % 5 = 0 THEN 'roasted, fatty' WHEN p_size % 5 = 1 THEN 'green, sweet' ELSE 'meaty' END AS odor_descriptor,
                CASE WHEN p_size % 4 = 0 THEN '0.5' WHEN p_size % 4 = 1 THEN '1-3, in water' WHEN p_size % 4 = 2 THEN '<2, in oil' END AS odor_threshold,

@@ -192,12 +192,33 @@ def latest_audit(audits: DataFrame) -> DataFrame:
     return audits.groupBy("source_id").agg(F.max_by(F.struct("audit_id", "verdict", "audited_at"), F.struct("audited_at", "audit_id")).alias("a")).select("source_id", "a.*")
 
 
+#: Buckets of a score, each up to the next.
+SCORE_BUCKETS = [(">=80", 80, 1000), ("60-79", 60, 80), ("40-59", 40, 60), ("<40", 0, 40)]
+
+
 def relevance_summary(reconciled: DataFrame) -> DataFrame:
+    """Counts by signal, reconciliation and action together."""
     return reconciled.groupBy("signal", "reconciliation", "action").agg(F.count("*").alias("n"))
 
 
+def relevance_report(reconciled: DataFrame) -> DataFrame:
+    """(section, key, n): papers, citable, tagged and untagged ones; relevance and priority by bucket; signals, reconciliations, actions; papers by branch.
+
+    reconciled: abstract, tagged, relevance_llm, priority_score, signal, reconciliation, action, branches (an array of
+    distinct names). A paper is one row of each section that it belongs to, counted in one aggregation.
+    """
+    tell = lambda section, key: F.struct(F.lit(section).alias("section"), key.alias("key"))
+    total = [tell("papers", F.lit("all")), F.when(F.coalesce(F.trim("abstract") != "", F.lit(False)), tell("papers", F.lit("citable"))), tell("papers", F.when(F.coalesce("tagged", F.lit(False)), "tagged").otherwise("untagged"))]
+    score = [tell(section, F.coalesce(*[F.when((F.col(c) >= low) & (F.col(c) < high), name) for name, low, high in SCORE_BUCKETS])) for section, c in (("relevance", "relevance_llm"), ("priority", "priority_score"))]
+    kinds = [tell(c, F.col(c)) for c in ("signal", "reconciliation", "action")]
+    branches = F.transform(F.coalesce("branches", F.array().cast("array<string>")), lambda b: tell("branch", b))
+    rows = reconciled.select(F.explode(F.concat(F.array(*total, *score, *kinds), branches)).alias("x")).select("x.*").where(F.col("key").isNotNull())
+    return rows.groupBy("section", "key").agg(F.count("*").alias("n"))
+
+
 def query_quality(reconciled: DataFrame, least: int = 5, top: int = 15) -> DataFrame:
-    out = reconciled.groupBy("search_query").agg(F.count("*").alias("total"), F.count_if(F.col("signal") == "off-topic").alias("off_topic")).where(F.col("total") >= least)
+    """Queries by how many of their papers are to be looked at as off topic, by the recommended action; a missing query is `(none)`."""
+    out = reconciled.groupBy(F.coalesce(F.nullif("search_query", F.lit("")), F.lit("(none)")).alias("search_query")).agg(F.count("*").alias("total"), F.count_if(F.col("action").isin("off_topic_high_confidence", "off_topic_check_first")).alias("off_topic")).where(F.col("total") >= least)
     return out.withColumn("off_share", F.round(F.col("off_topic") * 100.0 / F.col("total"), 1)).orderBy(F.desc("off_topic"), "search_query").limit(top)
 
 

@@ -44,22 +44,31 @@ ACCENTS = ("ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓ
 TITLES, REMARKS = r"(?i)^(prof\.?\s*)?(dr\.?\s*)?", r"\s*\(.*\)$"
 
 
-def norm_synonym(text: str | None) -> str | None:
-    """NFKC, no outer quotes, single blanks, case folded; None if nothing is left."""
+#: Quotes that may stand around a name.
+QUOTES = "\"'`“”‘’«»"
+
+
+def display_name(text: str | None) -> str:
+    """NFKC, no blanks or quotes at either end, single blanks within; empty if nothing is left."""
     if text is None:
-        return None
-    text = re.sub(r"\s+", " ", unicodedata.normalize("NFKC", text).strip()).strip()
-    while len(text) > 1 and text[0] in "\"'“‘" and text[-1] in "\"'”’":
-        text = text[1:-1].strip()
-    return text.casefold() or None
+        return ""
+    bare = unicodedata.normalize("NFKC", text).strip().strip(QUOTES).strip()
+    return re.sub(r"\s+", " ", bare)
+
+
+def norm_synonym(text: str | None) -> str:
+    """The key of a name: as displayed, case folded."""
+    return display_name(text).casefold()
 
 
 def normalise_names(df: DataFrame, col: str = "name") -> DataFrame:
-    """`key` (normalised) and `display` (as written, blanks collapsed); a blank name has a null key."""
-    @F.pandas_udf("string")
-    def key(s: pd.Series) -> pd.Series:
-        return s.map(norm_synonym)
-    return df.withColumn("key", key(F.col(col))).withColumn("display", F.trim(F.regexp_replace(col, r"\s+", " ")))
+    """`key` (normalised) and `display` (the same in its own case); both are empty for a blank or missing name."""
+    def mapped(f):
+        @F.pandas_udf("string")
+        def run(s: pd.Series) -> pd.Series:
+            return s.map(f)
+        return run(F.col(col))
+    return df.withColumn("key", mapped(norm_synonym)).withColumn("display", mapped(display_name))
 
 
 def resolve_synonyms(names: DataFrame, candidates: DataFrame, registry: DataFrame) -> DataFrame:
@@ -112,30 +121,84 @@ def review_queue(outcomes: DataFrame) -> DataFrame:
     return outcomes.where(F.col("outcome").isin("ambiguous", "unresolved")).groupBy("outcome", "key").agg(F.count("*").alias("seen"))
 
 
-STEREO = r"(?i)^(\(?[±+-]\)?-|\(?[EZRS](,[EZRS0-9])*\)-|cis-|trans-|[dl]-|dl-|alpha-|beta-|gamma-)"
+#: Dashes that count as hyphens, what tells stereochemistry at the beginning of a name and within one, and tags in brackets.
+#: Positions (alpha-, gamma-, ortho-, N-) and iso-, sec-, tert- tell other compounds and stay.
+DASHES = "‐‑‒–—―−"
+STEREO_PREFIXES = [r"(?i)^\(\s*(?:[0-9]{0,2}[EZRS](?:\s*,\s*[0-9]{0,2}[EZRS])*|\+|-|±|\+/-|RS|SR)\s*\)-\s*", r"(?i)^(?:cis|trans|dl|rac|d|l|\(\+\)|\(-\)|\(±\)|z|e|n)\s*-\s*"]
+STEREO_INLINE = [r"\(\s*[0-9ezrs+\-±,\s]*\s*\)", r"\b(?:cis|trans|rac|racemic)\b"]
+BRACKETS = r"\[[^\]]*\]"
+MOST_PREFIXES = 4
+
+
+def clean_name(text: str | None) -> str:
+    """The displayed form with hyphens for all dashes and no full stops, commas or semicolons at the end."""
+    hyphens = unicodedata.normalize("NFKC", text or "").translate({ord(d): "-" for d in DASHES})
+    return display_name(hyphens).rstrip(".,;").strip()
+
+
+def without_stereo(name: str) -> str:
+    """A name without up to four stereo prefixes; a bracketed one is looked for first."""
+    for _ in range(MOST_PREFIXES):
+        shorter = next((s for s in (re.sub(p, "", name, count=1) for p in STEREO_PREFIXES) if s != name), name)
+        if shorter == name:
+            break
+        name = shorter
+    return name.strip()
+
+
+def match_key(name: str | None) -> str:
+    """Letters and digits of a name without stereochemistry and tags; tells whether two spellings are one name."""
+    key = without_stereo(re.sub(BRACKETS, " ", clean_name(name).lower()))
+    for pattern in STEREO_INLINE:
+        key = re.sub(pattern, " ", key)
+    return re.sub(r"[^a-z0-9]", "", key)
+
+
+def around_parenthesis(name: str | None) -> tuple[str | None, str | None]:
+    """What stands before and within the balanced parenthesis that ends a name, if both are there."""
+    text = clean_name(name)
+    opened = []
+    begin = None
+    for i, c in enumerate(text):
+        if c == "(":
+            opened.append(i)
+        elif c == ")" and opened:
+            begin = opened.pop()
+            if i < len(text) - 1:
+                begin = None
+    if not text.endswith(")") or not begin:
+        return None, None
+    head, inner = text[:begin].strip().rstrip("-,").strip(), text[begin + 1 : -1].strip()
+    return (head, inner) if head and inner else (None, None)
+
+
+#: Other spacings of a name and why they are tried.
+SPACINGS = [("tighten_commas", [(", ", ",")]), ("tighten_hyphens", [(" - ", "-"), (" -", "-"), ("- ", "-")]), ("drop_spaces", [(" ", "")])]
 
 
 def name_variants(name: str | None) -> list[tuple[str, str]]:
-    """(variant, reason) in order: as cleaned, without its last balanced parenthesis, without stereo prefixes (four at most)."""
-    base = re.sub(r"\s+", " ", (name or "").strip()).lower()
-    out: list[tuple[str, str]] = []
-
-    def add(v: str, why: str) -> None:
-        if v and v not in [x for x, _ in out]:
-            out.append((v, why))
-    add(base, "base")
-    m = re.match(r"^(.*\S)\s*\(([^()]*)\)$", base)
-    if m:
-        add(m[1].strip(), "without parenthesis")
-        add(m[2].strip(), "parenthesis")
-    bare = base
-    for _ in range(4):
-        bare = re.sub(STEREO, "", bare, count=1)
-    add(bare, "without stereo")
-    add(re.sub(r"[^a-z0-9]", "", bare), "match key")
+    """(variant, reason) in the order in which they are looked up: other spellings of a name but itself, each once whatever its case."""
+    clean = clean_name(name)
+    head, inner = around_parenthesis(clean)
+    tried = [(clean, "base_clean"), (head, "strip_parenthetical"), (inner, "parenthetical_synonym")]
+    tried += [(without_stereo(x), "strip_stereo" + tag) for x, tag in ((clean, ""), (head, "+head"), (inner, "+synonym")) if x]
+    for x in (clean, head, inner, without_stereo(clean)):
+        for why, changes in SPACINGS if x else ():
+            tried.append((reduce(lambda text, change: text.replace(*change), changes, x), why))
+    known, out = {(name or "").strip().lower()}, []
+    for variant, why in ((v.strip(), w) for v, w in tried if v):
+        if len(variant) > 1 and variant.lower() not in known:
+            known.add(variant.lower())
+            out.append((variant, why))
     return out
 
 
+def query_keys(name: str | None) -> list[str]:
+    """Match keys of a name, of what stands before and within its last parenthesis, and of these without stereo prefixes."""
+    parts = [x for x in (clean_name(name), *around_parenthesis(name)) if x]
+    return sorted({k for x in parts for k in (match_key(x), match_key(without_stereo(x))) if k})
+
+
 def name_keys(df: DataFrame) -> DataFrame:
     """(id, variant, reason, pos) of each name."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,17 +217,31 @@ def identity_ladder(names: DataFrame, candidates: DataFrame) -> DataFrame:
     return out.select("id", status.alias("status"), F.coalesce("one_rung", "many_rung").alias("rung"), F.when(F.col("one_rung").isNotNull(), F.col("one.cid")).alias("cid"))
 
 
+#: Rungs that looked a compound up by its CAS number.
+CAS_RUNGS = ["cas_lookup", "mvl_cas"]
+
+
 def verify_identity(resolved: DataFrame) -> DataFrame:
-    """Accepted if query keys and synonym keys meet, or the CAS number is listed; a listed mismatch is flagged."""
-    keys = F.arrays_overlap("query_keys", "synonym_keys")
-    listed = F.array_contains("cas_list", F.col("cas"))
-    return resolved.select("id", F.coalesce(keys | listed, F.lit(False)).alias("accepted"), F.coalesce((F.size("cas_list") > 0) & ~listed, F.lit(False)).alias("cas_mismatch"))
+    """(id, accepted, note, cas_mismatch): whether a compound's own names confirm what was looked up.
+
+    Accepted if it lists no names at all (which is noted), if a query key is among its names' keys, or if it was found by its
+    CAS number and lists that. A listed CAS number that is another one is flagged. Columns: id, cas, rung, query_keys,
+    synonym_keys, cas_list.
+    """
+    silent = F.coalesce(F.size("synonym_keys") < 1, F.lit(True))
+    named = F.coalesce(F.arrays_overlap("query_keys", "synonym_keys"), F.lit(False))
+    listed = F.coalesce(F.array_contains("cas_list", F.col("cas")), F.lit(False))
+    by_cas = listed & F.coalesce(F.col("rung").isin(CAS_RUNGS), F.lit(False))
+    note = F.when(silent, "+no_synonym_list").when(named, "").when(by_cas, "+verified_by_cas").otherwise(F.concat(F.lit("unverified:"), F.coalesce("rung", F.lit(""))))
+    return resolved.select("id", (silent | named | by_cas).alias("accepted"), note.alias("note"), (F.coalesce(F.size("cas_list") > 0, F.lit(False)) & F.col("cas").isNotNull() & ~listed).alias("cas_mismatch"))
 
 
 def identity_report(df: DataFrame) -> DataFrame:
-    """Groups of rows that share a key, with their id:name list."""
-    groups = df.groupBy("key").agg(F.count("*").alias("n"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("id", "name"))), 1, 20), lambda x: F.concat_ws(":", x["id"].cast("string"), x["name"])), "; ").alias("members"))
-    return groups.where("n > 1")
+    """Groups of rows that share a key, with the id:name list of their first 20; no task holds more of a group than that."""
+    n = df.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    first = df.select("key", "id", "name").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("id", "name"))).where("nth <= 20")
+    members = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "name"))), lambda x: F.concat_ws(":", x["id"].cast("string"), x["name"])), "; ")
+    return n.join(first.groupBy("key").agg(members.alias("members")).hint("merge"), "key")
 
 
 def chemical_class(name: Column) -> Column:
@@ -432,15 +509,19 @@ def intelligence_record(papers: DataFrame, junctions: dict[str, DataFrame]) -> D
 
 # Volatile profiles.
 
+def named_compound() -> Column:
+    return F.coalesce(F.trim("compound") != "", F.lit(False))
+
+
 def top_volatiles(library: DataFrame, processes: list[str], k: int = 12) -> DataFrame:
     """Entries by number of citations (closing brackets), then score, then name."""
     cited = F.length(F.coalesce("cooked_meats_reported", F.lit(""))) - F.length(F.replace(F.coalesce("cooked_meats_reported", F.lit("")), F.lit("]"), F.lit("")))
-    return library.where(F.col("likely_process").isin(processes)).withColumn("mentions", cited).select("entry_no", "compound", "mentions", "beef_relevance_score").orderBy(F.desc("mentions"), F.col("beef_relevance_score").desc_nulls_last(), "compound", "entry_no").limit(k)
+    return library.where(F.col("likely_process").isin(processes) & named_compound()).withColumn("mentions", cited).select("entry_no", "compound", "mentions", "beef_relevance_score").orderBy(F.desc("mentions"), F.col("beef_relevance_score").desc_nulls_last(), "compound", "entry_no").limit(k)
 
 
 def detected_aligned(library: DataFrame, molecules: DataFrame, processes: list[str]) -> DataFrame:
     names = molecules.select(F.lower("name").alias("key")).distinct().withColumn("known", F.lit(True))
-    own = library.where(F.col("likely_process").isin(processes)).withColumn("key", F.lower("compound")).join(names, "key", "left")
+    own = library.where(F.col("likely_process").isin(processes) & named_compound()).withColumn("key", F.lower("compound")).join(names.hint("merge"), "key", "left")
     return own.agg(F.count("*").alias("detected"), F.count_if("known").alias("aligned")).withColumn("test_only", F.greatest(F.lit(0), F.col("detected") - F.col("aligned")))
 
 

@@ -179,7 +179,19 @@ def f16(papers, terms, junction, topics):
     return C.relevance_summary(C.relevance_reconcile(papers, terms, junction, topics))
 
 
-@query("f17_query_quality", "papers terms paper_topics topics", f", {_REC}, q AS (SELECT search_query, count(*) AS total, count(*) FILTER (WHERE signal = 'off-topic') AS off_topic FROM rec GROUP BY 1 HAVING count(*) >= 5) SELECT *, round(off_topic * 100.0::DOUBLE / total, 1) AS off_share FROM q ORDER BY off_topic DESC, search_query LIMIT 15")
+_BUCKET = "CASE WHEN {0} >= 80 AND {0} < 1000 THEN '>=80' WHEN {0} >= 60 AND {0} < 80 THEN '60-79' WHEN {0} >= 40 AND {0} < 60 THEN '40-59' WHEN {0} >= 0 AND {0} < 40 THEN '<40' END"
+
+
+@query("f16_relevance_report", "papers terms paper_topics topics", f""", {_REC}, br AS (SELECT DISTINCT source_id AS id, root_branch FROM paper_topics j JOIN topics t ON t.id = j.topic_id), f AS (SELECT r.*, p.abstract, (r.id * 13) % 120 AS priority_score FROM rec r JOIN papers p USING (id)),
+l AS (SELECT 'papers' AS section, 'all' AS key FROM f UNION ALL SELECT 'papers', 'citable' FROM f WHERE trim(abstract) <> '' UNION ALL SELECT 'papers', CASE WHEN tagged THEN 'tagged' ELSE 'untagged' END FROM f UNION ALL SELECT 'relevance', {_BUCKET.format('relevance_llm')} FROM f UNION ALL SELECT 'priority', {_BUCKET.format('priority_score')} FROM f
+UNION ALL SELECT 'signal', signal FROM f UNION ALL SELECT 'reconciliation', reconciliation FROM f UNION ALL SELECT 'action', action FROM f UNION ALL SELECT 'branch', root_branch FROM br) SELECT section, key, count(*) AS n FROM l WHERE key IS NOT NULL GROUP BY 1, 2""")
+def f16b(papers, terms, junction, topics):
+    branches = junction.join(topics.select(F.col("id").alias("topic_id"), "root_branch").hint("merge"), "topic_id").groupBy(F.col("source_id").alias("id")).agg(F.collect_set("root_branch").alias("branches"))
+    rec = C.relevance_reconcile(papers, terms, junction, topics).join(papers.select("id", "abstract").hint("merge"), "id").join(branches.hint("merge"), "id", "left")
+    return C.relevance_report(rec.withColumn("priority_score", (F.col("id") * 13) % 120))
+
+
+@query("f17_query_quality", "papers terms paper_topics topics", f", {_REC}, q AS (SELECT coalesce(nullif(search_query, ''), '(none)') AS search_query, count(*) AS total, count(*) FILTER (WHERE action IN ('off_topic_high_confidence', 'off_topic_check_first')) AS off_topic FROM rec GROUP BY 1 HAVING count(*) >= 5) SELECT *, round(off_topic * 100.0::DOUBLE / total, 1) AS off_share FROM q ORDER BY off_topic DESC, search_query LIMIT 15")
 def f17(papers, terms, junction, topics):
     return C.query_quality(C.relevance_reconcile(papers, terms, junction, topics))
 

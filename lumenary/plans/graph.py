@@ -205,10 +205,10 @@ def d15(benchmark, documents, smells, links, papers):
     return G.rank_papers(found_of(benchmark, documents, smells), links, papers)
 
 
-@query("d16_chemistry_profile", "benchmark documents molecule_odours molecules", f""", {_SD}, w AS (SELECT DISTINCT qid, molecule_id FROM seeds), f AS (SELECT qid, 'class' AS kind, 5 AS most, category AS value FROM w JOIN molecules ON id = molecule_id UNION ALL SELECT qid, 'pathway', 3, process FROM w JOIN molecules ON id = molecule_id UNION ALL SELECT qid, 'group', 4, chem_group FROM w JOIN molecules ON id = molecule_id),
+@query("d16_chemistry_profile", "benchmark documents molecule_odours molecules", f""", {_EX}, w AS (SELECT qid, molecule_id FROM seeds UNION SELECT qid, molecule_id FROM ext), f AS (SELECT qid, 'class' AS kind, 5 AS most, category AS value FROM w JOIN molecules ON id = molecule_id UNION ALL SELECT qid, 'pathway', 3, process FROM w JOIN molecules ON id = molecule_id UNION ALL SELECT qid, 'group', 4, chem_group FROM w JOIN molecules ON id = molecule_id),
 c AS (SELECT qid, kind, most, value, count(*) AS n FROM f WHERE value IS NOT NULL GROUP BY 1,2,3,4) SELECT qid, kind, value, n FROM (SELECT *, row_number() OVER (PARTITION BY qid, kind ORDER BY n DESC, value) AS k FROM c) WHERE k <= most""")
 def d16(benchmark, documents, smells, molecules):
-    return G.chemistry_profile(seeds_of(benchmark, documents, smells), molecules)
+    return G.chemistry_profile(found_of(benchmark, documents, smells), molecules)
 
 
 @query("d17_route_overlap", "benchmark documents molecule_odours paper_molecules kg_papers", f""", {_RK}, fl AS (SELECT item_id AS qid, item_id * 11 % 5000 AS source_id FROM benchmark UNION SELECT qid, source_id FROM rk WHERE nth <= 2)

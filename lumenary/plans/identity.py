@@ -24,9 +24,15 @@ oc AS (SELECT pos, key, coalesce(known, CASE WHEN n = 1 THEN j.candidate END) AS
  WHEN pos = creator THEN 'created' WHEN pos = first_pos THEN 'attached' ELSE 'exists' END AS outcome FROM j LEFT JOIN cr ON cr.candidate = j.candidate)"""
 
 
-@query("g1_normalise_names", "molecules")
-def g1(molecules):
-    return I.normalise_names(molecules.select("id", "name"))
+#: Parts under names in quotes, with blanks in all places, and some without any name.
+ADAPTERS["quoted_names"] = """
+    SELECT p_partkey AS id, CASE p_partkey % 8 WHEN 0 THEN concat('  "', p_name, '" ') WHEN 1 THEN concat('“', upper(p_name), '»') WHEN 2 THEN replace(p_name, ' ', '   ') WHEN 3 THEN concat('`', p_name) WHEN 4 THEN '  ' WHEN 5 THEN NULL WHEN 6 THEN concat(p_name, ' ', chr(39), 'x', chr(39)) ELSE p_name END AS name FROM part"""
+_DISPLAY = r"""regexp_replace(trim(trim(trim(coalesce(name, '')), '"''`“”‘’«»')), '\s+', ' ', 'g')"""
+
+
+@query("g1_normalise_names", "quoted_names", f"SELECT id, name, lower({_DISPLAY}) AS key, {_DISPLAY} AS display FROM quoted_names")
+def g1(names):
+    return I.normalise_names(names)
 
 
 @query("g2_resolve_synonyms", "incoming candidates registry", f", {_OUT} SELECT * FROM oc")
@@ -60,9 +66,20 @@ def g6b(incoming, candidates, registry):
     return I.review_queue(I.resolve_synonyms(incoming, candidates, registry))
 
 
-@query("g7_name_keys", "library")
-def g7(library):
-    return I.name_keys(library.select(F.col("entry_no").alias("id"), F.concat(F.col("compound"), F.lit(" ("), F.col("subgroup"), F.lit(")")).alias("name")))
+#: Library compounds with a synonym in parenthesis, and what comes of such a name: fixed forms, so that SQL can tell them.
+ADAPTERS["spelled"] = """
+    SELECT p_partkey AS id, concat('part', CAST(p_partkey AS STRING), CASE p_partkey % 4 WHEN 0 THEN ', x' WHEN 1 THEN ' - y' ELSE '' END) AS head, CASE p_partkey % 3 WHEN 0 THEN '(E)-' WHEN 1 THEN 'cis-' ELSE '' END AS stereo, CASE WHEN p_partkey % 5 < 2 THEN 'gamma-nut' END AS inner_ FROM part"""
+
+
+@query("g7_name_keys", "spelled", r""", n AS (SELECT id, stereo || head AS h, head AS b, inner_ AS i, stereo || head || coalesce(' (' || inner_ || ')', '') AS name FROM spelled),
+t AS (SELECT id, name, unnest([{'k': 1, 'v': h, 'w': 'strip_parenthetical'}, {'k': 2, 'v': i, 'w': 'parenthetical_synonym'}, {'k': 3, 'v': b || coalesce(' (' || i || ')', ''), 'w': 'strip_stereo'}, {'k': 4, 'v': CASE WHEN i IS NOT NULL THEN b END, 'w': 'strip_stereo+head'},
+ {'k': 5, 'v': replace(name, ', ', ','), 'w': 'tighten_commas'}, {'k': 6, 'v': replace(name, ' - ', '-'), 'w': 'tighten_hyphens'}, {'k': 7, 'v': replace(name, ' ', ''), 'w': 'drop_spaces'},
+ {'k': 8, 'v': CASE WHEN i IS NOT NULL THEN replace(h, ', ', ',') END, 'w': 'tighten_commas'}, {'k': 9, 'v': CASE WHEN i IS NOT NULL THEN replace(h, ' - ', '-') END, 'w': 'tighten_hyphens'}, {'k': 10, 'v': CASE WHEN i IS NOT NULL THEN replace(h, ' ', '') END, 'w': 'drop_spaces'},
+ {'k': 11, 'v': replace(b || coalesce(' (' || i || ')', ''), ', ', ','), 'w': 'tighten_commas'}, {'k': 12, 'v': replace(b || coalesce(' (' || i || ')', ''), ' - ', '-'), 'w': 'tighten_hyphens'}, {'k': 13, 'v': replace(b || coalesce(' (' || i || ')', ''), ' ', ''), 'w': 'drop_spaces'}]) AS x FROM n),
+u AS (SELECT id, x.v AS variant, min_by(x.w, x.k) AS reason, min(x.k) AS k FROM t WHERE x.v IS NOT NULL AND lower(x.v) <> lower(name) GROUP BY id, x.v)
+SELECT id, variant, reason, CAST(row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS INTEGER) AS pos FROM u""")
+def g7(spelled):
+    return I.name_keys(spelled.select("id", F.concat("stereo", "head", F.coalesce(F.concat(F.lit(" ("), "inner_", F.lit(")")), F.lit(""))).alias("name")))
 
 
 @query("g8_identity_ladder", "rungs", """, r AS (SELECT id, rung, count(DISTINCT cid) AS n, min(cid) AS cid FROM rungs GROUP BY 1, 2), b AS (SELECT id, min(rung) FILTER (WHERE n = 1) AS o, min(rung) FILTER (WHERE n > 1) AS m FROM r GROUP BY 1), i AS (SELECT DISTINCT id FROM rungs UNION SELECT 100000 + min(id) FROM rungs)
@@ -72,11 +89,13 @@ def g8(rungs):
     return I.identity_ladder(ids, rungs)
 
 
-@query("g9_verify_identity", "compounds", "SELECT id, coalesce(id % 3 = 0 OR (cas IS NOT NULL AND id % 2 = 0), false) AS accepted, coalesce(id % 5 > 0 AND cas IS NOT NULL AND id % 2 = 1, false) AS cas_mismatch FROM compounds")
+@query("g9_verify_identity", "compounds", """, v AS (SELECT id, cas, id % 3 = 0 AS named, id % 7 = 1 AS silent, cas IS NOT NULL AND id % 2 = 0 AS listed, id % 4 < 2 AS by_cas, CASE WHEN id % 4 = 0 THEN 'cas_lookup' WHEN id % 4 = 1 THEN 'mvl_cas' ELSE 'name' END AS rung FROM compounds)
+SELECT id, silent OR named OR (listed AND by_cas) AS accepted, CASE WHEN silent THEN '+no_synonym_list' WHEN named THEN '' WHEN listed AND by_cas THEN '+verified_by_cas' ELSE 'unverified:' || rung END AS note, coalesce(id % 2 = 1 AND id % 5 > 0 AND cas IS NOT NULL, false) AS cas_mismatch FROM v""")
 def g9(compounds):
     s = lambda c: c.cast("string")
     k = F.col("id")
-    frame = compounds.select("id", "cas", F.array(F.lit("a"), s(k)).alias("query_keys"), F.when(k % 3 == 0, F.array(s(k))).otherwise(F.array(F.lit("z"))).alias("synonym_keys"),
+    keys = F.when(k % 7 == 1, F.when(k % 2 == 0, F.array().cast("array<string>"))).when(k % 3 == 0, F.array(s(k))).otherwise(F.array(F.lit("z")))
+    frame = compounds.select("id", "cas", F.when(k % 4 == 0, "cas_lookup").when(k % 4 == 1, "mvl_cas").otherwise("name").alias("rung"), F.array(F.lit("a"), s(k)).alias("query_keys"), keys.alias("synonym_keys"),
                              F.when(k % 2 == 0, F.array(F.coalesce("cas", F.lit("?")), F.lit("1-1-1"))).when(k % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("1-1-1"))).alias("cas_list"))
     return I.verify_identity(frame)
 
@@ -326,12 +345,12 @@ PROCESSES = ["Maillard", "Both"]
 _PR = "likely_process IN ('Maillard', 'Both')"
 
 
-@query("i1_top_volatiles", "library", f"SELECT entry_no, compound, length(coalesce(cooked_meats_reported, '')) - length(replace(coalesce(cooked_meats_reported, ''), ']', '')) AS mentions, beef_relevance_score FROM library WHERE {_PR} ORDER BY mentions DESC, beef_relevance_score DESC NULLS LAST, compound, entry_no LIMIT 12")
+@query("i1_top_volatiles", "library", f"SELECT entry_no, compound, length(coalesce(cooked_meats_reported, '')) - length(replace(coalesce(cooked_meats_reported, ''), ']', '')) AS mentions, beef_relevance_score FROM library WHERE {_PR} AND trim(compound) <> '' ORDER BY mentions DESC, beef_relevance_score DESC NULLS LAST, compound, entry_no LIMIT 12")
 def i1(library):
     return I.top_volatiles(library, PROCESSES)
 
 
-@query("i2_detected_aligned", "library compounds", f"SELECT count(*) AS detected, count(*) FILTER (WHERE lower(compound) IN (SELECT lower(name) FROM compounds)) AS aligned, greatest(0, count(*) - count(*) FILTER (WHERE lower(compound) IN (SELECT lower(name) FROM compounds))) AS test_only FROM library WHERE {_PR}")
+@query("i2_detected_aligned", "library compounds", f"SELECT count(*) AS detected, count(*) FILTER (WHERE lower(compound) IN (SELECT lower(name) FROM compounds)) AS aligned, greatest(0, count(*) - count(*) FILTER (WHERE lower(compound) IN (SELECT lower(name) FROM compounds))) AS test_only FROM library WHERE {_PR} AND trim(compound) <> ''")
 def i2(library, compounds):
     return I.detected_aligned(library, compounds, PROCESSES)
 

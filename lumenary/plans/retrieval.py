@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import ADAPTERS
 from ..operators import retrieval as R
+from ..operators import vectors as V
 from ..registry import query
 from ..session import checkpointed
 
@@ -101,6 +102,16 @@ def r6b(embeddings):
     return R.lsh_search(embeddings, embeddings.where("vec_id % 100 = 0"))
 
 
+@query("r6_inverted_file_search", "embeddings")
+def r6c(embeddings):
+    return V.inverted_search(V.build_inverted_file(embeddings), embeddings.where("vec_id % 100 = 0"))
+
+
+@query("r6_inverted_file_recall", "embeddings")
+def r6d(embeddings):
+    return V.recall_by_probes(V.build_inverted_file(embeddings), embeddings.where("vec_id % 100 = 0"))
+
+
 @query("r7_check_vector_space", "embeddings", "SELECT vec_id, 1.0::DOUBLE AS cosine, 'vector' AS mode FROM embeddings ORDER BY label, vec_id LIMIT 1")
 def r7(embeddings):
     return R.check_vector_space(embeddings.withColumn("length", F.col("label")), embeddings.withColumn("embedding", F.transform("embedding", lambda x: x * 2)))

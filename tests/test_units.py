@@ -75,13 +75,44 @@ def test_mentions_longest_first(spark):
     assert {(r.name, r.start, r.end) for r in got} == want and {r.id for r in got} == {1}
 
 
-def test_norm_synonym(spark):
-    from lumenary.operators.identity import name_variants, norm_synonym, normalise_names
-
-    assert norm_synonym("  “Hexanal” ") == "hexanal" and norm_synonym("ﬁsh  Oil") == "fish oil" and norm_synonym(" '' ") is None and norm_synonym("STRASSE") == norm_synonym("straße")
-    got = normalise_names(spark.createDataFrame([("A  b",), (None,)], "name string")).collect()
-    assert [(r.key, r.display) for r in got] == [("a b", "A b"), (None, None)]
-    assert name_variants("(E)-2-Hexenal (leaf aldehyde)")[1:3] == [("(e)-2-hexenal", "without parenthesis"), ("leaf aldehyde", "parenthesis")]
+def test_names(spark):
+    from lumenary.operators.identity import around_parenthesis, display_name, match_key, name_variants, norm_synonym, normalise_names, query_keys, without_stereo
+
+    assert norm_synonym("  “Hexanal” ") == "hexanal" and norm_synonym("ﬁsh  Oil") == "fish oil" and norm_synonym(" '' ") == "" and norm_synonym("STRASSE") == norm_synonym("straße")
+    assert norm_synonym("“Foo»") == "foo" and norm_synonym("«Foo") == "foo" and display_name(" ‘ﬁsh   Oil` ") == "fish Oil" and display_name(None) == ""
+    got = normalise_names(spark.createDataFrame([("A  b",), (None,), (" ",)], "name string")).collect()
+    assert [(r.key, r.display) for r in got] == [("a b", "A b"), ("", ""), ("", "")]
+    assert without_stereo("(E)-(Z)-cis-dl-trans-x") == "trans-x" and without_stereo("gamma-nonalactone") == "gamma-nonalactone" and without_stereo("(2E,4Z)-decadienal") == "decadienal" and without_stereo("tert-butanol") == "tert-butanol"
+    assert match_key("(E)–2–Hexenal [FG]") == match_key("trans-2-hexenal") == "2hexenal" and match_key("2,4-heptadienal, (e,e)-") == "24heptadienal" and match_key(None) == ""
+    assert around_parenthesis("3-methylindole (skatole)") == ("3-methylindole", "skatole") and around_parenthesis("2-(methylthio)furan") == (None, None)
+    assert around_parenthesis("a, (b (c))") == ("a", "b (c)") and around_parenthesis("(x)") == (None, None) and around_parenthesis("a ()") == (None, None) and around_parenthesis("a) b)") == (None, None)
+    assert name_variants("(E)-2-Hexenal (leaf aldehyde)") == [
+        ("(E)-2-Hexenal", "strip_parenthetical"), ("leaf aldehyde", "parenthetical_synonym"), ("2-Hexenal (leaf aldehyde)", "strip_stereo"), ("2-Hexenal", "strip_stereo+head"),
+        ("(E)-2-Hexenal(leafaldehyde)", "drop_spaces"), ("leafaldehyde", "drop_spaces"), ("2-Hexenal(leafaldehyde)", "drop_spaces")]
+    assert name_variants("2 - methyl, x.") == [("2 - methyl, x", "base_clean"), ("2 - methyl,x", "tighten_commas"), ("2-methyl, x", "tighten_hyphens"), ("2-methyl,x", "drop_spaces")]
+    assert name_variants(None) == [] and query_keys("cis-3-hexenol (leaf alcohol)") == ["3hexenol", "3hexenolleafalcohol", "leafalcohol"]
+
+
+def test_inverted_file(spark):
+    """On vectors in clusters a tenth of all pairs gives the stated recall; on any, what is measured is kept."""
+    import numpy as np
+    from lumenary.operators.retrieval import vector_search
+    from lumenary.operators.vectors import build_inverted_file, inverted_search, recall_by_probes
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, [float(x) for x in centres[i % 40] + rng.normal(size=16) * 0.15]) for i in range(1600)] + [(5000, [0.0] * 16), (5001, None)]
+    items = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = items.where("vec_id % 20 = 0 AND vec_id < 1600")
+    index = build_inverted_file(items)
+    table = {r.probes: r for r in recall_by_probes(index, asked).collect()}
+    probes = min(p for p, r in table.items() if r.recall >= 0.93)
+    assert table[probes].share < 0.1 and max(r.recall for r in table.values()) == 1.0 and index.items.count() == 1600
+    got = {(r.qid, r.vec_id) for r in inverted_search(index, asked).collect()}
+    want = {(r.qid, r.vec_id) for r in vector_search(items.where("vec_id < 5000"), asked).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    every = {(r.qid, r.vec_id, r.nth) for r in inverted_search(index, asked, probes=index.n_lists).collect()}
+    assert {(q, v) for q, v, _ in every} == want
 
 
 def test_pack_evidence(spark):
