@@ -124,6 +124,23 @@ def triplet_report(claims: DataFrame, kind: str) -> DataFrame:
     return out.withColumn("share", F.round(F.col("n") * 100.0 / F.sum("n").over(total), 2))
 
 
+def triplet_coverage(claims: DataFrame, molecules: DataFrame, papers: DataFrame) -> DataFrame:
+    """(measure, n, share): molecules and papers that claims cover, in per cent of their pools, and what claims tell, in per cent of claims.
+
+    claims: subject (a molecule), source_id, matrix, process, methods, value, ph, temp_c, time_min.
+    """
+    told = lambda c: F.coalesce(F.col(c).cast("string") != "", F.lit(False))
+    numeric = F.col("ph").isNotNull() | F.col("temp_c").isNotNull() | F.col("time_min").isNotNull()
+    counts = {"with_matrix": told("matrix"), "with_process": told("process"), "with_method": F.coalesce(F.size("methods") > 0, F.lit(False)), "with_value": told("value"), "with_numbers": numeric, "without_conditions": ~told("matrix") & ~told("process")}
+    one = claims.agg(F.count("*").alias("claims"), *[F.count_if(c).alias(name) for name, c in counts.items()])
+    for name, pool, c in (("molecules", molecules, "subject"), ("papers", papers, "source_id")):
+        covered = claims.select(F.col(c).alias("id")).where(F.col("id").isNotNull()).distinct().agg(F.count("*").alias(name))
+        one = one.crossJoin(F.broadcast(covered)).crossJoin(F.broadcast(pool.agg(F.count("*").alias(f"all_{name}"))))
+    of = {"molecules": "all_molecules", "papers": "all_papers"}
+    rows = [F.struct(F.lit(name).alias("measure"), F.col(name).alias("n"), F.round(F.try_divide(100.0 * F.col(name), F.col(of.get(name, "claims"))), 1).alias("share")) for name in (*of, *counts)]
+    return one.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
 CLUSTER = [*EDGE, "polarity", "bucket"]
 
 
@@ -298,8 +315,19 @@ def nearest_rank(df: DataFrame, col: str, shares: dict[str, float]) -> DataFrame
 
 
 def weight_summary(weights: DataFrame) -> DataFrame:
-    rounded = weights.withColumn("w", F.round("weight", 4))
-    return rounded.agg(F.min("w").alias("least"), F.max("w").alias("most"), F.count("*").alias("n")).crossJoin(nearest_rank(rounded, "w", {"median": 0.5, "p90": 0.9}))
+    """Least, most, median and ninth decile of the weights; ranks by the weights as they are."""
+    return weights.agg(F.min("weight").alias("least"), F.max("weight").alias("most"), F.count("*").alias("n")).crossJoin(F.broadcast(nearest_rank(weights, "weight", {"median": 0.5, "p90": 0.9})))
+
+
+def tier_mix(claims: DataFrame) -> DataFrame:
+    return claims.groupBy("evidence_tier").agg(F.count("*").alias("n"))
+
+
+def stored_difference(weights: DataFrame, stored: DataFrame, most: int = 400) -> DataFrame:
+    """One row: mean distance of the new weights from the stored ones of the first claims, and both means. stored: claim_id, pos, weight."""
+    first = stored.where(F.col("weight").isNotNull()).orderBy("pos").limit(most).select("claim_id", F.col("weight").alias("old"))
+    both = checkpointed(weights.select("claim_id", "weight")).join(F.broadcast(first), "claim_id")
+    return both.agg(F.count("*").alias("n"), F.avg(F.abs(F.col("old") - F.col("weight"))).alias("difference"), F.avg("old").alias("stored"), F.avg("weight").alias("recomputed"))
 
 
 def evidence_view(claims: DataFrame, sources: DataFrame, subjects: DataFrame) -> DataFrame:
@@ -319,11 +347,39 @@ def reported_claims(curated: DataFrame, mined: DataFrame) -> DataFrame:
     return every.groupBy("source_id", "molecule_id").agg(F.min("rank").alias("rank")).select(F.concat(F.lit("B-"), F.col("source_id"), F.lit("-"), F.col("molecule_id")).alias("claim_id"), "source_id", "molecule_id", F.when(F.col("rank") == 0, "curated").otherwise("mined").alias("provenance"))
 
 
+#: The names of pathways by the process of a library entry; another process is a pathway of its own name.
+PATHWAYS = {"Maillard": ["Maillard reaction"], "Lipid oxidation": ["Lipid oxidation"], "Both": ["Maillard reaction", "Lipid oxidation"]}
+#: Factors of a library claim, the second method factor where the entry has no odour threshold.
+LIBRARY_TIER, LIBRARY_METHOD, LIBRARY_DIRECT = 0.8, (0.8, 0.4), 1.0
+
+
 def pathway_claims(library: DataFrame, compounds: DataFrame) -> DataFrame:
-    """Class C: a compound forms along the pathway of the library entry with its CAS number; `Both` counts for two."""
-    paths = F.when(F.col("likely_process") == "Both", F.array(F.lit("Lipid oxidation"), F.lit("Maillard"))).otherwise(F.array("likely_process"))
-    joined = compounds.where(F.col("cas").isNotNull()).join(library.where(F.col("likely_process").isNotNull()), F.col("cas") == F.col("cas_number"))
-    return joined.select("id", F.explode(paths).alias("pathway")).distinct()
+    """Class C from the library: a compound forms along the pathways of each entry with its CAS number, blanks around it aside.
+
+    (claim_id, molecule_id, object, pathway, matrix, value, source_id, tier, method, directness). An entry that is listed
+    twice claims once.
+    """
+    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
+    other = F.when(F.coalesce("likely_process", F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array("likely_process"))
+    paths = reduce(lambda out, kv: F.when(F.col("likely_process") == kv[0], F.array(*map(F.lit, kv[1]))).otherwise(out), PATHWAYS.items(), other)
+    entries = library.select("entry_no", blank("cas_number").alias("cas"), F.explode(paths).alias("pathway"), F.nullif("cooked_meats_reported", F.lit("")).alias("matrix"), F.nullif("odor_threshold", F.lit("")).alias("value")).where(F.col("cas").isNotNull())
+    known = compounds.select(F.col("id").alias("molecule_id"), blank("cas").alias("cas")).where(F.col("cas").isNotNull())
+    met = checkpointed(entries).join(known.hint("merge"), "cas")
+    method = F.when(F.col("value").isNotNull(), LIBRARY_METHOD[0]).otherwise(LIBRARY_METHOD[1])
+    return met.select(
+        F.concat_ws("-", F.lit("C-mvl"), "entry_no", "molecule_id", norm_key(F.col("pathway"))).alias("claim_id"), "molecule_id", norm_key(F.col("pathway")).alias("object"), "pathway", "matrix", "value", F.lit(None).cast("long").alias("source_id"),
+        F.lit(LIBRARY_TIER).alias("tier"), method.alias("method"), F.lit(LIBRARY_DIRECT).alias("directness")).dropDuplicates(["claim_id"])
+
+
+def reported_pathways(reported: DataFrame, papers: DataFrame) -> DataFrame:
+    """Class C from papers: a molecule forms along each pathway of a paper that reports it.
+
+    reported: source_id, molecule_id (class B); papers: id, pathway (an array), study_type, methods, matrices, from which the
+    factors are derived.
+    """
+    paths = papers.select(F.col("id").alias("source_id"), F.explode(F.array_distinct(F.filter("pathway", lambda x: F.coalesce(x, F.lit("")) != ""))).alias("pathway"), evidence_tier(F.col("study_type"))[0].alias("tier"), method_strength(F.col("methods"))[0].alias("method"), directness(F.col("matrices"))[0].alias("directness"))
+    met = checkpointed(reported.select("source_id", "molecule_id").distinct()).join(checkpointed(paths).hint("merge"), "source_id")
+    return met.select(F.concat_ws("-", F.lit("C-src"), "source_id", "molecule_id", norm_key(F.col("pathway"))).alias("claim_id"), "molecule_id", norm_key(F.col("pathway")).alias("object"), "pathway", "source_id", "tier", "method", "directness").dropDuplicates(["claim_id"])
 
 
 def paper_claims(papers: DataFrame) -> DataFrame:

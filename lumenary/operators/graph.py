@@ -102,25 +102,53 @@ def bridge_edges(curated: DataFrame, mined: DataFrame) -> DataFrame:
     return own.withColumn("provenance", F.lit("curated")).unionByName(mined.select("source_id", "molecule_id").distinct().join(own, ["source_id", "molecule_id"], "left_anti").withColumn("provenance", F.lit("mined")))
 
 
+def _pairs_of(first: DataFrame, second: DataFrame, sets: DataFrame, different: Column) -> DataFrame:
+    """(a, b, inter, n_a, n_b) of pairs that share a row's attribute, from the written sets themselves."""
+    met = first.select("a", "attr").join(second.select(F.col("a").alias("b"), "attr").hint("merge"), "attr").where(different).select("a", "b").distinct()
+    both = met.join(sets.select("a", "attrs").hint("merge"), "a").join(sets.select(F.col("a").alias("b"), F.col("attrs").alias("attrs_b")).hint("merge"), "b")
+    return both.select("a", "b", F.size(F.array_intersect("attrs", "attrs_b")).cast("long").alias("inter"), F.size("attrs").cast("long").alias("n_a"), F.size("attrs_b").cast("long").alias("n_b"))
+
+
+def _similar(pairs: DataFrame, min_inter: int, min_j: float, alt: int) -> DataFrame:
+    j = F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))
+    kept = pairs.where(F.col("inter") >= min_inter).withColumn("jaccard", j).where((F.col("jaccard") >= min_j) | (F.col("inter") >= alt))
+    return kept.withColumn("jaccard", F.round("jaccard", 3)).select("a", "b", "inter", "jaccard")
+
+
 def jaccard_pairs(edges: DataFrame, item: str, attribute: str, min_inter: int = 2, min_j: float = 0.34, alt: int = 4, top: int | None = 6000, around: DataFrame | None = None) -> DataFrame:
-    """Pairs of items that share attributes: a self-join on the attribute, counted, against the full set sizes.
+    """Pairs of items that share attributes; with `top` the first by shared attributes, similarity and ids.
 
-    Both sides are written first, so the join is one of two plain sorted shuffles and Spark divides a hot attribute. With
-    `around` (a table that has the item column) only pairs with one of these items are built.
+    Each item's attributes are ordered by how many items hold them, rarest first. Two items that share t attributes share one
+    among the first n - t + 1 of each, so for a high t the common attributes bring nothing together. With `top` t falls from
+    the most that could give so many pairs: once there are enough that share t, no pair that shares less is among the first.
+    With `around` (a table that has the item column) only pairs with one of these items are built.
     """
     sized = edges.select(F.col(item).alias("a"), F.col(attribute).alias("attr")).distinct()
-    size = sized.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= 2)
-    known = checkpointed(sized.join(size, "a"))
-    one, kept = known, F.col("a") < F.col("b")
-    if around is not None:
-        one, kept = checkpointed(known.join(around.select(F.col(item).alias("a")).distinct().hint("merge"), "a", "left_semi")), F.col("a") != F.col("b")
-    other = known.select(F.col("a").alias("b"), "attr", F.col("n").alias("n_b"))
-    pairs = one.join(other.hint("merge"), "attr").where(kept).groupBy("a", "b").agg(F.count("*").alias("inter"), F.first("n").alias("n_a"), F.first("n_b").alias("n_b"))
-    j = F.col("inter") / (F.col("n_a") + F.col("n_b") - F.col("inter"))
-    out = pairs.where(F.col("inter") >= min_inter).withColumn("jaccard", j).where((F.col("jaccard") >= min_j) | (F.col("inter") >= alt)).withColumn("jaccard", F.round("jaccard", 3)).select("a", "b", "inter", "jaccard")
-    if around is not None:
-        out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "inter", "jaccard").distinct()
-    return out.orderBy(F.desc("inter"), F.desc("jaccard"), "a", "b").limit(top) if top else out
+    often = checkpointed(sized.groupBy("attr").agg(F.count("*").alias("df")))
+    sets = sized.join(often.hint("merge"), "attr").groupBy("a").agg(F.array_sort(F.collect_list(F.struct("df", "attr"))).alias("x"))
+    sets = checkpointed(sets.where(F.size("x") >= max(2, min_inter)).select("a", F.transform("x", lambda x: x["attr"]).alias("attrs")))
+    prefix = lambda df, t: checkpointed(df.where(F.size("attrs") >= t).select("a", F.explode(F.slice("attrs", 1, F.size("attrs") - (t - 1))).alias("attr")))
+    if around is not None or not top:
+        every = prefix(sets, min_inter)
+        if around is None:
+            return _similar(_pairs_of(every, every, sets, F.col("a") < F.col("b")), min_inter, min_j, alt)
+        own = checkpointed(every.join(around.select(F.col(item).alias("a")).distinct().hint("merge"), "a", "left_semi"))
+        out = _similar(_pairs_of(own, every, sets, F.col("a") != F.col("b")), min_inter, min_j, alt)
+        return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "inter", "jaccard").distinct()
+    # Only items of t attributes share t: the most for which there are items enough, a row for each size.
+    sizes = sorted(((r["n"], r["items"]) for r in sets.groupBy(F.size("attrs").alias("n")).agg(F.count("*").alias("items")).collect()), reverse=True)
+    t, items = min_inter, 0
+    for n, more in sizes:
+        items += more
+        if items * (items - 1) // 2 >= top:
+            t = max(min_inter, n)
+            break
+    while True:
+        some = prefix(sets, t)
+        found = checkpointed(_similar(_pairs_of(some, some, sets, F.col("a") < F.col("b")).where(F.col("inter") >= t), min_inter, min_j, alt))
+        if t == min_inter or found.count() >= top:
+            return found.orderBy(F.desc("inter"), F.desc("jaccard"), "a", "b").limit(top)
+        t = max(min_inter, (t + min_inter) // 2)
 
 
 def norm_chem(c: Column) -> Column:

@@ -82,9 +82,23 @@ def e5(links, lineitem):
     return E.reported_claims(curated, links)
 
 
-@query("e6_pathway_claims", "library compounds", ", j AS (SELECT id, likely_process AS p FROM compounds JOIN library ON cas = cas_number WHERE likely_process IS NOT NULL) SELECT DISTINCT id, pathway FROM (SELECT id, p AS pathway FROM j WHERE p <> 'Both' UNION ALL SELECT id, unnest(['Maillard', 'Lipid oxidation']) FROM j WHERE p = 'Both')")
+_KEY = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
+
+
+@query("e6_pathway_claims", "library compounds", f""", j AS (SELECT DISTINCT entry_no, id AS molecule_id, nullif(cooked_meats_reported, '') AS matrix, nullif(odor_threshold, '') AS value, unnest(CASE likely_process WHEN 'Maillard' THEN ['Maillard reaction'] WHEN 'Both' THEN ['Maillard reaction', 'Lipid oxidation'] WHEN 'Lipid oxidation' THEN ['Lipid oxidation'] ELSE [] END) AS pathway
+ FROM compounds JOIN library ON trim(cas) = trim(cas_number) AND trim(cas) <> '')
+SELECT concat('C-mvl-', entry_no, '-', molecule_id, '-', {_KEY.format('pathway')}) AS claim_id, molecule_id, {_KEY.format('pathway')} AS object, pathway, matrix, value, CAST(NULL AS BIGINT) AS source_id, 0.8::DOUBLE AS tier, CASE WHEN value IS NULL THEN 0.4 ELSE 0.8 END::DOUBLE AS method, 1.0::DOUBLE AS directness FROM j""")
 def e6(library, compounds):
-    return E.pathway_claims(library, compounds)
+    return E.pathway_claims(library.withColumn("cas_number", F.concat(F.lit(" "), "cas_number")), compounds)
+
+
+@query("e6_reported_pathways", "studies paper_molecules", f""", pw AS (SELECT id, unnest(CASE WHEN id % 3 = 0 THEN ['Strecker / degradation', 'Lipid oxidation'] WHEN id % 3 = 1 THEN ['Maillard reaction'] ELSE [] END) AS pathway FROM studies)
+SELECT concat('C-src-', source_id, '-', molecule_id, '-', {_KEY.format('pathway')}) AS claim_id, molecule_id, {_KEY.format('pathway')} AS object, pathway, source_id, 0.6::DOUBLE AS tier, 0.4::DOUBLE AS method, 0.5::DOUBLE AS directness FROM paper_molecules JOIN pw ON id = source_id""")
+def e6b(studies, links):
+    k = F.col("id")
+    paths = F.when(k % 3 == 0, F.array(F.lit("Strecker / degradation"), F.lit("Lipid oxidation"), F.lit(""))).when(k % 3 == 1, F.array(F.lit("Maillard reaction"), F.lit(None).cast("string")))
+    papers = studies.select("id", paths.alias("pathway"), F.lit("survey").alias("study_type"), F.array(F.lit("titration")).alias("methods"), F.array(F.lit("none of them")).alias("matrices"))
+    return E.reported_pathways(links, papers)
 
 
 _NORM = "trim(regexp_replace(lower(main_claim), '[^a-z0-9]+', ' ', 'g'))"
@@ -142,6 +156,17 @@ def e12(claims):
     return E.triplet_report(claims, "axis")
 
 
+@query("e12_triplet_coverage", "claims molecules kg_papers", """, c AS (SELECT *, CASE WHEN source_id % 3 > 0 THEN 'p' END AS process, method_code < 5 AS methods, CASE WHEN source_id % 4 > 0 THEN ph END AS ph2, CASE WHEN source_id % 4 = 2 THEN temp_c END AS temp2, CASE WHEN source_id % 8 = 4 THEN 5 END AS time2 FROM claims),
+t AS (SELECT count(*) AS n, count(DISTINCT subject) AS a, count(DISTINCT source_id) AS b, count(matrix) AS c, count(process) AS d, count(*) FILTER (WHERE methods) AS e, count(low) AS f, count(*) FILTER (WHERE ph2 IS NOT NULL OR temp2 IS NOT NULL OR time2 IS NOT NULL) AS g, count(*) FILTER (WHERE matrix IS NULL AND process IS NULL) AS h FROM c),
+x AS (SELECT unnest(['molecules', 'papers', 'with_matrix', 'with_process', 'with_method', 'with_value', 'with_numbers', 'without_conditions']) AS measure, unnest([a, b, c, d, e, f, g, h]) AS n, n AS total FROM t)
+SELECT measure, x.n, round(100.0::DOUBLE * x.n / CASE measure WHEN 'molecules' THEN (SELECT count(*) FROM molecules) WHEN 'papers' THEN (SELECT count(*) FROM kg_papers) ELSE total END, 1) AS share FROM x""")
+def e12b(claims, molecules, papers):
+    k = F.col("source_id")
+    told = claims.withColumns({"process": F.when(k % 3 > 0, "p"), "methods": F.when(F.col("method_code") < 5, F.array(F.lit("m"))), "value": F.col("low"), "time_min": F.when(k % 8 == 4, 5)})
+    told = told.withColumns({"ph": F.when(k % 4 > 0, F.col("ph")), "temp_c": F.when(k % 4 == 2, F.col("temp_c"))})
+    return E.triplet_coverage(told, molecules, papers)
+
+
 def nested(claims):
     """Claims in their nested form, from the flat adapter."""
     ends = lambda c, prefix: F.struct(F.col(c).alias("id"), F.concat(F.lit(prefix), F.col(c)).alias("name"), F.lit("thing").alias("type")).alias(c)
@@ -202,9 +227,20 @@ def e19(claims):
     return E.edge_consensus(E.claim_weights(named(claims))).withColumn("consensus", F.round("consensus", 9))
 
 
-@query("e20_weight_summary", "claims", f", {_W}, s AS (SELECT round(weight, 4) AS w, row_number() OVER (ORDER BY round(weight, 4)) - 1 AS i, count(*) OVER () AS n FROM w) SELECT min(w) AS least, max(w) AS most, count(*) AS n, min(w) FILTER (WHERE i = CAST(floor(n * 0.5) AS BIGINT)) AS median, min(w) FILTER (WHERE i = CAST(floor(n * 0.9) AS BIGINT)) AS p90 FROM s")
+@query("e20_weight_summary", "claims", f", {_W}, s AS (SELECT weight AS w, row_number() OVER (ORDER BY weight) - 1 AS i, count(*) OVER () AS n FROM w) SELECT round(min(w), 6) AS least, round(max(w), 6) AS most, count(*) AS n, round(min(w) FILTER (WHERE i = CAST(floor(n * 0.5) AS BIGINT)), 6) AS median, round(min(w) FILTER (WHERE i = CAST(floor(n * 0.9) AS BIGINT)), 6) AS p90 FROM s")
 def e20(claims):
-    return E.weight_summary(E.claim_weights(named(claims)))
+    return E.weight_summary(E.claim_weights(named(claims))).withColumns({c: F.round(c, 6) for c in ("least", "most", "median", "p90")})
+
+
+@query("e20_tier_mix", "claims", "SELECT ['T1_experimental', 'T2_review', 'T3_inferred', 'T4_conjecture'][tier_code + 1] AS evidence_tier, count(*) AS n FROM claims GROUP BY 1")
+def e20b(claims):
+    return E.tier_mix(named(claims))
+
+
+@query("e20_stored_difference", "claims", f", {_W}, f AS (SELECT claim_id, tier_code / 4.0::DOUBLE AS old FROM claims WHERE tier_code > 0 ORDER BY claim_id LIMIT 400) SELECT count(*) AS n, round(avg(abs(old - weight)), 6) AS difference, round(avg(old), 6) AS stored, round(avg(weight), 6) AS recomputed FROM f JOIN w USING (claim_id)")
+def e20c(claims):
+    stored = claims.select("claim_id", F.col("claim_id").alias("pos"), F.when(F.col("tier_code") > 0, F.col("tier_code") / 4.0).alias("weight"))
+    return E.stored_difference(E.claim_weights(named(claims)), stored).withColumns({c: F.round(c, 6) for c in ("difference", "stored", "recomputed")})
 
 
 @query("e21_evidence_view", "claims kg_papers molecules", "SELECT claim_id, c.subject, source_id, polarity, k.label AS source_label, relevance, m.name AS subject_name FROM claims c LEFT JOIN kg_papers k ON k.id = source_id LEFT JOIN molecules m ON m.id = c.subject")

@@ -138,6 +138,19 @@ def a15(orders, supplier, events):
     return S.manifest({"orders": orders, "supplier": supplier, "events": events}).drop("digest")
 
 
+@query("a16_published", "orders supplier", "SELECT 'orders' AS \"table\", count(*) AS rows, 'same' AS again FROM orders UNION ALL SELECT 'supplier', count(*), 'same' FROM supplier")
+def a16b(orders, supplier):
+    """Both tables published twice as version 1 and read back."""
+    spark = orders.sparkSession
+    base = f"{shared_folder(spark)}/published-{uuid.uuid4().hex}"
+    again = {}
+    for name, df in (("orders", orders), ("supplier", supplier)):
+        S.publish(df, f"{base}/{name}", 1)
+        again[name] = S.publish(df, f"{base}/{name}", 1)
+    told = F.create_map(*[F.lit(x) for kv in again.items() for x in kv])
+    return S.manifest({name: S.current(spark, f"{base}/{name}") for name in again}).select("table", "rows", told[F.col("table")].alias("again"))
+
+
 @query("a16_publish_if_newer", "versions", ", p AS (SELECT workbook, version, count(DISTINCT payload) AS n, min(payload) AS payload, row_number() OVER (PARTITION BY workbook ORDER BY version DESC) AS k FROM versions GROUP BY 1, 2) SELECT workbook, version, CASE WHEN n = 1 THEN payload END AS payload, n > 1 AS conflict FROM p WHERE k = 1")
 def a16(versions):
     return S.publish_if_newer(versions)

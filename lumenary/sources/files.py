@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -209,6 +211,55 @@ def backup(tables: dict[str, DataFrame], path: str) -> DataFrame:
     return out
 
 
+class VersionConflict(RuntimeError):  # noqa: N818
+    """Another payload holds the version, or a later version is published."""
+
+
+def published(spark: SparkSession, path: str) -> list[int]:
+    """The versions that are published below a path, in order."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(place)] if files.exists(place) else []
+    return sorted(int(n.removeprefix("version=")) for n in names if re.fullmatch(r"version=\d+", n))
+
+
+def publish(df: DataFrame, path: str, version: int) -> str:
+    """Publish a table as a version of its own: `published`, or `same` if this version holds equal rows already.
+
+    The rows are written beside the version's folder and put there by a rename that fails if it exists, so of two writers one
+    wins, a reader sees whole versions only, and a writer that dies leaves nothing that counts. The other writer compares what
+    it has with what is there: equal rows are no conflict, other rows raise VersionConflict, and so does a version before the
+    latest one.
+    """
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    beside, place = (hadoop.Path(f"{path}/{name}") for name in (f"_new-{uuid.uuid4().hex}", f"version={version}"))
+    files = hadoop.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration())
+    if max(published(spark, path), default=version) > version:
+        raise VersionConflict(f"version {version} is before the latest one")
+    df.write.parquet(beside.toString())
+    try:
+        files.rename(beside, place, spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 0))
+        return "published"
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in str(e.java_exception):
+            raise
+        mine, theirs = (manifest({"t": spark.read.parquet(p.toString())}).first() for p in (beside, place))
+        if mine != theirs:
+            raise VersionConflict(f"version {version} holds another payload") from e
+        return "same"
+    finally:
+        files.delete(beside, True)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the latest version."""
+    versions = published(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"nothing is published below {path}")
+    return spark.read.parquet(f"{path}/version={versions[-1]}")
+
+
 def publish_if_newer(candidates: DataFrame) -> DataFrame:
     """Of each workbook the newest version, unless two payloads claim it; `conflict` says so."""
     per = candidates.groupBy("workbook", "version").agg(F.countDistinct("payload").alias("payloads"), F.min("payload").alias("payload"))

@@ -68,3 +68,27 @@ def test_places_of_an_empty_dictionary(spark):
     from lumenary.operators.graph import mine_mentions
 
     assert mine_mentions(spark.createDataFrame(texts(5), "id long, text string"), spark.createDataFrame([], "name string")).count() == 0
+
+
+@pytest.mark.parametrize("top", [5, 60, 10_000])
+def test_similar_pairs(spark, top):
+    """Against all pairs: a hot attribute that nearly every item holds, large sets and small ones."""
+    from lumenary.operators.graph import jaccard_pairs
+
+    rng = random.Random(top)
+    held = {i: {rng.randrange(60) for _ in range(rng.choice([1, 2, 3, 6, 14]))} | ({100} if rng.random() < 0.9 else set()) | ({101} if i % 2 else set()) for i in range(160)}
+    held[200] = held[201] = set(range(30))
+    rows = [(i, x) for i, xs in held.items() for x in xs] * 2
+    want = []
+    for a in held:
+        for b in held:
+            inter, union = len(held[a] & held[b]), len(held[a] | held[b])
+            if a < b and inter >= 2 and (inter / union >= 0.34 or inter >= 4):
+                want.append((a, b, inter, round(inter / union + 1e-12, 3)))
+    want.sort(key=lambda p: (-p[2], -p[3], p[0], p[1]))
+    edges = spark.createDataFrame(rows, "m long, o long")
+    assert [tuple(r) for r in jaccard_pairs(edges, "m", "o", top=top).collect()] == want[:top]
+    if top == 5:
+        assert sorted(tuple(r) for r in jaccard_pairs(edges, "m", "o", top=None).collect()) == sorted(want)
+        seeds = spark.createDataFrame([(3,), (200,)], "m long")
+        assert sorted(tuple(r) for r in jaccard_pairs(edges, "m", "o", top=None, around=seeds).collect()) == sorted(p for p in want if {3, 200} & set(p[:2]))

@@ -37,3 +37,30 @@ def test_ingest_in_batch_order(spark, seed):
     schema = "pos int, doi string, ext string, other int"
     got = ingest_new(spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(known, schema), ["doi", "ext"])
     assert {r.pos for r in got.collect()} == accepted(rows, known) and got.columns == ["pos", "doi", "ext", "other"]
+
+
+def test_publish(spark, tmp_path):
+    """Of writers at one time one wins; equal rows are the same version, others and older versions are refused."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from lumenary.sources.files import VersionConflict, current, publish, published
+
+    path = str(tmp_path / "p")
+    df = lambda i: spark.createDataFrame([(i, "x")], "a int, b string")
+
+    def write(i):
+        try:
+            return publish(df(i), path, 1)
+        except VersionConflict:
+            return "conflict"
+    with ThreadPoolExecutor(4) as pool:
+        told = list(pool.map(write, [1, 2, 1, 2]))
+    assert told.count("published") == 1 and sorted(told) == ["conflict", "conflict", "published", "same"]
+    won = current(spark, path).first().a
+    assert publish(df(won), path, 1) == "same" and published(spark, path) == [1]
+    assert publish(df(7), path, 3) == "published" and current(spark, path).first().a == 7
+    with pytest.raises(VersionConflict):
+        publish(df(9), path, 2)
+    assert not [f for f in (tmp_path / "p").iterdir() if f.name.startswith("_new")]
+    with pytest.raises(FileNotFoundError):
+        current(spark, str(tmp_path / "none"))
