@@ -15,7 +15,8 @@ STOP_NAMES = ["water", "oxygen", "nitrogen", "air", "salt", "sugar", "acid", "es
 JUNK_NAMES = ["decline", "increase", "decrease", "control", "response", "sample", "mixture", "extract", "residue", "fraction", "volatile", "volatiles", "compound", "compounds", "flavour", "flavor", "aroma", "odour", "odor", "taste", "texture", "quality"]
 CHEMICAL = r"[0-9-]|(ol|al|one|ene|ane|yne|ate|ide|ine|thiol|furan|pyrazine|pyrrole|acid|ester|aldehyde|phenol|lactone|amine|anol|enal|dienal)$"
 LEAST_NAME = 5
-PLACEHOLDERS = ["", "unknown", "n/a", "none", "null", "-"]
+#: Facet values that say nothing.
+PLACEHOLDERS = ["", "none", "n/a", "na", "unknown", "not specified", "not reported", "null"]
 
 
 def is_minable(name: Column) -> Column:
@@ -168,6 +169,14 @@ def facet_index(papers: DataFrame, facets: dict[str, Column], least: int = 2) ->
     return kept.groupBy("facet", "value").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("ids_digest"), F.min("id").alias("first_id")).where(F.col("n") >= least)
 
 
+def facet_members(papers: DataFrame, facets: dict[str, Column], least: int = 2) -> DataFrame:
+    """(facet, value, id): the papers of each facet value that `least` papers or more hold; a row each, so no value is gathered in one task."""
+    flat = papers.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), v.alias("values")) for f, v in facets.items()])).alias("f")).select("id", "f.facet", F.explode("f.values").alias("value")).withColumn("value", F.trim("value"))
+    kept = checkpointed(flat.where(~F.lower("value").isin(PLACEHOLDERS)).distinct())
+    common = checkpointed(kept.groupBy("facet", "value").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n"))
+    return kept.join(common.hint("merge"), ["facet", "value"], "left_semi").select("facet", "value", "id")
+
+
 def degree(edges: DataFrame, key: str, name: str) -> DataFrame:
     return edges.groupBy(F.col(key).alias("id")).agg(F.count("*").alias(name))
 
@@ -201,18 +210,52 @@ def topic_nodes(topics: DataFrame) -> DataFrame:
     return topics.select(F.concat(F.lit("t"), "id").alias("id"), F.col("id").alias("raw_id"), F.col("name").alias("label"), F.lit("topic").alias("type"), F.col("root_branch").alias("branch"), F.col("level"))
 
 
-def chem_scaffold(molecules: DataFrame) -> DataFrame:
-    """Class, group and pathway nodes, one per kind and normalised label."""
-    flat = molecules.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("label")) for k, c in (("class", "category"), ("group", "chem_group"), ("pathway", "process"))])).alias("x")).select("x.*").where(F.col("label").isNotNull())
-    return flat.groupBy("kind", norm_chem(F.col("label")).alias("key")).agg(F.min("label").alias("label"))
+#: Kinds of scaffold nodes with the columns that name them, and the edges that lead there.
+SCAFFOLD = [("class", "category", "in_class"), ("group", "chem_group", "functional_group"), ("subgroup", "subgroup", "subgroup"), ("pathway", "process", "formed_by")]
+ODOUR_FAMILY = ("odour_family", "odour_category", "odour_family")
+
+
+def _scaffold_ends(molecules: DataFrame, odours: DataFrame) -> DataFrame:
+    """(src, kind, label, edge): every molecule's and odour's way into the scaffold."""
+    def ends(df: DataFrame, prefix: str, kinds: list[tuple[str, str, str]]) -> DataFrame:
+        rows = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("label"), F.lit(edge).alias("edge")) for kind, c, edge in kinds if c in df.columns])
+        return df.select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("src"), F.explode(rows).alias("x")).select("src", "x.*").where(F.coalesce("label", F.lit("")) != "")
+    return ends(molecules, "m", SCAFFOLD).unionByName(ends(odours, "o", [ODOUR_FAMILY]))
+
+
+def _scaffold_id() -> Column:
+    return F.concat(F.lit("c"), "kind", F.lit(":"), norm_chem(F.col("label")))
 
 
-def assemble_edges(smells: DataFrame, similar: DataFrame, about: DataFrame, mentions: DataFrame, molecules: DataFrame) -> DataFrame:
-    """(src, dst, kind, graph): every edge of the graph, ids prefixed by node type."""
+def chem_scaffold(molecules: DataFrame, odours: DataFrame) -> DataFrame:
+    """(id, label, type, kind): class, group, subgroup and pathway nodes of molecules and families of odours, one per kind and normalised label."""
+    return _scaffold_ends(molecules, odours).groupBy("kind", _scaffold_id().alias("id")).agg(F.min("label").alias("label")).select("id", "label", F.lit("chem").alias("type"), "kind")
+
+
+def assemble_edges(smells: DataFrame, similar: DataFrame, about: DataFrame, mentions: DataFrame, molecules: DataFrame, odours: DataFrame) -> DataFrame:
+    """(src, dst, kind, graph, w, shared, provenance): every edge of the graph, ids prefixed by node type."""
     node = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
-    edge = lambda df, a, b, kind, graph: df.select(a.alias("src"), b.alias("dst"), F.lit(kind).alias("kind"), F.lit(graph).alias("graph"))
-    parts = [edge(smells, node("m", "molecule_id"), node("o", "odour_id"), "smells_of", "chem"), edge(similar, node("m", "a"), node("m", "b"), "aroma_similar", "chem"), edge(about, node("s", "source_id"), node("t", "topic_id"), "about_topic", "lit"), edge(mentions, node("s", "source_id"), node("m", "molecule_id"), "mentions", "lit")]
-    parts += [edge(molecules.where(F.col(c).isNotNull()), node("m", "id"), F.concat(F.lit(f"c:{k}:"), norm_chem(F.col(c))), f"in_{k}", "scaffold") for k, c in (("class", "category"), ("group", "chem_group"), ("pathway", "process"))]
+    none = {"w": F.lit(None).cast("double"), "shared": F.lit(None).cast("long"), "provenance": F.lit(None).cast("string")}
+
+    def edge(df: DataFrame, a: Column, b: Column, kind: Column, graph: str, **more: Column) -> DataFrame:
+        return df.select(a.alias("src"), b.alias("dst"), kind.alias("kind"), F.lit(graph).alias("graph"), *[c.alias(name) for name, c in (none | more).items()])
+    provenance = F.col("provenance") if "provenance" in mentions.columns else F.lit("curated")
+    parts = [
+        edge(smells, node("m", "molecule_id"), node("o", "odour_id"), F.lit("smells_of"), "molecule"), edge(similar, node("m", "a"), node("m", "b"), F.lit("aroma_similar"), "molecule", w=F.col("jaccard"), shared=F.col("inter")),
+        edge(about, node("s", "source_id"), node("t", "topic_id"), F.lit("about_topic"), "paper"), edge(mentions, node("s", "source_id"), node("m", "molecule_id"), F.lit("mentions"), "bridge", provenance=provenance),
+        edge(_scaffold_ends(molecules, odours), F.col("src"), _scaffold_id(), F.col("edge"), "molecule")]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def kg_counts(tables: dict[str, DataFrame], bridges: DataFrame, matched: DataFrame, similar: DataFrame, molecules: DataFrame, odours: DataFrame, edges: DataFrame) -> DataFrame:
+    """(counter, n): sizes of the tables, of links by provenance, of matches, of similar pairs, of the scaffold and of all edges, and names not looked for.
+
+    bridges: source_id, provenance; matched: molecules with entry_no, null where the library has none.
+    """
+    count = lambda name, df: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("counter"), "n")
+    parts = [count(name, df) for name, df in tables.items()]
+    parts += [count(f"bridge_{p}", bridges.where(F.col("provenance") == p)) for p in ("curated", "mined")] + [count("sources_with_any_molecule", bridges.select("source_id").distinct()), count("molecules_matched", matched.where(F.col("entry_no").isNotNull()))]
+    parts += [count("aroma_similarity_edges", similar), count("chem_scaffold_nodes", chem_scaffold(molecules, odours)), count("total_edges", edges), count("names_skipped_as_unminable", molecules.where(~is_minable(F.col("name"))))]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -245,12 +288,18 @@ def expand_similar(seeds: DataFrame, similar: DataFrame, k: int = 12) -> DataFra
     return fresh.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "other"))).where(F.col("nth") <= k).select("qid", F.col("other").alias("molecule_id"), "score")
 
 
-def rank_papers(found: DataFrame, links: DataFrame, papers: DataFrame, k: int = 6) -> DataFrame:
-    """Papers by covered molecules: coverage * (0.5 + relevance / 100)."""
-    cover = found.select("qid", "molecule_id").distinct().join(links, "molecule_id").groupBy("qid", "source_id").agg(F.countDistinct("molecule_id").alias("coverage"))
-    scored = cover.join(papers.select(F.col("id").alias("source_id"), "relevance"), "source_id").withColumn("score", F.round(F.col("coverage") * (0.5 + F.col("relevance") / 100), 4))
+def rank_papers(found: DataFrame, links: DataFrame, papers: DataFrame, k: int = 6, names: DataFrame | None = None) -> DataFrame:
+    """Papers by covered molecules: coverage * (0.5 + relevance / 100); with `names` (molecule_id, name) up to six of the covered names, sorted."""
+    met = checkpointed(found.select("qid", "molecule_id").distinct()).join(links.hint("merge"), "molecule_id")
+    cover = met.groupBy("qid", "source_id").agg(F.countDistinct("molecule_id").alias("coverage"))
+    scored = cover.join(papers.select(F.col("id").alias("source_id"), "relevance").hint("merge"), "source_id").withColumn("score", F.round(F.col("coverage") * (0.5 + F.coalesce("relevance", F.lit(0)) / 100), 4))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.desc("coverage"), F.desc("source_id"))
-    return scored.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+    best = scored.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k)
+    if names is None:
+        return best
+    best = checkpointed(best)
+    told = met.join(best.select("qid", "source_id").hint("merge"), ["qid", "source_id"]).join(names.hint("merge"), "molecule_id").groupBy("qid", "source_id").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 6), "|").alias("names"))
+    return best.join(told.hint("merge"), ["qid", "source_id"])
 
 
 def chemistry_profile(found: DataFrame, molecules: DataFrame) -> DataFrame:
@@ -268,8 +317,15 @@ def route_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def display_subset(nodes: DataFrame, links: DataFrame, papers: DataFrame, top_molecules: int = 320, top_papers: int = 260) -> DataFrame:
-    """Edges between the best molecules (papers, then odours) and the best papers (relevance, then id)."""
-    molecules = nodes.orderBy(F.desc("papers"), F.desc("n_odours"), "id").limit(top_molecules).select(F.col("id").alias("molecule_id"))
-    linked = links.join(molecules, "molecule_id", "left_semi").select(F.col("source_id").alias("id")).distinct()
-    best = papers.join(linked, "id", "left_semi").orderBy(F.desc("relevance"), F.desc("id")).limit(top_papers).select(F.col("id").alias("source_id"))
-    return links.join(molecules, "molecule_id", "left_semi").join(best, "source_id", "left_semi")
+    """Edges between the best molecules (papers, then odours) and the best linked papers (relevance + citations / 50, then id)."""
+    molecules = checkpointed(nodes.orderBy(F.desc("papers"), F.desc("n_odours"), "id").limit(top_molecules).select(F.col("id").alias("molecule_id")))
+    own = checkpointed(links.join(F.broadcast(molecules), "molecule_id", "left_semi"))
+    score = F.coalesce("relevance", F.lit(0)) + F.coalesce("citations", F.lit(0)) / 50
+    linked = papers.join(own.select(F.col("source_id").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    best = checkpointed(linked.orderBy(score.desc(), F.desc("id")).limit(top_papers).select(F.col("id").alias("source_id")))
+    return own.join(F.broadcast(best), "source_id", "left_semi")
+
+
+def touched_nodes(edges: DataFrame) -> DataFrame:
+    """(id): the molecules and papers that an edge of the subset touches."""
+    return edges.select(F.explode(F.array(F.concat(F.lit("m"), F.col("molecule_id").cast("string")), F.concat(F.lit("s"), F.col("source_id").cast("string")))).alias("id")).distinct()

@@ -95,11 +95,17 @@ def facets():
 
 
 @query("d7_facet_index", "papers", """, v AS (SELECT id, 'venue' AS facet, journal AS value FROM papers UNION SELECT id, 'lang', search_query FROM papers UNION SELECT id, 'author', trim(unnest(string_split(authors, ';'))) FROM papers UNION SELECT id, 'year', CAST(year AS VARCHAR) FROM papers)
-SELECT facet, value, count(*) AS n, min(id) AS first_id FROM v WHERE lower(trim(value)) NOT IN ('', 'unknown', 'n/a', 'none', 'null', '-') GROUP BY 1, 2 HAVING count(*) >= 2""")
+SELECT facet, value, count(*) AS n, min(id) AS first_id FROM v WHERE lower(trim(value)) NOT IN ('', 'none', 'n/a', 'na', 'unknown', 'not specified', 'not reported', 'null') GROUP BY 1, 2 HAVING count(*) >= 2""")
 def d7(papers):
     return G.facet_index(papers, facets()).drop("ids_digest")
 
 
+@query("d7_facet_members", "papers", """, v AS (SELECT id, 'venue' AS facet, journal AS value FROM papers UNION SELECT id, 'lang', search_query FROM papers UNION SELECT id, 'author', trim(unnest(string_split(authors, ';'))) FROM papers UNION SELECT id, 'year', CAST(year AS VARCHAR) FROM papers)
+SELECT facet, value, id FROM v WHERE lower(trim(value)) NOT IN ('', 'none', 'n/a', 'na', 'unknown', 'not specified', 'not reported', 'null') AND (facet, value) IN (SELECT (facet, value) FROM v GROUP BY facet, value HAVING count(*) >= 2)""")
+def d7b(papers):
+    return G.facet_members(papers, facets())
+
+
 _MN = """mn AS (SELECT m.id, substr(name, 1, 80) AS label, coalesce(p.n, 0) AS papers, coalesce(o.n, 0) AS n_odours, coalesce(o.odours, '') AS odours FROM molecules m LEFT JOIN (SELECT molecule_id, count(*) AS n FROM paper_molecules GROUP BY 1) p ON p.molecule_id = m.id
  LEFT JOIN (SELECT molecule_id, count(DISTINCT odour_id) AS n, array_to_string(list_sort(list_distinct(list(name)))[1:12], '|') AS odours FROM molecule_odours JOIN odours ON odours.id = odour_id GROUP BY 1) o ON o.molecule_id = m.id)"""
 
@@ -131,30 +137,53 @@ def d8d(topics):
     return G.topic_nodes(topics.withColumn("level", F.col("parent_id") % 3))
 
 
-@query("d9_chem_scaffold", "molecules", r""", f AS (SELECT 'class' AS kind, category AS label FROM molecules UNION ALL SELECT 'group', chem_group FROM molecules UNION ALL SELECT 'pathway', process FROM molecules)
-SELECT kind, regexp_replace(lower(label), '[\s,''-]', '', 'g') AS key, min(label) AS label FROM f WHERE label IS NOT NULL GROUP BY 1, 2""")
-def d9(molecules):
-    return G.chem_scaffold(molecules)
+def with_subgroup(molecules):
+    return molecules.withColumn("subgroup", F.when(F.col("id") % 5 > 0, F.concat(F.lit("Sub, "), F.col("id") % 7)))
+
+
+_KEYED = r"regexp_replace(lower(label), '[\s,''-]', '', 'g')"
+_SCAF = f'''sc AS (SELECT concat('m', id) AS src, 'class' AS kind, category AS label, 'in_class' AS edge FROM molecules UNION ALL SELECT concat('m', id), 'group', chem_group, 'functional_group' FROM molecules UNION ALL SELECT concat('m', id), 'subgroup', concat('Sub, ', id % 7), 'subgroup' FROM molecules WHERE id % 5 > 0
+UNION ALL SELECT concat('m', id), 'pathway', process, 'formed_by' FROM molecules WHERE process IS NOT NULL UNION ALL SELECT concat('o', id), 'odour_family', CAST(odour_category AS VARCHAR), 'odour_family' FROM odours)'''
+
+
+@query("d9_chem_scaffold", "molecules odours", f", {_SCAF} SELECT 'c' || kind || ':' || {_KEYED} AS id, min(label) AS label, 'chem' AS type, kind FROM sc GROUP BY 1, kind")
+def d9(molecules, odours):
+    return G.chem_scaffold(with_subgroup(molecules), odours)
+
+
+_EDGES = f'''{_SIM}, {_SCAF}, ed AS (SELECT concat('m', molecule_id) AS src, concat('o', odour_id) AS dst, 'smells_of' AS kind, 'molecule' AS graph, NULL::DOUBLE AS w, NULL::BIGINT AS shared, NULL::VARCHAR AS provenance FROM molecule_odours UNION ALL SELECT concat('m', a), concat('m', b), 'aroma_similar', 'molecule', jaccard, inter, NULL FROM (SELECT * FROM sim ORDER BY inter DESC, jaccard DESC, a, b LIMIT 6000)
+UNION ALL SELECT concat('s', source_id), concat('t', topic_id), 'about_topic', 'paper', NULL, NULL, NULL FROM paper_topics UNION ALL SELECT concat('s', source_id), concat('m', molecule_id), 'mentions', 'bridge', NULL, NULL, CASE WHEN source_id % 4 = 0 THEN 'mined' ELSE 'curated' END FROM paper_molecules
+UNION ALL SELECT src, 'c' || kind || ':' || {_KEYED}, edge, 'molecule', NULL, NULL, NULL FROM sc)'''
 
 
-_EDGES = _SIM + r""", ed AS (SELECT concat('m', molecule_id) AS src, concat('o', odour_id) AS dst, 'smells_of' AS kind, 'chem' AS graph FROM molecule_odours UNION ALL SELECT concat('m', a), concat('m', b), 'aroma_similar', 'chem' FROM (SELECT * FROM sim ORDER BY inter DESC, jaccard DESC, a, b LIMIT 6000)
-UNION ALL SELECT concat('s', source_id), concat('t', topic_id), 'about_topic', 'lit' FROM paper_topics UNION ALL SELECT concat('s', source_id), concat('m', molecule_id), 'mentions', 'lit' FROM paper_molecules
-UNION ALL SELECT concat('m', id), 'c:class:' || regexp_replace(lower(category), '[\s,''-]', '', 'g'), 'in_class', 'scaffold' FROM molecules WHERE category IS NOT NULL UNION ALL SELECT concat('m', id), 'c:group:' || regexp_replace(lower(chem_group), '[\s,''-]', '', 'g'), 'in_group', 'scaffold' FROM molecules WHERE chem_group IS NOT NULL
-UNION ALL SELECT concat('m', id), 'c:pathway:' || regexp_replace(lower(process), '[\s,''-]', '', 'g'), 'in_pathway', 'scaffold' FROM molecules WHERE process IS NOT NULL)"""
+def bridges_of(mentions):
+    return mentions.withColumn("provenance", F.when(F.col("source_id") % 4 == 0, "mined").otherwise("curated"))
 
 
-def edges_of(smells, about, mentions, molecules):
-    return G.assemble_edges(smells, similar(smells, 6000), about, mentions, molecules)
+def edges_of(smells, about, mentions, molecules, odours, alike=None):
+    return G.assemble_edges(smells, similar(smells, 6000) if alike is None else alike, about, bridges_of(mentions), with_subgroup(molecules), odours)
 
 
-@query("d10_assemble_edges", "molecule_odours paper_topics paper_molecules molecules", f", {_EDGES} SELECT * FROM ed")
-def d10(smells, about, mentions, molecules):
-    return edges_of(smells, about, mentions, molecules)
+@query("d10_assemble_edges", "molecule_odours paper_topics paper_molecules molecules odours", f", {_EDGES} SELECT * FROM ed")
+def d10(smells, about, mentions, molecules, odours):
+    return edges_of(smells, about, mentions, molecules, odours)
 
 
-@query("d11_kg_stats", "molecule_odours paper_topics paper_molecules molecules", f", {_EDGES} SELECT kind, graph, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets, (SELECT count(*) FROM (SELECT src FROM ed x WHERE x.kind = ed.kind UNION SELECT dst FROM ed x WHERE x.kind = ed.kind)) AS nodes FROM ed GROUP BY 1, 2")
-def d11(smells, about, mentions, molecules):
-    return G.kg_stats(edges_of(smells, about, mentions, molecules))
+@query("d11_kg_counts", "molecule_odours paper_topics paper_molecules molecules odours library topics kg_papers", rf''', {_EDGES}, ks AS (SELECT DISTINCT regexp_replace(lower(compound), '[\s,''-]', '', 'g') AS key FROM library)
+SELECT 'molecules' AS counter, count(*) AS n FROM molecules UNION ALL SELECT 'odours', count(*) FROM odours UNION ALL SELECT 'molecule_odour_edges', count(*) FROM molecule_odours UNION ALL SELECT 'library_entries', count(*) FROM library UNION ALL SELECT 'sources', count(*) FROM kg_papers UNION ALL SELECT 'topics', count(*) FROM topics
+UNION ALL SELECT 'source_topic_edges', count(*) FROM paper_topics UNION ALL SELECT 'bridge_curated', count(*) FROM paper_molecules WHERE source_id % 4 > 0 UNION ALL SELECT 'bridge_mined', count(*) FROM paper_molecules WHERE source_id % 4 = 0 UNION ALL SELECT 'sources_with_any_molecule', count(DISTINCT source_id) FROM paper_molecules
+UNION ALL SELECT 'molecules_matched', count(*) FROM molecules WHERE regexp_replace(lower(name), '[\s,''-]', '', 'g') IN (SELECT key FROM ks WHERE key IS NOT NULL) UNION ALL SELECT 'aroma_similarity_edges', count(*) FROM ed WHERE kind = 'aroma_similar' UNION ALL SELECT 'chem_scaffold_nodes', count(DISTINCT 'c' || kind || ':' || {_KEYED}) FROM sc
+UNION ALL SELECT 'total_edges', count(*) FROM ed UNION ALL SELECT 'names_skipped_as_unminable', count(*) FROM molecules WHERE NOT ({_MINABLE})''')
+def d11b(smells, about, mentions, molecules, odours, library, topics, papers):
+    alike = checkpointed(similar(smells, 6000))
+    tables = {"molecules": molecules, "odours": odours, "molecule_odour_edges": smells, "library_entries": library, "sources": papers, "topics": topics, "source_topic_edges": about}
+    edges = edges_of(smells, about, mentions, molecules, odours, alike)
+    return G.kg_counts(tables, bridges_of(mentions), G.match_reference(molecules, library), alike, with_subgroup(molecules), odours, edges)
+
+
+@query("d11_kg_stats", "molecule_odours paper_topics paper_molecules molecules odours", f", {_EDGES} SELECT kind, graph, count(*) AS edges, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets, (SELECT count(*) FROM (SELECT src FROM ed x WHERE x.kind = ed.kind UNION SELECT dst FROM ed x WHERE x.kind = ed.kind)) AS nodes FROM ed GROUP BY 1, 2")
+def d11(smells, about, mentions, molecules, odours):
+    return G.kg_stats(edges_of(smells, about, mentions, molecules, odours))
 
 
 def words_of(benchmark):
@@ -200,9 +229,10 @@ def d14(benchmark, documents, smells):
     return G.expand_similar(seeds, similar(smells, around=seeds))
 
 
-@query("d15_rank_papers", "benchmark documents molecule_odours paper_molecules kg_papers", f", {_RK} SELECT * FROM rk WHERE nth <= 6")
-def d15(benchmark, documents, smells, links, papers):
-    return G.rank_papers(found_of(benchmark, documents, smells), links, papers)
+@query("d15_rank_papers", "benchmark documents molecule_odours paper_molecules kg_papers molecules", f""", {_RK}, nm AS (SELECT rk.qid, rk.source_id, array_to_string(list_sort(list(DISTINCT name))[1:6], '|') AS names FROM rk JOIN fd USING (qid) JOIN paper_molecules pm ON pm.source_id = rk.source_id AND pm.molecule_id = fd.molecule_id JOIN molecules m ON m.id = fd.molecule_id WHERE nth <= 6 GROUP BY 1, 2)
+SELECT rk.*, names FROM rk JOIN nm USING (qid, source_id) WHERE nth <= 6""")
+def d15(benchmark, documents, smells, links, papers, molecules):
+    return G.rank_papers(found_of(benchmark, documents, smells), links, papers, names=molecules.select(F.col("id").alias("molecule_id"), "name"))
 
 
 @query("d16_chemistry_profile", "benchmark documents molecule_odours molecules", f""", {_EX}, w AS (SELECT qid, molecule_id FROM seeds UNION SELECT qid, molecule_id FROM ext), f AS (SELECT qid, 'class' AS kind, 5 AS most, category AS value FROM w JOIN molecules ON id = molecule_id UNION ALL SELECT qid, 'pathway', 3, process FROM w JOIN molecules ON id = molecule_id UNION ALL SELECT qid, 'group', 4, chem_group FROM w JOIN molecules ON id = molecule_id),
@@ -219,7 +249,19 @@ def d17(benchmark, documents, smells, links, papers):
     return G.route_overlap(graph, flat)
 
 
-@query("d18_display_subset", "molecules molecule_odours odours paper_molecules kg_papers", f""", {_MN}, tm AS (SELECT id FROM mn ORDER BY papers DESC, n_odours DESC, id LIMIT 320), tp AS (SELECT id FROM kg_papers WHERE id IN (SELECT source_id FROM paper_molecules WHERE molecule_id IN (FROM tm)) ORDER BY relevance DESC, id DESC LIMIT 260)
-SELECT * FROM paper_molecules WHERE molecule_id IN (FROM tm) AND source_id IN (FROM tp)""")
+_SUB = f"""{_MN}, tm AS (SELECT id FROM mn ORDER BY papers DESC, n_odours DESC, id LIMIT 320), tp AS (SELECT id FROM kg_papers WHERE id IN (SELECT source_id FROM paper_molecules WHERE molecule_id IN (FROM tm)) ORDER BY relevance + (id * 7 % 3000) / 50.0::DOUBLE DESC, id DESC LIMIT 260),
+sb AS (SELECT * FROM paper_molecules WHERE molecule_id IN (FROM tm) AND source_id IN (FROM tp))"""
+
+
+def subset_of(molecules, smells, odours, links, papers):
+    return G.display_subset(G.molecule_nodes(molecules, smells, odours, links), links, papers.withColumn("citations", F.col("id") * 7 % 3000))
+
+
+@query("d18_display_subset", "molecules molecule_odours odours paper_molecules kg_papers", f", {_SUB} SELECT * FROM sb")
 def d18(molecules, smells, odours, links, papers):
-    return G.display_subset(G.molecule_nodes(molecules, smells, odours, links), links, papers)
+    return subset_of(molecules, smells, odours, links, papers)
+
+
+@query("d18_touched_nodes", "molecules molecule_odours odours paper_molecules kg_papers", f", {_SUB} SELECT concat('m', molecule_id) AS id FROM sb UNION SELECT concat('s', source_id) FROM sb")
+def d18b(molecules, smells, odours, links, papers):
+    return G.touched_nodes(subset_of(molecules, smells, odours, links, papers))
