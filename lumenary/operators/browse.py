@@ -74,11 +74,12 @@ def is_review_filter(df: DataFrame, tri: int | None) -> DataFrame:
 
 
 def order_papers(df: DataFrame, sort: str = "year", direction: str = "desc") -> list[Column]:
-    """Sort columns: nulls last both ways, ties by id the same way; an unknown key means newest first."""
+    """Sort columns: nulls last both ways, ties by id the same way; a paper without journal goes by its venue; an unknown key means newest first."""
     keys = {"name", "year", "citation_count", "relevance_llm", "journal", "authors", "id"}
     if sort not in keys:
         sort, direction = "year", "desc"
-    col = F.lower(F.col(sort)) if sort in TEXT_KEYS else F.col(sort)
+    col = F.coalesce("journal", "venue") if sort == "journal" and "venue" in df.columns else F.col(sort)
+    col = F.lower(col) if sort in TEXT_KEYS else col
     return [col.asc_nulls_last(), F.col("id").asc()] if direction == "asc" else [col.desc_nulls_last(), F.col("id").desc()]
 
 
@@ -169,6 +170,11 @@ def distinct_facets(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("facet"), F.col(c).cast("string").alias("value")) for c in cols])).alias("x")).select("x.*").where(F.col("value").isNotNull()).distinct()
 
 
+def year_range(df: DataFrame, year: str = "year") -> DataFrame:
+    """One row: the first and the last year."""
+    return df.agg(F.min(year).alias("min_year"), F.max(year).alias("max_year"))
+
+
 def phase_topics(df: DataFrame, junction: DataFrame, topics: DataFrame, slugs: list[str]) -> DataFrame:
     """Distinct papers of every slug of a fixed set, zero included."""
     fixed = topics.where(F.col("slug").isin(slugs)).select("slug", F.col("id").alias("topic_id"))
@@ -191,9 +197,9 @@ def suggest_molecules(molecules: DataFrame, edges: DataFrame, text: str, exclude
 
 
 def molecule_detail(molecules: DataFrame, edges: DataFrame, papers: DataFrame, k: int = 10) -> DataFrame:
-    """Each molecule with its mentions and its ten best papers, in one pass over the edges."""
-    best = Window.partitionBy("molecule_id").orderBy(F.col("relevance").desc_nulls_last(), F.desc("source_id"))
-    linked = edges.join(papers.select(F.col("id").alias("source_id"), "relevance"), "source_id").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k)
+    """Each molecule with its mentions and its ten first papers by priority, year and id, in one pass over the edges."""
+    best = Window.partitionBy("molecule_id").orderBy(F.col("priority").desc_nulls_last(), F.col("year").desc_nulls_last(), F.desc("source_id"))
+    linked = edges.join(papers.select(F.col("id").alias("source_id"), "relevance", "priority", "year").hint("merge"), "source_id").withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k)
     return with_mentions(molecules, edges).join(linked.select(F.col("molecule_id").alias("id"), "nth", "source_id", "relevance"), "id")
 
 

@@ -144,21 +144,47 @@ def topic_tree(nodes: DataFrame) -> DataFrame:
             return pairs
 
 
-def topic_coverage(topics: DataFrame, junction: DataFrame, papers: DataFrame, gate: int = 60) -> DataFrame:
-    """Papers and highly relevant papers of each topic, zero included."""
-    linked = junction.join(papers.select(F.col("id").alias("source_id"), "relevance_llm"), "source_id").groupBy(F.col("topic_id").alias("id")).agg(F.countDistinct("source_id").alias("papers"), F.countDistinct(F.when(F.col("relevance_llm") >= gate, F.col("source_id"))).alias("high"))
+def topic_coverage(topics: DataFrame, junction: DataFrame, papers: DataFrame, taxonomy: DataFrame | None = None, gate: int = 60) -> DataFrame:
+    """Papers and highly relevant papers of each topic, zero included.
+
+    With a taxonomy (slug, priority) the priority is its own, null for a topic that it doesn't list, and in_bible tells which it lists.
+    """
+    linked = checkpointed(junction.join(papers.select(F.col("id").alias("source_id"), "relevance_llm").hint("merge"), "source_id").groupBy(F.col("topic_id").alias("id")).agg(F.countDistinct("source_id").alias("papers"), F.countDistinct(F.when(F.col("relevance_llm") >= gate, F.col("source_id"))).alias("high")))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return topics.join(linked, "id", "left").select("id", "slug", "root_branch", "priority", zero("papers"), zero("high"))
+    if taxonomy is not None:
+        listed = taxonomy.groupBy("slug").agg(F.min("priority").alias("priority"), F.lit(True).alias("listed"))
+        topics = topics.drop("priority").join(listed.hint("merge"), "slug", "left")
+    more = [F.coalesce("listed", F.lit(False)).alias("in_bible")] if taxonomy is not None else []
+    return topics.join(linked.hint("merge"), "id", "left").select("id", "slug", "root_branch", "priority", zero("papers"), zero("high"), *more)
 
 
-def branch_rollup(topics: DataFrame, junction: DataFrame, papers: DataFrame, gate: int = 60) -> DataFrame:
-    linked = topics.join(junction, topics["id"] == junction["topic_id"], "left").join(papers.select(F.col("id").alias("source_id"), "relevance_llm"), "source_id", "left")
-    out = linked.groupBy("root_branch").agg(F.countDistinct("slug").alias("topics"), F.countDistinct("source_id").alias("papers"), F.countDistinct(F.when(F.col("relevance_llm") >= gate, F.col("source_id"))).alias("high"))
-    return out.withColumn("high_share", F.when(F.col("papers") > 0, F.round(F.col("high") * 100.0 / F.col("papers"), 1)))
+def branch_rollup(topics: DataFrame, junction: DataFrame, papers: DataFrame, taxonomy: DataFrame, gate: int = 60) -> DataFrame:
+    """By branch: topics that the taxonomy (slug, branch) lists, distinct papers, highly relevant ones and their share, 0 where there is no paper."""
+    linked = topics.select("root_branch", F.col("id").alias("topic_id")).join(junction.hint("merge"), "topic_id", "left").join(papers.select(F.col("id").alias("source_id"), "relevance_llm").hint("merge"), "source_id", "left")
+    out = linked.groupBy("root_branch").agg(F.countDistinct("source_id").alias("papers"), F.countDistinct(F.when(F.col("relevance_llm") >= gate, F.col("source_id"))).alias("high"))
+    listed = taxonomy.groupBy(F.col("branch").alias("root_branch")).agg(F.countDistinct("slug").alias("topics"))
+    share = F.when(F.col("papers") > 0, F.round(F.col("high") * 100.0 / F.col("papers"), 1)).otherwise(0.0)
+    return out.join(listed.hint("merge"), "root_branch", "left").select("root_branch", F.coalesce("topics", F.lit(0)).alias("topics"), "papers", "high", share.alias("high_share"))
 
 
 def white_space(coverage: DataFrame, top: int = 15) -> DataFrame:
-    return coverage.where(F.col("priority") == "HIGH").orderBy("papers", "high", "slug").limit(top)
+    """The topics of high priority with the fewest papers, and how many of high priority have none at all."""
+    high = coverage.where(F.col("priority") == "HIGH")
+    none = high.agg(F.count_if(F.col("papers") == 0).alias("without_papers"))
+    return high.orderBy("papers", "high", "slug").limit(top).crossJoin(F.broadcast(none))
+
+
+def missing_topics(taxonomy: DataFrame, topics: DataFrame) -> DataFrame:
+    """(slug): what the taxonomy lists and the table of topics doesn't have."""
+    return taxonomy.select("slug").distinct().join(topics.select("slug").hint("merge"), "slug", "left_anti")
+
+
+def thin_layers(claims: DataFrame, claim_sources: DataFrame, claim_molecules: DataFrame, molecules: DataFrame) -> DataFrame:
+    """(layer, n): claims, claims with sources and with molecules, molecules, and molecules by category."""
+    one = lambda name, df, n: df.agg(n.alias("n")).select(F.lit(name).alias("layer"), "n")
+    categories = molecules.groupBy(F.concat(F.lit("category: "), F.coalesce("category", F.lit("(uncategorized)"))).alias("layer")).agg(F.count("*").alias("n"))
+    parts = [one("claims", claims, F.count("*")), one("claims_with_sources", claim_sources, F.countDistinct("claim_id")), one("claims_with_molecules", claim_molecules, F.countDistinct("claim_id")), one("molecules", molecules, F.count("*")), categories]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def corpus_totals(papers: DataFrame, junction: DataFrame) -> DataFrame:

@@ -331,12 +331,17 @@ def match_authors(papers: DataFrame, people: DataFrame, gate: int = 60) -> DataF
     return keys.join(known.hint("merge"), "person_key", "left_semi").distinct()
 
 
-def merge_people(people: DataFrame, links: DataFrame, least: int = 2, most: int = 50) -> DataFrame:
-    """People of one key as one: smallest id, first known attributes in id order, papers; kept with `least` papers."""
+def merge_people(people: DataFrame, links: DataFrame, least: int = 2) -> DataFrame:
+    """People of one key as one: smallest id, first known attributes in id order, papers; kept with an open id, or with `least` papers.
+
+    `links` is the list of a person's papers; here they are counted.
+    """
+    known = [c for c in ("current_org", "country", "relevance_score", "h_index", "orcid", "openalex_id") if c in people.columns]
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(c)
-    one = people.withColumn("person_key", expert_key(F.col("name"))).groupBy("person_key").agg(F.min("id").alias("id"), first("current_org"), first("country"), first("relevance_score"))
+    one = people.withColumn("person_key", expert_key(F.col("name"))).groupBy("person_key").agg(F.min("id").alias("id"), *map(first, known))
     papers = links.groupBy("person_key").agg(F.count("*").alias("papers"), F.min("paper_id").alias("first_paper"), F.max("paper_id").alias("last_paper"))
-    return one.join(papers, "person_key").where(F.col("papers") >= least)
+    open_ = F.col("openalex_id").isNotNull() if "openalex_id" in known else F.lit(False)
+    return one.join(papers.hint("merge"), "person_key").where(open_ | (F.col("papers") >= least))
 
 
 def people_papers(papers: DataFrame, junction: DataFrame, topics: DataFrame) -> DataFrame:
@@ -419,9 +424,11 @@ def infer_affiliation(df: DataFrame, col: str, country: str) -> DataFrame:
     return df.withColumns({"clean": clean_affiliation(F.col(col)), "sector": infer_sector(F.col(col)), "iso": infer_country(F.col(country), F.col(col))})
 
 
-def org_directory(orgs: DataFrame, aliases: DataFrame, sector: str | None = None, region: str | None = None, limit: int = 20) -> DataFrame:
-    """Organizations by type and region, countries through their alias table; 20 rows at most."""
-    out = orgs.join(aliases, "country", "left")
+def org_directory(orgs: DataFrame, aliases: DataFrame, sector: str | None = None, region: str | None = None, limit: int = 20, country: str | None = None) -> DataFrame:
+    """Organizations by type, region and country, countries through their alias table; 20 rows at most."""
+    out = orgs.join(aliases.hint("merge"), "country", "left")
+    if country:
+        out = out.where((F.col("country") == country) | (F.col("iso") == country))
     if sector:
         out = out.where(F.col("org_type") == sector)
     if region:

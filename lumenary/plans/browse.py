@@ -57,6 +57,12 @@ def b7(papers):
     return papers.orderBy(*B.order_papers(papers, "relevance_llm", "desc")).limit(200).select(PAPER)
 
 
+@query("b7_order_by_journal", "papers", f"SELECT {_P} FROM papers ORDER BY lower(coalesce(CASE WHEN id % 3 > 0 THEN journal END, search_query)) ASC NULLS LAST, id ASC LIMIT 300")
+def b7b(papers):
+    venued = papers.withColumns({"venue": F.col("search_query"), "journal_": F.col("journal"), "journal": F.when(F.col("id") % 3 > 0, F.col("journal"))})
+    return venued.orderBy(*B.order_papers(venued, "journal", "asc")).limit(300).withColumn("journal", F.col("journal_")).select(PAPER)
+
+
 @query("b8_page", "papers", f"SELECT {_P}, (SELECT count(*) FROM papers) AS total, CAST(ceil((SELECT count(*) FROM papers) / 40.0) AS BIGINT) AS pages FROM papers ORDER BY lower(name) ASC NULLS LAST, id ASC LIMIT 40 OFFSET 80")
 def b8(papers):
     return B.page(papers.select(PAPER), B.order_papers(papers, "name", "asc"), 3, 40)
@@ -120,6 +126,11 @@ def b17(molecules):
     return B.distinct_facets(molecules, ["category", "chem_group", "process"])
 
 
+@query("b17_year_range", "papers", "SELECT min(year) AS min_year, max(year) AS max_year FROM papers")
+def b17b(papers):
+    return B.year_range(papers)
+
+
 @query("b18_phase_topics", "papers paper_topics topics", "SELECT slug, count(DISTINCT source_id) AS papers FROM topics t LEFT JOIN paper_topics p ON t.id = p.topic_id WHERE slug IN ('nation_1','nation_3','nation_8','nation_24') GROUP BY slug")
 def b18(papers, junction, topics):
     return B.phase_topics(papers, junction, topics, [*SLUGS, "nation_24"])
@@ -145,10 +156,11 @@ def b19(molecules, edges):
 
 @query("b20_molecule_detail", "molecules paper_molecules kg_papers", """
 , c AS (SELECT molecule_id, count(*) AS m FROM paper_molecules GROUP BY 1),
-r AS (SELECT molecule_id, source_id, relevance, row_number() OVER (PARTITION BY molecule_id ORDER BY relevance DESC NULLS LAST, source_id DESC) AS nth FROM paper_molecules JOIN kg_papers k ON k.id = source_id)
+r AS (SELECT molecule_id, source_id, relevance, row_number() OVER (PARTITION BY molecule_id ORDER BY CASE WHEN source_id % 6 > 0 THEN source_id % 40 END DESC NULLS LAST, 1990 + source_id % 30 DESC NULLS LAST, source_id DESC) AS nth FROM paper_molecules JOIN kg_papers k ON k.id = source_id)
 SELECT m.*, c.m AS mentions, r.nth, r.source_id, r.relevance FROM molecules m JOIN c ON c.molecule_id = m.id JOIN r ON r.molecule_id = m.id AND r.nth <= 10""")
 def b20(molecules, edges, papers):
-    return B.molecule_detail(molecules, edges, papers)
+    k = F.col("id")
+    return B.molecule_detail(molecules, edges, papers.withColumns({"priority": F.when(k % 6 > 0, k % 40), "year": 1990 + k % 30}))
 
 
 @query("b21_resolve_names", "molecules paper_molecules odours", """

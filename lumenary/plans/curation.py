@@ -134,21 +134,41 @@ def f9(part):
 _COV = """cov AS (SELECT t.id, t.slug, t.root_branch, t.priority, count(DISTINCT p.id) AS papers, count(DISTINCT CASE WHEN relevance_llm >= 60 THEN p.id END) AS high FROM topics t LEFT JOIN paper_topics j ON j.topic_id = t.id LEFT JOIN papers p ON p.id = j.source_id GROUP BY 1,2,3,4)"""
 
 
-@query("f10_topic_coverage", "topics paper_topics papers", f", {_COV} SELECT * FROM cov")
-def f10(topics, junction, papers):
-    return C.topic_coverage(topics, junction, papers)
+#: A taxonomy that leaves some topics out, has its own priorities, and lists topics that the table lacks.
+ADAPTERS["bible"] = """
+    SELECT lower(n_name) AS slug, CASE WHEN n_nationkey % 3 = 1 THEN 'HIGH' WHEN n_nationkey % 3 = 2 THEN 'MED' ELSE 'LOW' END AS priority, r_name AS branch FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey % 4 > 0
+    UNION ALL SELECT concat('absent_', lower(r_name)), 'HIGH', r_name FROM region WHERE r_regionkey > 1"""
+_BIB = """, lk AS (SELECT topic_id, count(DISTINCT source_id) AS papers, count(DISTINCT CASE WHEN relevance_llm >= 60 THEN source_id END) AS high FROM paper_topics j JOIN papers p ON p.id = j.source_id GROUP BY 1),
+bc AS (SELECT t.id, t.slug, root_branch, b.priority, coalesce(papers, 0) AS papers, coalesce(high, 0) AS high, b.slug IS NOT NULL AS in_bible FROM topics t LEFT JOIN bible b ON b.slug = t.slug LEFT JOIN lk ON lk.topic_id = t.id)"""
 
 
-@query("f11_branch_rollup", "topics paper_topics papers", """
-, r AS (SELECT root_branch, count(DISTINCT slug) AS topics, count(DISTINCT source_id) AS papers, count(DISTINCT CASE WHEN relevance_llm >= 60 THEN source_id END) AS high FROM topics t LEFT JOIN paper_topics j ON j.topic_id = t.id LEFT JOIN papers p ON p.id = j.source_id GROUP BY 1)
-SELECT *, CASE WHEN papers > 0 THEN round(high * 100.0::DOUBLE / papers, 1) END AS high_share FROM r""")
-def f11(topics, junction, papers):
-    return C.branch_rollup(topics, junction, papers)
+@query("f10_topic_coverage", "topics paper_topics papers bible", f"{_BIB} SELECT * FROM bc")
+def f10(topics, junction, papers, bible):
+    return C.topic_coverage(topics, junction, papers, bible)
 
 
-@query("f12_white_space", "topics paper_topics papers", f", {_COV} SELECT * FROM cov WHERE priority = 'HIGH' ORDER BY papers, high, slug LIMIT 15")
-def f12(topics, junction, papers):
-    return C.white_space(C.topic_coverage(topics, junction, papers))
+@query("f11_branch_rollup", "topics paper_topics papers bible", """
+, r AS (SELECT root_branch, count(DISTINCT source_id) AS papers, count(DISTINCT CASE WHEN relevance_llm >= 60 THEN source_id END) AS high FROM topics t LEFT JOIN paper_topics j ON j.topic_id = t.id LEFT JOIN papers p ON p.id = j.source_id GROUP BY 1)
+SELECT root_branch, (SELECT count(DISTINCT slug) FROM bible WHERE branch = root_branch) AS topics, papers, high, CASE WHEN papers > 0 THEN round(high * 100.0::DOUBLE / papers, 1) ELSE 0 END AS high_share FROM r""")
+def f11(topics, junction, papers, bible):
+    return C.branch_rollup(topics, junction, papers, bible)
+
+
+@query("f12_white_space", "topics paper_topics papers bible", f"{_BIB} SELECT *, (SELECT count(*) FROM bc WHERE priority = 'HIGH' AND papers = 0) AS without_papers FROM bc WHERE priority = 'HIGH' ORDER BY papers, high, slug LIMIT 15")
+def f12(topics, junction, papers, bible):
+    return C.white_space(C.topic_coverage(topics, junction, papers, bible))
+
+
+@query("f12_missing_topics", "topics bible", "SELECT DISTINCT slug FROM bible WHERE slug NOT IN (SELECT slug FROM topics)")
+def f12b(topics, bible):
+    return C.missing_topics(bible, topics)
+
+
+@query("f13_thin_layers", "orders lineitem molecules", """SELECT 'claims' AS layer, count(*) AS n FROM orders UNION ALL SELECT 'claims_with_sources', count(DISTINCT l_orderkey) FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT 'claims_with_molecules', count(DISTINCT l_orderkey) FROM lineitem UNION ALL SELECT 'molecules', count(*) FROM molecules
+UNION ALL SELECT 'category: ' || coalesce(CASE WHEN id % 9 > 0 THEN category END, '(uncategorized)'), count(*) FROM molecules GROUP BY 1""")
+def f13b(orders, lineitem, molecules):
+    links = lineitem.select(F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("molecule_id"), "l_quantity")
+    return C.thin_layers(orders, links.where("l_quantity > 45"), links, molecules.withColumn("category", F.when(F.col("id") % 9 > 0, F.col("category"))))
 
 
 @query("f13_corpus_totals", "papers paper_topics", """SELECT count(*) AS papers, count(relevance_llm) AS scored, count(*) FILTER (WHERE relevance_llm >= 60) AS ge60, count(*) FILTER (WHERE relevance_llm >= 80) AS ge80,

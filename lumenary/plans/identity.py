@@ -204,10 +204,10 @@ def h1(papers, people):
     return I.match_authors(papers, people)
 
 
-@query("h2_merge_people", "papers people", f""", {_ML}, k AS (SELECT *, {_EK} AS person_key FROM people), o AS (SELECT person_key, min(id) AS id, arg_min(current_org, id) FILTER (WHERE current_org IS NOT NULL) AS current_org, arg_min(country, id) AS country, arg_min(relevance_score, id) FILTER (WHERE relevance_score IS NOT NULL) AS relevance_score FROM k GROUP BY 1),
-p AS (SELECT person_key, count(*) AS papers, min(paper_id) AS first_paper, max(paper_id) AS last_paper FROM ml GROUP BY 1) SELECT * FROM o JOIN p USING (person_key) WHERE papers >= 2""")
+@query("h2_merge_people", "papers people", f""", {_ML}, k AS (SELECT *, {_EK} AS person_key, CASE WHEN id % 13 = 0 THEN concat('A', id) END AS openalex_id FROM people), o AS (SELECT person_key, min(id) AS id, arg_min(current_org, id) FILTER (WHERE current_org IS NOT NULL) AS current_org, arg_min(country, id) AS country, arg_min(relevance_score, id) FILTER (WHERE relevance_score IS NOT NULL) AS relevance_score, arg_min(openalex_id, id) FILTER (WHERE openalex_id IS NOT NULL) AS openalex_id FROM k GROUP BY 1),
+p AS (SELECT person_key, count(*) AS papers, min(paper_id) AS first_paper, max(paper_id) AS last_paper FROM ml GROUP BY 1) SELECT * FROM o JOIN p USING (person_key) WHERE papers >= 40 OR openalex_id IS NOT NULL""")
 def h2(papers, people):
-    return I.merge_people(people, I.match_authors(papers, people))
+    return I.merge_people(people.withColumn("openalex_id", F.when(F.col("id") % 13 == 0, F.concat(F.lit("A"), "id"))), I.match_authors(papers, people), 40)
 
 
 @query("h3_people_papers", "papers paper_topics topics", "SELECT id, len(string_split(authors, ';')) AS authors, coalesce((SELECT string_agg(DISTINCT slug, '|' ORDER BY slug) FROM paper_topics j JOIN topics t ON t.id = j.topic_id WHERE j.source_id = papers.id), '') AS slugs FROM papers")
@@ -249,6 +249,12 @@ def h5(orgs, nation):
     return I.org_directory(orgs, aliases, "MACHINERY", "R1", 50).select("id", "name", "org_type", "country", "iso", "region")
 
 
+@query("h5_org_directory_country", "org_rows nation", "SELECT o.id, o.name, o.org_type, o.country, a.iso, a.region FROM org_rows o LEFT JOIN (SELECT concat('N', n_nationkey) AS country, concat('I', n_nationkey) AS iso, concat('R', n_regionkey) AS region FROM nation) a ON a.country = o.country WHERE iso = 'I7' ORDER BY name, id LIMIT 5")
+def h5b(orgs, nation):
+    aliases = nation.select(F.concat(F.lit("N"), F.col("n_nationkey")).alias("country"), F.concat(F.lit("I"), F.col("n_nationkey")).alias("iso"), F.concat(F.lit("R"), F.col("n_regionkey")).alias("region"))
+    return I.org_directory(orgs, aliases, limit=5, country="I7").select("id", "name", "org_type", "country", "iso", "region")
+
+
 @query("h8_import_new_orgs", "org_rows supplier", ", c AS (SELECT id, concat('Supplier#', lpad(CAST(id % 300 AS VARCHAR), 9, '0')) AS name, org_type FROM org_rows) SELECT id, name, org_type FROM (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY id) AS k FROM c WHERE lower(name) NOT IN (SELECT lower(trim(upper(s_name))) FROM supplier)) WHERE k = 1")
 def h8(orgs, supplier):
     candidates = orgs.select("id", F.concat(F.lit("Supplier#"), F.lpad((F.col("id") % 300).cast("string"), 9, "0")).alias("name"), "org_type")
