@@ -406,9 +406,12 @@ def curated_claims(claims: DataFrame, molecules: DataFrame, sources: DataFrame)
 
 
 def flat_triplets(claims: DataFrame) -> DataFrame:
-    """Nested claims as flat columns, lists joined by bars and the object's name cut to 200."""
-    return claims.select("claim_id", F.col("subject.id").alias("subject_id"), F.col("subject.name").alias("subject_name"), "predicate", F.col("object.id").alias("object_id"), F.substring(F.col("object.name"), 1, 200).alias("object_name"), "polarity",
-                         F.array_join("conditions.matrix", "|").alias("matrix"), F.col("conditions.temperature_c").alias("temperature_c"), F.col("conditions.ph").alias("ph"), F.array_join("measurement.method", "|").alias("method"), F.col("measurement.value").alias("value"), F.col("evidence.source_id").alias("source_id"), F.col("evidence.tier").alias("tier"))
+    """Nested claims as the nineteen flat columns of the export, lists joined by bars and the object's name cut to 200."""
+    joined = lambda c: F.coalesce(F.array_join(c, "|"), F.lit(""))
+    end = lambda c: [F.col(f"{c}.type").alias(f"{c}_type"), F.col(f"{c}.id").alias(f"{c}_id"), (F.substring(F.coalesce(f"{c}.name", F.lit("")), 1, 200) if c == "object" else F.col(f"{c}.name")).alias(f"{c}_name")]
+    return claims.select(
+        "claim_id", "class", *end("subject"), "predicate", *end("object"), "polarity", joined("conditions.matrix").alias("matrix"), joined("conditions.process").alias("process"), joined("measurement.method").alias("method"),
+        F.col("evidence.study_type").alias("study_type"), F.col("evidence.year").alias("year"), F.col("evidence.citation_count").alias("citation_count"), "weight", "n_independent_sources", "provenance")
 
 
 def normalise_claims(claims: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def backfill_topics(papers: DataFrame, topics: DataFrame, junction: DataFrame, v
     seen = bare.select("id", F.explode(F.array_distinct(values)).alias("value")).withColumn("key", norm_words(F.col("value"))).where(F.col("key") != "")
     keys = topics.select(norm_words(F.col("name")).alias("key"), F.lit(0).alias("order"), F.col("id").alias("topic_id")).unionByName(topics.select(norm_words(F.col("slug")).alias("key"), F.lit(1).alias("order"), F.col("id").alias("topic_id")))
     first = keys.groupBy("key").agg(F.min_by("topic_id", F.struct("order", "topic_id")).alias("topic_id"))
-    linked = seen.join(first, "key", "left")
+    linked = seen.join(checkpointed(first).hint("merge"), "key", "left")
     return linked.where(F.col("topic_id").isNotNull()).select(F.col("id").alias("source_id"), "topic_id").distinct(), linked.where(F.col("topic_id").isNull()).groupBy("key").agg(F.count("*").alias("n"))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, counted
 from .dictionary import parted, places, quoted, words_of
 
 #: Names too general to look for, words that are no molecules, and endings that make a word look chemical.
@@ -276,14 +276,14 @@ def entry_nodes(questions: DataFrame, labels: DataFrame) -> DataFrame:
 
 def seed_molecules(entry: DataFrame, edges: DataFrame, k: int = 15) -> DataFrame:
     """The k molecules of each question with most matched odours."""
-    hits = entry.join(edges.select(F.col("odour_id").alias("id"), "molecule_id"), "id").groupBy("qid", "molecule_id").agg(F.countDistinct("id").alias("hits"))
+    hits = edges.select(F.col("odour_id").alias("id"), "molecule_id").join(counted(entry), "id").groupBy("qid", "molecule_id").agg(F.countDistinct("id").alias("hits"))
     return hits.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("hits"), "molecule_id"))).where(F.col("nth") <= k).drop("nth")
 
 
 def expand_similar(seeds: DataFrame, similar: DataFrame, k: int = 12) -> DataFrame:
     """Neighbours of the seeds over both directions by summed similarity (0.4 where unknown), seeds apart."""
     both = similar.select(F.col("a").alias("molecule_id"), F.col("b").alias("other"), "jaccard").unionByName(similar.select(F.col("b").alias("molecule_id"), F.col("a").alias("other"), "jaccard"))
-    near = seeds.select("qid", "molecule_id").join(both, "molecule_id").groupBy("qid", "other").agg(F.sum(F.coalesce("jaccard", F.lit(0.4))).alias("score"))
+    near = both.join(counted(seeds.select("qid", "molecule_id")), "molecule_id").groupBy("qid", "other").agg(F.sum(F.coalesce("jaccard", F.lit(0.4))).alias("score"))
     fresh = near.join(seeds.select("qid", F.col("molecule_id").alias("other")), ["qid", "other"], "left_anti").withColumn("score", F.round("score", 6))
     return fresh.withColumn("nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "other"))).where(F.col("nth") <= k).select("qid", F.col("other").alias("molecule_id"), "score")
 

@@ -291,10 +291,19 @@ def parse_threshold(df: DataFrame, col: str = "odor_threshold") -> DataFrame:
     return df.withColumns({"threshold": number, "threshold_matrix": matrix, "flags": F.array_join(flags, "|")})
 
 
-def properties_long(df: DataFrame, props: dict[str, str]) -> DataFrame:
-    """One row per known property with its unit."""
-    rows = F.explode(F.array(*[F.struct(F.lit(p).alias("property"), F.col(p).cast("double").alias("value"), F.lit(u).alias("unit")) for p, u in props.items()])).alias("x")
-    return df.select("id", rows).select("id", "x.*").where(F.col("value").isNotNull())
+def properties_long(df: DataFrame, props: dict[str, tuple[str | None, str, float, list[str]]], derivation: str = "system_derived") -> DataFrame:
+    """A row for each known property, with where it comes from: (id, property, value_raw, value, unit, derivation, method, confidence, flags).
+
+    props: by property its unit, method, confidence and flags. A value that is text has no number; a list is joined by commas.
+    """
+    def row(p: str, unit: str | None, method: str, confidence: float, flags: list[str]) -> Column:
+        kind = df.schema[p].dataType.typeName()
+        raw = F.array_join(p, ",") if kind == "array" else F.col(p).cast("string")
+        number = F.lit(None).cast("double") if kind in ("array", "string") else F.col(p).cast("double")
+        fields = {"property": F.lit(p), "value_raw": raw, "value": number, "unit": F.lit(unit).cast("string"), "derivation": F.lit(derivation), "method": F.lit(method), "confidence": F.lit(confidence), "flags": F.array(*map(F.lit, flags)).cast("array<string>")}
+        return F.struct(*[c.alias(name) for name, c in fields.items()])
+    rows = F.explode(F.array(*[row(p, *about) for p, about in props.items()])).alias("x")
+    return df.select("id", rows).select("id", "x.*").where(F.col("value_raw").isNotNull())
 
 
 def latest_property(rows: DataFrame) -> DataFrame:
@@ -308,7 +317,12 @@ def crosscheck(a: DataFrame, b: DataFrame, tolerance: float = 0.5) -> DataFrame:
 
 
 def property_summary(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("property", "unit").agg(F.count("*").alias("n"), F.count("value").alias("numeric"), F.round(F.avg("value"), 4).alias("mean"))
+    """By property and derivation: rows, rows with a number, and mean confidence."""
+    return rows.groupBy("property", "derivation").agg(F.count("*").alias("n"), F.count("value").alias("numeric"), F.round(F.avg("confidence"), 2).alias("confidence"))
+
+
+def flag_counts(rows: DataFrame) -> DataFrame:
+    return rows.select(F.explode("flags").alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
 
 
 # People, journals and organizations.
@@ -523,7 +537,7 @@ def named_compound() -> Column:
 def top_volatiles(library: DataFrame, processes: list[str], k: int = 12) -> DataFrame:
     """Entries by number of citations (closing brackets), then score, then name."""
     cited = F.length(F.coalesce("cooked_meats_reported", F.lit(""))) - F.length(F.replace(F.coalesce("cooked_meats_reported", F.lit("")), F.lit("]"), F.lit("")))
-    return library.where(F.col("likely_process").isin(processes) & named_compound()).withColumn("mentions", cited).select("entry_no", "compound", "mentions", "beef_relevance_score").orderBy(F.desc("mentions"), F.col("beef_relevance_score").desc_nulls_last(), "compound", "entry_no").limit(k)
+    return library.where(F.col("likely_process").isin(processes) & named_compound()).withColumn("mentions", cited).select("entry_no", "compound", "chemical_group", "mentions", "beef_relevance_score").orderBy(F.desc("mentions"), F.col("beef_relevance_score").desc_nulls_last(), "compound", "entry_no").limit(k)
 
 
 def detected_aligned(library: DataFrame, molecules: DataFrame, processes: list[str]) -> DataFrame:
@@ -541,7 +555,20 @@ def sensory_radar(library: DataFrame, processes: list[str]) -> DataFrame:
     return long.withColumn("value", F.round(F.col("hits") / F.greatest(F.lit(1.0), F.max("hits").over(Window.partitionBy())), 2))
 
 
-def reaction_edges(library: DataFrame, mapping: dict[str, str], default: str = "other reactions") -> DataFrame:
-    """Class to reaction edges with the number of volatiles that back them."""
-    reaction = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), F.col("chemical_group")), F.lit(default))
-    return library.groupBy(F.col("chemical_group").alias("class"), reaction.alias("reaction")).agg(F.count("*").alias("volatiles"), F.count_if(F.col("likely_process").isNotNull()).alias("placed")).withColumn("backed", F.col("placed") > 0)
+def reaction_edges(volatiles: DataFrame, skeleton: DataFrame, reactions: DataFrame, mapping: dict[str, str], default: str) -> DataFrame:
+    """(src, dst): the curated edges, and one from its class's reaction to each listed volatile.
+
+    volatiles: name, class (those of `top_volatiles`); skeleton: src, dst; reactions: id. A class without a reaction, or with
+    one that the network doesn't have, goes to the default.
+    """
+    told = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), F.trim(F.coalesce("class", F.lit("")))), F.lit(default))
+    known = reactions.select(F.col("id").alias("told"), F.lit(True).alias("known"))
+    own = volatiles.select("name", told.alias("told")).join(F.broadcast(known), "told", "left")
+    slug = F.trim(F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-"), F.lit("-"))
+    return skeleton.select("src", "dst").unionByName(own.select(F.when(F.col("known"), F.col("told")).otherwise(F.lit(default)).alias("src"), F.concat(F.lit("v:"), slug).alias("dst")))
+
+
+def backed_reactions(edges: DataFrame, reactions: DataFrame) -> DataFrame:
+    """(id, volatiles, backed): how many listed volatiles each reaction leads to, and whether there is any."""
+    counts = edges.where(F.startswith("dst", F.lit("v:"))).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("volatiles"))
+    return reactions.select("id").join(F.broadcast(counts), "id", "left").select("id", F.coalesce("volatiles", F.lit(0)).alias("volatiles"), (F.coalesce("volatiles", F.lit(0)) > 0).alias("backed"))

@@ -158,15 +158,16 @@ def vector_search(items: DataFrame, queries: DataFrame, k: int = 20, block: int
 
 
 def lsh_search(items: DataFrame, queries: DataFrame, k: int = 20, bits: int = 6, tables: int = 64) -> DataFrame:
-    """Approximate vector search: sign hashes of random hyperplanes are joined, candidates re-ranked by exact cosine."""
+    """Approximate vector search: sign hashes of random hyperplanes are joined by id alone, candidates re-ranked by exact cosine."""
     def signed(df: DataFrame, key: str) -> DataFrame:
         plane = lambda t, b: F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (F.pmod(F.hash(i, F.lit(t * 64 + b)), F.lit(2001)) - 1000)), F.lit(0.0), lambda s, x: s + x) >= 0
         codes = [F.concat(F.lit(f"{t}:"), *[F.when(plane(t, b), "1").otherwise("0") for b in range(bits)]) for t in range(tables)]
-        return df.select(F.col("vec_id").alias(key), "embedding", F.explode(F.array(*codes)).alias("code"))
-    a, b = signed(items, "vec_id"), signed(queries, "qid").withColumnRenamed("embedding", "q")
-    pairs = a.join(b, "code").dropDuplicates(["qid", "vec_id"])
+        return df.select(F.col("vec_id").alias(key), F.explode(F.array(*codes)).alias("code"))
+    pairs = checkpointed(signed(items, "vec_id").join(counted(signed(queries, "qid")), "code").select("qid", "vec_id").distinct())
+    vectors = lambda df, key, name: df.select(F.col("vec_id").alias(key), F.col("embedding").alias(name))
+    both = pairs.join(vectors(items, "vec_id", "embedding").hint("merge"), "vec_id").join(vectors(queries, "qid", "q").hint("merge"), "qid")
     norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    scored = pairs.select("qid", "vec_id", F.round(dot(F.col("embedding"), F.col("q")) / (norm("embedding") * norm("q")), 6).alias("similarity"))
+    scored = both.select("qid", "vec_id", F.round(dot(F.col("embedding"), F.col("q")) / (norm("embedding") * norm("q")), 6).alias("similarity"))
     return top_k(scored, "qid", [F.desc("similarity"), F.col("vec_id")], k)
 
 
@@ -181,7 +182,7 @@ def check_vector_space(reference: DataFrame, new: DataFrame, least: float = 0.99
 def expand_one_hop(seeds: DataFrame, relations: DataFrame, k: int) -> DataFrame:
     """The k heaviest relations that touch any seed of a question."""
     ends = relations.select("relation_id", "weight", F.explode(F.array("src", "dst")).alias("item")).distinct()
-    touched = seeds.select("qid", "item").distinct().join(ends, "item").select("qid", "relation_id", "weight").distinct()
+    touched = seeds.select("qid", "item").distinct().join(checkpointed(ends).hint("merge"), "item").select("qid", "relation_id", "weight").distinct()
     return top_k(touched, "qid", [F.desc("weight"), F.col("relation_id")], k)
 
 
@@ -194,7 +195,7 @@ def merge_seed_expansion(seeds: DataFrame, neighbours: DataFrame) -> DataFrame:
 
 def attach_evidence(items: DataFrame, evidence: DataFrame) -> DataFrame:
     """Sorted distinct sources and chunks of each item."""
-    joined = items.select("qid", "item").join(evidence, "item", "left")
+    joined = items.select("qid", "item").join(evidence.hint("merge"), "item", "left")
     lists = lambda c: F.array_join(F.array_sort(F.collect_set(F.col(c).cast("string"))), "|").alias(f"{c}s")
     return joined.groupBy("qid", "item").agg(lists("source_id"), lists("chunk_id"))
 

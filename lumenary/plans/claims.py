@@ -172,9 +172,10 @@ def nested(claims):
     ends = lambda c, prefix: F.struct(F.col(c).alias("id"), F.concat(F.lit(prefix), F.col(c)).alias("name"), F.lit("thing").alias("type")).alias(c)
     return claims.select(
         "claim_id", ends("subject", "s"), F.lit("affects").alias("predicate"), ends("object", "o"), F.when(F.col("polarity") == "-", "negative").otherwise("positive").alias("polarity"),
-        F.struct(F.when(F.col("matrix").isNull(), F.array().cast("array<string>")).otherwise(F.array("matrix", F.lit("x"))).alias("matrix"), F.col("temp_c").alias("temperature_c"), F.col("ph")).alias("conditions"),
+        F.struct(F.when(F.col("matrix").isNull(), F.array().cast("array<string>")).otherwise(F.array("matrix", F.lit("x"))).alias("matrix"), F.col("temp_c").alias("temperature_c"), F.col("ph"), F.when(F.col("tier_code") > 0, F.array(F.lit("roasting"), F.lit("frying"))).alias("process")).alias("conditions"),
         F.struct(F.filter(F.array(_named(METHOD_TEXTS, "method_code"), F.lit("note")), lambda x: x.isNotNull()).alias("method"), F.col("low").alias("value"), F.when(F.col("method_code") < 5, "ug/kg").alias("unit")).alias("measurement"),
-        F.struct("source_id", _named(STUDY_TEXTS, "tier_code").alias("tier"), F.lit(None).cast("string").alias("study_type")).alias("evidence"))
+        F.struct("source_id", _named(STUDY_TEXTS, "tier_code").alias("tier"), F.lit(None).cast("string").alias("study_type"), (2000 + F.col("source_id") % 20).alias("year"), (F.col("source_id") % 90).alias("citation_count")).alias("evidence"),
+        F.concat(F.lit("class "), "axis").alias("class"), (F.col("tier_code") / 4).alias("weight"), (F.col("method_code") + 1).alias("n_independent_sources"), F.lit("derived").alias("provenance"))
 
 
 @query("e13_normalise_claims", "claims", """SELECT claim_id, concat('s', subject) AS subject, 'affects' AS predicate, concat('o', object) AS object, 'affects' AS axis, polarity, ['T1_experimental', 'T2_review', 'T4_conjecture', 'T3_inferred'][tier_code + 1] AS evidence_tier,
@@ -184,9 +185,9 @@ def e13(claims):
     return E.normalise_claims(nested(claims))
 
 
-@query("a14_flat_triplets", "claims", """SELECT claim_id, subject AS subject_id, concat('s', subject) AS subject_name, 'affects' AS predicate, object AS object_id, concat('o', object) AS object_name, CASE polarity WHEN '-' THEN 'negative' ELSE 'positive' END AS polarity,
- coalesce(matrix || '|x', '') AS matrix, temp_c AS temperature_c, ph, coalesce(['GC-O', 'Trained sensory panel', 'consumer survey', 'HS-SPME', 'Metabolomics by GC-MS', 'library', 'kinetic model', 'titration', NULL][method_code + 1] || '|', '') || 'note' AS method,
- low AS value, source_id, ['Experimental', 'review', 'modeling', NULL][tier_code + 1] AS tier FROM claims""")
+@query("a14_flat_triplets", "claims", """SELECT claim_id, 'class ' || axis AS class, 'thing' AS subject_type, subject AS subject_id, concat('s', subject) AS subject_name, 'affects' AS predicate, 'thing' AS object_type, object AS object_id, concat('o', object) AS object_name, CASE polarity WHEN '-' THEN 'negative' ELSE 'positive' END AS polarity,
+ coalesce(matrix || '|x', '') AS matrix, CASE WHEN tier_code > 0 THEN 'roasting|frying' ELSE '' END AS process, coalesce(['GC-O', 'Trained sensory panel', 'consumer survey', 'HS-SPME', 'Metabolomics by GC-MS', 'library', 'kinetic model', 'titration', NULL][method_code + 1] || '|', '') || 'note' AS method,
+ CAST(NULL AS VARCHAR) AS study_type, 2000 + source_id % 20 AS year, source_id % 90 AS citation_count, tier_code / 4.0::DOUBLE AS weight, method_code + 1 AS n_independent_sources, 'derived' AS provenance FROM claims""")
 def a14(claims):
     return E.flat_triplets(nested(claims))
 

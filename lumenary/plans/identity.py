@@ -162,19 +162,22 @@ def g15(thresholds):
     return I.parse_threshold(thresholds).drop("odor_threshold")
 
 
-PROPS = {"p_size": "mm", "p_retailprice": "EUR"}
+#: Properties with unit, method, confidence and flags.
+PROPS = {"p_retailprice": ("g/mol", "computed", 1.0, []), "p_size": (None, "estimated", 0.6, ["estimated_not_measured", "polarity_proxy"]), "groups": (None, "patterns", 0.95, []), "p_brand": (None, "listed", 0.9, ["polarity_proxy"])}
+_PL = """pl AS (SELECT id, x.p AS property, x.r AS value_raw, x.v AS value, x.u AS unit, 'system_derived' AS derivation, x.m AS method, x.c AS confidence, x.f AS flags FROM (SELECT p_partkey AS id, unnest([
+ {'p': 'p_retailprice', 'r': 'n', 'v': CASE WHEN p_partkey % 4 > 0 THEN p_retailprice END, 'u': 'g/mol', 'm': 'computed', 'c': 1.0::DOUBLE, 'f': ''}, {'p': 'p_size', 'r': CAST(p_size AS VARCHAR), 'v': p_size::DOUBLE, 'u': NULL, 'm': 'estimated', 'c': 0.6::DOUBLE, 'f': 'estimated_not_measured|polarity_proxy'},
+ {'p': 'groups', 'r': CASE WHEN p_size % 3 > 0 THEN 'a,' || p_brand END, 'v': NULL, 'u': NULL, 'm': 'patterns', 'c': 0.95::DOUBLE, 'f': ''}, {'p': 'p_brand', 'r': p_brand, 'v': NULL, 'u': NULL, 'm': 'listed', 'c': 0.9::DOUBLE, 'f': 'polarity_proxy'}]) AS x FROM part) WHERE x.r IS NOT NULL AND NOT (x.p = 'p_retailprice' AND x.v IS NULL))"""
 
 
 def props(part):
-    return I.properties_long(part.withColumn("id", F.col("p_partkey")).withColumn("p_size", F.when(F.col("p_size") % 6 > 0, F.col("p_size"))), PROPS)
-
-
-_PL = "pl AS (SELECT p_partkey AS id, 'p_size' AS property, p_size::DOUBLE AS value, 'mm' AS unit FROM part WHERE p_size % 6 > 0 UNION ALL SELECT p_partkey, 'p_retailprice', p_retailprice, 'EUR' FROM part WHERE p_retailprice IS NOT NULL)"
+    return I.properties_long(part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 4 > 0, F.col("p_retailprice")).alias("p_retailprice"), "p_size", F.when(F.col("p_size") % 3 > 0, F.array(F.lit("a"), F.col("p_brand"))).alias("groups"), "p_brand"), PROPS)
 
 
 @query("g16_properties_long", "part", f", {_PL} SELECT * FROM pl")
 def g16(part):
-    return props(part)
+    """The spelling of a number as text differs between engines, so it is checked for its presence only."""
+    out = props(part).withColumn("flags", F.array_join("flags", "|"))
+    return out.withColumn("value_raw", F.when(F.col("property") == "p_retailprice", "n").otherwise(F.col("value_raw")))
 
 
 @query("g16_latest_property", "lineitem", "SELECT id, property, reference, value FROM (SELECT l_partkey AS id, l_returnflag AS property, CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE l_linestatus END AS reference, l_quantity AS value, row_number() OVER (PARTITION BY l_partkey, l_returnflag, CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE l_linestatus END ORDER BY l_shipdate DESC, l_quantity DESC) AS k FROM lineitem) WHERE k = 1")
@@ -189,11 +192,16 @@ def g17(part):
     return I.crosscheck(a, b, 0.6)
 
 
-@query("g18_property_summary", "part", f", {_PL} SELECT property, unit, count(*) AS n, count(value) AS numeric, round(avg(value), 4) AS mean FROM pl GROUP BY 1, 2")
+@query("g18_property_summary", "part", f", {_PL} SELECT property, derivation, count(*) AS n, count(value) AS numeric, round(avg(confidence), 2) AS confidence FROM pl GROUP BY 1, 2")
 def g18(part):
     return I.property_summary(props(part))
 
 
+@query("g18_flag_counts", "part", f", {_PL} SELECT flag, count(*) AS n FROM (SELECT unnest(string_split(flags, '|')) AS flag FROM pl WHERE flags <> '') GROUP BY 1")
+def g18b(part):
+    return I.flag_counts(props(part))
+
+
 _FOLD = "regexp_replace(lower(translate({}, 'ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖØòóôõöøÙÚÛÜùúûüÝýÿĆćČčĘęŁłŃńŚśŠšŹźŻżŽžŐőŰűĞğİıŞş', 'AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOOooooooUUUUuuuuYyyCcCcEeLlNnSsSsZzZzZzOoUuGgIiSs')), '[^a-z]', '', 'g')"
 _EK = _FOLD.format(r"regexp_replace(regexp_replace(name, '^(prof\.?\s*)?(dr\.?\s*)?', '', 'i'), '\s*\(.*\)$', '')")
 _ML = rf"ml AS (SELECT DISTINCT person_key, paper_id FROM (SELECT id AS paper_id, {_FOLD.format('author')} AS person_key FROM (SELECT id, unnest(regexp_split_to_array(authors, '\s*[;,]\s*')) AS author FROM papers WHERE relevance_llm >= 60)) WHERE length(person_key) >= 6 AND person_key IN (SELECT {_EK} FROM people))"
@@ -351,7 +359,7 @@ PROCESSES = ["Maillard", "Both"]
 _PR = "likely_process IN ('Maillard', 'Both')"
 
 
-@query("i1_top_volatiles", "library", f"SELECT entry_no, compound, length(coalesce(cooked_meats_reported, '')) - length(replace(coalesce(cooked_meats_reported, ''), ']', '')) AS mentions, beef_relevance_score FROM library WHERE {_PR} AND trim(compound) <> '' ORDER BY mentions DESC, beef_relevance_score DESC NULLS LAST, compound, entry_no LIMIT 12")
+@query("i1_top_volatiles", "library", f"SELECT entry_no, compound, chemical_group, length(coalesce(cooked_meats_reported, '')) - length(replace(coalesce(cooked_meats_reported, ''), ']', '')) AS mentions, beef_relevance_score FROM library WHERE {_PR} AND trim(compound) <> '' ORDER BY mentions DESC, beef_relevance_score DESC NULLS LAST, compound, entry_no LIMIT 12")
 def i1(library):
     return I.top_volatiles(library, PROCESSES)
 
@@ -368,6 +376,24 @@ def i3(library):
     return I.sensory_radar(library, PROCESSES)
 
 
-@query("i4_reaction_edges", "library", "SELECT chemical_group AS class, CASE chemical_group WHEN 'ECONOMY' THEN 'Strecker' WHEN 'PROMO' THEN 'oxidation' ELSE 'other reactions' END AS reaction, count(*) AS volatiles, count(likely_process) AS placed, count(likely_process) > 0 AS backed FROM library GROUP BY 1, 2")
-def i4(library):
-    return I.reaction_edges(library, {"ECONOMY": "Strecker", "PROMO": "oxidation"})
+#: A curated network over the regions, and reactions of the classes that library entries have.
+MAPPING = {"PROMO": "r:oxidation", "ECONOMY": "r:strecker", "LARGE": "r:unknown"}
+_NET = f"""v AS (SELECT compound AS name, chemical_group AS class FROM library WHERE {_PR} AND trim(compound) <> '' ORDER BY length(coalesce(cooked_meats_reported, '')) - length(replace(coalesce(cooked_meats_reported, ''), ']', '')) DESC, beef_relevance_score DESC NULLS LAST, compound, entry_no LIMIT 12),
+ed AS (SELECT concat('p:', lower(r_name)) AS src, CASE WHEN r_regionkey % 2 = 0 THEN 'r:oxidation' ELSE 'r:strecker' END AS dst FROM region UNION ALL SELECT CASE split_part(class, ' ', 1) WHEN 'PROMO' THEN 'r:oxidation' WHEN 'ECONOMY' THEN 'r:strecker' ELSE 'r:other' END, 'v:' || trim(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '-') FROM v)"""
+
+
+def network_of(library, region):
+    volatiles = I.top_volatiles(library, PROCESSES).select(F.col("compound").alias("name"), F.concat(F.lit(" "), F.split_part("chemical_group", F.lit(" "), F.lit(1)), F.lit(" ")).alias("class"))
+    skeleton = region.select(F.concat(F.lit("p:"), F.lower("r_name")).alias("src"), F.when(F.col("r_regionkey") % 2 == 0, "r:oxidation").otherwise("r:strecker").alias("dst"))
+    reactions = region.select(F.explode(F.array(*map(F.lit, ("r:oxidation", "r:strecker", "r:other", "r:idle")))).alias("id")).distinct()
+    return I.reaction_edges(volatiles, skeleton, reactions, MAPPING, "r:other"), reactions
+
+
+@query("i4_reaction_edges", "library region", f", {_NET} SELECT * FROM ed")
+def i4(library, region):
+    return network_of(library, region)[0]
+
+
+@query("i4_backed_reactions", "library region", f", {_NET}, r AS (SELECT unnest(['r:oxidation', 'r:strecker', 'r:other', 'r:idle']) AS id) SELECT id, count(dst) AS volatiles, count(dst) > 0 AS backed FROM r LEFT JOIN ed ON src = id AND dst LIKE 'v:%' GROUP BY 1")
+def i4b(library, region):
+    return I.backed_reactions(*network_of(library, region))

@@ -122,8 +122,9 @@ _HOP = f"{_REL}, sd AS (SELECT label AS qid, vec_id AS item, vec_id % 7 AS rank
 
 
 def relations(e):
-    b = e.select(F.col("vec_id").alias("dst"), F.col("label").alias("label_2"))
-    pairs = e.join(b, (F.col("label") == F.col("label_2")) & (F.col("vec_id") < F.col("dst")) & (F.col("dst") - F.col("vec_id") <= 5))
+    """Each item with the next five ids of its label, found by id."""
+    near = e.select("label", "vec_id", F.explode(F.sequence(F.col("vec_id") + 1, F.col("vec_id") + 5)).alias("dst"))
+    pairs = near.join(e.select("label", F.col("vec_id").alias("dst")).hint("merge"), ["label", "dst"])
     return pairs.select((F.col("vec_id") * 100000 + F.col("dst")).alias("relation_id"), F.col("vec_id").alias("src"), "dst", ((F.col("vec_id") * 7 + F.col("dst") * 3) % 11).alias("weight"))
 
 
@@ -140,7 +141,7 @@ _MG = f"{_HOP}, nb AS (SELECT qid, unnest([src, dst]) AS item, nth AS rank FROM
 
 
 def merged(e):
-    hop = R.expand_one_hop(seeds(e), relations(e), 10).join(relations(e).drop("weight"), "relation_id")
+    hop = R.expand_one_hop(seeds(e), relations(e), 10).join(relations(e).drop("weight").hint("merge"), "relation_id")
     near = hop.select("qid", F.explode(F.array("src", "dst")).alias("item"), F.col("nth").cast("long").alias("rank"))
     return R.merge_seed_expansion(seeds(e), near)
 

@@ -156,7 +156,7 @@ def reconcile_import(entities: DataFrame, edges: DataFrame, items: DataFrame) ->
     """(check, n): vector items without a graph entity, entities without an item, edges with an unknown end, and both totals."""
     e, i = entities.select("id").distinct(), items.select("id").distinct()
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    checks = {"items_without_entity": i.join(e, "id", "left_anti"), "entities_without_item": e.join(i, "id", "left_anti"), "dangling_ends": ends.join(e, "id", "left_anti"), "entities": e, "items": i}
+    checks = {"items_without_entity": i.join(e.hint("merge"), "id", "left_anti"), "entities_without_item": e.join(i.hint("merge"), "id", "left_anti"), "dangling_ends": ends.join(e.hint("merge"), "id", "left_anti"), "entities": e, "items": i}
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n") for name, df in checks.items()])
 
 
