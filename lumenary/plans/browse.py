@@ -192,7 +192,7 @@ def c1(library, compounds):
 
 
 @query("c2_gaps", "library compounds", """
-SELECT entry_no, compound, cas_number, beef_relevance_score FROM library WHERE lower(compound) NOT IN (SELECT lower(name) FROM compounds) AND cas_number NOT IN (SELECT cas FROM compounds WHERE cas IS NOT NULL)""")
+SELECT entry_no, compound, cas_number, beef_relevance_score FROM library l WHERE NOT EXISTS (SELECT 1 FROM compounds c WHERE lower(c.name) = lower(l.compound)) AND NOT EXISTS (SELECT 1 FROM compounds c WHERE c.cas = l.cas_number)""")
 def c2(library, compounds):
     return B.gaps(library, compounds)
 

@@ -12,11 +12,12 @@ MOST_BROADCAST = 1 << 18
 
 
 def session(app: str = "lumenary", master: str | None = None, **conf: str) -> SparkSession:
-    """UTC, adaptive execution, and whatever else is given; on a cluster the master comes from the submission."""
+    """UTC, adaptive execution, Arrow batches of 1,000 rows (texts fill larger ones), checkpoints removed once nothing refers to them, and whatever else is given; on a cluster the master comes from the submission."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.enabled": "false"} | conf
+    settings = {"spark.sql.session.timeZone": "UTC", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.ui.enabled": "false",
+                "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.cleaner.referenceTracking.cleanCheckpoints": "true"} | conf
     return builder.config(map=settings).getOrCreate()
 
 

@@ -57,7 +57,7 @@ def test_against_sql(spark, data, checked):
     assert rows == sorted(str(tuple(plain(r[i]) for i in order)) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["d2_mine_mentions", "r6_lsh_search", "r11_pack_evidence"])
+@pytest.mark.parametrize("name", ["d2_mine_mentions", "r6_lsh_search", "r6_inverted_file_search"])
 def test_unchecked_run(spark, data, name):
     from lumenary import catalog
 
