@@ -185,10 +185,14 @@ def _telemetry(stream):
     return stream.select("event_id", F.col("user_id").alias("session_id"), F.col("ts").cast("timestamp").alias("created_at"), F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("oracle.failed")).alias("name"))
 
 
-_stream_query("j2_dedupe_stream", lambda spark, s: J.dedupe_stream(_telemetry(s)), "append")
+#: The given events have ids of their own, so the stream lets all of them through; repeats are dropped in the tests.
+_stream_query("j2_dedupe_stream", lambda spark, s: J.dedupe_stream(_telemetry(s)), "append", lambda df: df.withColumn("created_at", F.col("created_at").cast("timestamp_ntz")), sql=("telemetry", "SELECT event_id, session_id, created_at, name FROM telemetry"))
 _stream_query("j18_tumbling_stream", lambda spark, s: J.windowed_activity(_telemetry(s), delay="1 hour"), "update", lambda df: df.groupBy("name", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end")).agg(F.max("n").alias("n")), "j18_tumbling")
 _stream_query("j3_latest_turn_stream", lambda spark, s: J.latest_turn_stream(s.select(F.concat(F.lit("t"), (F.col("user_id") % 400).cast("string")).alias("turn_id"), F.when(F.col("event_id") % 6 == 0, "another").otherwise("one").alias("session_id"), F.col("event_id").alias("arrival"), (F.col("event_id") % 5).alias("revision"),
-              F.when(F.col("event_id") % 4 == 0, "completed").when(F.col("event_id") % 11 == 0, "failed").otherwise("submitted").alias("status"), F.col("props").alias("content"))), "update")
+              F.when(F.col("event_id") % 4 == 0, "completed").when(F.col("event_id") % 11 == 0, "failed").otherwise("submitted").alias("status"), F.col("props").alias("content"))), "update",
+              lambda df: K.latest(df.withColumn("n", F.col("revision")), ["turn_id"]))
+#: A turn's later states have higher revisions, so the last update is the state; it is that of the batch.
+ORACLES["j3_latest_turn_stream"] = f"SELECT turn_id, owner, revision, status, content FROM ({ORACLES['j3_latest_turn']})"
 
 
 def _withdrawn(s):
