@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
 from .substring import containing
 
 TEXT_KEYS = {"name", "journal", "authors"}
@@ -157,12 +158,20 @@ def list_sources(df: DataFrame, junction: DataFrame, topics: DataFrame, q: str =
     return found.orderBy(F.col("relevance_llm").desc_nulls_last(), F.desc("id")).limit(limit)
 
 
-def companies(people: DataFrame) -> DataFrame:
-    """Organizations of people, each with its smallest id, most frequent country (the smallest at a tie) and head count."""
-    named = people.withColumn("org", F.coalesce("current_org", F.concat(F.lit("of "), "country")))
-    by_country = named.groupBy("org", "country").agg(F.count("*").alias("n"), F.min("id").alias("id"))
-    best = F.min_by("country", F.struct(-F.col("n"), F.col("country")))
-    return by_country.groupBy("org").agg(F.min("id").alias("id"), best.alias("country"), F.sum("n").alias("people"))
+def companies(people: DataFrame, organizations: DataFrame | None = None) -> DataFrame:
+    """(org, id, country, org_type, people): the organizations, if there is any row of them; else those of people outside of universities.
+
+    Of people: grouped by organization, each with its smallest id, most frequent country and type (the smallest at a tie) and
+    head count; `is_academic` people are left out. A given organization has no head count.
+    """
+    if organizations is not None and not organizations.isEmpty():
+        return organizations.select(F.col("name").alias("org"), "id", "country", "org_type", F.lit(None).cast("long").alias("people"))
+    named = people.withColumn("org", F.coalesce("current_org", "affiliation")).where(F.col("org").isNotNull() & ~F.coalesce("is_academic", F.lit(False)))
+    def mode(c: str) -> DataFrame:
+        counts = named.where(F.col(c).isNotNull()).groupBy("org", c).agg(F.count("*").alias("n"))
+        return checkpointed(counts.groupBy("org").agg(F.min_by(c, F.struct(-F.col("n"), F.col(c))).alias(c))).hint("merge")
+    one = named.groupBy("org").agg(F.min("id").alias("id"), F.count("*").alias("people"))
+    return one.join(mode("country"), "org", "left").join(mode("org_type"), "org", "left").select("org", "id", "country", "org_type", "people")
 
 
 def distinct_facets(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -181,6 +190,14 @@ def phase_topics(df: DataFrame, junction: DataFrame, topics: DataFrame, slugs: l
     return fixed.join(junction, "topic_id", "left").groupBy("slug").agg(F.countDistinct("source_id").alias("papers"))
 
 
+def phase_totals(junction: DataFrame, topics: DataFrame, mentions: DataFrame, slugs: list[str]) -> DataFrame:
+    """One row: distinct papers over the selected slugs, and distinct molecules that these papers mention."""
+    fixed = topics.where(F.col("slug").isin(slugs)).select(F.col("id").alias("topic_id"))
+    own = checkpointed(junction.join(fixed.hint("merge"), "topic_id").select("source_id").distinct())
+    told = mentions.join(own.hint("merge"), "source_id", "left_semi").agg(F.countDistinct("molecule_id").alias("molecules"))
+    return own.agg(F.count("*").alias("papers")).crossJoin(F.broadcast(told))
+
+
 def phase_papers(df: DataFrame, junction: DataFrame, topics: DataFrame, slugs: list[str], limit: int = 50) -> DataFrame:
     """The best papers over the selected slugs, each with those that it has, sorted."""
     fixed = topics.where(F.col("slug").isin(slugs)).select("slug", F.col("id").alias("topic_id"))

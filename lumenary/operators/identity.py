@@ -244,6 +244,24 @@ def identity_report(df: DataFrame) -> DataFrame:
     return n.join(first.groupBy("key").agg(members.alias("members")).hint("merge"), "key")
 
 
+def fill_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(field, n): rows, and how many of them have each field."""
+    one = df.agg(F.count("*").alias("rows"), *[F.count(c).alias(c) for c in columns])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("n")) for c in ("rows", *columns)])).alias("x")).select("x.*")
+
+
+def rung_breakdown(df: DataFrame) -> DataFrame:
+    """(rung, n): what found each compound, without the value it was looked up by, remarks and notes."""
+    return df.groupBy(F.regexp_extract(F.coalesce("id_match_method", F.lit("not attempted")), r"^[^:+(]*", 0).alias("rung")).agg(F.count("*").alias("n"))
+
+
+def review_reasons(df: DataFrame) -> DataFrame:
+    """(reason, n): why compounds need a review."""
+    method = F.col("id_match_method")
+    reason = F.when(method.startswith("ambiguous"), "ambiguous (>1 CID)").when(method.startswith("unresolved"), "unresolved (no match)").when(method.contains("cas_mismatch"), "CAS mismatch vs PubChem").otherwise("other")
+    return df.where("id_needs_review").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
 def chemical_class(name: Column) -> Column:
     low = F.lower(F.trim(F.coalesce(name, F.lit(""))))
     out = F.lit("Other")

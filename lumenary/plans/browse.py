@@ -113,12 +113,25 @@ def b15(papers, junction, topics):
     return B.list_sources(papers, junction, topics, "on", SLUGS, 60).select(PAPER)
 
 
-@query("b16_companies", "people", """
-, n AS (SELECT coalesce(current_org, concat('of ', country)) AS org, country, id FROM people), g AS (SELECT org, country, count(*) AS n, min(id) AS id FROM n GROUP BY 1, 2),
-r AS (SELECT org, country, row_number() OVER (PARTITION BY org ORDER BY n DESC, country) AS k FROM g)
-SELECT g.org, min(g.id) AS id, max(r.country) AS country, CAST(sum(g.n) AS BIGINT) AS people FROM g JOIN r ON r.org = g.org AND r.k = 1 GROUP BY g.org""")
+_STAFF = "people_ AS (SELECT id, current_org, concat('of ', country) AS affiliation, country, CASE id % 3 WHEN 0 THEN 'maker' WHEN 1 THEN 'lab' END AS org_type, id % 10 = 1 AS is_academic FROM people)"
+
+
+def staff_of(people):
+    k = F.col("id")
+    return people.withColumns({"affiliation": F.concat(F.lit("of "), "country"), "org_type": F.when(k % 3 == 0, "maker").when(k % 3 == 1, "lab"), "is_academic": k % 10 == 1})
+
+
+@query("b16_companies", "people", f"""
+, {_STAFF}, n AS (SELECT *, coalesce(current_org, affiliation) AS org FROM people_ WHERE NOT is_academic), c AS (SELECT org, country, row_number() OVER (PARTITION BY org ORDER BY count(*) DESC, country) AS k FROM n GROUP BY org, country),
+t AS (SELECT org, org_type, row_number() OVER (PARTITION BY org ORDER BY count(*) DESC, org_type) AS k FROM n WHERE org_type IS NOT NULL GROUP BY org, org_type)
+SELECT org, id, country, org_type, people FROM (SELECT org, min(id) AS id, count(*) AS people FROM n GROUP BY 1) LEFT JOIN (FROM c WHERE k = 1) USING (org) LEFT JOIN (FROM t WHERE k = 1) USING (org)""")
 def b16(people):
-    return B.companies(people)
+    return B.companies(staff_of(people))
+
+
+@query("b16_organizations", "people supplier", "SELECT s_name AS org, s_suppkey AS id, CAST(s_nationkey AS VARCHAR) AS country, 'maker' AS org_type, CAST(NULL AS BIGINT) AS people FROM supplier")
+def b16b(people, supplier):
+    return B.companies(staff_of(people), supplier.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").cast("string").alias("country"), F.lit("maker").alias("org_type")))
 
 
 @query("b17_distinct_facets", "molecules", "SELECT DISTINCT 'category' AS facet, category AS value FROM molecules UNION SELECT DISTINCT 'chem_group', chem_group FROM molecules UNION SELECT DISTINCT 'process', process FROM molecules WHERE process IS NOT NULL")
@@ -136,6 +149,12 @@ def b18(papers, junction, topics):
     return B.phase_topics(papers, junction, topics, [*SLUGS, "nation_24"])
 
 
+@query("b18_phase_totals", "paper_topics topics paper_molecules", """, o AS (SELECT DISTINCT source_id FROM paper_topics p JOIN topics t ON t.id = p.topic_id WHERE slug IN ('nation_1','nation_3','nation_8'))
+SELECT (SELECT count(*) FROM o) AS papers, count(DISTINCT molecule_id) AS molecules FROM paper_molecules WHERE source_id IN (FROM o)""")
+def b18t(junction, topics, mentions):
+    return B.phase_totals(junction, topics, mentions, SLUGS)
+
+
 @query("b18_phase_papers", "papers paper_topics topics", """
 , o AS (SELECT source_id, array_to_string(list_sort(list_distinct(list(slug))), '|') AS slugs FROM paper_topics p JOIN topics t ON t.id = p.topic_id WHERE slug IN ('nation_1','nation_3','nation_8') GROUP BY 1)
 SELECT id, year, relevance_llm, slugs FROM papers JOIN o ON o.source_id = id ORDER BY relevance_llm DESC NULLS LAST, id DESC LIMIT 50""")

@@ -107,9 +107,31 @@ def g10(compounds):
     return unambiguous(compounds, F.col("name"), F.col("category"))
 
 
-@query("g11_identity_report", "compounds", ", k AS (SELECT translate(lower(name), ' ,-', '') AS key, id, name FROM compounds), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS r FROM k) SELECT key, count(*) AS n, string_agg(concat_ws(':', id, name), '; ' ORDER BY id) FILTER (WHERE r <= 20) AS members FROM n GROUP BY 1 HAVING count(*) > 1")
+@query("g11_identity_report", "compounds", ", k AS (SELECT translate(lower(split_part(name, ' ', 1)), ' ,-', '') AS key, id, name FROM compounds), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS r FROM k) SELECT key, count(*) AS n, string_agg(concat_ws(':', id, name), '; ' ORDER BY id) FILTER (WHERE r <= 20) AS members FROM n GROUP BY 1 HAVING count(*) > 1")
 def g11(compounds):
-    return I.identity_report(compounds.select(I.norm_mvl(F.col("name")).alias("key"), "id", "name"))
+    return I.identity_report(compounds.select(I.norm_mvl(F.split_part("name", F.lit(" "), F.lit(1))).alias("key"), "id", "name"))
+
+
+#: Compounds with what found them.
+ADAPTERS["matched"] = """
+    SELECT p_partkey AS id, p_name AS name, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS cas, CASE WHEN p_partkey % 5 > 0 THEN p_type END AS inchikey,
+           CASE p_partkey % 9 WHEN 0 THEN 'ambiguous:name' WHEN 1 THEN 'unresolved' WHEN 2 THEN 'cas_lookup:50-00-0+verified_by_cas' WHEN 3 THEN 'name_exact(cas_mismatch)' WHEN 4 THEN 'normalized:drop_spaces' WHEN 5 THEN 'mvl_cas:1-1-1' WHEN 6 THEN 'name_exact' WHEN 7 THEN 'odd' END AS id_match_method,
+           p_partkey % 4 < 3 AS id_needs_review FROM part"""
+
+
+@query("g11_fill_counts", "matched", "SELECT 'rows' AS field, count(*) AS n FROM matched UNION ALL SELECT 'cas', count(cas) FROM matched UNION ALL SELECT 'inchikey', count(inchikey) FROM matched")
+def g11b(matched):
+    return I.fill_counts(matched, ["cas", "inchikey"])
+
+
+@query("g11_rung_breakdown", "matched", "SELECT split_part(split_part(split_part(coalesce(id_match_method, 'not attempted'), ':', 1), '+', 1), '(', 1) AS rung, count(*) AS n FROM matched GROUP BY 1")
+def g11c(matched):
+    return I.rung_breakdown(matched)
+
+
+@query("g11_review_reasons", "matched", "SELECT CASE WHEN id_match_method LIKE 'ambiguous%' THEN 'ambiguous (>1 CID)' WHEN id_match_method LIKE 'unresolved%' THEN 'unresolved (no match)' WHEN id_match_method LIKE '%cas_mismatch%' THEN 'CAS mismatch vs PubChem' ELSE 'other' END AS reason, count(*) AS n FROM matched WHERE id_needs_review GROUP BY 1")
+def g11d(matched):
+    return I.review_reasons(matched)
 
 
 _ENDS = ["limonene", "menthol", "dimethylpyrazine", "thiophene", "dithiolane", "furfural", "pyrrole", "methylamine", "methanethiol", "dimethyl disulfide", "palmitic acid", "linoleic acid", "decalactone", "pantolide", "guaiacol", "thymol", "butanoic acid",

@@ -15,7 +15,7 @@ ADAPTERS["versions"] = "SELECT concat('w', CAST(o_custkey % 300 AS STRING)) AS w
 ADAPTERS["inbox"] = """
     SELECT concat(CASE WHEN c_custkey % 20 = 0 THEN 'x' ELSE 'ORG' END, '-', CAST(c_custkey % 1200 AS STRING)) AS record_id, CASE c_custkey % 3 WHEN 0 THEN 'Approved' WHEN 1 THEN 'merged' ELSE 'draft' END AS status,
            concat('mail me@', c_name, '.org now') AS note, CASE WHEN c_custkey % 2 = 0 THEN CAST(45000 + c_custkey % 300 AS STRING) ELSE '2024-02-29' END AS day, CASE WHEN c_custkey % 7 = 0 THEN 'n/a' ELSE CAST(c_nationkey AS STRING) END AS score,
-           CASE WHEN c_custkey % 5 = 0 THEN 'Z' ELSE 'A' END AS tier, CASE WHEN c_custkey % 4 = 0 THEN 'file:///etc' ELSE concat('https://n', CAST(c_nationkey AS STRING), '.example.org/x') END AS url FROM customer"""
+           CASE WHEN c_custkey % 5 = 0 THEN 'Z' ELSE 'A' END AS tier, CASE WHEN c_custkey % 4 = 0 THEN 'file:///etc' WHEN c_custkey % 4 = 1 THEN concat('http://a.example.org, https://n', CAST(c_nationkey AS STRING), '.example.org/x http://a.example.org') ELSE concat('https://n', CAST(c_nationkey AS STRING), '.example.org/x') END AS url FROM customer"""
 ADAPTERS["directory"] = "SELECT c_custkey AS id, c_name AS name, c_mktsegment AS org_type, CAST(c_nationkey AS STRING) AS country, concat(c_name, ' makes ', c_mktsegment, '. Founded long ago.') AS description FROM customer"
 
 
@@ -119,6 +119,18 @@ def a11(embeddings, links, molecules):
     return S.reconcile_import(molecules.select((F.col("id") + 3).alias("id")), links.select(F.col("source_id").alias("src"), F.col("molecule_id").alias("dst")), embeddings.select(F.col("vec_id").alias("id")))
 
 
+@query("a11_reconcile_evidence", "embeddings paper_molecules molecules documents", """, e AS (SELECT DISTINCT id FROM molecules), i AS (SELECT DISTINCT vec_id AS id FROM embeddings), c AS (SELECT doc_id AS chunk_id, doc_id % 50 AS document_id FROM documents), ev AS (SELECT DISTINCT vec_id AS item, vec_id * 3 AS chunk_id FROM embeddings),
+st AS (SELECT DISTINCT vec_id AS item, CASE WHEN vec_id % 5 = 0 THEN vec_id ELSE vec_id * 3 END AS chunk_id FROM embeddings), n AS (SELECT source_id AS id FROM paper_molecules UNION SELECT molecule_id FROM paper_molecules)
+SELECT 'items_without_entity' AS "check", count(*) AS n FROM i WHERE id NOT IN (FROM e) UNION ALL SELECT 'entities_without_item', count(*) FROM e WHERE id NOT IN (FROM i) UNION ALL SELECT 'dangling_ends', count(*) FROM n WHERE id NOT IN (FROM e) UNION ALL SELECT 'entities', count(*) FROM e UNION ALL SELECT 'items', count(*) FROM i
+UNION ALL SELECT 'dangling_chunks', count(*) FROM ev WHERE chunk_id NOT IN (SELECT chunk_id FROM c) UNION ALL SELECT 'chunks_outside_documents', count(*) FROM c WHERE document_id >= 40 UNION ALL SELECT 'evidence_not_stored', count(*) FROM (FROM ev EXCEPT FROM st) UNION ALL SELECT 'stored_without_evidence', count(*) FROM (FROM st EXCEPT FROM ev)
+UNION ALL SELECT 'chunks', count(*) FROM c UNION ALL SELECT 'difference_entities', count(*) - 100 FROM e UNION ALL SELECT 'difference_chunks', count(*) - 5000 FROM c""")
+def a11b(embeddings, links, molecules, documents):
+    v = F.col("vec_id")
+    chunks = documents.select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 50).alias("document_id"))
+    stored = embeddings.select(v.alias("item"), F.when(v % 5 == 0, v).otherwise(v * 3).alias("chunk_id"))
+    return S.reconcile_import(molecules, links.select(F.col("source_id").alias("src"), F.col("molecule_id").alias("dst")), embeddings.select(v.alias("id")), chunks, chunks.where("document_id < 40"), embeddings.select(v.alias("item"), (v * 3).alias("chunk_id")), stored, {"entities": 100, "chunks": 5000})
+
+
 @query("a12_csv_safe", "papers", r"""SELECT CAST(id AS VARCHAR) AS id, CASE WHEN regexp_matches(n, '^[=+\-@\t\r]') THEN '''' || n ELSE n END AS name, coalesce(CAST(year AS VARCHAR), '') AS year, CASE WHEN is_review THEN 'true' WHEN NOT is_review THEN 'false' ELSE '' END AS is_review, coalesce(doi, '') AS doi, 'a; ' || journal AS lists, CASE WHEN doi IS NULL THEN '' ELSE 'https://doi.org/' || doi END AS doi_url FROM (SELECT *, CASE WHEN id % 7 = 0 THEN '=' || name WHEN id % 7 = 1 THEN '-' || name ELSE name END AS n FROM papers)""")
 def a12(papers):
     k = F.col("id") % 7
@@ -164,6 +176,6 @@ def h6(directory, orders):
 
 
 @query("h7_reviewed_records", "inbox", r""", k AS (SELECT * FROM inbox WHERE lower(status) IN ('approved', 'merged') AND regexp_matches(record_id, '^[A-Z]+-[0-9]+$')), o AS (SELECT record_id FROM k GROUP BY 1 HAVING count(*) = 1)
-SELECT record_id, regexp_replace(note, '\S+@\S+', '[e-mail]', 'g') AS note, CASE WHEN regexp_matches(day, '^[0-9]+$') THEN DATE '1899-12-30' + try_cast(day AS INT) ELSE try_cast(day AS DATE) END AS day, coalesce(try_cast(score AS DOUBLE), 0) AS score, CASE WHEN tier IN ('A','B','C') THEN tier END AS tier, CASE WHEN url LIKE 'http%' THEN url END AS url FROM k JOIN o USING (record_id)""")
+SELECT record_id, regexp_replace(note, '\S+@\S+', '[e-mail]', 'g') AS note, CASE WHEN regexp_matches(day, '^[0-9]+$') THEN DATE '1899-12-30' + try_cast(day AS INT) ELSE try_cast(day AS DATE) END AS day, coalesce(try_cast(score AS DOUBLE), 0) AS score, CASE WHEN tier IN ('A','B','C') THEN tier END AS tier, CASE WHEN url LIKE 'http://a.%' THEN 'http://a.example.org' WHEN url LIKE 'http%' THEN url END AS url, CASE WHEN url LIKE 'http://a.%' THEN replace(replace(url, ' http://a.example.org', ''), ', ', '|') WHEN url LIKE 'http%' THEN url ELSE '' END AS evidence FROM k JOIN o USING (record_id)""")
 def h7(inbox):
     return S.reviewed_records(inbox)

@@ -152,12 +152,28 @@ def extract_body(pages: DataFrame) -> DataFrame:
     return out.where(F.col("body") != "").withColumn("characters", F.length("body").cast("long"))
 
 
-def reconcile_import(entities: DataFrame, edges: DataFrame, items: DataFrame) -> DataFrame:
-    """(check, n): vector items without a graph entity, entities without an item, edges with an unknown end, and both totals."""
+def reconcile_import(entities: DataFrame, edges: DataFrame, items: DataFrame, chunks: DataFrame | None = None, documents: DataFrame | None = None, evidence: DataFrame | None = None, stored: DataFrame | None = None, expected: dict[str, int] | None = None) -> DataFrame:
+    """(check, n): what is wrong with an imported graph, by count.
+
+    Vector items (id) without a graph entity and entities without an item, edges (src, dst) with an unknown end, and both
+    totals. With chunks (chunk_id, document_id), documents (document_id), evidence and stored (item, chunk_id): evidence of an
+    unknown chunk, chunks outside of the processed documents, pairs of the graph's evidence that are not stored, and stored ones that
+    the graph doesn't have. With expected counts: by how much `entities`, `items` and `chunks` differ from them.
+    """
     e, i = entities.select("id").distinct(), items.select("id").distinct()
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    checks = {"items_without_entity": i.join(e.hint("merge"), "id", "left_anti"), "entities_without_item": e.join(i.hint("merge"), "id", "left_anti"), "dangling_ends": ends.join(e.hint("merge"), "id", "left_anti"), "entities": e, "items": i}
-    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n") for name, df in checks.items()])
+    anti = lambda a, b, on: a.join(b.hint("merge"), on, "left_anti")
+    checks = {"items_without_entity": anti(i, e, "id"), "entities_without_item": anti(e, i, "id"), "dangling_ends": anti(ends, e, "id"), "entities": e, "items": i}
+    if chunks is not None:
+        known, pairs, held = chunks.select("chunk_id").distinct(), evidence.select("item", "chunk_id").distinct(), stored.select("item", "chunk_id").distinct()
+        checks |= {"dangling_chunks": anti(pairs, known, "chunk_id"), "chunks_outside_documents": anti(chunks.select("chunk_id", "document_id").distinct(), documents.select("document_id").distinct(), "document_id"),
+                   "evidence_not_stored": anti(pairs, held, ["item", "chunk_id"]), "stored_without_evidence": anti(held, pairs, ["item", "chunk_id"]), "chunks": known}
+    out = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n") for name, df in checks.items()])
+    if expected:
+        wanted = F.create_map(*[F.lit(x) for kv in expected.items() for x in kv])
+        off = out.where(F.col("check").isin(list(expected))).select(F.concat(F.lit("difference_"), "check").alias("check"), (F.col("n") - wanted[F.col("check")]).alias("n"))
+        out = out.unionByName(off)
+    return out
 
 
 def csv_safe(df: DataFrame, doi: str | None = "doi") -> DataFrame:
@@ -271,23 +287,37 @@ def publish_if_newer(candidates: DataFrame) -> DataFrame:
 URL = r"^https?://[A-Za-z0-9.-]+\.[A-Za-z]{2,}(/\S*)?$"
 
 
+#: Columns that a table of reviewed records must have.
+HEADERS = ["record_id", "status", "note", "day", "score", "tier", "url"]
+
+
 def reviewed_records(df: DataFrame) -> DataFrame:
-    """Approved or merged rows with a proper, unique id; e-mail addresses scrubbed, serial dates as dates, bad scores 0, public URLs only."""
+    """Approved or merged rows with a proper, unique id; e-mail addresses scrubbed, serial dates as dates, bad scores 0.
+
+    `url` is the first public URL of the cell and `evidence` all of them, each once. A table without one of the columns is refused.
+    """
+    missing = [c for c in HEADERS if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
     kept = df.where(F.lower("status").isin("approved", "merged") & F.col("record_id").rlike(r"^[A-Z]+-[0-9]+$"))
-    once = kept.groupBy("record_id").agg(F.count("*").alias("uses")).where("uses = 1").drop("uses")
+    once = checkpointed(kept.groupBy("record_id").agg(F.count("*").alias("uses")).where("uses = 1").drop("uses"))
     score = F.col("score").try_cast("double")
     day = F.when(F.col("day").rlike("^[0-9]+$"), F.date_add(F.lit("1899-12-30").cast("date"), F.col("day").cast("int"))).otherwise(F.col("day").try_cast("date"))
-    return kept.join(once, "record_id").select("record_id", F.regexp_replace("note", r"\S+@\S+", "[e-mail]").alias("note"), day.alias("day"), F.when(score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")), score).otherwise(0.0).alias("score"),
-                                               F.when(F.col("tier").isin("A", "B", "C"), F.col("tier")).alias("tier"), F.when(F.col("url").rlike(URL), F.col("url")).alias("url"))
+    urls = F.array_distinct(F.filter(F.split("url", r"[\s,;]+"), lambda u: u.rlike(URL)))
+    return kept.join(once.hint("merge"), "record_id").select(
+        "record_id", F.regexp_replace("note", r"\S+@\S+", "[e-mail]").alias("note"), day.alias("day"), F.when(score.isNotNull() & ~F.isnan(score) & (F.abs(score) < float("inf")), score).otherwise(0.0).alias("score"),
+        F.when(F.col("tier").isin("A", "B", "C"), F.col("tier")).alias("tier"), F.get(urls, F.lit(0)).alias("url"), F.coalesce(F.array_join(urls, "|"), F.lit("")).alias("evidence"))
 
 
-def validate_matches(matches: DataFrame, directory: DataFrame, sector: str | None = None, country: str | None = None, since: bool = False) -> DataFrame:
+def validate_matches(matches: DataFrame, directory: DataFrame, sector: str | None = None, country: str | None = None, since: bool = False, region: str | None = None) -> DataFrame:
     """Matches whose organization exists and honours the filters, each once; evidence must stand in the description, else its first sentence does."""
     known = directory
     if sector:
         known = known.where(F.col("org_type") == sector)
     if country:
         known = known.where(F.col("country") == country)
+    if region:
+        known = known.where(F.col("region") == region)
     first = matches.groupBy("id").agg(F.min_by("evidence", "pos").alias("evidence"), F.min("pos").alias("pos"))
     out = first.join(known.select("id", "name", "description"), "id")
     text = F.when(F.contains("description", F.col("evidence")) & (F.col("evidence") != ""), F.col("evidence")).otherwise(F.substring_index("description", ".", 1))

@@ -40,6 +40,15 @@ def two_runs(spark, tmp_path_factory):
     assert path.exists()
 
 
+def test_repeats(two_runs):
+    from lumenary.streaming.telemetry import dedupe_stream
+
+    every, run = two_runs
+    twice = lambda s: s.select("event_id", "created_at").union(s.select("event_id", "created_at"))
+    got = run(lambda s: dedupe_stream(twice(s)), "append")
+    assert got.count() == every.count() == got.select("event_id").distinct().count()
+
+
 def test_withdrawals(two_runs):
     from lumenary.streaming import state, telemetry
 
