@@ -198,6 +198,10 @@ def oversized_edges(claims: DataFrame, guard: int = 150) -> DataFrame:
     return claims.groupBy(*EDGE).agg(F.count("*").alias("n")).where(F.col("n") > guard)
 
 
+#: Claims by condition and measure from which on they are sorted.
+REPEATS = 8
+
+
 def _sweep(ids: np.ndarray, base: np.ndarray, side: np.ndarray, condition: np.ndarray, meets: np.ndarray, measure: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """The summed base of all claims of one edge that contradict each claim.
 
@@ -215,7 +219,11 @@ def _sweep(ids: np.ndarray, base: np.ndarray, side: np.ndarray, condition: np.nd
     order = np.lexsort((condition, measure, side))
     key = np.stack([side, measure, condition], axis=1)[order]
     edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)])) if len(order) else order
-    for a, b in zip(edge, np.append(edge[1:], len(order)), strict=True):
+    if len(edge) * REPEATS > len(order):  # conditions hardly repeat: sorting each would cost more than looking at the edge's few claims at once
+        apart = (below[None, :] < above[:, None]) | (below[:, None] < above[None, :])
+        out += (apart & (side[:, None] == side[None, :]) & (measure[:, None] == measure[None, :]) & (measure[:, None] >= 0) & meets[condition[:, None], condition[None, :]]) @ base
+        edge = edge[:0]
+    for a, b in zip(edge, np.append(edge[1:], len(order))[: len(edge)], strict=True):
         mine = order[a:b]
         s, m, c = key[a]
         if m < 0:

@@ -5,7 +5,10 @@ import random
 import pytest
 
 
-def claim(rng, i, wide):
+def claim(rng, i, wide, coarse=False):
+    if coarse:  # few conditions, so that claims are sorted by them
+        low = rng.choice([None, rng.uniform(0, wide)])
+        return (f"c{i}", 0, "axis", 0, rng.choice("+-"), rng.choice(["m1", "m2"]), 20.0, rng.choice([4.0, 6.5]), low, None if low is None else low + rng.uniform(0, wide / 5), "OAV", None, rng.choice([0.2, 0.5, 1.0]))
     low = rng.choice([None, rng.uniform(0, wide)])
     return (f"c{i}", rng.randrange(2), "axis", rng.randrange(2), rng.choice("+-"), rng.choice([None, "", "m1", "m2"]), rng.choice([None, 20.0, 40.0, 41.0, 90.0]), rng.choice([None, 4.0, 5.0, 6.5]),
             low, None if low is None else low + rng.uniform(0, wide / 5), rng.choice([None, "OAV", "concentration"]), rng.choice([None, "ug/kg"]), rng.choice([0.2, 0.5, 1.0]))
@@ -19,12 +22,12 @@ def contradicts(a, b):
     return p != p2 or apart
 
 
-@pytest.mark.parametrize("wide", [1.0, 1000.0])
-def test_oppositions_equal_pairs(spark, wide):
+@pytest.mark.parametrize(("wide", "coarse"), [(1.0, False), (1000.0, False), (100.0, True)])
+def test_oppositions_equal_pairs(spark, wide, coarse):
     from lumenary.operators.claims import conflict_pairs, oppositions
 
     rng = random.Random(int(wide))
-    rows = [claim(rng, i, wide) for i in range(240)]
+    rows = [claim(rng, i, wide, coarse) for i in range(140 if coarse else 240)]
     rows += [(rows[0][0], *rows[0][1:4], "+" if rows[0][4] == "-" else "-", *rows[0][5:])]  # an id that repeats
     df = spark.createDataFrame(rows, "claim_id string, subject int, axis string, object int, polarity string, matrix string, temp_c double, ph double, low double, high double, quantity string, unit string, base double")
     want = {}

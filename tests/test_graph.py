@@ -70,11 +70,13 @@ def test_places_of_an_empty_dictionary(spark):
     assert mine_mentions(spark.createDataFrame(texts(5), "id long, text string"), spark.createDataFrame([], "name string")).count() == 0
 
 
-@pytest.mark.parametrize("top", [5, 60, 10_000])
-def test_similar_pairs(spark, top):
+@pytest.mark.parametrize(("top", "counted"), [(5, 0), (60, 0), (10_000, 0), (60, 256)])
+def test_similar_pairs(spark, top, counted, monkeypatch):
     """Against all pairs: a hot attribute that nearly every item holds, large sets and small ones."""
+    from lumenary.operators import graph
     from lumenary.operators.graph import jaccard_pairs
 
+    monkeypatch.setattr(graph, "COUNTED_PAIRS", counted)
     rng = random.Random(top)
     held = {i: {rng.randrange(60) for _ in range(rng.choice([1, 2, 3, 6, 14]))} | ({100} if rng.random() < 0.9 else set()) | ({101} if i % 2 else set()) for i in range(160)}
     held[200] = held[201] = set(range(30))
