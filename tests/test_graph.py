@@ -94,3 +94,15 @@ def test_similar_pairs(spark, top, counted, monkeypatch):
         assert sorted(tuple(r) for r in jaccard_pairs(edges, "m", "o", top=None).collect()) == sorted(want)
         seeds = spark.createDataFrame([(3,), (200,)], "m long")
         assert sorted(tuple(r) for r in jaccard_pairs(edges, "m", "o", top=None, around=seeds).collect()) == sorted(p for p in want if {3, 200} & set(p[:2]))
+
+
+def test_mining_writes_no_places(spark):
+    """A common word costs nothing outside of the text's own task: no shuffle or checkpoint holds the places."""
+    from lumenary.operators.graph import mine_mentions, mine_mentions_simple
+
+    docs = spark.createDataFrame([("a", "roast acetal " * 5000), ("b", "acetals")], "id string, text string")
+    names = spark.createDataFrame([("acetal",), ("roast acetal",)], "name string")
+    for mine, want in ((mine_mentions, {("a", "roast acetal", 0, 12), ("a", "acetal", 19, 25), ("b", "acetal", 0, 7)}), (mine_mentions_simple, {("a", "acetal"), ("a", "roast acetal")})):
+        got = mine(docs, names)
+        assert {tuple(r) for r in got.collect()} == want
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
