@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,8 +33,17 @@ def _per_year(year: int) -> Column:
     return F.when((F.col("citation_count") > 0) & (F.col("year") > 0), F.col("citation_count") / F.greatest(F.lit(1), year - F.col("year")) * 3).otherwise(0.0)
 
 
+def _per_year_tenths(year: int) -> Column:
+    """The same in tenths, halves up."""
+    age = F.greatest(F.lit(1), year - F.col("year"))
+    return F.when((F.col("citation_count") > 0) & (F.col("year") > 0), F.floor((60 * F.col("citation_count").cast("long") + age) / (2 * age))).otherwise(F.lit(0))
+
+
 def priority_score(df: DataFrame, tagged: DataFrame | None = None, year: int = 2026) -> DataFrame:
-    """base (0-100), priority (blended with the relevance where there is one) and is_review_guess."""
+    """base (0-100), priority (blended with the relevance where there is one) and is_review_guess.
+
+    Both are rounded to a tenth, halves up. Points are counted in whole tenths and blended as decimals, so a half is one.
+    """
     p = POINTS
     if tagged is not None:
         df = df.join(tagged.select(F.col("source_id").alias("id")).distinct().withColumn("has_tag", F.lit(True)), "id", "left")
@@ -42,13 +52,13 @@ def priority_score(df: DataFrame, tagged: DataFrame | None = None, year: int = 2
     text = F.concat_ws(" ", F.coalesce("name", F.lit("")), F.coalesce("abstract", F.lit("")))
     review = F.coalesce(F.col("name").rlike(REVIEW_WORDS), F.lit(False))
     venue = F.when(F.coalesce("journal", F.lit("")) == "", 0.0).when(is_core(F.col("journal")), p["core"]).otherwise(p["other"])
-    cites = F.least(F.lit(p["cites"]), _per_year(year))
+    cites = F.least(F.lit(int(10 * p["cites"])), _per_year_tenths(year))
     recent = F.when(F.col("year") >= RECENT, p["recent"]).when(F.col("year") >= FAIRLY_RECENT, p["recent"] / 2).otherwise(0.0)
     points = lambda yes, n: F.when(yes, n).otherwise(0.0)
-    score = points(text.rlike(TOPIC_WORDS), p["topic"]) + venue + points(review, p["review"]) + cites + recent + points(F.col("has_tag"), p["tagged"])
-    base = F.round(F.least(F.lit(100.0), score), 1)
-    blend = F.when(F.col("relevance_llm").isNotNull(), F.round(F.col("relevance_llm") * 0.6 + F.col("base") * 0.4, 1)).otherwise(F.col("base"))
-    return df.withColumn("base", base).withColumn("priority", blend).withColumn("is_review_guess", review)
+    score = points(text.rlike(TOPIC_WORDS), p["topic"]) + venue + points(review, p["review"]) + recent + points(F.col("has_tag"), p["tagged"])
+    tenths = F.least(F.lit(1000), (10 * score).cast("long") + cites)
+    blend = F.when(F.col("relevance_llm").isNotNull(), F.round(F.col("relevance_llm").cast("decimal(18,6)") * F.lit(Decimal("0.6")) + F.col("tenths").cast("decimal(5,0)") * F.lit(Decimal("0.04")), 1).cast("double")).otherwise(F.col("base"))
+    return df.withColumn("tenths", tenths).withColumn("base", F.col("tenths") / 10).withColumn("priority", blend).drop("tenths").withColumn("is_review_guess", review)
 
 
 def score_buckets(df: DataFrame, col: str = "priority") -> DataFrame:

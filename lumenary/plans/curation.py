@@ -30,9 +30,10 @@ _CORE = " OR ".join(f"contains(lower(journal), '{v}')" for v in ("food chemistry
                                                                 "journal of the science of food and agriculture", "trends in food science", "npj science of food", "lwt", "molecules", "foods"))
 PRIORITY = rf"""
 , marked AS (SELECT p.*, p.id IN (SELECT source_id FROM paper_topics) AS has_tag, regexp_matches(name, '(?i)\b(review|meta-analysis|systematic|state[- ]of[- ]the[- ]art|overview|advances in)\b') AS is_review_guess FROM titled p),
-scored AS (SELECT *, round(least(100.0, CASE WHEN regexp_matches(name || ' ' || abstract, '(?i)(meat|beef|pork|chicken|poultry|flavou?r|aroma|volatile|umami|maillard|strecker|lipid oxidation|sensory|odou?r|hydrolysate|yeast extract)') THEN 25.0 ELSE 0.0 END
+scored AS (SELECT *, least(1000, (10 * (CASE WHEN regexp_matches(name || ' ' || abstract, '(?i)(meat|beef|pork|chicken|poultry|flavou?r|aroma|volatile|umami|maillard|strecker|lipid oxidation|sensory|odou?r|hydrolysate|yeast extract)') THEN 25.0 ELSE 0.0 END
  + CASE WHEN coalesce(journal, '') = '' THEN 0.0 WHEN {_CORE} THEN 20.0 ELSE 8.0 END + CASE WHEN is_review_guess THEN 15.0 ELSE 0.0 END
- + CASE WHEN citation_count > 0 AND year > 0 THEN least(20.0, citation_count::DOUBLE / greatest(1, 2026 - year) * 3) ELSE 0.0 END + CASE WHEN year >= 2021 THEN 10.0 WHEN year >= 2015 THEN 5.0 ELSE 0.0 END + CASE WHEN has_tag THEN 10.0 ELSE 0.0 END)::DOUBLE, 1) AS base FROM marked),
+ + CASE WHEN year >= 2021 THEN 10.0 WHEN year >= 2015 THEN 5.0 ELSE 0.0 END + CASE WHEN has_tag THEN 10.0 ELSE 0.0 END))::BIGINT
+ + CASE WHEN citation_count > 0 AND year > 0 THEN least(200, (60 * citation_count + greatest(1, 2026 - year)) // (2 * greatest(1, 2026 - year))) ELSE 0 END)::DOUBLE / 10 AS base FROM marked),
 final AS (SELECT *, CASE WHEN relevance_llm IS NOT NULL THEN round(relevance_llm * 0.6::DOUBLE + base * 0.4::DOUBLE, 1) ELSE base END AS priority FROM scored)
 """
 

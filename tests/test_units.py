@@ -234,3 +234,19 @@ def test_pairs_around_some_items(spark, data):
     every = jaccard_pairs(edges, "molecule_id", "odour_id", top=None).collect()
     near = jaccard_pairs(edges, "molecule_id", "odour_id", top=None, around=edges.where("molecule_id % 7 = 0")).collect()
     assert sorted(map(str, near)) == sorted(str(r) for r in every if r.a in some or r.b in some) != []
+
+
+def test_priority_halves(spark):
+    """Rounded as exact numbers are: a half is rounded up whatever a double makes of it."""
+    from decimal import ROUND_HALF_UP, Decimal
+    from fractions import Fraction
+
+    from lumenary.operators.curation import priority_score
+
+    rows = [(c, y, r) for c in range(0, 400, 7) for y in range(2001, 2027) for r in (None, 57)]
+    got = priority_score(spark.createDataFrame(rows, "citation_count int, year int, relevance_llm int").selectExpr("*", "'x' AS name", "'y' AS abstract", "'z' AS journal")).collect()
+    tenth = lambda x: float((Decimal(x.numerator) / Decimal(x.denominator)).quantize(Decimal("0.1"), ROUND_HALF_UP))
+    for g in got:
+        base = tenth(8 + min(Fraction(20), Fraction(3 * g.citation_count, max(1, 2026 - g.year))) + (10 if g.year >= 2021 else 5 if g.year >= 2015 else 0))
+        assert g.base == base
+        assert g.priority == (base if g.relevance_llm is None else tenth(Fraction(6, 10) * g.relevance_llm + Fraction(4, 10) * Fraction(str(base))))
