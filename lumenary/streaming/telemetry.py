@@ -90,15 +90,27 @@ def latest_turn(df: DataFrame) -> DataFrame:
     return out.groupBy("turn_id").agg(arrived.alias("r")).withColumns({"held": step, "rejected": rejected}).select("turn_id", "held.owner", "held.revision", "held.status", "held.content", "rejected")
 
 
+def _rises(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows by arrival, without those that an earlier one of the same identity equals or exceeds: no fold ever takes these."""
+    rows = rows.sort_values(["arrival", "owner", "revision", "status", "content"], kind="stable", na_position="first", ignore_index=True)
+    before = rows.groupby("owner", dropna=False)["revision"].cummax().groupby(rows["owner"], dropna=False).shift()
+    return rows[before.isna() | (rows["revision"] > before)]
+
+
 def latest_turn_stream(stream: DataFrame) -> DataFrame:
-    """The stream of state changes by turn, state kept per key: (turn_id, owner, revision, status, content)."""
+    """The stream of state changes by turn, state kept per key: (turn_id, owner, revision, status, content).
+
+    A micro-batch may bring a turn in many pieces of any order; of each piece only the rising revisions of an identity are
+    held, and all of them are applied by arrival.
+    """
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
-        changed = False
+        changed, rows = False, None
         for pdf in batches:
-            for row in pdf.sort_values("arrival").itertuples():
-                if held is None or (held[2] == "submitted" and row.revision > held[1] and row.owner == held[0]):
-                    held, changed = (row.owner, int(row.revision), row.status, row.content), True
+            rows = _rises(pdf if rows is None else pd.concat([rows, pdf]))
+        for row in rows.itertuples() if rows is not None else ():
+            if held is None or (held[2] == "submitted" and row.revision > held[1] and row.owner == held[0]):
+                held, changed = (row.owner, int(row.revision), row.status, row.content), True
         if changed:
             state.update(held)
             yield pd.DataFrame([(key[0], *held)], columns=["turn_id", "owner", "revision", "status", "content"])

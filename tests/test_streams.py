@@ -111,3 +111,17 @@ def test_exact_median(spark, values):
     known = [v for v in values if v is not None]
     got = exact_median(spark.createDataFrame([(v,) for v in values], "v long"), "v").first().median
     assert got == (statistics.median(known) if known else None)
+
+
+def test_turn_in_many_pieces(spark, tmp_path):
+    """A turn of more rows than an Arrow batch, which come in any order of arrival."""
+    from lumenary.sources.streams import run_stream
+    from lumenary.streaming.telemetry import latest_turn, latest_turn_stream
+
+    rng = random.Random(4)
+    made = [(f"t{i % 3}", rng.choice(["one", "another"]), i, rng.randrange(40), rng.choice(["submitted"] * 30 + ["completed"]), f"c{i}") for i in range(600)]
+    rng.shuffle(made)
+    spark.createDataFrame(made, "turn_id string, session_id string, arrival long, revision long, status string, content string").coalesce(1).write.parquet(f"{tmp_path}/in")
+    got = run_stream(spark, f"{tmp_path}/in", latest_turn_stream, "update", settings={"spark.sql.execution.arrow.maxRecordsPerBatch": "7"})
+    want = latest_turn(spark.read.parquet(f"{tmp_path}/in")).drop("rejected")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
