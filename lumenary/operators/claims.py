@@ -372,11 +372,25 @@ def pathway_claims(library: DataFrame, compounds: DataFrame) -> DataFrame:
     paths = reduce(lambda out, kv: F.when(F.col("likely_process") == kv[0], F.array(*map(F.lit, kv[1]))).otherwise(out), PATHWAYS.items(), other)
     entries = library.select("entry_no", blank("cas_number").alias("cas"), F.explode(paths).alias("pathway"), F.nullif("cooked_meats_reported", F.lit("")).alias("matrix"), F.nullif("odor_threshold", F.lit("")).alias("value")).where(F.col("cas").isNotNull())
     known = compounds.select(F.col("id").alias("molecule_id"), blank("cas").alias("cas")).where(F.col("cas").isNotNull())
-    met = checkpointed(entries).join(known.hint("merge"), "cas")
+    # The claims grow with the square of a number's rows, so repeats go before the join. Only what is listed under several
+    # numbers, or under no id, can meet twice after it.
+    entries = checkpointed(entries.withColumn("object", norm_key(F.col("pathway"))).dropDuplicates(["entry_no", "cas", "object"]))
+    known = checkpointed(known.distinct())
+    numbers = entries.groupBy("entry_no").agg(F.min("cas").alias("least"), F.max("cas").alias("most"))
+    several = checkpointed(numbers.where((F.col("least") != F.col("most")) | F.col("entry_no").isNull()).select(F.col("entry_no").alias("twice")))
+    nameless = not known.where(F.col("molecule_id").isNull()).isEmpty()
     method = F.when(F.col("value").isNotNull(), LIBRARY_METHOD[0]).otherwise(LIBRARY_METHOD[1])
-    return met.select(
-        F.concat_ws("-", F.lit("C-mvl"), "entry_no", "molecule_id", norm_key(F.col("pathway"))).alias("claim_id"), "molecule_id", norm_key(F.col("pathway")).alias("object"), "pathway", "matrix", "value", F.lit(None).cast("long").alias("source_id"),
-        F.lit(LIBRARY_TIER).alias("tier"), method.alias("method"), F.lit(LIBRARY_DIRECT).alias("directness")).dropDuplicates(["claim_id"])
+
+    def claims(some: DataFrame) -> DataFrame:
+        return some.join(known.hint("merge"), "cas").select(
+            F.concat_ws("-", F.lit("C-mvl"), "entry_no", "molecule_id", "object").alias("claim_id"), "molecule_id", "object", "pathway", "matrix", "value", F.lit(None).cast("long").alias("source_id"),
+            F.lit(LIBRARY_TIER).alias("tier"), method.alias("method"), F.lit(LIBRARY_DIRECT).alias("directness"))
+    if nameless:
+        return claims(entries).dropDuplicates(["claim_id"])
+    if several.isEmpty():
+        return claims(entries)
+    listed = lambda how: entries.join(several.hint("merge"), F.col("entry_no").eqNullSafe(F.col("twice")), how)
+    return claims(listed("left_anti")).unionByName(claims(listed("left_semi")).dropDuplicates(["claim_id"]))
 
 
 def reported_pathways(reported: DataFrame, papers: DataFrame) -> DataFrame:

@@ -41,3 +41,27 @@ def test_oppositions_equal_pairs(spark, wide, coarse):
     pairs = {(r.claim_a, r.claim_b) for r in conflict_pairs(df).where("kind = 'contradiction'").collect()}
     assert pairs == {(a[0], b[0]) for a in rows for b in rows if a[1:4] == b[1:4] and a[0] < b[0] and contradicts(a, b)}
     assert oppositions(df, guard=10).count() == 0
+
+
+def test_pathway_claims_keep_repeats_apart(spark):
+    """Entries listed twice or under several numbers claim once; claims of the others are neither shuffled nor aggregated."""
+    from lumenary.operators.claims import pathway_claims
+
+    entry = "entry_no long, cas_number string, likely_process string, cooked_meats_reported string, odor_threshold string"
+    known = spark.createDataFrame([(1, "1-1"), (1, "2-2"), (2, "1-1"), (2, "1-1"), (3, None)], "id long, cas string")
+    plain = spark.createDataFrame([(7, " 1-1", "Both", None, "1"), (7, "1-1", "Both", None, "1"), (8, "2-2", "Maillard", "", "")], entry)
+    got = pathway_claims(plain, known)
+    ids = ["C-mvl-7-1-lipid oxidation", "C-mvl-7-1-maillard reaction", "C-mvl-7-2-lipid oxidation", "C-mvl-7-2-maillard reaction", "C-mvl-8-1-maillard reaction"]
+    assert sorted(r.claim_id for r in got.collect()) == ids
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    moved = spark.createDataFrame([(7, "1-1", "Maillard", None, "1"), (7, "2-2", "Maillard", None, "1"), (8, "2-2", "Maillard", "", "")], entry)
+    assert sorted(r.claim_id for r in pathway_claims(moved, known).collect()) == ["C-mvl-7-1-maillard reaction", "C-mvl-7-2-maillard reaction", "C-mvl-8-1-maillard reaction"]
+
+
+def test_or_join_holds_no_pairs(spark):
+    from lumenary.operators.browse import or_join
+
+    ref = spark.createDataFrame([(1, "A", "1-1"), (2, None, "1-1"), (3, "b", None), (4, None, None)], "entry_no long, compound string, cas_number string")
+    got = or_join(ref, spark.createDataFrame([(10, "a", "1-1"), (11, "B", "1-1"), (12, None, "1-1"), (13, "b", None)], "id long, name string, cas string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 10, "exact_name"), (1, 11, "cas_match"), (1, 12, "cas_match"), (2, 10, "cas_match"), (2, 11, "cas_match"), (2, 12, "cas_match"), (3, 11, "exact_name"), (3, 13, "exact_name")]
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
