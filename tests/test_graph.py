@@ -106,3 +106,18 @@ def test_mining_writes_no_places(spark):
         got = mine(docs, names)
         assert {tuple(r) for r in got.collect()} == want
         assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_carry_no_sizes(spark):
+    """What is shuffled by pair is the pair alone: sizes are joined to the few pairs that share enough."""
+    from lumenary.operators.graph import jaccard_pairs
+
+    edges = spark.createDataFrame([(i, j) for i in range(30) for j in range(6) if (i * 7 + j * j) % 3], "m int, o int")
+    sets = {}
+    for i, j in edges.collect():
+        sets.setdefault(i, set()).add(j)
+    want = {(a, b, len(x & y), round(len(x & y) / len(x | y), 3)) for a, x in sets.items() for b, y in sets.items() if a < b and len(x & y) >= 2 and (len(x & y) / len(x | y) >= 0.34 or len(x & y) >= 4)}
+    got = jaccard_pairs(edges, "m", "o", top=None)
+    assert {tuple(r) for r in got.collect()} == want != set()
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(n" not in plan and "Aggregate [a" in plan
