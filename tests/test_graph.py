@@ -121,3 +121,12 @@ def test_pairs_carry_no_sizes(spark):
     assert {tuple(r) for r in got.collect()} == want != set()
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "first(n" not in plan and "Aggregate [a" in plan
+
+
+def test_stats_over_graphs(spark):
+    from lumenary.operators.graph import kg_stats
+
+    edges = spark.createDataFrame([("k", "g", "a", "b"), ("k", "g", "a", "a"), ("k", "h", "b", "c"), ("l", "g", "a", "c")], "kind string, graph string, src string, dst string")
+    got = kg_stats(edges)
+    assert {tuple(r) for r in got.select("kind", "graph", "edges", "sources", "targets", "nodes").collect()} == {("k", "g", 2, 1, 2, 3), ("k", "h", 1, 1, 1, 3), ("l", "g", 1, 1, 1, 2)}
+    assert "Expand" not in got._jdf.queryExecution().optimizedPlan().toString()
