@@ -349,9 +349,19 @@ def descriptor_claims(edges: DataFrame, molecules: DataFrame, odours: DataFrame)
         F.concat(F.lit("A-"), F.col("molecule_id"), F.lit("-"), F.col("odour_id")).alias("claim_id"), F.col("molecule_id").alias("subject"), "subject_name", F.lit("smells_of").alias("predicate"), F.col("odour_id").alias("object"), "object_name")
 
 
-def reported_claims(curated: DataFrame, mined: DataFrame) -> DataFrame:
-    """Class B: a paper reports a molecule; a curated link beats a mined one."""
-    every = curated.select("source_id", "molecule_id", F.lit(0).alias("rank")).unionByName(mined.select("source_id", "molecule_id", F.lit(1).alias("rank")))
+#: Curated links for each partition of all links: an aggregation holds nearly every row, as links hardly repeat.
+LINKS_EACH = 500_000
+
+
+def reported_claims(curated: DataFrame, mined: DataFrame, each: int = LINKS_EACH) -> DataFrame:
+    """Class B: a paper reports a molecule; a curated link beats a mined one. Links may repeat.
+
+    The number of partitions grows with the counted curated links, so what a task holds does not; adaptive execution would
+    join partitions until their compressed bytes suffice.
+    """
+    spark = curated.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-curated.count() // each))
+    every = curated.select("source_id", "molecule_id", F.lit(0).alias("rank")).unionByName(mined.select("source_id", "molecule_id", F.lit(1).alias("rank"))).repartition(n, "source_id", "molecule_id")
     return every.groupBy("source_id", "molecule_id").agg(F.min("rank").alias("rank")).select(F.concat(F.lit("B-"), F.col("source_id"), F.lit("-"), F.col("molecule_id")).alias("claim_id"), "source_id", "molecule_id", F.when(F.col("rank") == 0, "curated").otherwise("mined").alias("provenance"))
 
 

@@ -78,7 +78,7 @@ _BC = "cur AS (SELECT DISTINCT l_orderkey AS source_id, l_partkey + l_linenumber
 
 @query("e5_reported_claims", "paper_molecules lineitem", f", {_BC} SELECT concat('B-', source_id, '-', molecule_id) AS claim_id, source_id, molecule_id, CASE WHEN min(r) = 0 THEN 'curated' ELSE 'mined' END AS provenance FROM (SELECT *, 0 AS r FROM cur UNION ALL SELECT *, 1 FROM mined) GROUP BY source_id, molecule_id")
 def e5(links, lineitem):
-    curated = lineitem.select(F.col("l_orderkey").alias("source_id"), (F.col("l_partkey") + F.col("l_linenumber") % 2).alias("molecule_id")).distinct()
+    curated = lineitem.select(F.col("l_orderkey").alias("source_id"), (F.col("l_partkey") + F.col("l_linenumber") % 2).alias("molecule_id"))
     return E.reported_claims(curated, links)
 
 

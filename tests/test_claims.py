@@ -65,3 +65,12 @@ def test_or_join_holds_no_pairs(spark):
     got = or_join(ref, spark.createDataFrame([(10, "a", "1-1"), (11, "B", "1-1"), (12, None, "1-1"), (13, "b", None)], "id long, name string, cas string"))
     assert sorted(map(tuple, got.collect())) == [(1, 10, "exact_name"), (1, 11, "cas_match"), (1, 12, "cas_match"), (2, 10, "cas_match"), (2, 11, "cas_match"), (2, 12, "cas_match"), (3, 11, "exact_name"), (3, 13, "exact_name")]
     assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reported_claims_partitions_grow(spark):
+    from lumenary.operators.claims import reported_claims
+
+    links = lambda *x: spark.createDataFrame(x, "source_id long, molecule_id long")
+    got = reported_claims(links((3, 4), *[(1, 2)] * 39), links((1, 2), (5, 6), (5, 6)), each=1)
+    assert sorted((r.claim_id, r.provenance) for r in got.collect()) == [("B-1-2", "curated"), ("B-3-4", "curated"), ("B-5-6", "mined")]
+    assert got.rdd.getNumPartitions() == 40
