@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, counted
+from .products import QUERIES, nearest, packed
 
 #: The words that full-text search in English leaves out (the Snowball project's list).
 INDEX_STOP = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves
@@ -136,39 +137,60 @@ def admit_vectors(df: DataFrame, dim: int) -> DataFrame:
     return df.join(per_id, "vec_id").withColumn("reason", reason)
 
 
-def vector_search(items: DataFrame, queries: DataFrame, k: int = 20, block: int = 10_000) -> DataFrame:
+def vectors_of(df: DataFrame) -> DataFrame:
+    return df.select(F.col("vec_id").alias("id"), "embedding")
+
+
+def dealt(items: DataFrame) -> DataFrame:
+    """Rows dealt evenly to a few tasks for each core, however they lie."""
+    return items.repartition(2 * items.sparkSession.sparkContext.defaultParallelism)
+
+
+def vector_search(items: DataFrame, queries: DataFrame, k: int = 20, block: int = QUERIES) -> DataFrame:
     """Exact cosine similarity of a stated set of queries against all items, the k best of each; ties by item.
 
     Queries are broadcast in blocks of about `block`, a checked bound; every block meets all items. The k best per task come
     before the shuffle.
     """
     k = min(20, max(1, k))
-    unit = lambda df: df.withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"))))
-    blocks = max(1, -(-queries.count() // block))
-    q = unit(queries.select(F.col("vec_id").alias("qid"), "embedding")).select("qid", F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
-    known = unit(items.select("vec_id", "embedding"))
-    out = None
-    for b in range(blocks):
-        part = q.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else q
-        near = known.join(F.broadcast(part), F.size("embedding") == F.size("q"))
-        scored = near.select("qid", "vec_id", F.round(dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm")), 6).alias("similarity"))
-        best = top_k(scored, "qid", [F.desc("similarity"), F.col("vec_id")], k)
-        out = best if out is None else out.unionByName(best)
+    found = nearest(packed(dealt(vectors_of(items))), vectors_of(queries), k, most=block)
+    return top_k(found, "qid", [F.desc("similarity"), F.col("vec_id")], k)
+
+
+def sign_planes(items: DataFrame, bits: int, tables: int) -> np.ndarray:
+    """Whole numbers from -1000 to 1000 by component and plane, hashes of both; a fixed number for each component."""
+    size = items.agg(F.max(F.size("embedding"))).first()[0] or 0
+    at = F.col("id").cast("int")
+    planes = items.sparkSession.range(max(0, size) * tables * bits).select((at / (tables * bits)).cast("int").alias("i"), (at % (tables * bits)).alias("p"))
+    code = (F.col("p") / bits).cast("int") * 64 + F.col("p") % bits
+    rows = planes.select("i", "p", (F.pmod(F.hash("i", code), F.lit(2001)) - 1000).alias("w")).collect()
+    out = np.zeros((max(0, size), tables * bits))
+    for r in rows:
+        out[r.i, r.p] = r.w
     return out
 
 
 def lsh_search(items: DataFrame, queries: DataFrame, k: int = 20, bits: int = 6, tables: int = 64) -> DataFrame:
-    """Approximate vector search: sign hashes of random hyperplanes are joined by id alone, candidates re-ranked by exact cosine."""
-    def signed(df: DataFrame, key: str) -> DataFrame:
-        plane = lambda t, b: F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (F.pmod(F.hash(i, F.lit(t * 64 + b)), F.lit(2001)) - 1000)), F.lit(0.0), lambda s, x: s + x) >= 0
-        codes = [F.concat(F.lit(f"{t}:"), *[F.when(plane(t, b), "1").otherwise("0") for b in range(bits)]) for t in range(tables)]
-        return df.select(F.col("vec_id").alias(key), F.explode(F.array(*codes)).alias("code"))
-    pairs = checkpointed(signed(items, "vec_id").join(counted(signed(queries, "qid")), "code").select("qid", "vec_id").distinct())
-    vectors = lambda df, key, name: df.select(F.col("vec_id").alias(key), F.col("embedding").alias(name))
-    both = pairs.join(vectors(items, "vec_id", "embedding").hint("merge"), "vec_id").join(vectors(queries, "qid", "q").hint("merge"), "qid")
-    norm = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
-    scored = both.select("qid", "vec_id", F.round(dot(F.col("embedding"), F.col("q")) / (norm("embedding") * norm("q")), 6).alias("similarity"))
-    return top_k(scored, "qid", [F.desc("similarity"), F.col("vec_id")], k)
+    """Approximate vector search: vectors that have all signs in common for one of the tables of random hyperplanes are candidates, re-ranked by exact cosine.
+
+    Vectors stay in their blocks: codes are compared where blocks meet, so neither codes nor candidates are shuffled.
+    """
+    planes = sign_planes(items, bits, tables)
+    weights = 1 << np.arange(bits)
+
+    def codes(x: np.ndarray) -> np.ndarray:
+        signs = ~(x @ planes[: x.shape[1]] < 0)
+        return (signs.reshape(len(x), tables, bits) @ weights).astype(np.uint32 if bits > 8 else np.uint8)
+
+    def meets(_: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        a, b = (np.ascontiguousarray(c if bits <= 8 else c.view(np.uint32)).T.copy() for c in (a, b))
+        out = np.zeros((b.shape[1], a.shape[1]), bool)
+        for t in range(tables):
+            out |= b[t][:, None] == a[t]
+        return out
+
+    found = nearest(packed(dealt(vectors_of(items)), codes), vectors_of(queries), k, codes, meets)
+    return top_k(found, "qid", [F.desc("similarity"), F.col("vec_id")], k)
 
 
 def check_vector_space(reference: DataFrame, new: DataFrame, least: float = 0.99) -> DataFrame:

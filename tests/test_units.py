@@ -169,6 +169,42 @@ def test_lsh_recall(spark, data):
     assert len(exact & near) >= 0.9 * len(exact)
 
 
+def test_search_by_blocks(spark):
+    """Copies, ties, a vector without length, null components and other sizes against every pair; products choose pairs, and no pair is joined."""
+    import numpy as np
+    from lumenary.operators.retrieval import lsh_search, vector_search
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(-3, 4, size=(30, 8)).astype(float)
+    rows = [(i, [float(x) for x in base[i % 30]]) for i in range(400)] + [(400 + i, [float(x) for x in base[3]]) for i in range(200)]
+    rows += [(700, [0.0] * 8), (701, [1.0, None] + [2.0] * 6), (702, [1.0, 2.0, 3.0]), (703, [3.0, 2.0, 1.0]), (704, None)]
+    items = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = items.where("vec_id IN (0, 3, 17, 55, 450, 701, 702)")
+
+    def cosine(a, b):
+        if None in a or None in b:
+            return None
+        dot = lambda x, y: sum((float(p) * q for p, q in zip(x, y, strict=True)), 0.0)
+        length = dot(a, a) ** 0.5 * dot(b, b) ** 0.5
+        return round(dot(a, b) / length, 6) if length else float("inf")
+
+    vectors = {i: v for i, v in rows if v}
+    want = []
+    for q in (0, 3, 17, 55, 450, 701, 702):
+        scored = [(cosine(vectors[q], v), i) for i, v in vectors.items() if len(v) == len(vectors[q])]
+        scored.sort(key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
+        want += [(q, i, s, n + 1) for n, (s, i) in enumerate(scored[:20])]
+    plain = lambda s: None if s is None else float("inf") if s != s else s
+    got = lambda df: sorted((r.qid, r.vec_id, plain(r.similarity), r.nth) for r in df.collect())
+    found = vector_search(items, asked)
+    assert got(found) == sorted(want) and got(vector_search(items, asked, block=2)) == sorted(want)
+    assert got(vector_search(items.repartition(7), asked)) == sorted(want)
+    near = lsh_search(items.where("vec_id < 700"), asked.where("vec_id < 700"), bits=1)
+    assert got(near) == [x for x in got(vector_search(items.where("vec_id < 700"), asked.where("vec_id < 700")))]
+    for df in (found, near):
+        assert "zip_with" not in df._jdf.queryExecution().toString()
+
+
 def test_results_do_not_depend_on_the_partitions(spark, data):
     from lumenary.operators.claims import claim_weights
     from lumenary.operators.graph import jaccard_pairs
