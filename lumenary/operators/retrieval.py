@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpointed, counted
+from .positions import positions
 from .products import QUERIES, nearest, packed
 
 #: The words that full-text search in English leaves out (the Snowball project's list).
@@ -35,12 +36,25 @@ def question_terms(questions: DataFrame) -> DataFrame:
 def build_term_index(docs: DataFrame, text: str = "text", terms: DataFrame | None = None) -> DataFrame:
     """(id, term, tf, places): each term of a document with its word positions in order; stop words have positions but no rows.
 
-    With `terms` (a column term) only these are indexed: the words are held against them before anything is shuffled.
+    With `terms` (a column term) only these are indexed. Rows are inverted where they lie, and only the texts of an id that stands in several rows are shuffled.
     """
-    words = docs.select("id", F.posexplode(tokens(F.col(text))).alias("place", "term")).where(~F.col("term").isin(INDEX_STOP))
-    if terms is not None:
-        words = words.join(counted(terms.select("term").distinct()), "term", "left_semi")
-    return words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("place")).alias("places"))
+    rows = docs.select("id", text)
+    seen = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    again = checkpointed(seen)
+    index = _terms_of(rows, text, terms)
+    if again.isEmpty():
+        return index
+    # Texts of one id make one document; only these are brought together.
+    same = F.array_sort(F.flatten(F.collect_list("places")))
+    texts_of_one = _terms_of(rows.join(again.hint("merge"), "id", "left_semi"), text, terms).groupBy("id", "term").agg(F.sum("tf").alias("tf"), same.alias("places"))
+    return _terms_of(rows.join(again.hint("merge"), "id", "left_anti"), text, terms).unionByName(texts_of_one)
+
+
+def _terms_of(docs: DataFrame, text: str, terms: DataFrame | None) -> DataFrame:
+    """The entries of each row, inverted where it lies."""
+    entries = docs.select("id", F.explode(positions(tokens(F.col(text)))).alias("e"))
+    out = entries.select("id", F.col("e.word").alias("term"), F.size("e.places").cast("long").alias("tf"), F.col("e.places").alias("places")).where(~F.col("term").isin(INDEX_STOP))
+    return out.join(counted(terms.select("term").distinct()), "term", "left_semi").select("id", "term", "tf", "places") if terms is not None else out
 
 
 def or_terms(questions: DataFrame, least: int = 3, most: int = 24) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.positions import positions
 from ..session import checkpointed
 
 #: Canonical order of priorities.
@@ -53,15 +54,15 @@ def load_taxonomy(spark: SparkSession, path: str, branches: list[str], branch: s
 def abstract_from_inverted_index(df: DataFrame, col: str) -> DataFrame:
     """Text from a map of word to positions, by position, then word; rows without any word drop out."""
     pairs = F.flatten(F.transform(F.map_entries(col), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    out = df.withColumn("abstract", F.array_join(F.transform(F.array_sort(pairs), lambda x: x["w"]), " "))
-    return out.where(F.col("abstract") != "").drop(col)
+    text = F.array_join(F.transform(F.sort_array(pairs), lambda x: x["w"]), " ")
+    # A filter on the text would be moved before it and build it twice.
+    some = F.explode(F.filter(F.array(text), lambda t: t != "")).alias("abstract")
+    return df.select(*[c for c in df.columns if c != col], some)
 
 
 def invert(df: DataFrame, col: str) -> DataFrame:
-    """The map of word to positions of each text, split at blanks; the way back of `abstract_from_inverted_index`."""
-    words = df.select("id", F.posexplode(F.split(col, " ")).alias("p", "w"))
-    per_word = words.groupBy("id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    return per_word.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
+    """The map of word to positions of each text, split at blanks; the way back of `abstract_from_inverted_index`. A row's words stay in its task."""
+    return df.where(F.col(col).isNotNull()).select("id", F.map_from_entries(positions(F.split(col, " "))).alias("index"))
 
 
 PUBLICATION = "struct<id:string,doi:string,title:string,year:int,journal:struct<title:string>,authors:array<struct<name:string>>,concepts:array<string>,times_cited:int,linkout:string,abstract:string,type:string>"

@@ -205,6 +205,26 @@ def test_search_by_blocks(spark):
         assert "zip_with" not in df._jdf.queryExecution().toString()
 
 
+def test_inversion_without_shuffles(spark):
+    """Rows are inverted where they lie; texts of one id are one document of the term index, and one row each of the abstracts."""
+    from lumenary.operators.retrieval import build_term_index
+    from lumenary.sources.files import abstract_from_inverted_index, invert
+
+    texts = {1: "b a  b c b", 2: "", 3: None, 4: " ", 5: "the x", 6: "z" * 9 + " \u00e9 z"}
+    docs = spark.createDataFrame(list(texts.items()), "id long, text string")
+    back = abstract_from_inverted_index(invert(docs, "text"), "index")
+    assert {r.id: r.abstract for r in back.collect()} == {i: t for i, t in texts.items() if t}
+    index = build_term_index(docs)
+    entries = lambda df: {(r.id, r.term): (r.tf, r.places) for r in df.collect()}
+    want = {(1, "b"): (3, [0, 2, 4]), (1, "c"): (1, [3]), (5, "x"): (1, [1]), (6, "z" * 9): (1, [0]), (6, "\u00e9"): (1, [1]), (6, "z"): (1, [2])}
+    assert entries(index) == want
+    for df in (back, index):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert entries(build_term_index(docs, terms=spark.createDataFrame([("b",), ("x",)], "term string"))) == {k: v for k, v in want.items() if k[1] in "bx"}
+    twice = docs.unionByName(spark.createDataFrame([(1, "q b")], docs.schema))
+    assert entries(build_term_index(twice)) == want | {(1, "q"): (1, [0]), (1, "b"): (4, [0, 1, 2, 4])}
+
+
 def test_results_do_not_depend_on_the_partitions(spark, data):
     from lumenary.operators.claims import claim_weights
     from lumenary.operators.graph import jaccard_pairs
