@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, counted
+from ..session import checkpointed
+from .products import nearest, packed
 from .retrieval import dot, top_k, vector_search
 
 #: Rows that centroids are trained on, and queries that recall is measured by; both are bounds, every row is indexed.
@@ -42,7 +44,8 @@ def build_inverted_file(items: DataFrame, n_lists: int | None = None, most: int
     spark = items.sparkSession
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "list int, centre array<double>")
     listed = model.transform(with_features(known)).select(F.col("prediction").alias("list"), "vec_id", "embedding", "norm")
-    return InvertedFile(checkpointed(listed), centres, model, n)
+    # In the order of lists, so that a block of vectors is of one list; a large list is divided by ids.
+    return InvertedFile(checkpointed(listed.repartitionByRange("list", "vec_id").sortWithinPartitions("list", "vec_id")), centres, model, n)
 
 
 def probe_order(index: InvertedFile, queries: DataFrame) -> DataFrame:
@@ -71,7 +74,21 @@ def inverted_search(index: InvertedFile, queries: DataFrame, k: int = 20, least:
     """(qid, vec_id, similarity, nth) of the probed lists, scored exactly; without `probes` the fewest with a measured recall of `least`."""
     if probes is None:
         probes = recall_by_probes(index, queries, k).where(F.col("recall") >= least).agg(F.min("probes")).first()[0] or index.n_lists
-    q = unit(queries).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q"), F.col("norm").alias("q_norm"))
-    asked = counted(probe_order(index, queries).where(F.col("nth") <= probes).select("qid", "list").join(q.hint("merge"), "qid"), 100_000)
-    scored = index.items.join(asked, "list").select("qid", "vec_id", F.round(dot(F.col("embedding"), F.col("q")) / (F.col("norm") * F.col("q_norm")), 6).alias("similarity"))
-    return top_k(scored, "qid", [F.desc("similarity"), F.col("vec_id")], min(20, max(1, k)))
+    centres, n = np.array(index.model.clusterCenters()), probes
+
+    def probed(x: np.ndarray) -> np.ndarray:
+        """A bit for each list, set for those of `probe_order`: sums are added in the same order."""
+        near = np.zeros((len(x), len(centres)))
+        for d in range(centres.shape[1]):
+            near += x[:, d][:, None] * centres[:, d]
+        out = np.zeros(near.shape, bool)
+        np.put_along_axis(out, np.argsort(-near, axis=1, kind="stable")[:, :n], True, axis=1)
+        return np.packbits(out, axis=1)
+
+    def meets(in_list: int, items: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        return np.repeat((asked[:, in_list // 8] >> (7 - in_list % 8) & 1).astype(bool)[:, None], len(items), axis=1)
+
+    k = min(20, max(1, k))
+    items = packed(index.items.select(F.col("vec_id").alias("id"), "list", "embedding"))
+    found = nearest(items, unit(queries).select(F.col("vec_id").alias("id"), "embedding"), k, probed, meets)
+    return top_k(found, "qid", [F.desc("similarity"), F.col("vec_id")], k)
