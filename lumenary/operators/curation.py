@@ -140,18 +140,20 @@ def sync_taxonomy(taxonomy: DataFrame, topics: DataFrame) -> DataFrame:
 def topic_tree(nodes: DataFrame) -> DataFrame:
     """(id, ancestor, depth) of a parent-pointer table, itself included, by the shortest way.
 
-    Ways double their length each round and are written; a round that finds no new pair ends it, so a cycle of parents ends too.
+    Ways double their length each round and are written. A shortest way of more than `reach` steps is one of just `reach` and a
+    shorter one, so only those of just `reach` are joined; where there is none, no longer one is, and a cycle of parents ends too.
     """
     own = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"))
     pairs = checkpointed(own.unionByName(nodes.where(F.col("parent").isNotNull()).select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
-    n = pairs.count()
+    reach = 1
     while True:
-        further = pairs.toDF("middle", "ancestor", "more")
-        longer = pairs.select("id", F.col("ancestor").alias("middle"), "depth").join(further.hint("merge"), "middle").select("id", "ancestor", (F.col("depth") + F.col("more")).alias("depth"))
-        pairs = checkpointed(pairs.unionByName(longer).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
-        n, before = pairs.count(), n
-        if n == before:
+        longest = pairs.where(F.col("depth") == reach)
+        if longest.isEmpty():
             return pairs
+        further = pairs.where("depth > 0").toDF("middle", "ancestor", "more")
+        longer = longest.select("id", F.col("ancestor").alias("middle"), "depth").join(further.hint("merge"), "middle").select("id", "ancestor", (F.col("depth") + F.col("more")).alias("depth"))
+        pairs = checkpointed(pairs.unionByName(longer).groupBy("id", "ancestor").agg(F.min("depth").alias("depth")))
+        reach *= 2
 
 
 def topic_coverage(topics: DataFrame, junction: DataFrame, papers: DataFrame, taxonomy: DataFrame | None = None, gate: int = 60) -> DataFrame:
