@@ -44,6 +44,10 @@ def a4(part):
     return S.load_taxonomy(part.sparkSession, path, ["ECONOMY", "PROMO"], lines=True)
 
 
+#: Elements of a GraphML file. A file is read by one task, so its size must not grow with the input.
+XML_ROWS = 100_000
+
+
 def graph_xml(supplier, lineitem):
     """Suppliers and the parts that they deliver, written as GraphML elements and read as nodes and edges."""
     path = folder(supplier, "graph")
@@ -53,7 +57,7 @@ def graph_xml(supplier, lineitem):
         "key": supplier.sparkSession.createDataFrame([("d0", "node", "name"), ("d1", "edge", "lines")], "_id string, _for string, `_attr.name` string"), "node": supplier.select(F.concat(F.lit("s"), "s_suppkey").alias("_id"), data("d0", "s_name")),
         "edge": pairs.select(F.concat(F.lit("s"), "l_suppkey").alias("_source"), F.concat(F.lit("p"), "l_partkey").alias("_target"), data("d1", "n"))}
     for tag, rows in parts.items():
-        rows.write.format("xml").option("rootTag", "graphml").option("rowTag", tag).mode("append").save(path)
+        rows.write.format("xml").option("rootTag", "graphml").option("rowTag", tag).option("maxRecordsPerFile", XML_ROWS).mode("append").save(path)
     return S.read_graph_xml(supplier.sparkSession, path)
 
 

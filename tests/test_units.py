@@ -225,6 +225,93 @@ def test_inversion_without_shuffles(spark):
     assert entries(build_term_index(twice)) == want | {(1, "q"): (1, [0]), (1, "b"): (4, [0, 1, 2, 4])}
 
 
+def test_probed_lists_only(spark):
+    """With one list probed, a query's best are the best of that list; pairs are not joined row by row."""
+    import numpy as np
+    from lumenary.operators.retrieval import vector_search
+    from lumenary.operators.vectors import build_inverted_file, inverted_search, probe_order
+
+    rng = np.random.default_rng(8)
+    items = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)], "vec_id long, embedding array<float>")
+    asked = items.where("vec_id < 9")
+    index = build_inverted_file(items, n_lists=11)
+    lists = {r.vec_id: r.list for r in index.items.collect()}
+    first = {r.qid: r.list for r in probe_order(index, asked).where("nth = 1").collect()}
+    got = inverted_search(index, asked, probes=1)
+    assert "MapInArrow" in got._jdf.queryExecution().toString()
+    want = []
+    for q, of in first.items():
+        inside = [i for i, at in lists.items() if at == of]
+        best = vector_search(items.where(f"vec_id IN ({','.join(map(str, inside))})"), asked.where(f"vec_id = {q}"))
+        want += [tuple(r) for r in best.select("qid", "vec_id", "similarity", "nth").collect()]
+    assert sorted(tuple(r) for r in got.select("qid", "vec_id", "similarity", "nth").collect()) == sorted(want)
+
+
+def test_graph_files_are_bounded(spark, data, monkeypatch):
+    """Elements go to files of a bounded number, so that no task reads more as the graph grows."""
+    from lumenary import catalog
+    from lumenary.plans import sources
+
+    whole = catalog.queries()["a8_graph_edges"](spark, data).collect()
+    monkeypatch.setattr(sources, "XML_ROWS", 1000)
+    seen = []
+    monkeypatch.setattr(sources, "folder", lambda df, name, f=sources.folder: seen.append(f(df, name)) or seen[-1])
+    assert sorted(map(str, catalog.queries()["a8_graph_edges"](spark, data).collect())) == sorted(map(str, whole))
+    assert max(r.n for r in spark.read.text(seen[0]).where("value LIKE '%<edge %'").groupBy("_metadata.file_path").count().toDF("f", "n").collect()) <= 1000
+
+
+def test_topic_tree_against_walks(spark):
+    """A long chain, two parents, a cycle and an unknown parent: the shortest way to each ancestor."""
+    from lumenary.operators.curation import topic_tree
+
+    edges = [(i, i - 1) for i in range(1, 14)] + [(0, None), (20, 21), (21, 22), (22, 20), (30, 13), (30, 5), (40, 99)]
+    want = set()
+    for i in {i for i, _ in edges}:
+        depth, last = {i: 0}, [i]
+        while last:
+            last = list({p for x in last for c, p in edges if c == x and p is not None and p not in depth})
+            depth |= {p: max(depth.values()) + 1 for p in last}
+        want |= {(i, a, d) for a, d in depth.items()}
+    assert {tuple(r) for r in topic_tree(spark.createDataFrame(edges, "id long, parent long")).collect()} == want
+
+
+def test_bridge_edges_partitions(spark):
+    """Repeated links, links without an end, and partitions that grow with the counted links."""
+    from lumenary.operators.graph import bridge_edges
+
+    cols = "source_id long, molecule_id long"
+    curated = spark.createDataFrame([(1, 2), (1, 2), (None, 5), (3, None)] + [(i, i) for i in range(10, 60)], cols)
+    mined = spark.createDataFrame([(1, 2), (2, 2), (2, 2), (None, 5), (3, None), (10, 10)], cols)
+    out = bridge_edges(curated, mined, each=2)
+    want = [(1, 2, "curated"), (None, 5, "curated"), (3, None, "curated"), (2, 2, "mined"), (None, 5, "mined"), (3, None, "mined")] + [(i, i, "curated") for i in range(10, 60)]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want)) and out.rdd.getNumPartitions() == 27
+
+
+def test_withdrawals_hold_events_in_one_call():
+    from pyspark.sql import Row
+
+    from lumenary.streaming.state import Withdrawals
+
+    class Held(list):
+        calls = 0
+
+        def appendList(self, rows):  # noqa: N802
+            self.calls += 1
+            self.extend(rows)
+
+    class Handle:
+        def getValueState(self, *_):  # noqa: N802
+            return type("Value", (), {"exists": lambda self: False})()
+
+        def getListState(self, *_):  # noqa: N802
+            return Held()
+
+    w = Withdrawals()
+    w.init(Handle())
+    out = list(w.handleInputRows((7,), iter([Row(session_id=7, at=i, event_id=i) for i in range(50)]), None))
+    assert [r.event_id for r in out] == list(range(50)) and w.held == [(i,) for i in range(50)] and w.held.calls == 1
+
+
 def test_results_do_not_depend_on_the_partitions(spark, data):
     from lumenary.operators.claims import claim_weights
     from lumenary.operators.graph import jaccard_pairs
